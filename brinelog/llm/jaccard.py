@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 from .graph import components
 from .words import Block, blocks, mix
 
@@ -38,6 +38,8 @@ LEAST_BLOCKS = 256
 #: A shingle is common if at least this share of all documents have it. This changes only the order of keys.
 COMMON = 0.002
 MOST_COMMON = 100_000
+#: Names of documents to be verified are broadcast up to so many, counted first; beyond, the texts are shuffled.
+MOST_NAMED = 500_000
 #: Keys that more sets share than this are compared in chunks of this size, a pair of chunks at a time.
 CHUNK = 2000
 
@@ -112,7 +114,8 @@ def keys(x: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    return 1 << max(6, int(2 * _reach(bands(n)[0]) - 1).bit_length())
+    """About as many bits as a set of the band has shingles: enough to tell unlike sets apart, and small to move."""
+    return max(64, RATIO ** (bands(n)[0] + 1))
 
 
 def sketch(x: np.ndarray) -> bytes:
@@ -132,7 +135,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, c) per document; and rows with doc_id null, n the count, c the hash and common true for shingles common within a task."""
+    """(doc_id, n, c, sketch) per document; and rows with doc_id null, n the count, c the hash and common true for shingles common within a task."""
 
     def run(batches):
         held, size, total, n_docs = [], 0, {}, 0
@@ -144,9 +147,10 @@ def _profile(docs: DataFrame) -> DataFrame:
                 total[h] = total.get(h, 0) + c
 
         for batch in batches:
-            ns, cs = [], []
+            ns, cs, ss = [], [], []
             for x in all_sets(batch.column(1).to_pylist()):
                 ns.append(len(x))
+                ss.append(sketch(x) if len(x) else None)
                 cs.append(digest(x))
                 held.append(x)
                 size += len(x)
@@ -154,14 +158,14 @@ def _profile(docs: DataFrame) -> DataFrame:
                     gather()
                     held, size = [], 0
             n_docs += len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array([False] * len(ns))], names=["doc_id", "n", "c", "common"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array([False] * len(ns)), pa.array(ss, pa.binary())], names=["doc_id", "n", "c", "common", "sketch"])
         if held:
             gather()
         some = {h: c for h, c in total.items() if c >= max(32, 2 * COMMON * n_docs)}
         if some:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(list(some.values()), pa.int64()), pa.array(np.array(list(some), _U).view(np.int64)), pa.array([True] * len(some))], names=["doc_id", "n", "c", "common"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(list(some.values()), pa.int64()), pa.array(np.array(list(some), _U).view(np.int64)), pa.array([True] * len(some)), pa.nulls(len(some), pa.binary())], names=["doc_id", "n", "c", "common", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, c long, common boolean")
+    return docs.mapInArrow(run, "doc_id long, n long, c long, common boolean, sketch binary")
 
 
 def _key_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -219,32 +223,42 @@ def _runs(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, n int, c long, hub_n int, hub_c long")
 
 
-def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c, n, text, sketch) of the sets named by wanted (doc_id, c), from their texts."""
+def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow to link."""
 
     def run(batches):
         for batch in batches:
-            texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [(c, len(x), t, sketch(x)) for t, c, x in zip(texts, names, all_sets(texts), strict=True) if len(x) and digest(x) == c]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["c", "n", "text", "sketch"])
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            sa, sb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            size = [min(len(x), len(y)) // 8 for x, y in zip(sa, sb, strict=True)]
+            far = np.array([int(np.bitwise_count(fold(x, k) ^ fold(y, k)).sum()) for x, y, k in zip(sa, sb, size, strict=True)], np.int64)
+            ok = (far * 7 <= na + nb) & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb))
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    left = known.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = known.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
 
-    named = wanted.select(F.col("doc_id").alias("_id"), F.col("c").alias("_c"))
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "_c").mapInArrow(run, "c long, n int, text binary, sketch binary")
+def _verify(docs: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link, by their whole sets, made anew from the texts of the documents that stand for them."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(known.select("c", F.col("doc_id").alias("_id")), "c")
 
+    def own(batches):
+        for batch in batches:
+            texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            yield batch.filter(pa.array([digest(x) == c for c, x in zip(names, all_sets(texts), strict=True)], pa.bool_()))  # of rows with one doc_id, the right one
 
-def _verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, by their whole sets."""
+    members = stored(docs.join(small(wanted, MOST_NAMED), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "c").mapInArrow(own, "text binary, c long"), "members")
     left = members.select(F.col("c").alias("a"), F.col("text").alias("ta"))
     right = members.select(F.col("c").alias("b"), F.col("text").alias("tb"))
 
     def run(batches):
         held_name, held = None, None
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            own = list(all_sets(ta))
+            b, tb = batch.column(1).to_pylist(), batch.column(3).to_pylist()
             out = []
-            for i, x in enumerate(own):
+            for i, x in enumerate(all_sets(batch.column(2).to_pylist())):
                 if b[i] != held_name:
                     held_name, held = b[i], next(all_sets([tb[i]]))
                 out.append(linked(x, held))
@@ -253,13 +267,13 @@ def _verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _rest(runs: DataFrame, labels: DataFrame, members: DataFrame) -> DataFrame:
+def _rest(runs: DataFrame, labels: DataFrame, sets_: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets that share a key, are not in one component yet, and pass sizes and sketches."""
     labels = labels.select(F.col("node").alias("c"), "component")
     known = runs.select("key", "n", "c").join(labels, "c", "left").withColumn("component", F.coalesce("component", "c"))
     w = Window.partitionBy("key")
     known = known.withColumn("_low", F.min("component").over(w)).withColumn("_high", F.max("component").over(w)).withColumn("_g", F.count(F.lit(1)).over(w)).where("_low <> _high")
-    known = known.join(members.select("c", "sketch"), "c")
+    known = known.join(sets_.select("c", "sketch"), "c")
     chunks = F.ceil(F.col("_g") / CHUNK)
     mine = F.pmod(F.xxhash64("c"), chunks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), (chunks - 1).cast("int")), lambda k: F.struct(F.least(k, F.col("_mine")).alias("i"), F.greatest(k, F.col("_mine")).alias("j")))
@@ -320,22 +334,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     profile = stored(_profile(docs), "profile")
-    own = profile.where("NOT common").drop("common")
+    own = profile.where("NOT common").select("doc_id", "n", "c", "sketch")
     n_docs = own.count()
     shared = profile.where("common").groupBy("c").agg(F.sum("n").alias("k")).where(F.col("k") >= COMMON * n_docs)
     common = np.sort(np.array([r["c"] for r in shared.orderBy(F.desc("k"), "c").limit(MOST_COMMON).collect()], np.int64).view(_U))
     rows = _key_rows(docs, common).repartition("key").sortWithinPartitions("key", "n", "c")
     runs = stored(_runs(rows), "runs")
-    first = own.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    members = stored(_members(docs, runs.select("c").distinct().join(first, "c")), "members")
+    first = stored(own.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")), "sets")
     edges = runs.where("c <> hub_c AND 4 * hub_n >= 3 * n").groupBy("c", "hub_c").agg(F.count(F.lit(1)).alias("k"))
     edges = edges.groupBy("c").agg(F.max_by("hub_c", F.struct("k", "hub_c")).alias("b")).withColumnRenamed("c", "a")
-    links = stored(_verify(edges, members), "links")
-    rest = _verify(stored(_rest(runs, components(links), members), "rest"), members)
+    links = stored(_verify(docs, stored(_likely(edges, first), "likely"), first), "links")
+    rest = _verify(docs, stored(_rest(runs, components(links), first), "rest"), first)
     joined = components(links.unionByName(rest))
     named = joined.join(first, joined["node"] == first["c"]).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     groups = joined.join(named, "component").select(F.col("node").alias("c"), "component_id").unionByName(first.join(joined, first["c"] == joined["node"], "left_anti").select("c", F.col("doc_id").alias("component_id")))
-    out = own.join(groups, "c", "left")
+    out = own.drop("sketch").join(groups, "c", "left")
     alone = (F.col("n") == 0) | F.col("component_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
