@@ -113,16 +113,6 @@ def latency_ms(begin: Column, end: Column) -> Column:
     return F.coalesce((end - begin) * 1000, F.lit(-1.0))
 
 
-def fractions(z: Column) -> Column:
-    """array<struct<sensor,fraction>> in falling order of array<struct<pos,sensor,z>>'s shares of the sum of squares; ties by pos.
-
-    All zero: equal shares.
-    """
-    total = F.aggregate(z, F.lit(0.0), lambda a, x: a + x["z"] * x["z"])
-    shares = F.transform(z, lambda x: F.struct((-F.when(total > 0, x["z"] * x["z"] / F.when(total > 0, total).otherwise(1.0)).otherwise(F.lit(1.0) / F.greatest(F.size(z), F.lit(1)))).alias("f"), x["pos"].alias("pos"), x["sensor"].alias("sensor")))
-    return F.transform(F.array_sort(shares), lambda x: F.struct(x["sensor"].alias("sensor"), (-x["f"]).alias("fraction")))
-
-
 def attribution_detail(shares: Column) -> Column:
     """Compact JSON of shares to three places, in their order."""
     return F.coalesce(F.to_json(F.map_from_entries(F.transform(shares, lambda x: F.struct(x["sensor"], F.bround(x["fraction"], 3))))), F.lit("{}"))

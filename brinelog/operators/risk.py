@@ -26,12 +26,18 @@ def group_anomalies(scored: DataFrame, cfg: Config) -> DataFrame:
     joined = scored.select("sensor_id", "ts", "z_score").join(F.broadcast(members(scored.sparkSession, cfg.sensor_groups)), "sensor_id").withColumn("bucket", S.time_bucket(F.col("ts"), cfg.sync_tolerance_ms))
     z = F.col("z_score")
     per = joined.groupBy("group_name", "bucket", "sensor_id", "pos", "members").agg(F.max("ts").alias("ts"), F.sum(z * z).alias("q"), F.count(z).alias("n"), F.max_by("z_score", F.struct("ts", "z_score")).alias("z"))
-    rows = per.groupBy("group_name", "bucket", "members").agg(F.max("ts").alias("ts"), F.sum("q").alias("q"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", F.col("sensor_id").alias("sensor"), "z"))).alias("last"))
-    shares = S.fractions(F.col("last"))
-    named = F.transform("last", lambda x: x["sensor"])
-    rows = rows.withColumn("composite_score", S.rms(F.col("q"), F.col("n"))).withColumn("shares", shares)
+    whole = Window.partitionBy("group_name", "bucket")
+    square = F.col("z") * F.col("z")
+    share = F.coalesce(F.try_divide(square, F.sum(square).over(whole)), F.lit(1.0) / F.count(F.lit(1)).over(whole))
+    per = per.withColumn("fraction", share)
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("fraction")).alias("f"), "pos", F.col("sensor_id").alias("sensor"))))
+    named = F.sort_array(F.collect_list(F.struct("pos", F.col("sensor_id").alias("sensor"))))
+    rows = per.groupBy("group_name", "bucket", "members").agg(
+        F.max("ts").alias("ts"), S.rms(F.sum("q"), F.sum("n")).alias("composite_score"), F.sum("n").alias("n"),
+        F.transform(named, lambda x: x["sensor"]).alias("named"), F.transform(ordered, lambda x: F.struct(x["sensor"].alias("sensor"), (-x["f"]).alias("fraction"))).alias("shares"),
+    )
     return rows.select(
-        "group_name", "bucket", "ts", "n", "composite_score", F.array_join(named, ",").alias("contributing_sensors"), F.array_join(F.array_except("members", named), ",").alias("missing_sensors"),
+        "group_name", "bucket", "ts", "n", "composite_score", F.array_join("named", ",").alias("contributing_sensors"), F.array_join(F.array_except("members", "named"), ",").alias("missing_sensors"),
         (F.col("composite_score") > cfg.group_threshold).alias("is_group_anomaly"), F.coalesce(F.get("shares", F.lit(0))["sensor"], F.lit("")).alias("top_contributor"), "shares",
         S.attribution_detail(F.col("shares")).alias("attribution_detail"), S.attribution_message(F.col("group_name"), F.col("shares")).alias("alert_message"),
     )
