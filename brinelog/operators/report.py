@@ -27,15 +27,19 @@ def per_minute(df: DataFrame, now: Column, window_s: float, ts: str = "ts") -> D
     return df.agg((F.count_if(recent) * 60.0 / window_s).alias("per_minute"))
 
 
-def kpis(events: DataFrame, anomalies: DataFrame, eri: DataFrame, alerts: DataFrame, cooldown: str, uptime_s: float = 0.0) -> DataFrame:
+def kpis(events: DataFrame, anomalies: DataFrame, eri: DataFrame, alerts: DataFrame, uptime_s: float = 0.0) -> DataFrame:
     """One row: each figure from its latest window. Every input is reduced to a row before the rows are put together."""
-    latest = lambda df, hop, agg, length: df.groupBy(F.window("ts", length, hop).alias("w")).agg(agg.alias("x")).agg(F.max_by("x", "w.end").alias("x"))
+    def latest(df: DataFrame, hop_s: int, agg: Column) -> DataFrame:
+        """agg over the latest of the windows that start every hop_s: it begins at the newest row's hop, so no row is copied into windows."""
+        step = F.floor(S.micros(F.col("ts")) / F.lit(hop_s * 1_000_000))
+        return df.withColumn("_step", step).crossJoin(F.broadcast(df.agg(F.max(step).alias("_top")))).where("_step = _top").agg(agg.alias("x"))
+
     one = [
         events.agg(F.count(F.lit(1)).alias("events_processed_total"), F.max("ts").alias("last_event_timestamp")),
         anomalies.agg(F.count(F.lit(1)).alias("anomalies_detected_total")),
-        latest(alerts, "1 second", F.countDistinct("discharge_point_id"), cooldown).select(F.coalesce("x", F.lit(0)).cast("long").alias("active_alerts_count")),
-        latest(eri, "10 seconds", F.avg("eri"), "5 minutes").select(F.coalesce("x", F.lit(0.0)).alias("avg_eri_last_5min")),
-        latest(alerts, "10 seconds", F.max(S.band_rank(F.col("risk_band")) + 1), cooldown).select(S.rank_band(F.col("x")).alias("highest_risk_band")),
+        latest(alerts, 1, F.countDistinct("discharge_point_id")).select(F.coalesce("x", F.lit(0)).cast("long").alias("active_alerts_count")),
+        latest(eri, 10, F.avg("eri")).select(F.coalesce("x", F.lit(0.0)).alias("avg_eri_last_5min")),
+        latest(alerts, 10, F.max(S.band_rank(F.col("risk_band")) + 1)).select(S.rank_band(F.col("x")).alias("highest_risk_band")),
     ]
     out = one[0]
     for x in one[1:]:

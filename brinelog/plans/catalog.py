@@ -218,7 +218,7 @@ DARK = _anchored(FACTORY) + """ SELECT 'BLACKOUT_TAMPER' AS tamper_type, factory
 def kpis(spark, sf):
     rows = risk.risk_index(groups(spark, sf), CFG)
     raised = risk.alerts(rows, CFG)
-    out = report.kpis(events(spark, sf), rows.where("is_group_anomaly"), rows, raised, "6 hours").transform(r6("avg_eri_last_5min"))
+    out = report.kpis(events(spark, sf), rows.where("is_group_anomaly"), rows, raised).transform(r6("avg_eri_last_5min"))
     return out.drop("pipeline_uptime_seconds")
 
 
