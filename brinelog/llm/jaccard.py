@@ -114,8 +114,8 @@ def keys(x: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    """About as many bits as a set of the band has shingles: enough to tell unlike sets apart, and small to move."""
-    return max(64, RATIO ** (bands(n)[0] + 1))
+    """Some more bits than a set of the band has shingles: enough to tell unlike sets apart, and small to move."""
+    return max(64, 2 * RATIO ** (bands(n)[0] + 1))
 
 
 def sketch(x: np.ndarray) -> bytes:
@@ -197,7 +197,7 @@ def _key_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def _runs(rows: DataFrame) -> DataFrame:
-    """(key, n, c, hub_n, hub_c) of keys that several sets share; the hub is a key's first set by size. rows sorted by key, n, c."""
+    """(key, n, c) of keys that several sets share, each set once. rows sorted by key, n, c."""
 
     def run(batches):
         carry = None
@@ -213,14 +213,27 @@ def _runs(rows: DataFrame) -> DataFrame:
                 continue
             start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             sizes = np.diff(np.append(start, len(k)))
-            hub = np.repeat(start, sizes)
             out = np.repeat(sizes > 1, sizes) & ~done
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (k, n, c, n[hub], c[hub])], names=["key", "n", "c", "hub_n", "hub_c"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (k, n, c)], names=["key", "n", "c"])
             last = sorted({int(start[-1]), len(k) - 1})
             carry = k[last], n[last], c[last], np.full(len(last), sizes[-1] > 1)
 
-    return rows.mapInArrow(run, "key long, n int, c long, hub_n int, hub_c long")
+    return rows.mapInArrow(run, "key long, n int, c long")
+
+
+def _hubs(runs: DataFrame) -> DataFrame:
+    """(a, b): each set a and the hub b with which it shares most keys.
+
+    A key's hub is its set that shares most keys with any others: of edited copies, the one nearest to what they all come
+    from, so most of them link with it.
+    """
+    degree = runs.groupBy("c").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("c", "_c")
+    known = runs.join(degree, F.col("c") == F.col("_c")).select("key", "c", "n", F.struct("degree", "c", "n").alias("_mine"))
+    hub = F.max("_mine").over(Window.partitionBy("key"))
+    edges = known.withColumn("_hub", hub).select("c", "n", F.col("_hub.c").alias("b"), F.col("_hub.n").alias("m"))
+    edges = edges.where("c <> b AND 4 * least(n, m) >= 3 * greatest(n, m)").groupBy("c", "b").agg(F.count(F.lit(1)).alias("k"))
+    return edges.groupBy("c").agg(F.max_by("b", F.struct("k", "b")).alias("b")).withColumnRenamed("c", "a")
 
 
 def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -341,9 +354,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = _key_rows(docs, common).repartition("key").sortWithinPartitions("key", "n", "c")
     runs = stored(_runs(rows), "runs")
     first = stored(own.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")), "sets")
-    edges = runs.where("c <> hub_c AND 4 * hub_n >= 3 * n").groupBy("c", "hub_c").agg(F.count(F.lit(1)).alias("k"))
-    edges = edges.groupBy("c").agg(F.max_by("hub_c", F.struct("k", "hub_c")).alias("b")).withColumnRenamed("c", "a")
-    links = stored(_verify(docs, stored(_likely(edges, first), "likely"), first), "links")
+    links = stored(_verify(docs, stored(_likely(_hubs(runs), first), "likely"), first), "links")
     rest = _verify(docs, stored(_rest(runs, components(links), first), "rest"), first)
     joined = components(links.unionByName(rest))
     named = joined.join(first, joined["node"] == first["c"]).groupBy("component").agg(F.min("doc_id").alias("component_id"))
