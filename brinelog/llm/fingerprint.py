@@ -66,9 +66,9 @@ def _groups(texts: list[bytes]):
 
 
 def _joined(texts: list[bytes]):
-    """All bytes (a window's length of zeros at the end), where texts begin, which windows lie within a text, and each one's text."""
+    """All bytes (zeros at the end, for a window and a span), where texts begin, which windows lie within a text, and each one's text."""
     begin = np.cumsum([0, *map(len, texts)])
-    data = np.frombuffer(b"".join(texts) + bytes(WINDOW), np.uint8)
+    data = np.frombuffer(b"".join(texts) + bytes(WINDOW + SPAN), np.uint8)
     n = len(data) - WINDOW + 1
     owner = np.repeat(np.arange(len(texts)), np.diff(begin))
     owner = np.concatenate([owner, np.full(n - len(owner), len(texts))])[:n]
