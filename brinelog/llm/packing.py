@@ -24,13 +24,14 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     def cut(batches):
         code = coder(tokenizer)
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), [[], [], [], [], []]
-            for doc, raw in zip(ids, code.encode(batch.column(1).to_pylist()), strict=True):
-                raw += bytes(4)
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    for column, value in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
+            ids, texts, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [[], [], [], [], []]
+            for lo in range(0, len(ids), 256):  # the words of a whole batch at once would take hundreds of MB
+                for doc, raw in zip(ids[lo : lo + 256], code.encode(texts[lo : lo + 256]), strict=True):
+                    raw += bytes(4)
+                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[at : at + 4 * capacity]
+                        for column, value in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
