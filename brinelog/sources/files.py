@@ -10,7 +10,7 @@ import urllib.request
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import scalars as S
 from ..operators import detect
@@ -41,7 +41,7 @@ def factory_readings(spark: SparkSession, path: str, glob: str = "factory_*.csv"
 
 def factory_index(spark: SparkSession, path: str, fmt: str, glob: str = "factory_*.csv", keep_null: bool = False) -> DataFrame:
     """Static readings with a parsed ts, unparseable numbers and times null; rows without cod only if keep_null."""
-    text = StructType.fromDDL(", ".join(f"{f.name} string" for f in FACTORY))
+    text = StructType([StructField(f.name, StringType()) for f in FACTORY])
     rows = _csv(spark, path, text, glob, False)
     out = rows.select("factory_id", "time", S.parsed(F.col("time"), fmt).alias("ts"), *[F.col(c).try_cast("double").alias(c) for c in ("cod", "bod", "ph", "tss")])
     return out if keep_null else out.where("cod IS NOT NULL AND ts IS NOT NULL")

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
+
+def schema(ddl: str) -> StructType:
+    """A schema from "name type, ..."; unlike StructType.fromDDL it needs no session, so it works at import."""
+    kinds = {"long": LongType(), "double": DoubleType(), "string": StringType()}
+    return StructType([StructField(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(","))])
+
 
 FOUR = ("cod", "bod", "ph", "tss")
-CETP = StructType.fromDDL("s_no long, time string, " + ", ".join(f"cetp_{side}_{m} double" for side in ("inlet", "outlet") for m in FOUR))
-FACTORY = StructType.fromDDL("s_no long, time string, factory_id string, cod double, bod double, ph double, tss double")
-EVIDENCE = StructType.fromDDL("logged_at string, cetp_event_time string, cetp_cod double, breach_mag double, alert_level string, backtrack_time string, attributed_factory string, factory_cod double, factory_bod double, factory_tss double")
-TAMPER = StructType.fromDDL(
+CETP = schema("s_no long, time string, " + ", ".join(f"cetp_{side}_{m} double" for side in ("inlet", "outlet") for m in FOUR))
+FACTORY = schema("s_no long, time string, factory_id string, cod double, bod double, ph double, tss double")
+EVIDENCE = schema("logged_at string, cetp_event_time string, cetp_cod double, breach_mag double, alert_level string, backtrack_time string, attributed_factory string, factory_cod double, factory_bod double, factory_tss double")
+TAMPER = schema(
     "tamper_type string, factory_id string, window_end string, cod_max double, cod_min double, cod_range double, row_count long, mean_cod double, mean_tss double, baseline_cod double, baseline_tss double, "
     "total_rows long, blackout_rows long, blackout_ratio double, logged_at string"
 )
