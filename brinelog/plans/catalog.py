@@ -1,7 +1,7 @@
 """Queries over the driver's tables, each with SQL that gives the same rows.
 
 events stand for readings: event_type is the sensor (five of them), user_id the factory, value the measure, the length of
-props a second one. Doubles that come from sums are rounded to six places on both sides, as sums depend on their order.
+props a second one. Doubles that come from sums or interpolation are rounded to six places on both sides, as their last bits depend on the order of work.
 """
 
 from __future__ import annotations
@@ -223,11 +223,11 @@ def kpis(spark, sf):
 
 
 def latency_percentiles(spark, sf):
-    return report.latency(events(spark, sf).select("ts", F.col("value").alias("latency_ms")), None)
+    return report.latency(events(spark, sf).select("ts", F.col("value").alias("latency_ms")), None).transform(r6("p50", "p99"))
 
 
 def latency_recent(spark, sf):
-    rows = report.latency(events(spark, sf).select("event_id", F.col("value").alias("latency_ms")), 1000, "event_id")
+    rows = report.latency(events(spark, sf).select("event_id", F.col("value").alias("latency_ms")), 1000, "event_id").transform(r6("p50", "p99"))
     return rows.withColumn("summary", S.latency_summary(F.col("p50"), F.col("p99"), F.lit(2.0)))
 
 
@@ -351,8 +351,8 @@ def oracle_sql() -> dict[str, str]:
             (SELECT count(DISTINCT discharge_point_id) FROM al, top WHERE date_trunc('second', ts) = date_trunc('second', t)) AS active_alerts_count,
             (SELECT round(avg(eri), 6) FROM b, te WHERE floor(epoch(ts) / 10) = floor(epoch(t) / 10)) AS avg_eri_last_5min,
             (SELECT CASE max(band) WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END FROM al, top WHERE floor(epoch(ts) / 10) = floor(epoch(t) / 10)) AS highest_risk_band""",
-        "latency_percentiles": "SELECT quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99, count(*) AS n FROM events",
-        "latency_recent": "SELECT p50, p99, n, printf('Latency P50: %.1fms | P99: %.1fms | Alerts/min: %.1f', p50, p99, 2.0::DOUBLE) AS summary FROM (SELECT quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99, count(*) AS n FROM (SELECT value FROM events ORDER BY event_id DESC LIMIT 1000))",
+        "latency_percentiles": "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n FROM events",
+        "latency_recent": "SELECT p50, p99, n, printf('Latency P50: %.1fms | P99: %.1fms | Alerts/min: %.1f', p50, p99, 2.0::DOUBLE) AS summary FROM (SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n FROM (SELECT value FROM events ORDER BY event_id DESC LIMIT 1000))",
         "alerts_per_minute": "SELECT count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 6 HOUR) * 60.0::DOUBLE / 21600 AS per_minute FROM events WHERE value >= 100",
         "stage_unpivot": """WITH a AS (SELECT event_type || '|' || strftime(ts, '%Y-%m-%d %H:%M') AS event_id, CAST(event_id AS DOUBLE) AS t, value FROM events),
             s AS (SELECT event_id, 'ingestion' AS pipeline_stage, t, t AS stage_timestamp FROM a UNION ALL SELECT event_id, 'scoring', t, t + 0.25 FROM a UNION ALL SELECT event_id, 'gate', t, CASE WHEN value >= 50 THEN t + 0.5 END FROM a
