@@ -7,13 +7,15 @@ A document's set has its distinct shingles as 64-bit hashes. Sets A and B link w
 
 Band by band of sizes, shingles are dealt into blocks by hash and a block keeps the XOR of its shingles' hashes: a
 sketch in which every shingle of the symmetric difference changes one block. So of a set's blocks that aren't empty, at
-most n / 3 differ from a linked set's. In a fixed order of blocks, each set gives its first n / 3 + 1 nonempty ones
-as join keys; of two linked sets the one whose keys reach less far shares one of them with the other. Shingles that very many
-documents have get blocks at the end of that order, so common passages hardly become keys. A set with too few
-nonempty blocks gives all of them and a key that all such sets of its band have.
-
-What shares a key is a candidate. A second sketch, of single bits, bounds the symmetric difference from below
-(its Hamming distance); what passes is verified on the texts' shingles.
+most n / 3 differ from a linked set's. In a fixed order of blocks, each set gives its first n / 3 + t nonempty ones
+as join keys, t = 1 + n / 32; of two linked sets the one whose keys reach less far shares at least t of them with the other,
+so both share at least the smaller one's t. Shingles that very many documents have get blocks at the end of that order, so
+common passages hardly become keys. A set with too few nonempty blocks gives all of them and a key that all such sets of its
+band have, which counts for t.
+
+Keys of few sets give narrow pairs, and those with t keys in common are candidates, so chance meetings of long texts end there.
+Sets that meet in a key of many are candidates at once. A second sketch, of single bits, bounds the symmetric difference from
+below (its Hamming distance); what passes is verified on the texts' shingles.
 """
 
 from __future__ import annotations
@@ -40,8 +42,12 @@ COMMON = 0.002
 MOST_COMMON = 100_000
 #: Names of documents to be verified are broadcast up to so many, counted first; beyond, the texts are shuffled.
 MOST_NAMED = 500_000
+#: Keys that at most so many sets share give pairs, which are counted; the others' sets are compared by their sketches.
+FEW = 24
 #: Keys that more sets share than this are compared in chunks of this size, a pair of chunks at a time.
 CHUNK = 2000
+#: Every EXTRA-th shingle adds one more key to those that linked sets must have in common.
+EXTRA = 32
 
 
 def sets(b: Block, n_docs: int) -> list[np.ndarray]:
@@ -90,6 +96,11 @@ def _reach(band: int) -> int:
     return RATIO ** (band + 1) * 4 // 3
 
 
+def _every(band: int) -> np.ndarray:
+    """The key of all a band's sets that have too few nonempty blocks."""
+    return mix(np.array([band + (1 << 50)], _U))
+
+
 def keys(x: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Join keys of a set in all its bands; common: the common shingles' hashes, sorted."""
     n, out = len(x), []
@@ -98,7 +109,7 @@ def keys(x: np.ndarray, common: np.ndarray) -> np.ndarray:
         late = common[at] == x
     else:
         late = np.zeros(n, bool)
-    need = n // 3 + 1
+    need = n // 3 + 1 + n // EXTRA
     for band in bands(n):
         p = max(_reach(band) // 2, LEAST_BLOCKS)
         block = ((x >> _U(33)) % _U(p)).astype(np.int64) + late * p
@@ -109,7 +120,7 @@ def keys(x: np.ndarray, common: np.ndarray) -> np.ndarray:
         k = mix(value ^ mix((block[start[:need]] | band << 40).astype(_U)))
         out.append(k)
         if len(start) < need:
-            out.append(mix(np.array([band + (1 << 50)], _U)))
+            out.append(_every(band))
     return np.concatenate(out)
 
 
@@ -280,13 +291,30 @@ def _verify(docs: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _rest(runs: DataFrame, labels: DataFrame, sets_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that share a key, are not in one component yet, and pass sizes and sketches."""
+def _apart(runs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, n, c, component, _g) of keys, shared by _g sets, whose sets are not in one component yet."""
     labels = labels.select(F.col("node").alias("c"), "component")
     known = runs.select("key", "n", "c").join(labels, "c", "left").withColumn("component", F.coalesce("component", "c"))
     w = Window.partitionBy("key")
-    known = known.withColumn("_low", F.min("component").over(w)).withColumn("_high", F.max("component").over(w)).withColumn("_g", F.count(F.lit(1)).over(w)).where("_low <> _high")
-    known = known.join(sets_.select("c", "sketch"), "c")
+    return known.withColumn("_low", F.min("component").over(w)).withColumn("_high", F.max("component").over(w)).withColumn("_g", F.count(F.lit(1)).over(w)).where("_low <> _high").drop("_low", "_high")
+
+
+def _counted(known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in different components that share as many keys of few sets as linked sets have to."""
+    every = [int(_every(band).view(np.int64)[0]) for band in range(32)]
+    members = known.where(F.col("_g") <= FEW).groupBy("key").agg(F.collect_list(F.struct("c", "n", "component")).alias("m"))
+    x = members.select(F.when(F.col("key").isin(every), F.lit(1 << 30)).otherwise(F.lit(1)).cast("long").alias("w"), "m", F.explode("m").alias("x"))
+    like = F.filter("m", lambda y: (y["c"] > F.col("x.c")) & (y["component"] != F.col("x.component")) & (4 * F.least(y["n"], F.col("x.n")) >= 3 * F.greatest(y["n"], F.col("x.n"))))
+    pairs = x.select("w", F.col("x.c").alias("a"), F.col("x.n").alias("n"), F.explode(like).alias("y")).select("w", "a", F.col("y.c").alias("b"), F.least("n", "y.n").alias("n"))
+    return pairs.groupBy("a", "b").agg(F.sum("w").alias("k"), F.min("n").alias("n")).where(F.expr(f"k >= 1 + n div {EXTRA}")).select("a", "b")
+
+
+def _met(known: DataFrame, sets_: DataFrame, closest: bool) -> DataFrame:
+    """Pairs (a, b) of sets in different components that meet in a key of many sets and pass sizes and sketches.
+
+    closest: of the pairs between two components, only the one with the least distance for each key and pair of chunks.
+    """
+    known = known.where(F.col("_g") > FEW).join(sets_.select("c", "sketch"), "c")
     chunks = F.ceil(F.col("_g") / CHUNK)
     mine = F.pmod(F.xxhash64("c"), chunks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), (chunks - 1).cast("int")), lambda k: F.struct(F.least(k, F.col("_mine")).alias("i"), F.greatest(k, F.col("_mine")).alias("j")))
@@ -297,14 +325,26 @@ def _rest(runs: DataFrame, labels: DataFrame, sets_: DataFrame) -> DataFrame:
         _, i, j, mine, n, c, component, raw = (list(x) for x in zip(*group, strict=True))
         n, c, component, mine = (np.array(x) for x in (n, c, component, mine))
         size = min(len(r) for r in raw) // 8
-        s = np.array([fold(r, size) for r in raw])
+        s, best = np.array([fold(r, size) for r in raw]), {}
         for x in range(len(n) - 1):
             y = np.arange(x + 1, int(np.searchsorted(n, n[x] * 4 // 3, "right")))  # n is sorted
             y = y[(component[y] != component[x]) & ((mine[y] != mine[x]) | (i[0] == j[0]))]
             if len(y):
-                y = y[np.bitwise_count(s[y] ^ s[x]).sum(1, dtype=np.int64) * 7 <= n[x] + n[y]]
-                if len(y):
+                far = np.bitwise_count(s[y] ^ s[x]).sum(1, dtype=np.int64)
+                ok = far * 7 <= n[x] + n[y]
+                y, far = y[ok], far[ok]
+                if closest:
+                    for k, d in zip(y.tolist(), far.tolist(), strict=True):
+                        between = min(component[x], component[k]), max(component[x], component[k])
+                        if between not in best or d < best[between][0]:
+                            best[between] = d, c[x], c[k]
+                    if len(best) > 1 << 16:
+                        yield tuple(np.array([v[k] for v in best.values()]) for k in (1, 2))
+                        best.clear()
+                elif len(y):
                     yield np.full(len(y), c[x]), c[y]
+        if best:
+            yield tuple(np.array([v[k] for v in best.values()]) for k in (1, 2))
 
     def run(batches):
         group: list[tuple] = []
@@ -339,8 +379,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text); all links at similarity 0.75 and over count.
 
     component_id: the smallest doc_id reachable by links, a document's own one if it has none. Equal sets are one set of a
-    class and are never paired. First each set is verified against one set that shares most keys with it; then,
-    among sets that share a key, only pairs not yet in one component are compared, in chunks, and verified.
+    class and are never paired. First each set is verified against one set that shares most keys with it; then
+    only pairs not yet in one component are: those with enough keys in common, the closest ones where many sets share a key,
+    and at last all that are still apart there, compared in chunks.
     Cases: null and empty texts have no shingles and link with nothing; null doc_id is kept and counts only where a group has no
     other; repeated rows are kept; an empty table gives no rows; more columns are left out. Exact but for chances of 2**-64
     a pair of hashes.
@@ -355,7 +396,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     runs = stored(_runs(rows), "runs")
     first = stored(own.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")), "sets")
     links = stored(_verify(docs, stored(_likely(_hubs(runs), first), "likely"), first), "links")
-    rest = _verify(docs, stored(_rest(runs, components(links), first), "rest"), first)
+    apart = _apart(runs, components(links))
+    near = _likely(_counted(apart), first).unionByName(_met(apart, first, True)).distinct()
+    links = stored(links.unionByName(_verify(docs, stored(near, "near"), first)), "links")
+    rest = _verify(docs, stored(_met(_apart(runs, components(links)), first, False), "rest"), first)
     joined = components(links.unionByName(rest))
     named = joined.join(first, joined["node"] == first["c"]).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     groups = joined.join(named, "component").select(F.col("node").alias("c"), "component_id").unionByName(first.join(joined, first["c"] == joined["node"], "left_anti").select("c", F.col("doc_id").alias("component_id")))

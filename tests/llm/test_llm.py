@@ -157,6 +157,38 @@ def brute_components(texts):
     return {d: (len(sets[d]), find(d)) for d in texts}
 
 
+@pytest.mark.parametrize("few,chunk", [(24, 2000), (1, 2000), (2, 3), (5, 2)])
+def test_jaccard_finds_links_by_counted_and_by_frequent_keys(spark, monkeypatch, few, chunk):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    rnd, made = random.Random(few), {}
+    for size in (5, 40, 70, 200, 700):
+        base = [f"w{rnd.randint(0, 10**6)}" for _ in range(size)]
+        for _ in range(14):
+            copy = list(base)
+            for _ in range(rnd.randint(0, 1 + size // 25)):
+                copy[rnd.randrange(size)] = f"v{rnd.randint(0, 10**6)}"
+            made[len(made)] = " ".join(copy)
+        for _ in range(6):  # shares a passage with the others and nothing else
+            made[len(made)] = " ".join(base[: size // 2] + [f"u{rnd.randint(0, 10**6)}" for _ in range(size)])
+    got = jaccard.near_duplicates(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(made)
+
+
+def test_linked_sets_share_enough_keys():
+    rnd = np.random.default_rng(3)
+    for n in (1, 4, 15, 63, 64, 85, 255, 300, 1100, 5000):
+        for _ in range(20):
+            a = np.unique(rnd.integers(1, 2**63, n, dtype=np.uint64))
+            swap = int(rnd.integers(0, n // 7 + 1))
+            b = np.unique(np.concatenate([a[swap:], rnd.integers(1, 2**63, swap, dtype=np.uint64)]))
+            common = np.sort(rnd.choice(a, n // 2, replace=False))
+            if jaccard.linked(a, b):
+                every = [int(jaccard._every(k)[0]) for k in range(32)]
+                both = set(jaccard.keys(a, common).tolist()) & set(jaccard.keys(b, common).tolist())
+                assert len(both) >= 1 + min(len(a), len(b)) // jaccard.EXTRA or both & set(every)
+
+
 def test_jaccard_against_brute_force(spark, docs, texts, odd, none):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()}
     assert got == brute_components(texts)
