@@ -309,11 +309,8 @@ def _counted(known: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("w").alias("k"), F.min("n").alias("n")).where(F.expr(f"k >= 1 + n div {EXTRA}")).select("a", "b")
 
 
-def _met(known: DataFrame, sets_: DataFrame, closest: bool) -> DataFrame:
-    """Pairs (a, b) of sets in different components that meet in a key of many sets and pass sizes and sketches.
-
-    closest: of the pairs between two components, only the one with the least distance for each key and pair of chunks.
-    """
+def _met(known: DataFrame, sets_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in different components that meet in a key of many sets and pass sizes and sketches."""
     known = known.where(F.col("_g") > FEW).join(sets_.select("c", "sketch"), "c")
     chunks = F.ceil(F.col("_g") / CHUNK)
     mine = F.pmod(F.xxhash64("c"), chunks).cast("int")
@@ -325,26 +322,14 @@ def _met(known: DataFrame, sets_: DataFrame, closest: bool) -> DataFrame:
         _, i, j, mine, n, c, component, raw = (list(x) for x in zip(*group, strict=True))
         n, c, component, mine = (np.array(x) for x in (n, c, component, mine))
         size = min(len(r) for r in raw) // 8
-        s, best = np.array([fold(r, size) for r in raw]), {}
+        s = np.array([fold(r, size) for r in raw])
         for x in range(len(n) - 1):
             y = np.arange(x + 1, int(np.searchsorted(n, n[x] * 4 // 3, "right")))  # n is sorted
             y = y[(component[y] != component[x]) & ((mine[y] != mine[x]) | (i[0] == j[0]))]
             if len(y):
-                far = np.bitwise_count(s[y] ^ s[x]).sum(1, dtype=np.int64)
-                ok = far * 7 <= n[x] + n[y]
-                y, far = y[ok], far[ok]
-                if closest:
-                    for k, d in zip(y.tolist(), far.tolist(), strict=True):
-                        between = min(component[x], component[k]), max(component[x], component[k])
-                        if between not in best or d < best[between][0]:
-                            best[between] = d, c[x], c[k]
-                    if len(best) > 1 << 16:
-                        yield tuple(np.array([v[k] for v in best.values()]) for k in (1, 2))
-                        best.clear()
-                elif len(y):
+                y = y[np.bitwise_count(s[y] ^ s[x]).sum(1, dtype=np.int64) * 7 <= n[x] + n[y]]
+                if len(y):
                     yield np.full(len(y), c[x]), c[y]
-        if best:
-            yield tuple(np.array([v[k] for v in best.values()]) for k in (1, 2))
 
     def run(batches):
         group: list[tuple] = []
@@ -380,8 +365,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id: the smallest doc_id reachable by links, a document's own one if it has none. Equal sets are one set of a
     class and are never paired. First each set is verified against one set that shares most keys with it; then
-    only pairs not yet in one component are: those with enough keys in common, the closest ones where many sets share a key,
-    and at last all that are still apart there, compared in chunks.
+    only pairs not yet in one component are: those with enough keys in common, and those that meet where many sets share a
+    key, compared in chunks.
     Cases: null and empty texts have no shingles and link with nothing; null doc_id is kept and counts only where a group has no
     other; repeated rows are kept; an empty table gives no rows; more columns are left out. Exact but for chances of 2**-64
     a pair of hashes.
@@ -397,10 +382,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = stored(own.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")), "sets")
     links = stored(_verify(docs, stored(_likely(_hubs(runs), first), "likely"), first), "links")
     apart = _apart(runs, components(links))
-    near = _likely(_counted(apart), first).unionByName(_met(apart, first, True)).distinct()
-    links = stored(links.unionByName(_verify(docs, stored(near, "near"), first)), "links")
-    rest = _verify(docs, stored(_met(_apart(runs, components(links)), first, False), "rest"), first)
-    joined = components(links.unionByName(rest))
+    rest = _likely(_counted(apart), first).unionByName(_met(apart, first)).distinct()
+    joined = components(links.unionByName(_verify(docs, stored(rest, "rest"), first)))
     named = joined.join(first, joined["node"] == first["c"]).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     groups = joined.join(named, "component").select(F.col("node").alias("c"), "component_id").unionByName(first.join(joined, first["c"] == joined["node"], "left_anti").select("c", F.col("doc_id").alias("component_id")))
     out = own.drop("sketch").join(groups, "c", "left")
