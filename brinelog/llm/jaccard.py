@@ -40,12 +40,14 @@ LEAST_BLOCKS = 256
 #: A shingle is common if at least this share of all documents have it. This changes only the order of keys.
 COMMON = 0.002
 MOST_COMMON = 100_000
-#: Names of documents to be verified are broadcast up to so many, counted first; beyond, the texts are shuffled.
+#: Names of sets to be compared or verified, and of linked ones, are broadcast up to so many, counted first; beyond, the rows they are sought in are shuffled.
 MOST_NAMED = 500_000
 #: Keys that at most so many sets share give pairs, which are counted; the others' sets are compared by their sketches.
 FEW = 24
 #: Keys that more sets share than this are compared in chunks of this size, a pair of chunks at a time.
 CHUNK = 2000
+#: Bits of a key: few enough to move, and many enough that chance meetings stay rare in 10**13 keys; they only cost a comparison.
+KEY = _U((1 << 48) - 1)
 #: Every EXTRA-th shingle adds one more key to those that linked sets must have in common.
 EXTRA = 32
 
@@ -98,7 +100,7 @@ def _reach(band: int) -> int:
 
 def _every(band: int) -> np.ndarray:
     """The key of all a band's sets that have too few nonempty blocks."""
-    return mix(np.array([band + (1 << 50)], _U))
+    return mix(np.array([band + (1 << 50)], _U)) & KEY
 
 
 def keys(x: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -117,7 +119,7 @@ def keys(x: np.ndarray, common: np.ndarray) -> np.ndarray:
         block = block[order]
         start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         value = np.bitwise_xor.reduceat(x[order], start)[:need]
-        k = mix(value ^ mix((block[start[:need]] | band << 40).astype(_U)))
+        k = mix(value ^ mix((block[start[:need]] | band << 40).astype(_U))) & KEY
         out.append(k)
         if len(start) < need:
             out.append(_every(band))
@@ -125,8 +127,11 @@ def keys(x: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    """Some more bits than a set of the band has shingles: enough to tell unlike sets apart, and small to move."""
-    return max(64, 2 * RATIO ** (bands(n)[0] + 1))
+    """At least as many bits as a set of the band has shingles.
+
+    Unlike sets of n shingles over n bits differ in about 0.49 n of them; linked ones in at most 0.29 n.
+    """
+    return max(64, RATIO ** (bands(n)[0] + 1))
 
 
 def sketch(x: np.ndarray) -> bytes:
@@ -259,6 +264,8 @@ def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
             ok = (far * 7 <= na + nb) & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb))
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
+    wanted = small(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), MOST_NAMED)
+    known = known.join(wanted, "c", "left_semi")
     left = known.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = known.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -294,7 +301,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
 def _apart(runs: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, n, c, component, _g) of keys, shared by _g sets, whose sets are not in one component yet."""
     labels = labels.select(F.col("node").alias("c"), "component")
-    known = runs.select("key", "n", "c").join(labels, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    known = runs.select("key", "n", "c").join(small(labels, MOST_NAMED), "c", "left").repartition("key")
+    known = known.withColumn("component", F.coalesce("component", "c"))  # after the shuffle, where most are still null
     w = Window.partitionBy("key")
     return known.withColumn("_low", F.min("component").over(w)).withColumn("_high", F.max("component").over(w)).withColumn("_g", F.count(F.lit(1)).over(w)).where("_low <> _high").drop("_low", "_high")
 
@@ -380,9 +388,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = _key_rows(docs, common).repartition("key").sortWithinPartitions("key", "n", "c")
     runs = stored(_runs(rows), "runs")
     first = stored(own.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")), "sets")
-    links = stored(_verify(docs, stored(_likely(_hubs(runs), first), "likely"), first), "links")
-    apart = _apart(runs, components(links))
-    rest = _likely(_counted(apart), first).unionByName(_met(apart, first)).distinct()
+    links = stored(_verify(docs, stored(_likely(stored(_hubs(runs), "hubs"), first), "likely"), first), "links")
+    apart = stored(_apart(runs, components(links)), "apart")
+    rest = _likely(stored(_counted(apart), "counted"), first).unionByName(_met(apart, first)).distinct()
     joined = components(links.unionByName(_verify(docs, stored(rest, "rest"), first)))
     named = joined.join(first, joined["node"] == first["c"]).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     groups = joined.join(named, "component").select(F.col("node").alias("c"), "component_id").unionByName(first.join(joined, first["c"] == joined["node"], "left_anti").select("c", F.col("doc_id").alias("component_id")))
