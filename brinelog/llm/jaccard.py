@@ -46,6 +46,8 @@ MOST_NAMED = 500_000
 FEW = 24
 #: Keys that more sets share than this are compared in chunks of this size, a pair of chunks at a time.
 CHUNK = 2000
+#: The shortest sketch.
+LEAST_BITS = 1024
 #: Bits of a key: few enough to move, and many enough that chance meetings stay rare in 10**13 keys; they only cost a comparison.
 KEY = _U((1 << 48) - 1)
 #: Every EXTRA-th shingle adds one more key to those that linked sets must have in common.
@@ -127,11 +129,11 @@ def keys(x: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    """At least as many bits as a set of the band has shingles.
+    """At least twice as many bits as a set of the band has shingles, so that few changes fall on one bit and cancel out.
 
-    Unlike sets of n shingles over n bits differ in about 0.49 n of them; linked ones in at most 0.29 n.
+    Short sets get more, as their sketches are small anyway and near misses are what copies of one short text mostly are.
     """
-    return max(64, RATIO ** (bands(n)[0] + 1))
+    return max(LEAST_BITS, 2 * RATIO ** (bands(n)[0] + 1))
 
 
 def sketch(x: np.ndarray) -> bytes:
