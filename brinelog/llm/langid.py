@@ -13,6 +13,15 @@ from .common import crc_mod, small
 from .words import BLOCK
 
 DIMENSIONS = 4096
+#: Cosines grow with a text's length, so floors stand by band: the power of two of its distinct trigrams.
+BANDS = 13
+#: A floor is MARGIN times the QUANTILE of cosines in its band, and less where few rows say it: n rows count n / (n + FEW).
+QUANTILE = 0.01
+MARGIN = 0.8
+FEW = 2
+#: Lower bands are added until a band's quantile rests on so many rows.
+ENOUGH = 8
+BINS = 200
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
 _FOLD[97:123] = np.arange(97, 123)
@@ -20,12 +29,12 @@ _FOLD[97:123] = np.arange(97, 123)
 
 @dataclass(frozen=True)
 class Model:
-    """centroids: rows of unit length; langs: each one's language; floor: the least cosine that is accepted."""
+    """centroids: rows of unit length; langs: each one's language; floors: the least cosine that is accepted, by centroid and band."""
 
     idf: np.ndarray
     centroids: np.ndarray
     langs: tuple[str, ...]
-    floor: float
+    floors: np.ndarray
 
 
 def counts(texts: list[str]):
@@ -53,6 +62,10 @@ def vectors(grid: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
 
 
+def bands(grid: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum((grid > 0).sum(1), 1)).astype(np.int64)
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and (text.isalpha() or any(map(str.isalpha, text)))
 
@@ -77,9 +90,11 @@ def train(docs: DataFrame, sample_rows: int = 2000, clusters: int = 3, floor: fl
     """A model from docs (doc_id, text, lang) with lang and a letter in text.
 
     Document frequencies cover all rows. Centroids are fitted on about sample_rows of them, spread evenly over the
-    languages and chosen by a hash of doc_id; so much reaches the driver, whatever the corpus.
+    languages and chosen by a hash of doc_id; so much reaches the driver, whatever the corpus. Floors are set from the
+    cosines of all rows, see _floors; no floor is under the one given here.
     """
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang", half)
 
     def frequency(batches):
         n, df = 0, np.zeros(DIMENSIONS, np.int64)
@@ -97,39 +112,89 @@ def train(docs: DataFrame, sample_rows: int = 2000, clusters: int = 3, floor: fl
     langs = sizes.count()
     share = small(sizes.select(F.col("lang").alias("_lang"), (F.lit(sample_rows / max(langs, 1)) / F.col("n")).alias("_share")))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.join(share, F.col("lang") == F.col("_lang")).where(draw < F.col("_share")).select("lang", "text").collect()
-    by: dict[str, list[str]] = {}
+    chosen = rows.join(share, F.col("lang") == F.col("_lang")).where(draw < F.col("_share")).select("lang", "half", "text").collect()
+    by: dict[str, list[tuple[int, str]]] = {}
     for r in sorted(chosen):
         if has_letter(r["text"]):
-            by.setdefault(r["lang"], []).append(r["text"])
+            by.setdefault(r["lang"], []).append((r["half"], r["text"]))
     parts, names = [], []
-    for lang, texts in sorted(by.items()):
-        x = np.concatenate([vectors(grid, idf) for _, grid in counts(texts)])
+    halves: dict[str, list[np.ndarray]] = {}
+    for lang, pairs in sorted(by.items()):
+        x = np.concatenate([vectors(grid, idf) for _, grid in counts([t for _, t in pairs])])
         c = _cluster(x, clusters)
         parts.append(c)
         names += [lang] * len(c)
-    return Model(idf, np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, DIMENSIONS), np.float32), tuple(names), floor)
+        half = np.array([k for k, _ in pairs])
+        halves[lang] = [_cluster(x[half != k], clusters) if (half != k).any() else x[:0] for k in (0, 1)]
+    least = _floors(rows, idf, halves, floor)
+    floors = np.array([least[lang] for lang in names]).reshape(-1, BANDS)
+    return Model(idf, np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, DIMENSIONS), np.float32), tuple(names), floors)
+
+
+def _floors(rows: DataFrame, idf: np.ndarray, halves: dict[str, list[np.ndarray]], floor: float) -> dict[str, np.ndarray]:
+    """Each language's floors by band, at least floor, from the cosines of all rows (text, lang, half) to their own language.
+
+    A row is held against centroids of the sample's other half, so none is measured by itself. Counts by language, band
+    and one of BINS cosines reach the driver.
+    """
+    at = {lang: i for i, lang in enumerate(halves)}
+
+    def measure(batches):
+        seen: dict[int, int] = {}
+        for batch in batches:
+            table = [(t, lang, h) for t, lang, h in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if lang in at and has_letter(t)]
+            done = 0
+            for n, grid in counts([t for t, _, _ in table]):
+                x, band = vectors(grid, idf), bands(grid)
+                own: dict[tuple, list[int]] = {}
+                for i, (_, lang, h) in enumerate(table[done : done + n]):
+                    own.setdefault((lang, h), []).append(i)
+                for (lang, h), i in own.items():
+                    if len(halves[lang][h]):
+                        cosine = np.clip((x[i] @ halves[lang][h].T).max(1), 0, 1)
+                        code = (at[lang] * BANDS + band[i]) * BINS + np.minimum((cosine * BINS).astype(np.int64), BINS - 1)
+                        for k, c in zip(*(v.tolist() for v in np.unique(code, return_counts=True)), strict=True):
+                            seen[k] = seen.get(k, 0) + c
+                done += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["at", "n"])
+
+    table = np.zeros((len(at), BANDS, BINS), np.int64)
+    if at:
+        for r in rows.select("text", "lang", "half").mapInArrow(measure, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            table.flat[r["at"]] = r["n"]
+    out = {}
+    for lang, i in at.items():
+        out[lang] = np.full(BANDS, floor)
+        for band in range(BANDS):
+            total, low = np.zeros(BINS, np.int64), band
+            while low >= 0 and total.sum() < ENOUGH:
+                total, low = total + table[i, low], low - 1
+            n = int(total.sum())
+            if n:
+                edge = int(np.searchsorted(np.cumsum(total), QUANTILE * n)) / BINS
+                out[lang][band] = max(floor, MARGIN * edge * n / (n + FEW))
+    return out
 
 
 def classify(model: Model):
     """A column function of text: struct<lang, score, rejected>.
 
     lang: the nearest centroid's; ``und`` without a letter or a centroid. score: cosine, from 0 to 1. rejected: lang is
-    ``und`` or the cosine is under the model's floor. Of equally near centroids the first in order of language counts.
+    ``und`` or the cosine is under that language's floor for texts of such length. Of equally near centroids the first in order of language counts.
     """
 
     @F.arrow_udf("lang string, score double, rejected boolean")
     def run(text: pa.Array) -> pa.Array:
         texts = text.to_pylist()
         lettered = [i for i, t in enumerate(texts) if has_letter(t)] if model.langs else []
-        lang, score = ["und"] * len(texts), np.zeros(len(texts))
+        lang, score, least = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         at = 0
         for n, grid in counts([texts[i] for i in lettered]):
             near = np.clip(vectors(grid, model.idf) @ model.centroids.T, 0, 1)
-            for i, best, c in zip(lettered[at : at + n], near.argmax(1).tolist(), near.max(1).tolist(), strict=True):
-                lang[i], score[i] = model.langs[best], c
+            for i, best, c, band in zip(lettered[at : at + n], near.argmax(1).tolist(), near.max(1).tolist(), bands(grid).tolist(), strict=True):
+                lang[i], score[i], least[i] = model.langs[best], c, model.floors[best, band]
             at += n
-        rejected = [k == "und" or s < model.floor for k, s in zip(lang, score, strict=True)]
+        rejected = [k == "und" or s < f for k, s, f in zip(lang, score, least, strict=True)]
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(rejected, pa.bool_())], ["lang", "score", "rejected"])
 
     return run

@@ -289,6 +289,22 @@ def test_languages(docs, odd, none):
     assert langid.identify(none).count() == 0
 
 
+def test_language_rejection(spark):
+    rnd = random.Random(5)
+    noise = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    foreign = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待", "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.", noise(20), noise(200),
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = common.crc_mod("doc_id", 3) == 1
+    said = langid.classify(langid.train(docs.where(~held)))
+    probes = spark.createDataFrame([(t,) for t in foreign], "text string")
+    assert all(r[0]["rejected"] for r in probes.select(said("text")).collect())
+    rows = docs.where(held).select("lang", said("text").alias("r")).collect()
+    assert np.mean([r["r"]["rejected"] for r in rows]) < 0.02
+
+
 def test_fingerprints(docs, texts, odd, none):
     rows = {r["doc_id"]: r for r in fingerprint.fingerprint_neighbours(docs).collect()}
     ids = sorted(texts, reverse=True)
