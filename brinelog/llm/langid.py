@@ -70,22 +70,55 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (text.isalpha() or any(map(str.isalpha, text)))
 
 
-def _cluster(x: np.ndarray, k: int) -> np.ndarray:
-    """Spherical k-means from farthest points, without chance."""
-    centers = [x.mean(0)]
-    near = x @ centers[0]
-    for _ in range(min(k, len(x)) - 1):
-        centers.append(x[int(near.argmin())])
-        near = np.maximum(near, x @ centers[-1])
-    c = np.array(centers)
-    for _ in range(12):
-        own = (x @ (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)).T).argmax(1)
-        c = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(len(c))])
-    sizes = np.bincount((x @ c.T).argmax(1), minlength=len(c))
-    c = c[sizes >= max(1, len(x) // 50)] if (sizes >= max(1, len(x) // 50)).any() else c
+def _unit(c: np.ndarray) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
 
 
+def _lloyd(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Spherical k-means from centres of unit length; a centre without rows stays."""
+    for _ in range(12):
+        own = (x @ c.T).argmax(1)
+        c = _unit(np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(len(c))]))
+    return c
+
+
+def _seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++: rows drawn by their distance to those drawn before, fewer than k if no row is left at a distance."""
+    at = [int(rng.integers(len(x)))]
+    far = 1 - x @ x[at[0]]
+    while len(at) < k and (far > 1e-5).any():
+        p = np.where(far > 1e-5, far, 0).astype(np.float64)
+        at.append(int(rng.choice(len(x), p=p / p.sum())))
+        far = np.minimum(far, 1 - x @ x[at[-1]])
+    return x[at]
+
+
+def _cluster(x: np.ndarray, k: int) -> np.ndarray:
+    """At most k centres of unit length, each with a fiftieth of the rows at least; the seed is fixed.
+
+    The best of a few starts counts. For each centre with fewer rows, which goes, the largest cluster is split in two, if both
+    parts are large enough.
+    """
+    rng = np.random.default_rng(0)
+    least = max(1, len(x) // 50)
+    c = max((_lloyd(x, _seeds(x, k, rng)) for _ in range(4)), key=lambda c: float((x @ c.T).max(1).sum()))
+    for _ in range(2 * k):
+        own = (x @ c.T).argmax(1)
+        sizes = np.bincount(own, minlength=len(c))
+        if (sizes < least).any():
+            c = c[sizes >= least] if (sizes >= least).any() else c[[sizes.argmax()]]
+        elif len(c) < k:
+            j = int(sizes.argmax())
+            two = _lloyd(x[own == j], _seeds(x[own == j], 2, rng))
+            if len(two) < 2 or np.bincount((x[own == j] @ two.T).argmax(1), minlength=2).min() < least:
+                continue
+            c = np.concatenate([np.delete(c, j, 0), two])
+        else:
+            break
+    own = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+    return c[own >= least] if (own >= least).any() else c[[own.argmax()]]
+
+
 def train(docs: DataFrame, sample_rows: int = 2000, clusters: int = 3, floor: float = 0.02) -> Model:
     """A model from docs (doc_id, text, lang) with lang and a letter in text.
 

@@ -289,6 +289,16 @@ def test_languages(docs, odd, none):
     assert langid.identify(none).count() == 0
 
 
+def test_varieties_keep_centroids():
+    rnd = random.Random(7)
+    one, two = ([f"{a}{b}" for a in u for b in v] for u, v in ((("ka", "mo", "ti", "re"), ("lan", "sor", "vem")), (("zu", "phi", "gro", "wex"), ("bda", "cqu", "jyn"))))
+    texts = [" ".join(rnd.choices(one if i % 2 else two, k=60)) for i in range(300)] + ["%s" % c for c in "qxj"]
+    x = np.concatenate([langid.vectors(grid, np.ones(langid.DIMENSIONS, np.float32)) for _, grid in langid.counts(texts)])
+    c = langid._cluster(x, 3)
+    near = (x[:300] @ c.T).argmax(1)
+    assert len(c) >= 2 and not set(near[::2]) & set(near[1::2])
+
+
 def test_language_rejection(spark):
     rnd = random.Random(5)
     noise = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(n))
