@@ -240,6 +240,20 @@ def test_scores(docs, texts, odd, none):
     assert suffix_tree.score_documents(none).count() == 0
 
 
+def test_scores_use_rare_and_long_contexts(spark):
+    rnd = random.Random(3)
+    fill = [f"w{i}" for i in range(400)]
+    rows = [("a x y p" if i % 2 else "b x y q") for i in range(500)] + [" ".join([*rnd.choices(fill, k=300), "foo", "bar", *rnd.choices(fill, k=300)]) for _ in range(220)]
+    rows = [*enumerate(rows), (1000, "foo bar"), (1001, "bar foo")]
+    got = suffix_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    score = {r["doc_id"]: r["score"] for r in got}
+    assert len(got) == len(rows) and score[1000] > score[1001] + 2
+    same = {i: score[i] for i in range(500)}
+    swapped = suffix_tree.score_documents(spark.createDataFrame([*rows, *((2000 + i, "a x y q") for i in range(9))], "doc_id long, text string"))
+    odd = [r["score"] for r in swapped.where("doc_id >= 2000").collect()]
+    assert np.mean(list(same.values())) > max(odd) + 0.7
+
+
 def test_quality(spark, docs, odd, none):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.classify(docs, labels).select("doc_id", "keep").join(labels, "doc_id").collect()
