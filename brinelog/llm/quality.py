@@ -146,7 +146,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     quality: the text's log odds plus what its path's posterior adds to the global log odds. Cases: null text counts as
     empty; null host or path is a value of its own; unlabelled documents are scored like others, and without labels of both
-    classes the classifier is constant and keeps all; several labels of a document count by their mean, repeated rows each; an
+    classes the classifier is constant and keeps all, whatever the threshold; several labels of a document count by their mean, repeated rows each; an
     empty table gives an empty one; columns of docs with the new columns' names are replaced.
     """
     new = ["text_quality", "host_quality", "path_quality", "quality", "keep"]
@@ -158,7 +158,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     joined = scored.join(sites, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")), "left")
     odds = _logit(F.col("text_quality")) + F.coalesce(_logit(F.col("path_quality")) - _logit(F.col("global_quality")), F.lit(0.0))
     joined = joined.withColumn("quality", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)))
-    return joined.withColumn("keep", F.col("quality") >= threshold).select(*docs.columns, *new)
+    keep = F.col("quality") >= threshold if model.weights[1:].any() else F.lit(True)
+    return joined.withColumn("keep", keep).select(*docs.columns, *new)
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

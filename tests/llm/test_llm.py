@@ -263,6 +263,12 @@ def test_quality(spark, docs, odd, none):
     assert quality.classify(none, labels).count() == 0
 
 
+def test_quality_with_one_class_keeps_all(spark, odd):
+    for label in (0, 1):
+        labels = spark.createDataFrame([(k, label) for k in (3, 4, 5, 6)], "doc_id long, quality int")
+        assert quality.classify(odd, labels, threshold=0.9).where("keep").count() == len(ODD)
+
+
 def test_media(spark, odd, none):
     html = '<p>one <b>two</b></p><figure><img src="sha256:ab"><figcaption>cap &amp; x</figcaption></figure><script>no</script>three<img src="u" alt="alt">'
     assert [i[1:] for i in media.parse(html)] == [("text", "one two", None, None), ("media", None, "sha256:ab", "cap & x"), ("text", "three", None, None), ("media", None, "u", "alt")]
