@@ -1,84 +1,139 @@
-"""Token ids of whole texts by a public tokenizer, with each distinct word encoded once."""
+"""Token ids of whole texts by a public word-level BPE tokenizer, with each distinct word encoded once."""
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import unicodedata
 
 import numpy as np
 
-#: ASCII punctuation that the tokenizer's pattern keeps apart from letters, without the apostrophe (it begins contractions).
-_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: How the tokenizer cuts words (fixed value); files that cut otherwise are followed too, word by word.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+END = "</w>"
+
+
+def _letters() -> str:
+    """Letters of the Latin, Greek and Cyrillic blocks that normalise to themselves, alone and in any company, and whose lower case is one such letter."""
+    plain = [c for a, e in ((0xC0, 0x250), (0x370, 0x530)) for c in map(chr, range(a, e)) if c.isalpha() and unicodedata.normalize("NFC", c) == c]
+    return "".join(c for c in plain if c != "Σ" and len(c.lower()) == 1 and c.lower() in plain)
+
+
+_LETTERS = re.escape(_letters())
+#: Words whose cut and lower case need no tables of the tokenizer's: printable ASCII and the letters above.
+_KNOWN = re.compile(f"[!-~{_LETTERS}]+")
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}]+")
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it is printable, else the next one from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
+def merges_by_rank(vocab: dict[str, int], merges: list[tuple[str, str]]) -> tuple[dict[bytes, int], np.ndarray] | None:
+    """(ranks of byte strings, id of each rank): merging the pair of least rank gives the same ids as the list of merges; None if it wouldn't.
+
+    A word's end is a zero byte that joins its last byte first. Ranks name a result only, merges also the pair. They agree if
+    every token comes, from its bytes alone and by lower ranks, to just the pair that its merge names: what stands beside a
+    token can't change how its inside was merged.
+    """
+    byte = _byte_letters()
+    at = {t: bytes(byte[c] for c in t.removesuffix(END)) + b"\0" * t.endswith(END) for t in vocab if all(c in byte for c in t.removesuffix(END))}
+    letters = sorted(byte, key=byte.get)
+    first = [*letters, *(c + END for c in letters[1:])]
+    if not all(t in vocab for t in first):
+        return None
+    names = [*first, *(a + b for a, b in merges)]
+    if len(set(names)) != len(names) or not all(t in at and t in vocab for t in names) or b"\0" in vocab:
+        return None
+    ranks = {at[t]: r for r, t in enumerate(names)}
+    for a, b in merges:
+        whole = at[a + b]
+        parts, limit = [whole[i : i + 1] for i in range(len(whole))], ranks[whole]
+        while len(parts) > 2:
+            found = [ranks.get(x + y, limit) for x, y in zip(parts, parts[1:], strict=False)]
+            low = min(found)
+            if low >= limit:
+                return None
+            i = found.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if parts != [at[a], at[b]]:
+            return None
+    return ranks, np.array([vocab[t] for t in names], "<u4")
 
 
 class WordCoder:
-    """Ids of texts under ``word_bpe_49k.json``, as little-endian unsigned 32-bit bytes.
+    """Ids of texts, as little-endian unsigned 32-bit bytes, just as the tokenizer gives them.
 
-    This tokenizer never makes a token across white space, so a text's ids are its words' ids one after another; words
-    that are new to the cache are encoded together. A cache that outgrows ``limit`` words starts anew; results don't
-    depend on it.
+    This kind of tokenizer drops white space and never makes a token across it, so a text's ids are its words' ids one after
+    another. Words of known letters are cut here and merged by rank in bulk; all others, and all words of a file
+    that merges_by_rank can't follow, are left to the tokenizer itself. A cache that outgrows ``limit`` words
+    starts anew; results don't depend on it.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 100_000):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.cache = limit, {}
-        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
-        self.ends[ends] = True
-
-    def _one(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        bodies: dict[str, bytes] = {}
-        tails: dict[bytes, tuple[bytes, bytes]] = {}
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        model, cuts = told["model"], json.dumps(told["pre_tokenizer"])
+        by_rank = None
+        if model.get("end_of_word_suffix") == END and json.dumps(CUT) in cuts and "Lowercase" in json.dumps(told["normalizer"]):
+            by_rank = merges_by_rank(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
+        self.ranked = None
+        if by_rank:
+            ranks, self.ids = by_rank
+            self.ranked = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
+            self.ends = np.zeros(len(self.ids), bool)
+            self.ends[[r for b, r in ranks.items() if b.endswith(b"\0")]] = True
+        self.largest = max(self.tokenizer.get_vocab().values(), default=0)
+
+    def _learn(self, words: list[bytes]) -> None:
+        pieces: list[str] = []
+        counts, plain = [], []
         for w in words:
-            body = w.rstrip(_TAIL)
-            if body != w:
-                tails[w] = (body, w[len(body) :])
-        for b in {*words, *(b for b, _ in tails.values())} - self.cache.keys() - tails.keys():
-            s = b.decode()
-            if b.isalpha() or (s.isalpha() and s.lower().isalpha() and unicodedata.normalize("NFC", s) == s):
-                bodies[s] = b
-            else:
-                self.cache[b] = self._one(b) if b else b""
-        names = list(bodies)
-        for at in range(0, len(names), 5000):
-            part = names[at : at + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):
-                self.cache.update((bodies[s], self._one(bodies[s])) for s in part)
+            s = w.decode()
+            if self.ranked is None or "<|" in s or not _KNOWN.fullmatch(s):
+                self.cache[w] = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
                 continue
-            raw, at_byte = ids.tobytes(), 0
-            for s, stop in zip(part, (stops * 4).tolist(), strict=True):
-                self.cache[bodies[s]] = raw[at_byte:stop]
-                at_byte = stop
-        for w, (body, tail) in tails.items():
-            if b"<|" in w or (body and body.decode() not in bodies and not body.decode().isalpha()):
-                self.cache[w] = self._one(w)  # special tokens, digits and mixed words are left to the tokenizer
-            else:
-                if tail not in self.cache:
-                    self.cache[tail] = self._one(tail)
-                self.cache[w] = self.cache[body] + self.cache[tail]
+            s = s.lower()
+            cut = [s] if s.isalpha() else _PIECE.findall(s)
+            pieces += cut
+            counts.append(len(cut))
+            plain.append(w)
+        if plain:
+            ranks = np.asarray(self.ranked.encode_to_numpy("\0 ".join(pieces) + "\0"))
+            raw = self.ids[ranks].tobytes()
+            stops = (np.flatnonzero(self.ends[ranks]) + 1)[np.cumsum(counts) - 1] * 4
+            begin = 0
+            for w, stop in zip(plain, stops.tolist(), strict=True):
+                self.cache[w] = raw[begin:stop]
+                begin = stop
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        split, found, new = [], [], set()
+        """A part of the texts at a time, so that the cache stays near its limit."""
+        out: list[bytes] = []
         for t in texts:
-            raw = (t or "").encode()
-            words = (raw if b"<|" in raw else raw.lower()).split()
-            got = list(map(self.cache.get, words))
-            if None in got:
-                new.update(w for w, g in zip(words, got, strict=True) if g is None)
-                got = None
-            split.append(words)
-            found.append(got)
-        if new:
-            self._learn(new)
-        return [b"".join(g if g is not None else map(self.cache.__getitem__, w)) for g, w in zip(found, split, strict=True)]
+            words = (t or "").encode().split()
+            parts = []
+            for at in range(0, len(words), 1 << 16):
+                part = words[at : at + (1 << 16)]
+                found = list(map(self.cache.get, part))
+                if None in found:
+                    if len(self.cache) > self.limit:
+                        self.cache.clear()
+                        found = [None] * len(part)
+                    self._learn(list(dict.fromkeys(w for w, g in zip(part, found, strict=True) if g is None)))
+                    found = map(self.cache.__getitem__, part)
+                parts.append(b"".join(found))
+            out.append(parts[0] if len(parts) == 1 else b"".join(parts))
+        return out
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -86,8 +141,6 @@ _CODERS: dict[str, WordCoder] = {}
 
 def coder(path: str | None = None) -> WordCoder:
     """This Python worker's coder for a tokenizer file; None: the public file."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path is None:
         import public_tokenizers
