@@ -26,6 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def spare(name: str, *frames: DataFrame) -> str:
+    """name, with as many underscores before it as it takes to be no column of frames."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it: the lineage ends here and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -52,19 +60,21 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
     Rows are dealt by range over group and order, so a group with a third of all rows spreads over many tasks; each
     task numbers its rows, and sums of counts per (task, group) turn these into ranks. The dealt rows are written
     once because the numbers must not change between the two reads. df should be cheap to read twice, as range
-    bounds are sampled first.
+    bounds are sampled first. A column rank in df is replaced; group columns must not be named _n or _first.
     """
+    task, at, run, before = (spare(c, df) for c in ("_task", "_at", "_run", "_before"))
     keys = [F.col(k).asc_nulls_last() for k in group]
     dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    rows = stored(dealt.withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), name)
-    counts = rows.groupBy("_task", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    w = Window.partitionBy(*group).orderBy("_task")
-    runs = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("_first"))
-    runs = small(runs.select(*[F.col(k).alias(f"_{k}") for k in group], F.col("_task").alias("_run"), "_before"))
-    cond = F.col("_task") == F.col("_run")
-    for k in group:
-        cond &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    out = rows.join(runs, cond).withColumn("rank", F.col("_at") + F.col("_before")).select(*df.columns, "rank")
+    rows = stored(dealt.withColumn(task, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), name)
+    counts = rows.groupBy(task, *group).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"))
+    w = Window.partitionBy(*group).orderBy(task)
+    runs = counts.withColumn(before, F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("_first"))
+    own = {k: spare(f"_{k}", df) for k in group}
+    runs = small(runs.select(*[F.col(k).alias(x) for k, x in own.items()], F.col(task).alias(run), before))
+    cond = F.col(task) == F.col(run)
+    for k, x in own.items():
+        cond &= F.col(k).eqNullSafe(F.col(x))
+    out = rows.join(runs, cond).withColumn("rank", F.col(at) + F.col(before)).select(*[c for c in df.columns if c != "rank"], "rank")
     return out, counts.groupBy(*group).agg(F.sum("_n").alias("n"))
 
 

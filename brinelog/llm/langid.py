@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small
+from .common import crc_mod, small, spare
 from .words import BLOCK
 
 DIMENSIONS = 4096
@@ -22,6 +22,8 @@ FEW = 2
 #: Lower bands are added until a band's quantile rests on so many rows.
 ENOUGH = 8
 BINS = 200
+#: So many texts are counted at a time at most, whatever their lengths, as each takes a row of DIMENSIONS counts.
+ROWS = 256
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
 _FOLD[97:123] = np.arange(97, 123)
@@ -37,22 +39,37 @@ class Model:
     floors: np.ndarray
 
 
+def _codes(folded: np.ndarray) -> np.ndarray:
+    """The hashed dimension of each byte trigram."""
+    data = folded.astype(np.uint32)
+    return (data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]) * np.uint32(2654435761) >> np.uint32(20)
+
+
+_BLANK = int(_codes(np.full(3, 32, np.uint8))[0])
+
+
+def _grid(held: list[bytes]) -> np.ndarray:
+    doc = np.repeat(np.arange(len(held)), [len(r) + 2 for r in held])
+    folded = _FOLD[np.frombuffer(b" " + b"  ".join(held) + b"  ", np.uint8)]
+    grid = np.zeros(len(held) * DIMENSIONS, np.int64)
+    for at in range(0, len(folded) - 2, BLOCK):  # a long text in parts
+        code = _codes(folded[at : at + BLOCK + 2])
+        own = doc[at : at + len(code)]
+        grid += np.bincount(own * DIMENSIONS + code[: len(own)], minlength=len(grid))
+    grid = grid.reshape(len(held), DIMENSIONS)
+    grid[:, _BLANK] = 0
+    return grid
+
+
 def counts(texts: list[str]):
-    """Runs of texts of about BLOCK bytes: (how many, byte trigram counts by hashed dimension). Letters count, lower-cased; all else is space."""
+    """Runs of texts of about BLOCK bytes, at most ROWS: (how many, byte trigram counts by hashed dimension). Letters count, lower-cased; all else is space."""
     held, size = [], 0
     for i, t in enumerate(texts):
         raw = t.lower().encode()
         held.append(raw)
         size += len(raw)
-        if size > BLOCK or i == len(texts) - 1:
-            data = _FOLD[np.frombuffer(b" " + b"  ".join(held) + b"  ", np.uint8)].astype(np.uint32)
-            code = (data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]) * np.uint32(2654435761) >> np.uint32(20)
-            doc = np.repeat(np.arange(len(held)), [len(r) + 2 for r in held])
-            grid = np.bincount(doc[: len(code)] * DIMENSIONS + code[: len(doc)], minlength=len(held) * DIMENSIONS)
-            grid = grid.reshape(len(held), DIMENSIONS)
-            blank = int(np.uint32(0x202020 * 2654435761 & 0xFFFFFFFF) >> np.uint32(20))
-            grid[:, blank] = 0
-            yield len(held), grid
+        if size > BLOCK or len(held) == ROWS or i == len(texts) - 1:
+            yield len(held), _grid(held)
             held, size = [], 0
 
 
@@ -122,8 +139,8 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
 def train(docs: DataFrame, sample_rows: int = 2000, clusters: int = 3, floor: float = 0.02) -> Model:
     """A model from docs (doc_id, text, lang) with lang and a letter in text.
 
-    Document frequencies cover all rows. Centroids are fitted on about sample_rows of them, spread evenly over the
-    languages and chosen by a hash of doc_id; so much reaches the driver, whatever the corpus. Floors are set from the
+    Document frequencies cover all rows. Centroids are fitted on about sample_rows of them, never over twice as many,
+    spread evenly over the languages and chosen by a hash of doc_id and text; only their trigram counts reach the driver. Floors are set from the
     cosines of all rows, see _floors; no floor is under the one given here.
     """
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
@@ -144,20 +161,37 @@ def train(docs: DataFrame, sample_rows: int = 2000, clusters: int = 3, floor: fl
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     langs = sizes.count()
     share = small(sizes.select(F.col("lang").alias("_lang"), (F.lit(sample_rows / max(langs, 1)) / F.col("n")).alias("_share")))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.join(share, F.col("lang") == F.col("_lang")).where(draw < F.col("_share")).select("lang", "half", "text").collect()
-    by: dict[str, list[tuple[int, str]]] = {}
-    for r in sorted(chosen):
-        if has_letter(r["text"]):
-            by.setdefault(r["lang"], []).append((r["half"], r["text"]))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
+
+    def measure(batches):
+        for batch in batches:
+            table = [(lang, h, t) for lang, h, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if has_letter(t)]
+            done = 0
+            for n, grid in counts([t for _, _, t in table]):
+                for (lang, h, _), row in zip(table[done : done + n], grid, strict=True):
+                    at = np.flatnonzero(row)
+                    yield pa.RecordBatch.from_pylist([{"lang": lang, "half": h, "at": at.astype("<u2").tobytes(), "n": row[at].astype("<u4").tobytes()}], schema)
+                done += n
+
+    schema = pa.schema([("lang", pa.string()), ("half", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
+    chosen = rows.join(share, F.col("lang") == F.col("_lang")).where(draw < F.col("_share")).select("lang", "half", "text")
+    chosen = chosen.mapInArrow(measure, "lang string, half int, at binary, n binary").orderBy(F.xxhash64("at", "n"), "at", "n", "lang").limit(2 * sample_rows)
+    by: dict[str, list[tuple[int, bytes, bytes]]] = {}
+    for r in sorted(chosen.collect()):
+        by.setdefault(r["lang"], []).append((r["half"], bytes(r["at"]), bytes(r["n"])))
     parts, names = [], []
     halves: dict[str, list[np.ndarray]] = {}
     for lang, pairs in sorted(by.items()):
-        x = np.concatenate([vectors(grid, idf) for _, grid in counts([t for _, t in pairs])])
+        x = np.zeros((len(pairs), DIMENSIONS), np.float32)
+        for lo in range(0, len(pairs), ROWS):
+            grid = np.zeros((len(pairs[lo : lo + ROWS]), DIMENSIONS), np.int64)
+            for row, (_, where, n) in zip(grid, pairs[lo : lo + ROWS], strict=True):
+                row[np.frombuffer(where, "<u2")] = np.frombuffer(n, "<u4")
+            x[lo : lo + ROWS] = vectors(grid, idf)
         c = _cluster(x, clusters)
         parts.append(c)
         names += [lang] * len(c)
-        half = np.array([k for k, _ in pairs])
+        half = np.array([k for k, _, _ in pairs])
         halves[lang] = [_cluster(x[half != k], clusters) if (half != k).any() else x[:0] for k in (0, 1)]
     least = _floors(rows, idf, halves, floor)
     floors = np.array([least[lang] for lang in names]).reshape(-1, BANDS)
@@ -244,7 +278,8 @@ def identify(docs: DataFrame, fold: int = 1, folds: int = 3) -> DataFrame:
     docs = docs.drop("held_out", "lang_pred", "score", "rejected").withColumn("held_out", crc_mod("doc_id", folds) == fold)
     model = train(docs.where(~F.col("held_out")))
     keep = [c for c in docs.columns]
-    return docs.withColumn("_said", classify(model)("text")).select(*keep, F.col("_said.lang").alias("lang_pred"), F.col("_said.score").alias("score"), F.col("_said.rejected").alias("rejected"))
+    said = spare("_said", docs)
+    return docs.withColumn(said, classify(model)("text")).select(*keep, *[F.col(said)[a].alias(b) for a, b in (("lang", "lang_pred"), ("score", "score"), ("rejected", "rejected"))])
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
