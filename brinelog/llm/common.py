@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A table of at most this many narrow rows may be broadcast; its rows are counted first.
 BROADCAST_ROWS = 100_000
+#: Texts of an Arrow batch.
+TEXTS = 1000
 #: What a word is, everywhere in this subpackage: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of at most TEXTS rows from here on, unless the session has a setting of its own: whole texts are in them."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":  # Spark's default
+        conf.set(key, str(TEXTS))
+    return df
+
+
 def spare(name: str, *frames: DataFrame) -> str:
     """name, with as many underscores before it as it takes to be no column of frames."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import lean, small, spare, stored
 from .words import blocks
 
 _KIND = np.zeros(256, np.uint8)
@@ -22,6 +22,8 @@ _KIND[128:] = 1
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".,;:?!'\"-()")] = True
 _TINY = 1e-6
+#: The largest prior, in documents: sites whose means differ by no more than chance explains say nothing.
+PRIORS = 1e6
 
 
 def features(texts: list[bytes | None]) -> np.ndarray:
@@ -34,7 +36,7 @@ def features(texts: list[bytes | None]) -> np.ndarray:
         size = np.array([len(t) + 1 for t in raw])
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         kind = _KIND[whole]
-        share = lambda m: np.add.reduceat(m.astype(np.int64), begin) / size
+        share = lambda m: np.add.reduceat(m, begin, dtype=np.int64) / size
         words = np.diff(b.first)
         some = np.maximum(words, 1)
         per_word = lambda m: np.bincount(b.doc, weights=m, minlength=n) / some
@@ -121,42 +123,61 @@ def _logit(p: Column) -> Column:
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, host_quality, path_quality, global_quality) from scored (host, path, p).
+    """What each (host, path) of scored (host, path, p) has for shrinking, and what all have in common.
 
-    Two levels of shrinkage. A host's mean is drawn to the global one by a prior that counts as many documents as the
-    spread between hosts implies (method of moments); a path's mean is drawn to its host's posterior in the same way.
-    Sums per (host, path) come first; everything later works on one row per path.
+    Per path n documents with the sum s of p, per host hn and hs; globally the mean global_quality and the priors of the
+    two levels, counted in documents: host_prior for hosts around the global mean, path_prior for paths around their host's.
+    A prior is the variance of p within sites over the variance between them (method of moments: the spread of site means
+    less what the variance within explains), from 1 to PRIORS. Sums per (host, path) come first; everything later works on
+    one row per path.
     """
-    paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
+    p = F.col("p")
+    paths = scored.groupBy("host", "path").agg(F.count(p).alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq"))
-    total = hosts.agg(F.sum("hn").alias("tn"), F.sum("hs").alias("ts"))
-    m = F.col("ts") / F.col("tn")
-    spread = hosts.crossJoin(F.broadcast(total)).agg(F.first("tn").alias("tn"), F.first("ts").alias("ts"), F.avg(F.pow(F.col("hs") / F.col("hn") - m, 2) - m * (1 - m) / F.col("hn")).alias("v"))
-    strength = lambda mean, v: F.greatest(F.lit(1.0), F.least(F.lit(1e6), mean * (1 - mean) / F.greatest(v, F.lit(1e-9)) - 1))
-    hosts = hosts.crossJoin(F.broadcast(spread)).select("host", m.alias("global_quality"), ((F.col("hs") + strength(m, F.col("v")) * m) / (F.col("hn") + strength(m, F.col("v")))).alias("host_quality"))
-    joined = paths.withColumnRenamed("host", "_host").join(hosts, F.col("_host").eqNullSafe(F.col("host")))
-    h = F.col("host_quality")
-    inner = joined.agg(F.avg(F.pow(F.col("s") / F.col("n") - h, 2) - h * (1 - h) / F.col("n")).alias("v"))
-    k = strength(h, F.col("v"))
-    return joined.crossJoin(F.broadcast(inner)).select("host", "path", "host_quality", ((F.col("s") + k * h) / (F.col("n") + k)).alias("path_quality"), "global_quality")
-
-
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, sample_rows: int = 20_000) -> DataFrame:
+    mean, host_mean = F.col("ts") / F.col("tn"), F.col("hs") / F.col("hn")
+    total = hosts.agg(F.sum("hn").alias("tn"), F.sum("hs").alias("ts"), F.try_divide(F.sum(F.col("hq") - F.col("hs") * host_mean), F.sum(F.col("hn") - 1)).alias("hw"))
+    between = hosts.crossJoin(F.broadcast(total)).agg(F.first(mean).alias("global_quality"), F.first("hw").alias("hw"), F.avg(F.pow(host_mean - mean, 2) - F.coalesce("hw", F.lit(0.0)) / F.col("hn")).alias("hv"))
+    sites = paths.withColumnRenamed("host", "_host").join(hosts.drop("hq"), F.col("_host").eqNullSafe(F.col("host"))).drop("_host")
+    path_mean = F.col("s") / F.col("n")
+    within = sites.agg(F.try_divide(F.sum(F.col("q") - F.col("s") * path_mean), F.sum(F.col("n") - 1)).alias("pw"))
+    inner = sites.crossJoin(F.broadcast(within)).agg(F.first("pw").alias("pw"), F.avg(F.pow(path_mean - host_mean, 2) - F.coalesce("pw", F.lit(0.0)) * (1 / F.col("n") - 1 / F.col("hn"))).alias("pv"))
+
+    def prior(w: str, v: str) -> Column:
+        return F.when(F.col(v) > 0, F.greatest(F.lit(1.0), F.least(F.lit(PRIORS), F.coalesce(w, F.lit(0.0)) / F.col(v)))).otherwise(PRIORS)
+
+    level = between.crossJoin(F.broadcast(inner)).select("global_quality", prior("hw", "hv").alias("host_prior"), prior("pw", "pv").alias("path_prior"))
+    return sites.crossJoin(F.broadcast(level)).select("host", "path", "n", "s", "hn", "hs", "global_quality", "host_prior", "path_prior")
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, sample_rows: int = 20_000, with_text: bool = True) -> DataFrame:
     """docs with text_quality, host_quality, path_quality, quality and keep (quality at least threshold).
 
-    quality: the text's log odds plus what its path's posterior adds to the global log odds. Cases: null text counts as
-    empty; null host or path is a value of its own; unlabelled documents are scored like others, and without labels of both
-    classes the classifier is constant and keeps all, whatever the threshold; several labels of a document count by their mean, repeated rows each; an
-    empty table gives an empty one; columns of docs with the new columns' names are replaced.
+    quality: the text's log odds plus what its path's posterior adds to the global log odds. host_quality and path_quality
+    are posteriors from all other documents of the host and the path; the document itself is left out, as its own evidence
+    counts already. Cases: null text counts as empty; null host or path is a value of its own; a document alone on its host
+    takes the global mean; unlabelled documents are scored like others, and without labels of both classes
+    the classifier is constant and keeps all, whatever the threshold; several labels of a document count by their mean,
+    repeated rows each; an empty table gives an empty one; columns of docs with the new columns' names are replaced. with_text
+    false leaves text out of the result, and texts are then read only once.
     """
     new = ["text_quality", "host_quality", "path_quality", "quality", "keep"]
-    docs = docs.drop(*new)
+    docs = lean(docs.drop(*new))
     model = train(docs, labels, sample_rows)
     scored = docs.withColumn("text_quality", evidence(model)(F.col("text").cast("binary")))
-    sites = posteriors(stored(scored.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col("text_quality").alias("p")), "quality"))
-    sites = small(sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_quality", "path_quality", "global_quality"))
-    joined = scored.join(sites, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")), "left")
-    odds = _logit(F.col("text_quality")) + F.coalesce(_logit(F.col("path_quality")) - _logit(F.col("global_quality")), F.lit(0.0))
+    if not with_text:
+        docs = docs.drop("text")
+        scored = stored(scored.drop("text"), "scored")
+    narrow = scored.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col("text_quality").alias("p"))
+    sites = posteriors(narrow if not with_text else stored(narrow, "scored"))
+    names = {c: spare(f"_{c}", docs) for c in sites.columns}
+    sites = small(sites.select(*[F.col(c).alias(x) for c, x in names.items()]))
+    joined = scored.join(sites, scored[host].eqNullSafe(F.col(names["host"])) & scored[path].eqNullSafe(F.col(names["path"])), "left")
+    n, s, hn, hs, mean, host_prior, path_prior = (F.col(names[c]) for c in ("n", "s", "hn", "hs", "global_quality", "host_prior", "path_prior"))
+    p = F.col("text_quality")
+    shrunk = lambda total, count, prior, to: F.least(F.greatest((total - p + prior * to) / (count - 1 + prior), F.lit(_TINY)), F.lit(1 - _TINY))
+    joined = joined.withColumn("host_quality", shrunk(hs, hn, host_prior, mean))
+    joined = joined.withColumn("path_quality", shrunk(s, n, path_prior, F.col("host_quality")))
+    odds = _logit(p) + _logit(F.col("path_quality")) - _logit(mean)
     joined = joined.withColumn("quality", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)))
     keep = F.col("quality") >= threshold if model.weights[1:].any() else F.lit(True)
     return joined.withColumn("keep", keep).select(*docs.columns, *new)
@@ -166,4 +187,4 @@ def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """All documents, host by source and path by language within it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return classify(docs, labels).drop("text")
+    return classify(docs, labels, with_text=False)

@@ -274,13 +274,59 @@ def test_scores_use_rare_and_long_contexts(spark):
 
 def test_quality(spark, docs, odd, none):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    got = quality.classify(docs, labels).select("doc_id", "keep").join(labels, "doc_id").collect()
-    assert np.mean([r["keep"] == (r["quality"] == 1) for r in got]) > 0.97
+    fold = common.crc_mod("doc_id", 4) == 1
+    got = quality.classify(docs, labels.where(~fold)).select("doc_id", "keep").join(labels.where(fold), "doc_id").collect()
+    assert len(got) > 10 and np.mean([r["keep"] == (r["quality"] == 1) for r in got]) > 0.93
     assert quality.classify(odd, labels).count() == len(ODD)
+    clash = odd.withColumnsRenamed({"rank": "_host", "n": "global_quality", "c": "_n"})
+    rows = quality.classify(clash, labels, with_text=False)
+    assert rows.columns[:6] == ["doc_id", "lang", "source", "n_chars", "_host", "global_quality"] and rows.count() == len(ODD)
     assert quality.classify(odd, labels.where("false")).where("keep").count() == len(ODD)
     assert quality.classify(none, labels).count() == 0
 
 
+def brute_posteriors(rows):
+    """(host, path) posteriors of each of rows (host, path, p), itself left out."""
+    def by(key):
+        out = defaultdict(list)
+        for r in rows:
+            out[key(r)].append(r[2])
+        return out
+
+    within = lambda g: sum(sum((x - np.mean(v)) ** 2 for x in v) for v in g.values()) / max(sum(len(v) - 1 for v in g.values()), 1)
+    prior = lambda w, v: min(max(w / v, 1.0), quality.PRIORS) if v > 0 else quality.PRIORS
+    hosts, paths, mean = by(lambda r: r[0]), by(lambda r: r[:2]), np.mean([r[2] for r in rows])
+    hw, pw = within(hosts), within(paths)
+    hk = prior(hw, np.mean([(np.mean(v) - mean) ** 2 - hw / len(v) for v in hosts.values()]))
+    pk = prior(pw, np.mean([(np.mean(v) - np.mean(hosts[k[0]])) ** 2 - pw * (1 / len(v) - 1 / len(hosts[k[0]])) for k, v in paths.items()]))
+    out = []
+    for h, q, p in rows:
+        host = (sum(hosts[h]) - p + hk * mean) / (len(hosts[h]) - 1 + hk)
+        out.append((host, (sum(paths[h, q]) - p + pk * host) / (len(paths[h, q]) - 1 + pk)))
+    return out
+
+
+def test_quality_sites_count(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = []
+    for host, level in [(f"h{i}", 0.15 if i < 6 else 0.85) for i in range(12)] + [("sparse", 0.2), (None, 0.5)]:
+        for k in range(2 if host == "sparse" else 40):
+            rows.append((len(rows), host, rnd.choice(("a", "b", None)), min(max(rnd.gauss(level, 0.15), 0.02), 0.98)))
+    texts = [" ".join(f"w{rnd.randint(0, 99)}" for _ in range(5 + i % 40)) for i in range(len(rows))]
+    p = {t: r[3] for t, r in zip(texts, rows, strict=True)}
+    stand_in = F.udf(lambda t: p[bytes(t).decode()], "double")
+    monkeypatch.setattr(quality, "evidence", lambda model: stand_in)
+    df = spark.createDataFrame([(i, t, q, h) for (i, h, q, _), t in zip(rows, texts, strict=True)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.classify(df, df.select("doc_id", F.lit(1).alias("quality"))).collect()}
+    want = brute_posteriors([(h, q, p[t]) for (_, h, q, _), t in zip(rows, texts, strict=True)])
+    for r, (host, path) in zip(rows, want, strict=True):
+        assert got[r[0]]["host_quality"] == pytest.approx(host) and got[r[0]]["path_quality"] == pytest.approx(path)
+    bad, good = ([got[r[0]]["path_quality"] for r in rows if r[1] in hosts] for hosts in ({f"h{i}" for i in range(6)}, {f"h{i}" for i in range(6, 12)}))
+    assert max(bad) < 0.4 and min(good) > 0.6
+    alone = [got[r[0]]["path_quality"] for r in rows if r[1] == "sparse"]
+    assert all(np.mean(bad) < x < np.mean(good) for x in alone)
+
+
 def test_quality_with_one_class_keeps_all(spark, odd):
     for label in (0, 1):
         labels = spark.createDataFrame([(k, label) for k in (3, 4, 5, 6)], "doc_id long, quality int")
