@@ -44,10 +44,10 @@ def spare(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it: the lineage ends here and lost executors lose nothing."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it: the lineage ends here and lost executors lose nothing. options: the writer's."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

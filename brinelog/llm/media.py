@@ -6,6 +6,7 @@ import hashlib
 import io
 import wave
 import zlib
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, stored
+
 #: Payloads are padded to multiples of so many samples.
 UNIT = 192
 PAD = 32
@@ -126,54 +129,104 @@ def describe(samples: bytes) -> str:
     return f"mean={mean:.3f};rms={x.std():.3f};cross={np.count_nonzero(above[1:] != above[:-1]) / len(x):.4f};ranges={','.join(map(str, ranges))}"
 
 
-STORE = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary"
+STORED = "digest string, n_bytes long, media binary"
+FIGURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: A digest to which at least this share of all references point is resolved by a broadcast of its one row; there are 1 / HOT such digests at most.
+HOT = 0.001
 
 
-def media_store(texts: DataFrame, with_media: bool = True) -> DataFrame:
-    """A row per distinct text of texts (text): digest (SHA-256 of its UTF-8), the stored WAV, and what is read back from it.
+def _batches(rows: Iterator[tuple], ddl: str, limit: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Record batches of rows, each of about limit bytes of media at most."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*((n, kinds[k]) for n, k in (part.split() for part in ddl.split(", "))), strict=True)
+    held, size = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
+    for row in rows:
+        held.append(row)
+        size += 1000 + (len(row[-1]) if types[-1] == pa.binary() else 0)
+        if size > limit:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
-    Null text counts as empty. The payload is the text with bytes 32 up to a positive multiple of UNIT. Without
-    with_media the file is made, read back and measured but not kept, so only narrow rows are shuffled.
-    """
 
-    names = [c.split()[0] for c in STORE.split(", ")]
+def store_media(texts: DataFrame, name: str = "media") -> DataFrame:
+    """A table (digest, n_bytes, media) in the shared folder of the texts (text) as WAV files; digest: SHA-256 of the text's UTF-8.
+
+    The payload is the text with bytes PAD up to a positive multiple of UNIT. Null text counts as empty. A task writes
+    a digest once, so a text that stands in several tasks' rows may be there several times; its rows are then equal. No
+    payload is shuffled. An empty table gives an empty one; more columns are left out.
+    """
 
     def build(batches):
-        for batch in batches:
-            rows, size = [], 0
-            for raw in batch.column(0).to_pylist():
-                raw = raw or b""
-                media = to_wav(raw + bytes([PAD]) * (-len(raw) % UNIT or UNIT * (not raw)))
-                back = from_wav(media)
-                rows.append((hashlib.sha256(raw).hexdigest(), len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(back), media if with_media else None))
-                size += len(media) * with_media
-                if size > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-    made = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(build, STORE)
-    kept = names[1:] if with_media else names[1:-1]
-    return made.groupBy("digest").agg(*[F.any_value(c).alias(c) for c in kept])
+        seen: set[bytes] = set()
+
+        def rows():
+            for batch in batches:
+                for raw in batch.column(0).to_pylist():
+                    raw = raw or b""
+                    digest = hashlib.sha256(raw)
+                    if digest.digest() not in seen:
+                        seen.add(digest.digest())
+                        yield digest.hexdigest(), len(raw), to_wav(raw + bytes([PAD]) * (-len(raw) % UNIT or UNIT * (not raw)))
+
+        yield from _batches(rows(), STORED)
+
+    made = lean(texts.select(F.col("text").cast("binary").alias("text"))).mapInArrow(build, STORED)
+    return stored(made, name, compression="zstd")
+
+
+def figures(media: DataFrame) -> DataFrame:
+    """A row per digest of media (digest, n_bytes, media): figures and features of the payload that the stored bytes hold.
+
+    Rows of null media are left out; of rows with one digest any counts, as they should be equal.
+    """
+
+    def read(batches):
+        def rows():
+            for batch in batches:
+                for digest, n, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    back = from_wav(raw)
+                    yield digest, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), describe(back)
+
+        yield from _batches(rows(), FIGURES)
+
+    rows = lean(media.where("media IS NOT NULL").select("digest", "n_bytes", "media")).mapInArrow(read, FIGURES)
+    return rows.groupBy("digest").agg(*[F.any_value(c).alias(c) for c in (part.split()[0] for part in FIGURES.split(", ")[1:])])
 
 
 def resolve(sequences: DataFrame, store: DataFrame, key: str) -> DataFrame:
-    """A row per item of sequences (key, sequence), in place, media items with their store row's columns.
+    """A row per item of sequences (key, sequence), in place, media items with the columns of their row of store (digest, ...).
 
-    References are ``sha256:`` and a digest; items that the store lacks, and text items, get nulls. The join is on the
-    digest, one store row each, so a digest with very many references is split by the adaptive skew join.
+    References are ``sha256:`` and a digest; items that the store lacks, text items and items without a reference get
+    nulls, and a null or empty sequence gives one row without an item. Rows of repeated keys are resolved each. store has
+    one narrow row a digest, no payloads; its columns must differ from key and the items' names. Digests that very many items
+    share (see HOT) are joined by broadcast, so that no task gets them all; the others are shuffled. Items are written once.
     """
-    items = sequences.select(key, F.inline_outer("sequence")).withColumn("digest", F.when(F.col("reference").startswith("sha256:"), F.substring("reference", 8, 64)))
-    return items.join(store, "digest", "left")
+    if clash := ({c.lower() for c in store.columns} - {"digest"}) & {key.lower(), *(f.name for f in _SEQUENCE.value_type)}:
+        raise ValueError(f"store has columns of the items' names: {', '.join(sorted(clash))}")
+    digest = F.when(F.col("reference").startswith("sha256:"), F.substring("reference", 8, 64))
+    items = stored(sequences.select(key, F.inline_outer("sequence")).withColumn("digest", digest), "items")
+    total = items.select(F.count("digest")).first()[0]
+    sizes = items.where("digest IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    hot = [r["digest"] for r in sizes.where(F.col("n") >= max(2, HOT * total)).select("digest").collect()]
+    if not hot:
+        return items.join(store, "digest", "left")
+    first = F.coalesce(F.col("digest").isin(hot), F.lit(False))
+    store_first = store.where(F.col("digest").isin(hot))
+    return items.where(first).join(F.broadcast(store_first), "digest", "left").unionByName(items.where(~first).join(store, "digest", "left"))
 
 
 def op7_media_columns(spark, sf_dir: str) -> DataFrame:
-    """Each document as a page that shows its text as a media file, with the payload resolved by digest."""
+    """Each document as a page that shows its text as a media file between two paragraphs, with the payload resolved by digest."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.coalesce("text", F.lit(""))
-    digest = F.sha2(text.cast("binary"), 256)
-    page = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit("</figcaption></figure>"))
-    rows = resolve(interleave(docs.select("doc_id", page.alias("html"))), media_store(docs.select("text"), with_media=False), "doc_id")
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))
+    page = F.concat(F.lit("<p>Before "), name, F.lit('</p><figure><img src="sha256:'), digest, F.lit('"><figcaption>'), name, F.lit("</figcaption></figure><p>After "), name, F.lit("</p>"))
+    told = figures(store_media(docs.select("text")))
+    rows = resolve(interleave(docs.select("doc_id", page.alias("html"))), stored(told, "figures"), "doc_id").where("kind = 'media'")
     return rows.select("doc_id", "position", "caption", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

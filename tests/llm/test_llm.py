@@ -1,8 +1,11 @@
 import hashlib
+import io
 import random
 import re
+import wave
 import zlib
 from collections import Counter, defaultdict
+from html import unescape
 from itertools import combinations
 
 import numpy as np
@@ -337,11 +340,58 @@ def test_media(spark, odd, none):
     html = '<p>one <b>two</b></p><figure><img src="sha256:ab"><figcaption>cap &amp; x</figcaption></figure><script>no</script>three<img src="u" alt="alt">'
     assert [i[1:] for i in media.parse(html)] == [("text", "one two", None, None), ("media", None, "sha256:ab", "cap & x"), ("text", "three", None, None), ("media", None, "u", "alt")]
     assert media.parse(None) == [] and media.from_wav(media.to_wav(bytes(range(192)))) == bytes(range(192))
-    store = media.media_store(odd).collect()
-    for r in store:
-        back = media.from_wav(r["media"])
-        assert (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:])) == (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) and not len(back) % 192 and len(back) > 0
-    assert len(store) == 5 and media.media_store(none).count() == 0
+    store = media.store_media(odd)
+    rows = {r["digest"]: r for r in media.figures(store).collect()}
+    for r in store.collect():
+        back, told = media.from_wav(r["media"]), rows[r["digest"]]
+        assert (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:])) == (told["payload_bytes"], told["payload_sha256"], told["tail_crc32"]) and not len(back) % 192 and len(back) > 0
+    assert len(rows) == 5 and media.figures(media.store_media(none)).count() == 0
+
+
+def test_media_query(spark, texts):
+    got = {r["doc_id"]: r for r in media.op7_media_columns(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for d, t in texts.items():
+        raw, r = (t or "").encode(), got[d]
+        payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        buffer = io.BytesIO()
+        with wave.open(buffer, "wb") as w:
+            w.setparams((1, 1, media.RATE, len(payload), "NONE", ""))
+            w.writeframes(payload)
+        x = np.frombuffer(payload, np.uint8)
+        above = [v > x.mean() for v in x]
+        share = [sum(v // 32 == k for v in payload) * 1000 // len(payload) for k in range(8)]
+        feature = f"mean={x.mean():.3f};rms={np.sqrt(((x - x.mean()) ** 2).mean()):.3f};cross={sum(a != b for a, b in zip(above, above[1:], strict=False)) / len(x):.4f};ranges={','.join(map(str, share))}"
+        assert (r["position"], r["caption"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (1, str(d), len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(buffer.getvalue()), hashlib.sha256(buffer.getvalue()).hexdigest(), feature)
+
+
+def test_media_sequences_resolve_in_place(spark, monkeypatch):
+    monkeypatch.setattr(media, "HOT", 0.3)
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    page = lambda *refs: "<p>a</p>" + "".join(f'<figure><img src="{r}"><figcaption>c{i}</figcaption></figure>t{i}' for i, r in enumerate(refs))
+    hot, cold, gone = (f"sha256:{digest(t)}" for t in ("hot", "cold", "gone"))
+    pages = [(1, page(hot, cold, hot)), (1, page(hot)), (2, page(gone, "http://x/y.png", hot)), (3, ""), (None, None)]
+    df = media.interleave(spark.createDataFrame(pages, "page_id long, html string"))
+    store = media.figures(media.store_media(spark.createDataFrame([("hot",), ("cold",), ("hot",)], "text string")))
+    rows = media.resolve(df, store, "page_id").collect()
+    want = []
+    for key, html in pages:
+        items = media.parse(html)
+        want += [(key, i, k, t, r, c, {hot: 3, cold: 4}.get(r)) for i, k, t, r, c in items] or [(key, None, None, None, None, None, None)]
+    assert sorted(map(repr, want)) == sorted(repr((r["page_id"], r["position"], r["kind"], r["text"], r["reference"], r["caption"], r["n_bytes"])) for r in rows)
+    with pytest.raises(ValueError, match="position"):
+        media.resolve(df, store.withColumn("position", F.lit(1)), "page_id")
+
+
+def test_pages_against_a_plain_reader(spark):
+    rows = media.interleave(spark.read.parquet(f"{SF}/pages.parquet")).collect()
+    for r in rows:
+        html = re.sub(r"(?is)<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->", "", r["html"] or "")
+        said = " ".join(i["text"] for i in r["sequence"] if i["kind"] == "text").split()
+        plain = unescape(re.sub(r"(?s)<[^>]*>", " ", html)).split()
+        assert "".join(said) == "".join(plain)
+        assert [i["reference"] for i in r["sequence"] if i["kind"] == "media"] == re.findall(r'<(?:img|audio|video|source|embed)\b[^>]*?\bsrc="([^"]+)"', html)
 
 
 def test_id_output(docs, texts, odd, none):
