@@ -37,13 +37,15 @@ def rebuild(events: DataFrame) -> DataFrame:
     text, ``delta`` appends to it, ``regenerate`` empties it and drops all later slots' events so far. An edit, a delta
     or a regeneration without role keeps the slot's role. Cases: null text is empty; null kind is a message; null role
     throughout gives an empty role; events of equal seq go by slot, kind, role, text, so repeated deltas are both appended and
-    repeated messages count once; events without conv_id form one conversation; an empty log gives no rows. More columns
-    are left out. The work is windows and sums over (conv_id[, slot]); only the messages of one conversation meet.
+    repeated messages count once; events without conv_id form one conversation, and those without slot one message of
+    theirs, first in order, which regenerations of others don't touch; an empty log gives no rows. More columns are left out.
+    The work is windows and sums over (conv_id[, slot]); only the messages of one conversation meet, in one task,
+    as they become one row.
     """
     order = ["seq", "slot", "kind", "role", "text"]
     e = events.select("conv_id", "seq", "slot", F.coalesce("kind", F.lit("message")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
     later = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    e = e.withColumn("_cut", F.min(F.when(F.col("kind") == "regenerate", F.col("slot"))).over(later)).where("_cut IS NULL OR slot <= _cut")
+    e = e.withColumn("_cut", F.min(F.when(F.col("kind") == "regenerate", F.col("slot"))).over(later)).where("_cut IS NULL OR slot IS NULL OR slot <= _cut")
     number = F.row_number().over(Window.partitionBy("conv_id", "slot").orderBy(*order))
     e = e.withColumn("_n", number)
     slots = Window.partitionBy("conv_id", "slot")

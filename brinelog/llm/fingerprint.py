@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .words import BLOCK, mix
 
 WINDOW = 16
@@ -190,7 +191,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     gives no rows; more columns are left out.
     """
     spark = docs.sparkSession
-    ranks = rarity_ranks(docs)
+    ranks = rarity_ranks(lean(docs))
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shape = docs.agg(F.max("doc_id").alias("top"), F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10 * parts).alias("cuts")).first()
     cuts = np.unique(np.array(shape["cuts"] or [], np.int64))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small, spare
+from .common import crc_mod, lean, small, spare
 from .words import BLOCK
 
 DIMENSIONS = 4096
@@ -144,7 +144,7 @@ def train(docs: DataFrame, sample_rows: int = 2000, clusters: int = 3, floor: fl
     cosines of all rows, see _floors; no floor is under the one given here.
     """
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang", half)
+    rows = lean(docs).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang", half)
 
     def frequency(batches):
         n, df = 0, np.zeros(DIMENSIONS, np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ranked, small, stored
+from .common import WORD, ranked, small, spare, stored
 
 #: Expected copies are fixed-point numbers of this scale, so that prefix sums are exact and reruns agree.
 SCALE = 1 << 24
@@ -53,11 +53,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: floa
     rate = F.coalesce(F.least(F.floor(F.try_divide(F.col("target"), F.col("source_size")) * SCALE + 0.5), F.lit(cap * SCALE)), F.lit(0)).cast("long")
     name = F.concat(F.lit(seed), F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source"))))
     offset = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % SCALE
-    targets = small(targets.select(F.col("source").alias("_source"), "source_size", "target", rate.alias("_rate"), offset.alias("_offset")))
+    source_, rate_, offset_ = (spare(c, docs) for c in ("_source", "_rate", "_offset"))
+    targets = small(targets.select(F.col("source").alias(source_), "source_size", "target", rate.alias(rate_), offset.alias(offset_)))
     placed, _ = ranked(docs, ["source"], [F.col("size").desc(), F.col("doc_id").asc_nulls_last()], "mix")
-    joined = placed.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-    copies = F.expr(f"(((rank + 1) * _rate + _offset) div {SCALE}) - ((rank * _rate + _offset) div {SCALE})")
-    return joined.withColumn("copies", copies).drop("rank", "_source", "_rate", "_offset")
+    joined = placed.join(targets, F.col("source").eqNullSafe(F.col(source_)))
+    copies = F.expr(f"(((rank + 1) * {rate_} + {offset_}) div {SCALE}) - ((rank * {rate_} + {offset_}) div {SCALE})")
+    return joined.withColumn("copies", copies).drop("rank", source_, rate_, offset_)
 
 
 def word_count(text: str = "text"):
@@ -65,7 +66,7 @@ def word_count(text: str = "text"):
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """One row per copy."""
+    """One row per copy, numbered from 1 in a column copy, which replaces one of that name."""
     return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, stored
+from .common import lean, ranked, stored
 from .tokens import coder
 
 CAPACITY = 2048
@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return lean(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(cut, PIECES)
 
 
 Pattern = tuple[tuple[int, int], ...]
@@ -47,7 +47,8 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> list[tuple[Pat
     nothing else fits: {w}. One piece fills rest exactly: {w, rest}, as all that could stand beside w could stand in
     that piece's place. At most one more piece fits: {w, longest that fits}. At most two fit: {w, longest that fits}
     if no two sum to more than it; {w, a, b} with a the longest that fits and b the longest beside it, if no fitting pair
-    has a shorter member over b. Equal lengths are fixed in bulk, so the steps don't grow with the number of pieces.
+    has a shorter member over b. Pieces that are fixed only take others away, so what held for one such set holds for as many as
+    there are: they are fixed in bulk, and the steps don't grow with the number of pieces.
     """
     fixed: list[tuple[Pattern, int]] = []
     lengths = sorted(k for k, n in counts.items() if n)
@@ -102,12 +103,12 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> list[tuple[Pat
                 if x is not None and x >= y:
                     best, inner = max(best, x + y), y
             if first >= best:
-                take([w, first], 1)
+                take([w, first], times(w, first))
                 continue
             second = longest(min(first, rest - first), w, first)
             if second is None or second < inner:
                 break
-            take([w, first, second], 1)
+            take([w, first, second], times(w, first, second))
     return fixed
 
 
@@ -171,8 +172,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Only the number of pieces of each length reaches the driver: capacity numbers at most, whatever the corpus. There a
     plan is made for these counts; every piece then finds its place from its rank among the pieces of its length.
-    Cases: null doc_id sorts last; repeated rows are packed each on its own; an empty table gives an empty one.
+    Cases: null doc_id sorts last; repeated rows are packed each on its own; an empty table gives an empty one; columns of
+    items named rank, sequence_id or offset are replaced.
     """
+    items = items.drop("rank", "sequence_id", "offset")
     rows, sizes = ranked(items, ["length"], [F.col("doc_id").asc_nulls_last(), F.col("piece").asc_nulls_last()], "pack")
     at = places(plan({r["length"]: r["n"] for r in sizes.collect()}, capacity))
     keys = at["length"] << 40 | at["rank"]

@@ -60,6 +60,16 @@ def test_mix(odd, none):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(sized).collect()))
 
 
+def test_clashing_names(spark, odd):
+    clash = odd.withColumnsRenamed({"rank": "_source", "n": "_task", "c": "_rate"}).withColumns({"size": F.length("text"), "copy": F.lit("mine"), "_at": F.lit(7), "_said": F.lit("s")})
+    rows = mixing.mix_sources(clash).collect()
+    assert len(rows) == len(ODD) and sorted(str(r["_source"]) for r in rows) == sorted(str(r[5]) for r in ODD) and {r["_at"] for r in rows} == {7}
+    assert {r["copy"] for r in mixing.emit(mixing.mix_sources(clash)).collect()} <= {1, 2}
+    assert [r["_said"] for r in langid.identify(clash).collect()] == ["s"] * len(ODD)
+    items = spark.createDataFrame([(5, 1, 0, "a", 3)], "length long, doc_id long, piece int, offset string, rank int")
+    assert packing.pack(items).columns == ["length", "doc_id", "piece", "sequence_id", "offset"] and packing.pack(items).first()["offset"] == 0
+
+
 def test_ranks(spark):
     df = spark.range(500).select(F.col("id"), F.when(F.col("id") % 3 > 0, "hot").alias("g"))
     out, sizes = common.ranked(df, ["g"], [F.col("id").desc()], "t")
@@ -110,6 +120,13 @@ def test_plan_is_near_the_bound(seed):
     assert bound <= sum(n for _, n in patterns) <= bound * 1.12 + 1
 
 
+def test_dominance_works_in_bulk():
+    for n in (3, 5000):
+        left = Counter({1800: n, 120: n, 115: n, 110: n})
+        fixed = packing.reduce_by_dominance(left, 2048)
+        assert len(fixed) < 10 and sum(k for p, k in fixed if p[0][0] == 1800) == n
+
+
 def test_dominance_keeps_the_optimum():
     def best(items, cap=10):
         if not items:
@@ -239,6 +256,11 @@ def test_chat_events(spark):
     log = [(1, 1, 1, "message", "user", "hi \\l <x"), (1, 2, 2, "message", "assistant", "a"), (1, 3, 2, "delta", None, "b</turn>"), (1, 4, 3, "message", "user", "more"), (1, 5, 2, "regenerate", None, None), (1, 6, 2, "delta", None, "new"), (1, 7, 1, "edit", None, "hello"), (2, 1, 1, None, None, None)]
     rows = chat.rebuild(spark.createDataFrame(log, "conv_id long, seq long, slot long, kind string, role string, text string"))
     assert {(r["conv_id"], r["slot"]): (r["role"], r["text"]) for r in rows.collect()} == {(1, 1): ("user", "hello"), (1, 2): ("assistant", "new"), (2, 1): ("", "")}
+    late = spark.createDataFrame([(1, 1, None, "message", "user", "x"), (1, 2, 1, "message", "user", "y"), (1, 3, 1, "regenerate", None, None)], "conv_id long, seq long, slot long, kind string, role string, text string")
+    assert {(r["slot"], r["text"]) for r in chat.rebuild(late.withColumn("extra", F.lit(1))).collect()} == {(None, "x"), (1, "")}
+    assert chat.read_back(chat.render(chat.rebuild(late.where("false")))).count() == 0
+    long = spark.createDataFrame([(1, 1, 1, "message", "assistant", LONG)], "conv_id long, seq long, slot long, kind string, role string, text string")
+    assert chat.read_back(chat.render(chat.rebuild(long))).first()["loss"] == LONG
     r = chat.read_back(chat.render(rows)).where("conv_id = 1").first()
     assert [tuple(t) for t in r["turns"]] == [("user", "hello"), ("assistant", "new")] and r["loss"] == "new"
 
