@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import freed, lean, small, stored
 from .graph import components
 from .words import Block, blocks, mix
 
@@ -152,11 +152,19 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both) and both > 0
 
 
+PROFILE = "doc_id long, text_hash long, n long, c long, common boolean, sketch binary"
+
+
 def _profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, c, sketch) per document; and rows with doc_id null, n the count, c the hash and common true for shingles common within a task."""
+    """(doc_id, text_hash, n, c, sketch) per document of docs (text, doc_id, text_hash); a set's sketch stands where its task meets it first.
+
+    And rows with doc_id null, n the count, c the hash and common true for shingles common within a task.
+    """
+    names = [part.split()[0] for part in PROFILE.split(", ")]
 
     def run(batches):
         held, size, total, n_docs = [], 0, {}, 0
+        seen: set[int] = set()
 
         def gather():
             u, k = np.unique(np.concatenate(held), return_counts=True)
@@ -166,95 +174,103 @@ def _profile(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             ns, cs, ss = [], [], []
-            for x in all_sets(batch.column(1).to_pylist()):
+            for x in all_sets(batch.column(0).to_pylist()):
+                c = digest(x)
                 ns.append(len(x))
-                ss.append(sketch(x) if len(x) else None)
-                cs.append(digest(x))
+                cs.append(c)
+                ss.append(sketch(x) if len(x) and c not in seen else None)
+                seen.add(c)
                 held.append(x)
                 size += len(x)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     gather()
                     held, size = [], 0
             n_docs += len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array([False] * len(ns)), pa.array(ss, pa.binary())], names=["doc_id", "n", "c", "common", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array([False] * len(ns)), pa.array(ss, pa.binary())], names=names)
         if held:
             gather()
         some = {h: c for h, c in total.items() if c >= max(32, 2 * COMMON * n_docs)}
         if some:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(list(some.values()), pa.int64()), pa.array(np.array(list(some), _U).view(np.int64)), pa.array([True] * len(some)), pa.nulls(len(some), pa.binary())], names=["doc_id", "n", "c", "common", "sketch"])
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(list(some.values()), pa.int64()), pa.array(np.array(list(some), _U).view(np.int64)), pa.array([True] * len(some)), pa.nulls(len(some), pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, c long, common boolean, sketch binary")
+    return docs.mapInArrow(run, PROFILE)
 
 
 def _key_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(key, n, c) of every set; a task gives a set that it meets again no second time."""
+    """(key, c) of every set; a task gives a set that it meets again no second time."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            ks, ns, cs, size = [], [], [], 0
+            ks, cs, size = [], [], 0
             for x in all_sets(batch.column(0).to_pylist()):
                 if not len(x) or (c := digest(x)) in seen:
                     continue
                 seen.add(c)
                 ks.append(keys(x, common))
-                ns.append(len(x))
                 cs.append(c)
                 size += len(ks[-1])
-                if size > 1 << 18:
-                    yield rows(ks, ns, cs)
-                    ks, ns, cs, size = [], [], [], 0
+                if size > 1 << 17:
+                    yield rows(ks, cs)
+                    ks, cs, size = [], [], 0
             if ks:
-                yield rows(ks, ns, cs)
+                yield rows(ks, cs)
 
-    def rows(ks, ns, cs):
+    def rows(ks, cs):
         sizes = [len(k) for k in ks]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.repeat(np.array(ns, np.int32), sizes)), pa.array(np.repeat(np.array(cs, np.int64), sizes))], names=["key", "n", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.repeat(np.array(cs, np.int64), sizes))], names=["key", "c"])
 
-    return docs.select("text").mapInArrow(run, "key long, n int, c long")
+    return docs.select("text").mapInArrow(run, "key long, c long")
 
 
 def _runs(rows: DataFrame) -> DataFrame:
-    """(key, n, c) of keys that several sets share, each set once. rows sorted by key, n, c."""
+    """(key, c) of keys that several sets share, each set once. rows sorted by key, c."""
 
     def run(batches):
         carry = None
         for batch in batches:
-            k, n, c = (batch.column(i).to_numpy() for i in range(3))
+            k, c = (batch.column(i).to_numpy() for i in range(2))
             done = np.zeros(len(k), bool)
             if carry is not None:
-                k, n, c, done = (np.concatenate(x) for x in zip(carry, (k, n, c, done), strict=True))
+                k, c, done = (np.concatenate(x) for x in zip(carry, (k, c, done), strict=True))
             fresh = np.ones(len(k), bool)
-            fresh[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])
-            k, n, c, done = k[fresh], n[fresh], c[fresh], done[fresh]
+            fresh[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+            k, c, done = k[fresh], c[fresh], done[fresh]
             if not len(k):
                 continue
             start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             sizes = np.diff(np.append(start, len(k)))
             out = np.repeat(sizes > 1, sizes) & ~done
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (k, n, c)], names=["key", "n", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (k, c)], names=["key", "c"])
             last = sorted({int(start[-1]), len(k) - 1})
-            carry = k[last], n[last], c[last], np.full(len(last), sizes[-1] > 1)
+            carry = k[last], c[last], np.full(len(last), sizes[-1] > 1)
 
-    return rows.mapInArrow(run, "key long, n int, c long")
+    return rows.mapInArrow(run, "key long, c long")
 
 
-def _hubs(runs: DataFrame) -> DataFrame:
+def _hubs(runs: DataFrame, sets_: DataFrame) -> DataFrame:
     """(a, b): each set a and the hub b with which it shares most keys.
 
     A key's hub is its set that shares most keys with any others: of edited copies, the one nearest to what they all come
     from, so most of them link with it.
     """
-    degree = runs.groupBy("c").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("c", "_c")
-    known = runs.join(degree, F.col("c") == F.col("_c")).select("key", "c", "n", F.struct("degree", "c", "n").alias("_mine"))
+    degree = runs.groupBy("c").agg(F.count(F.lit(1)).alias("degree")).join(sets_.select("c", "n"), "c").withColumnRenamed("c", "_c")
+    known = runs.join(degree, F.col("c") == F.col("_c")).select("key", F.struct("degree", "c", "n").alias("_mine"))
     hub = F.max("_mine").over(Window.partitionBy("key"))
-    edges = known.withColumn("_hub", hub).select("c", "n", F.col("_hub.c").alias("b"), F.col("_hub.n").alias("m"))
+    edges = known.withColumn("_hub", hub).select(F.col("_mine.c").alias("c"), F.col("_mine.n").alias("n"), F.col("_hub.c").alias("b"), F.col("_hub.n").alias("m"))
     edges = edges.where("c <> b AND 4 * least(n, m) >= 3 * greatest(n, m)").groupBy("c", "b").agg(F.count(F.lit(1)).alias("k"))
     return edges.groupBy("c").agg(F.max_by("b", F.struct("k", "b")).alias("b")).withColumnRenamed("c", "a")
 
 
-def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def _sketches(profile: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(c, n, sketch) of the wanted (c)."""
+    rows = profile.where("sketch IS NOT NULL").select("c", "n", "sketch").join(small(wanted, MOST_NAMED), "c", "left_semi")
+    return rows.groupBy("c").agg(F.any_value("n").cast("int").alias("n"), F.any_value("sketch").alias("sketch"))
+
+
+def _likely(pairs: DataFrame, profile: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and sketches allow to link."""
 
     def run(batches):
@@ -266,8 +282,7 @@ def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
             ok = (far * 7 <= na + nb) & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb))
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    wanted = small(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), MOST_NAMED)
-    known = known.join(wanted, "c", "left_semi")
+    known = _sketches(profile, pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
     left = known.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = known.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -301,27 +316,35 @@ def _verify(docs: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _apart(runs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, n, c, component, _g) of keys, shared by _g sets, whose sets are not in one component yet."""
+    """(key, c, component, _g, _same) of keys, shared by _g sets, whose sets are not in one component yet; _same names the set of sets."""
     labels = labels.select(F.col("node").alias("c"), "component")
-    known = runs.select("key", "n", "c").join(small(labels, MOST_NAMED), "c", "left").repartition("key")
+    known = runs.join(small(labels, MOST_NAMED), "c", "left").repartition("key")
     known = known.withColumn("component", F.coalesce("component", "c"))  # after the shuffle, where most are still null
     w = Window.partitionBy("key")
-    return known.withColumn("_low", F.min("component").over(w)).withColumn("_high", F.max("component").over(w)).withColumn("_g", F.count(F.lit(1)).over(w)).where("_low <> _high").drop("_low", "_high")
+    known = known.withColumn("_low", F.min("component").over(w)).withColumn("_high", F.max("component").over(w)).withColumn("_g", F.count(F.lit(1)).over(w))
+    return known.withColumn("_same", F.bit_xor(F.xxhash64("c")).over(w)).where("_low <> _high").drop("_low", "_high")
 
 
-def _counted(known: DataFrame) -> DataFrame:
+def _counted(known: DataFrame, sets_: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets in different components that share as many keys of few sets as linked sets have to."""
     every = [int(_every(band).view(np.int64)[0]) for band in range(32)]
-    members = known.where(F.col("_g") <= FEW).groupBy("key").agg(F.collect_list(F.struct("c", "n", "component")).alias("m"))
+    known = known.where(F.col("_g") <= FEW).select("key", "c", "component").join(sets_.select("c", F.col("n").cast("int").alias("n")), "c")
+    members = known.groupBy("key").agg(F.collect_list(F.struct("c", "n", "component")).alias("m"))
     x = members.select(F.when(F.col("key").isin(every), F.lit(1 << 30)).otherwise(F.lit(1)).cast("long").alias("w"), "m", F.explode("m").alias("x"))
     like = F.filter("m", lambda y: (y["c"] > F.col("x.c")) & (y["component"] != F.col("x.component")) & (4 * F.least(y["n"], F.col("x.n")) >= 3 * F.greatest(y["n"], F.col("x.n"))))
     pairs = x.select("w", F.col("x.c").alias("a"), F.col("x.n").alias("n"), F.explode(like).alias("y")).select("w", "a", F.col("y.c").alias("b"), F.least("n", "y.n").alias("n"))
     return pairs.groupBy("a", "b").agg(F.sum("w").alias("k"), F.min("n").alias("n")).where(F.expr(f"k >= 1 + n div {EXTRA}")).select("a", "b")
 
 
-def _met(known: DataFrame, sets_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets in different components that meet in a key of many sets and pass sizes and sketches."""
-    known = known.where(F.col("_g") > FEW).join(sets_.select("c", "sketch"), "c")
+def _met(known: DataFrame, profile: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in different components that meet in a key of many sets and pass sizes and sketches.
+
+    A passage that many texts share makes many keys of the same sets; of those with equal sets one is worked on.
+    """
+    known = known.where(F.col("_g") > FEW)
+    one = small(known.groupBy("_same", "_g").agg(F.min("key").alias("key")).select("key"))
+    known = stored(known.join(one, "key", "left_semi").select("key", "c", "component", "_g"), "met")
+    known = known.join(_sketches(profile, known.select("c").distinct()), "c")
     chunks = F.ceil(F.col("_g") / CHUNK)
     mine = F.pmod(F.xxhash64("c"), chunks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), (chunks - 1).cast("int")), lambda k: F.struct(F.least(k, F.col("_mine")).alias("i"), F.greatest(k, F.col("_mine")).alias("j")))
@@ -371,9 +394,11 @@ def _met(known: DataFrame, sets_: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of docs (doc_id, text); all links at similarity 0.75 and over count.
+    """(doc_id, n_shingles, component_id, group_key, text_hash) of docs (doc_id, text); all links at similarity 0.75 and over count.
 
-    component_id: the smallest doc_id reachable by links, a document's own one if it has none. Equal sets are one set of a
+    component_id: the smallest doc_id reachable by links, a document's own one if it has none. group_key: a name of the group that
+    holds also where rows share a doc_id, null for texts without words; text_hash: xxhash64 of the text's bytes, which
+    tells rows of one doc_id apart. Equal sets are one set of a
     class and are never paired. First each set is verified against one set that shares most keys with it; then
     only pairs not yet in one component are: those with enough keys in common, and those that meet where many sets share a
     key, compared in chunks.
@@ -381,25 +406,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other; repeated rows are kept; an empty table gives no rows; more columns are left out. Exact but for chances of 2**-64
     a pair of hashes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    text = F.col("text").cast("binary")
+    docs = lean(docs.select(text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash")))
     profile = stored(_profile(docs), "profile")
-    own = profile.where("NOT common").select("doc_id", "n", "c", "sketch")
+    own = profile.where("NOT common").select("doc_id", "text_hash", "n", "c")
     n_docs = own.count()
     shared = profile.where("common").groupBy("c").agg(F.sum("n").alias("k")).where(F.col("k") >= COMMON * n_docs)
     common = np.sort(np.array([r["c"] for r in shared.orderBy(F.desc("k"), "c").limit(MOST_COMMON).collect()], np.int64).view(_U))
-    rows = _key_rows(docs, common).repartition("key").sortWithinPartitions("key", "n", "c")
-    runs = stored(_runs(rows), "runs")
-    first = stored(own.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")), "sets")
-    links = stored(_verify(docs, stored(_likely(stored(_hubs(runs), "hubs"), first), "likely"), first), "links")
-    apart = stored(_apart(runs, components(links)), "apart")
-    rest = _likely(stored(_counted(apart), "counted"), first).unionByName(_met(apart, first)).distinct()
-    joined = components(links.unionByName(_verify(docs, stored(rest, "rest"), first)))
+    rows = _key_rows(docs, common).repartition("key").sortWithinPartitions("key", "c")
+    runs = freed(stored(_runs(rows), "runs"))
+    first = stored(own.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "sets")
+    hubs = freed(stored(_hubs(runs, first), "hubs"))
+    links = freed(stored(_verify(docs, stored(_likely(hubs, profile), "likely"), first), "links"))
+    apart = freed(stored(_apart(runs, components(links)), "apart"))
+    rest = _likely(freed(stored(_counted(apart, first), "counted")), profile).unionByName(_met(apart, profile)).distinct()
+    joined = components(links.unionByName(_verify(docs, freed(stored(rest, "rest")), first)))
     named = joined.join(first, joined["node"] == first["c"]).groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    groups = joined.join(named, "component").select(F.col("node").alias("c"), "component_id").unionByName(first.join(joined, first["c"] == joined["node"], "left_anti").select("c", F.col("doc_id").alias("component_id")))
-    out = own.drop("sketch").join(groups, "c", "left")
-    alone = (F.col("n") == 0) | F.col("component_id").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    groups = joined.join(named, "component").select(F.col("node").alias("c"), F.col("component").alias("group_key"), "component_id")
+    alone = first.join(joined, first["c"] == joined["node"], "left_anti").select("c", F.col("c").alias("group_key"), F.col("doc_id").alias("component_id"))
+    out = own.join(groups.unionByName(alone), "c", "left")
+    single = (F.col("n") == 0) | F.col("component_id").isNull()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(single, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("group_key")).alias("group_key"), "text_hash")
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
