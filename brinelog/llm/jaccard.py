@@ -129,15 +129,15 @@ def keys(x: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    """At least twice as many bits as a set of the band has shingles, so that few changes fall on one bit and cancel out.
+    """A power of two that is at least twice a set's number of shingles, so that few changes fall on one bit and cancel out.
 
     Short sets get more, as their sketches are small anyway and near misses are what copies of one short text mostly are.
     """
-    return max(LEAST_BITS, 2 * RATIO ** (bands(n)[0] + 1))
+    return max(LEAST_BITS, 1 << (2 * n - 1).bit_length())
 
 
 def sketch(x: np.ndarray) -> bytes:
-    """Parity of the shingles at each of a band's number of bits. Folding halves by XOR gives the shorter sketch."""
+    """Parity of the shingles at each bit. Folding halves by XOR gives a shorter sketch."""
     m = sketch_bits(len(x))
     return np.packbits((np.bincount((x & _U(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -354,13 +354,15 @@ def _met(known: DataFrame, profile: DataFrame) -> DataFrame:
     def compare(group):
         _, i, j, mine, n, c, component, raw = (list(x) for x in zip(*group, strict=True))
         n, c, component, mine = (np.array(x) for x in (n, c, component, mine))
-        size = min(len(r) for r in raw) // 8
-        s = np.array([fold(r, size) for r in raw])
+        size, at, s = 0, 0, None
         for x in range(len(n) - 1):
-            y = np.arange(x + 1, int(np.searchsorted(n, n[x] * 4 // 3, "right")))  # n is sorted
+            if len(raw[x]) // 8 != size:  # n is sorted, so all that follow have sketches of this length at least
+                size, at = len(raw[x]) // 8, x
+                s = np.array([fold(r, size) for r in raw[x:]])
+            y = np.arange(x + 1, int(np.searchsorted(n, n[x] * 4 // 3, "right")))
             y = y[(component[y] != component[x]) & ((mine[y] != mine[x]) | (i[0] == j[0]))]
             if len(y):
-                y = y[np.bitwise_count(s[y] ^ s[x]).sum(1, dtype=np.int64) * 7 <= n[x] + n[y]]
+                y = y[np.bitwise_count(s[y - at] ^ s[x - at]).sum(1, dtype=np.int64) * 7 <= n[x] + n[y]]
                 if len(y):
                     yield np.full(len(y), c[x]), c[y]
 
