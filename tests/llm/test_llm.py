@@ -497,5 +497,26 @@ def test_pipeline(spark, docs):
         if name.startswith("n-gram"):
             brute = brute_components({r["doc_id"]: r["text"] for r in kept.collect()})
             assert sorted(r[0] for r in new.select("doc_id").collect()) == sorted(d for d, (_, c) in brute.items() if c == d)
+        if name.startswith("mixing"):
+            sized = [(r["doc_id"], r["source"], len(words(r["text"]))) for r in kept.collect()]
+            mixed = mixing.mix_sources(spark.createDataFrame(sized, "doc_id long, source string, size long")).collect()
+            want = Counter({r["doc_id"]: r["copies"] for r in mixed})
+            assert Counter(r[0] for r in new.select("doc_id").collect()) == +want
         kept = new
     _placed(p.pack(spark, kept, SF).collect())
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd, none):
+    import corpus_pipeline as p
+
+    rows = odd.select(*p.COLUMNS)
+    for name, stage in p.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+        assert stage(spark, rows, SF).count() <= 2 * len(ODD) + 10, name
+    assert p.language(spark, rows, SF).where("text IS NULL OR text = ''").count() == 0
+    a, b, c = "one two three four five six seven", "one two three four five six seven", "eight nine ten eleven twelve more words"
+    many = [(1, a, "en", "s", 3), (2, b, "en", "s", 3), (2, c, "en", "s", 3), (None, a, "en", "s", 3), (None, c, "en", "s", 3), (9, "", "en", "s", 0), (9, "", "en", "s", 0), (1, a, "en", "s", 3), (None, "alone", "en", "s", 1)]
+    got = p.one_of_each(spark, spark.createDataFrame(many, "doc_id long, text string, lang string, source string, n_chars long"), SF)
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, [(1, a), (2, c), (9, ""), (9, ""), (None, "alone")]))
+    mixed = p.mix(spark, got, SF)
+    assert {r["doc_id"] for r in mixed.collect()} <= {1, 2, 9, None} and mixed.columns == p.COLUMNS
