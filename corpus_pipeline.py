@@ -28,16 +28,43 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near duplicates. Documents without words stay."""
+    """One row, the one with the smallest doc_id (nulls last, then by its text's hash), of each group of near duplicates.
+
+    Rows are told apart by doc_id and text, so a text under a reused or null doc_id goes or stays by itself. Of repeated
+    rows one stays; rows without words all stay.
+    """
     groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(common.small(gone), "doc_id", "left_anti").select(*COLUMNS)
+    groups = common.stored(groups.where("group_key IS NOT NULL").select("doc_id", "text_hash", "group_key"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    firsts = groups.groupBy("group_key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = groups.groupBy("group_key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("again"))
+    told = members.join(firsts, "group_key").where("again > 1 OR NOT doc_id <=> first.doc_id OR text_hash <> first.text_hash")
+    told = common.stored(told.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays")), "told")
+    keyed = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("binary")).alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
+    rest = keyed.join(common.small(told), same, "left_anti")
+    repeated = keyed.join(common.small(told.where("stays")), same, "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return rest.unionByName(repeated).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of documents such that sources stand to each other as their weights say, as far as they reach."""
-    sized = docs.select(*COLUMNS).withColumn("size", mixing.word_count())
-    return mixing.emit(mixing.mix_sources(sized)).select(*COLUMNS)
+    """Copies of documents such that sources stand to each other as their weights say, as far as they reach.
+
+    The mix is made of narrow rows (doc_id, source, size, hash of the text), which then fetch the texts. One of several
+    rows that are equal in these stands for all: it is there as often as they are taken together.
+    """
+    keys = ["doc_id", "source", "size", "hash"]
+    docs = docs.select(*COLUMNS)
+    keyed = docs.withColumns({"size": mixing.word_count(), "hash": F.xxhash64(F.col("text").cast("binary"))})
+    mixed = mixing.mix_sources(common.stored(keyed.select(*keys), "sizes"))
+    taken = mixed.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    taken = common.stored(taken.withColumnsRenamed({k: f"_{k}" for k in keys}), "taken")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    once = keyed.join(common.small(taken.where("rows = 1")), same)
+    again = keyed.join(common.small(taken.where("rows > 1")), same).dropDuplicates(keys)
+    return mixing.emit(once.unionByName(again)).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
