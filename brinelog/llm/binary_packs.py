@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, tidy
 from .tokens import coder
 
 CAPACITY = 2048
@@ -107,7 +107,7 @@ def packed_sequences(docs: DataFrame, capacity: int = CAPACITY, batch_tokens: in
         if held:
             yield from matrix(held, kind)
 
-    return lean(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, SCHEMA).withColumn("sequence_id", F.monotonically_increasing_id())
+    return lean(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(tidy(run), SCHEMA).withColumn("sequence_id", F.monotonically_increasing_id())
 
 
 def write_matrix(packed: DataFrame, path: str) -> None:

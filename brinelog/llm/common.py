@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,27 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+def _trim() -> None:
+    """Give free memory of this Python worker back to the machine; workers live on, and share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a function for mapInArrow, that trims its worker when its input ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return wrapped
+
+
 def spare(name: str, *frames: DataFrame) -> str:
     """name, with as many underscores before it as it takes to be no column of frames."""
     taken = {c.lower() for df in frames for c in df.columns}

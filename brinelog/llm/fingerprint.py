@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, tidy
 from .words import BLOCK, mix
 
 WINDOW = 16
@@ -169,7 +169,7 @@ def rarity_ranks(docs: DataFrame) -> np.ndarray:
             total += histogram([t or b"" for t in batch.column(0).to_pylist()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(_BINS)), pa.array(total)], names=["bin", "n"])
 
-    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(tidy(count), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(_BINS, np.int64)
     for r in rows:
         n[r["bin"]] = r["n"]
@@ -249,7 +249,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
         )
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return dealt.mapInArrow(work, SCHEMA)
+    return dealt.mapInArrow(tidy(work), SCHEMA)
 
 
 def op10_document_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import freed, lean, small, stored
+from .common import freed, lean, small, stored, tidy
 from .graph import components
 from .words import Block, blocks, mix
 
@@ -194,7 +194,7 @@ def _profile(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(some), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, pa.array(list(some.values()), pa.int64()), pa.array(np.array(list(some), _U).view(np.int64)), pa.array([True] * len(some)), pa.nulls(len(some), pa.binary())], names=names)
 
-    return docs.mapInArrow(run, PROFILE)
+    return docs.mapInArrow(tidy(run), PROFILE)
 
 
 def _key_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -221,7 +221,7 @@ def _key_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
         sizes = [len(k) for k in ks]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.repeat(np.array(cs, np.int64), sizes))], names=["key", "c"])
 
-    return docs.select("text").mapInArrow(run, "key long, c long")
+    return docs.select("text").mapInArrow(tidy(run), "key long, c long")
 
 
 def _runs(rows: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def _runs(rows: DataFrame) -> DataFrame:
             last = sorted({int(start[-1]), len(k) - 1})
             carry = k[last], c[last], np.full(len(last), sizes[-1] > 1)
 
-    return rows.mapInArrow(run, "key long, c long")
+    return rows.mapInArrow(tidy(run), "key long, c long")
 
 
 def _hubs(runs: DataFrame, sets_: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def _likely(pairs: DataFrame, profile: DataFrame) -> DataFrame:
     known = _sketches(profile, pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
     left = known.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = known.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
             texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             yield batch.filter(pa.array([digest(x) == c for c, x in zip(names, all_sets(texts), strict=True)], pa.bool_()))  # of rows with one doc_id, the right one
 
-    members = stored(docs.join(small(wanted, MOST_NAMED), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "c").mapInArrow(own, "text binary, c long"), "members")
+    members = stored(docs.join(small(wanted, MOST_NAMED), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "c").mapInArrow(tidy(own), "text binary, c long"), "members")
     left = members.select(F.col("c").alias("a"), F.col("text").alias("ta"))
     right = members.select(F.col("c").alias("b"), F.col("text").alias("tb"))
 
@@ -312,7 +312,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
                 out.append(linked(x, held))
             yield batch.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _apart(runs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -392,7 +392,7 @@ def _met(known: DataFrame, profile: DataFrame) -> DataFrame:
         x = np.unique(np.sort(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

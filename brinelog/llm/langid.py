@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, lean, small, spare
+from .common import crc_mod, lean, small, spare, tidy
 from .words import BLOCK
 
 DIMENSIONS = 4096
@@ -155,7 +155,7 @@ def train(docs: DataFrame, sample_rows: int = 2000, clusters: int = 3, floor: fl
                 df += (grid > 0).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMENSIONS)), pa.array(np.concatenate([[n], df]))], names=["at", "n"])
 
-    found = {r["at"]: r["n"] for r in rows.select("text").mapInArrow(frequency, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    found = {r["at"]: r["n"] for r in rows.select("text").mapInArrow(tidy(frequency), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
     df = np.array([found.get(i, 0) for i in range(DIMENSIONS)])
     idf = (np.log((1 + found.get(-1, 0)) / (1 + df)) + 0.05).astype(np.float32)
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -175,7 +175,7 @@ def train(docs: DataFrame, sample_rows: int = 2000, clusters: int = 3, floor: fl
 
     schema = pa.schema([("lang", pa.string()), ("half", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
     chosen = rows.join(share, F.col("lang") == F.col("_lang")).where(draw < F.col("_share")).select("lang", "half", "text")
-    chosen = chosen.mapInArrow(measure, "lang string, half int, at binary, n binary").orderBy(F.xxhash64("at", "n"), "at", "n", "lang").limit(2 * sample_rows)
+    chosen = chosen.mapInArrow(tidy(measure), "lang string, half int, at binary, n binary").orderBy(F.xxhash64("at", "n"), "at", "n", "lang").limit(2 * sample_rows)
     by: dict[str, list[tuple[int, bytes, bytes]]] = {}
     for r in sorted(chosen.collect()):
         by.setdefault(r["lang"], []).append((r["half"], bytes(r["at"]), bytes(r["n"])))
@@ -227,7 +227,7 @@ def _floors(rows: DataFrame, idf: np.ndarray, halves: dict[str, list[np.ndarray]
 
     table = np.zeros((len(at), BANDS, BINS), np.int64)
     if at:
-        for r in rows.select("text", "lang", "half").mapInArrow(measure, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        for r in rows.select("text", "lang", "half").mapInArrow(tidy(measure), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
             table.flat[r["at"]] = r["n"]
     out = {}
     for lang, i in at.items():

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, stored
+from .common import lean, stored, tidy
 
 #: Payloads are padded to multiples of so many samples.
 UNIT = 192
@@ -176,7 +176,7 @@ def store_media(texts: DataFrame, name: str = "media") -> DataFrame:
 
         yield from _batches(rows(), STORED)
 
-    made = lean(texts.select(F.col("text").cast("binary").alias("text"))).mapInArrow(build, STORED)
+    made = lean(texts.select(F.col("text").cast("binary").alias("text"))).mapInArrow(tidy(build), STORED)
     return stored(made, name, compression="zstd")
 
 
@@ -195,7 +195,7 @@ def figures(media: DataFrame) -> DataFrame:
 
         yield from _batches(rows(), FIGURES)
 
-    rows = lean(media.where("media IS NOT NULL").select("digest", "n_bytes", "media")).mapInArrow(read, FIGURES)
+    rows = lean(media.where("media IS NOT NULL").select("digest", "n_bytes", "media")).mapInArrow(tidy(read), FIGURES)
     return rows.groupBy("digest").agg(*[F.any_value(c).alias(c) for c in (part.split()[0] for part in FIGURES.split(", ")[1:])])
 
 

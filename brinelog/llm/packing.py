@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, ranked, stored
+from .common import lean, ranked, stored, tidy
 from .tokens import coder
 
 CAPACITY = 2048
@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return lean(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(cut, PIECES)
+    return lean(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(tidy(cut), PIECES)
 
 
 Pattern = tuple[tuple[int, int], ...]
@@ -190,7 +190,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             new = {"sequence_id": at["sequence"][run] + step // each, "offset": at["offset"][run] + step % each * length}
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, new.values())], names=[*names, *new])
 
-    return rows.mapInArrow(place, rows.select(*items.columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema)
+    return rows.mapInArrow(tidy(place), rows.select(*items.columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:

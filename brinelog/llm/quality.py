@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, small, spare, stored
+from .common import lean, small, spare, stored, tidy
 from .words import blocks
 
 _KIND = np.zeros(256, np.uint8)
@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Logi
             x = features(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "quality"])
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(small(chosen), "doc_id").select("text", "quality").mapInArrow(measure, "x array<double>, quality double").collect()
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(small(chosen), "doc_id").select("text", "quality").mapInArrow(tidy(measure), "x array<double>, quality double").collect()
     rows = sorted((tuple(r["x"]), r["quality"]) for r in rows)
     return fit(np.array([r[0] for r in rows]).reshape(-1, 10), np.array([r[1] for r in rows]) >= 0.5)
 
