@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -39,8 +40,15 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
-def _trim() -> None:
-    """Give free memory of this Python worker back to the machine; workers live on, and share an executor's memory with its JVM."""
+_LAST = [0.0]
+
+
+def trim(seconds: float = 0.5) -> None:
+    """Give free memory of this Python worker back to the machine, if that is so long ago; workers live on and share an executor's memory with its JVM."""
+    now = time.monotonic()
+    if now - _LAST[0] < seconds:
+        return
+    _LAST[0] = now
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -49,13 +57,15 @@ def _trim() -> None:
 
 
 def tidy(run: Callable) -> Callable:
-    """run, a function for mapInArrow, that trims its worker when its input ends."""
+    """run, a function for mapInArrow, that trims its worker now and then and when its input ends."""
 
     def wrapped(batches):
         try:
-            yield from run(batches)
+            for batch in run(batches):
+                yield batch
+                trim()
         finally:
-            _trim()
+            trim(0)
 
     return wrapped
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, lean, small, spare, tidy
+from .common import crc_mod, lean, small, spare, tidy, trim
 from .words import BLOCK
 
 DIMENSIONS = 4096
@@ -23,7 +23,7 @@ FEW = 2
 ENOUGH = 8
 BINS = 200
 #: So many texts are counted at a time at most, whatever their lengths, as each takes a row of DIMENSIONS counts.
-ROWS = 256
+ROWS = 64
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
 _FOLD[97:123] = np.arange(97, 123)
@@ -261,6 +261,7 @@ def classify(model: Model):
             for i, best, c, band in zip(lettered[at : at + n], near.argmax(1).tolist(), near.max(1).tolist(), bands(grid).tolist(), strict=True):
                 lang[i], score[i], least[i] = model.langs[best], c, model.floors[best, band]
             at += n
+        trim()
         rejected = [k == "und" or s < f for k, s, f in zip(lang, score, least, strict=True)]
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(rejected, pa.bool_())], ["lang", "score", "rejected"])
 

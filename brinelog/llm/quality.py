@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, small, spare, stored, tidy
+from .common import lean, small, spare, stored, tidy, trim
 from .words import blocks
 
 _KIND = np.zeros(256, np.uint8)
@@ -113,7 +113,9 @@ def evidence(model: Logistic):
 
     @F.arrow_udf("double")
     def run(text: pa.Array) -> pa.Array:
-        return pa.array(np.clip(model.probability(features(text.to_pylist())), _TINY, 1 - _TINY))
+        p = np.clip(model.probability(features(text.to_pylist())), _TINY, 1 - _TINY)
+        trim()
+        return pa.array(p)
 
     return run
 

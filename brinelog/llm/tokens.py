@@ -9,6 +9,8 @@ import unicodedata
 
 import numpy as np
 
+from .common import trim
+
 #: How the tokenizer cuts words (fixed value); files that cut otherwise are followed too, word by word.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
@@ -74,7 +76,7 @@ class WordCoder:
     starts anew; results don't depend on it.
     """
 
-    def __init__(self, path: str, limit: int = 100_000):
+    def __init__(self, path: str, limit: int = 60_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -148,4 +150,5 @@ def coder(path: str | None = None) -> WordCoder:
         path = public_tokenizers.path("word_bpe_49k.json")
     if path not in _CODERS:
         _CODERS[path] = WordCoder(path)
+        trim(0)  # the file's tables take much more than the coder keeps
     return _CODERS[path]
