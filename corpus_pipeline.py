@@ -50,8 +50,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents such that sources stand to each other as their weights say, as far as they reach.
 
-    The mix is made of narrow rows (doc_id, source, size, hash of the text), which then fetch the texts. One of several
-    rows that are equal in these stands for all: it is there as often as they are taken together.
+    The mix is made of narrow rows (doc_id, source, size, hash of the text), which then fetch the texts in a shuffled join, as
+    they grow with the documents. One of several rows that are equal in these stands for all: it is there as often as they
+    are taken together.
     """
     keys = ["doc_id", "source", "size", "hash"]
     docs = docs.select(*COLUMNS)
@@ -62,7 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same = F.lit(True)
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    once = keyed.join(common.small(taken.where("rows = 1")), same)
+    once = keyed.join(taken.where("rows = 1").hint("merge"), same)
     again = keyed.join(common.small(taken.where("rows > 1")), same).dropDuplicates(keys)
     return mixing.emit(once.unionByName(again)).select(*COLUMNS)
 
