@@ -4,13 +4,26 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from dataclasses import asdict, dataclass, field, fields, replace
 
 BANDS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+#: Environment variables that are not just a field's name (fixed values).
+NAMES = {"cetp_dir": "CETP_DATA_DIR", "factory_dir": "FACTORY_DATA_DIR"}
+_STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "SSSSSS", "%y": "yy", "%j": "DDD", "%p": "a", "%I": "hh", "%b": "MMM", "%B": "MMMM", "%z": "xx", "%%": "%"}
+
+
+def spark_pattern(strftime: str) -> str:
+    """A strftime pattern as Spark writes it; letters between the directives are quoted."""
+    parts = re.split(r"(%.)", strftime)
+    if odd := [p for p in parts[1::2] if p not in _STRFTIME]:
+        raise ValueError(f"input_time_format has unknown directives: {', '.join(odd)}")
+    return "".join(_STRFTIME[p] if k % 2 else re.sub(r"([A-Za-z]+)", r"'\1'", p.replace("'", "''")) for k, p in enumerate(parts))
 
 
 @dataclass(frozen=True)
 class Config:
+    # names and defaults are fixed values
     window_seconds: int = 300
     window_duration_ms: int = 30_000
     window_hop_ms: int = 5_000
@@ -55,14 +68,19 @@ class Config:
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> Config:
-        """Defaults, with each field replaced by the environment variable of its upper-cased name, if set."""
+        """Defaults, with each field replaced by the environment variable of its upper-cased name (NAMES has the exceptions), if set.
+
+        INPUT_TIME_FORMAT may be a strftime pattern; it is turned into Spark's.
+        """
         env = os.environ if env is None else env
         base, new = cls(), {}
         for f in fields(cls):
-            if (raw := env.get(f.name.upper())) is not None:
+            if (raw := env.get(NAMES.get(f.name, f.name.upper()))) is not None:
                 kind = type(getattr(base, f.name))
                 new[f.name] = json.loads(raw) if kind is dict else kind(raw)
         out = replace(base, **new)
+        if "%" in out.input_time_format:
+            out = replace(out, input_time_format=spark_pattern(out.input_time_format))
         return replace(out, alert_min_risk_band=out.alert_min_risk_band.upper())
 
     def to_json(self) -> str:

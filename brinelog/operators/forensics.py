@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -30,16 +30,17 @@ def backtracked(shocks: DataFrame, sources: DataFrame, travel_s: int, tolerance_
     return out.withColumn("backtrack_time", F.timestamp_add("SECOND", F.lit(-travel_s), F.col("ts"))).select(*shocks.columns, "backtrack_time", F.col("_row.factory_id").alias("attributed_factory"), F.col("_row.ts").alias("source_ts"), F.col("_row.cod").alias("factory_cod"), *[F.col(f"_row.{c}").alias(f"factory_{c}") for c in sources.columns if c in ("bod", "tss")])
 
 
-def _anchored(df: DataFrame, width_s: int) -> Column:
-    """Tumbling window's number since the factory's own first row."""
+def _anchored(df: DataFrame, width_s: int) -> DataFrame:
+    """df with _b, the tumbling window's number since the factory's own first row. First times are aggregated and joined, so no task gets all of a factory's rows."""
     t = S.seconds(F.col("ts"))
-    return F.floor((t - F.min(t).over(Window.partitionBy("factory_id"))) / width_s)
+    first = df.groupBy(F.col("factory_id").alias("_factory")).agg(F.min(t).alias("_first"))
+    return df.join(first, F.col("factory_id").eqNullSafe(F.col("_factory"))).withColumn("_b", F.floor((t - F.col("_first")) / width_s)).drop("_factory", "_first")
 
 
 def zero_variance(df: DataFrame, width_s: int, least: float = 1e-4, min_rows: int = 2, tie: str = "ts") -> DataFrame:
     """Windows of (factory_id, ts, cod) with hardly any spread."""
     rows = df.where("cod IS NOT NULL AND ts IS NOT NULL")
-    g = rows.withColumn("_b", _anchored(rows, width_s)).groupBy("factory_id", "_b").agg(F.max("cod").alias("cod_max"), F.min("cod").alias("cod_min"), F.count("cod").alias("row_count"), F.max_by("ts", F.struct("ts", tie)).alias("window_end"))
+    g = _anchored(rows, width_s).groupBy("factory_id", "_b").agg(F.max("cod").alias("cod_max"), F.min("cod").alias("cod_min"), F.count("cod").alias("row_count"), F.max_by("ts", F.struct("ts", tie)).alias("window_end"))
     g = g.withColumn("cod_range", F.col("cod_max") - F.col("cod_min")).where((F.col("row_count") >= min_rows) & (F.col("cod_range") < least))
     return g.select(F.lit("ZERO_VARIANCE").alias("tamper_type"), "factory_id", "window_end", "cod_max", "cod_min", "cod_range", "row_count")
 
@@ -47,8 +48,9 @@ def zero_variance(df: DataFrame, width_s: int, least: float = 1e-4, min_rows: in
 def dilution(df: DataFrame, width_s: int, drop: float, stable: float, min_rows: int = 3, min_total: int = 6, tie: str = "ts") -> DataFrame:
     """Windows of (factory_id, ts, cod, tss) in which cod falls by drop against the last qualifying window while tss holds."""
     rows = df.where("cod IS NOT NULL AND tss IS NOT NULL AND ts IS NOT NULL")
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("factory_id"))).where(F.col("_n") >= min_total)
-    g = rows.withColumn("_b", _anchored(rows, width_s)).groupBy("factory_id", "_b").agg(F.avg("cod").alias("mean_cod"), F.avg("tss").alias("mean_tss"), F.count(F.lit(1)).alias("_n"), F.max_by("ts", F.struct("ts", tie)).alias("window_end")).where(F.col("_n") >= min_rows)
+    enough = rows.groupBy(F.col("factory_id").alias("_factory")).agg(F.count(F.lit(1)).alias("_total")).where(F.col("_total") >= min_total)
+    rows = rows.join(enough, F.col("factory_id").eqNullSafe(F.col("_factory")), "left_semi")
+    g = _anchored(rows, width_s).groupBy("factory_id", "_b").agg(F.avg("cod").alias("mean_cod"), F.avg("tss").alias("mean_tss"), F.count(F.lit(1)).alias("_n"), F.max_by("ts", F.struct("ts", tie)).alias("window_end")).where(F.col("_n") >= min_rows)
     w = Window.partitionBy("factory_id").orderBy("_b")
     g = g.withColumn("baseline_cod", F.lag("mean_cod").over(w)).withColumn("baseline_tss", F.lag("mean_tss").over(w))
     g = g.where((F.col("mean_cod") <= F.col("baseline_cod") * (1 - drop)) & (F.col("mean_tss") >= F.col("baseline_tss") * (1 - stable)))
@@ -59,7 +61,7 @@ def blackout(df: DataFrame, width_s: int, ratio: float = 0.80, min_rows: int | N
     """Windows in which at least ratio of the cod readings are null; min_rows: a row a minute unless given."""
     need = max(1, width_s // 60) if min_rows is None else min_rows
     rows = df.where("ts IS NOT NULL")
-    g = rows.withColumn("_b", _anchored(rows, width_s)).groupBy("factory_id", "_b").agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("cod").isNull()).alias("blackout_rows"), F.max_by("ts", F.struct("ts", tie)).alias("window_end"))
+    g = _anchored(rows, width_s).groupBy("factory_id", "_b").agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("cod").isNull()).alias("blackout_rows"), F.max_by("ts", F.struct("ts", tie)).alias("window_end"))
     g = g.withColumn("blackout_ratio", F.col("blackout_rows") / F.col("total_rows")).where((F.col("total_rows") >= need) & (F.col("blackout_ratio") >= ratio))
     return g.select(F.lit("BLACKOUT_TAMPER").alias("tamper_type"), "factory_id", "window_end", "total_rows", "blackout_rows", "blackout_ratio")
 

@@ -27,19 +27,23 @@ def per_minute(df: DataFrame, now: Column, window_s: float, ts: str = "ts") -> D
     return df.agg((F.count_if(recent) * 60.0 / window_s).alias("per_minute"))
 
 
-def kpis(events: DataFrame, anomalies: DataFrame, eri: DataFrame, alerts: DataFrame, uptime_s: float = 0.0) -> DataFrame:
-    """One row: each figure from its latest window. Every input is reduced to a row before the rows are put together."""
-    def latest(df: DataFrame, hop_s: int, agg: Column) -> DataFrame:
-        """agg over the latest of the windows that start every hop_s: it begins at the newest row's hop, so no row is copied into windows."""
-        step = F.floor(S.micros(F.col("ts")) / F.lit(hop_s * 1_000_000))
-        return df.withColumn("_step", step).crossJoin(F.broadcast(df.agg(F.max(step).alias("_top")))).where("_step = _top").agg(agg.alias("x"))
+def kpis(events: DataFrame, anomalies: DataFrame, eri: DataFrame, alerts: DataFrame, uptime_s: float = 0.0, cooldown_s: int = 60, eri_s: int = 300) -> DataFrame:
+    """One row of figures. The index is averaged over its last eri_s seconds, alerts count over their last cooldown_s.
+
+    A window ends with the newest row and leaves out what is just its length older; a length of 0 keeps the newest rows only.
+    eri and alerts are read twice each, so write them first if they are costly.
+    """
+
+    def latest(df: DataFrame, seconds: int, *aggs: Column) -> DataFrame:
+        t = S.micros(F.col("ts"))
+        top = df.agg(F.max(t).alias("_top"))
+        return df.crossJoin(F.broadcast(top)).where(t > F.col("_top") - max(seconds * 1_000_000, 1)).agg(*aggs)
 
     one = [
         events.agg(F.count(F.lit(1)).alias("events_processed_total"), F.max("ts").alias("last_event_timestamp")),
         anomalies.agg(F.count(F.lit(1)).alias("anomalies_detected_total")),
-        latest(alerts, 1, F.countDistinct("discharge_point_id")).select(F.coalesce("x", F.lit(0)).cast("long").alias("active_alerts_count")),
-        latest(eri, 10, F.avg("eri")).select(F.coalesce("x", F.lit(0.0)).alias("avg_eri_last_5min")),
-        latest(alerts, 10, F.max(S.band_rank(F.col("risk_band")) + 1)).select(S.rank_band(F.col("x")).alias("highest_risk_band")),
+        latest(alerts, cooldown_s, F.countDistinct("discharge_point_id").alias("active_alerts_count"), S.rank_band(F.max(S.band_rank(F.col("risk_band")) + 1)).alias("highest_risk_band")),
+        latest(eri, eri_s, F.coalesce(F.avg("eri"), F.lit(0.0)).alias("avg_eri_last_5min")),
     ]
     out = one[0]
     for x in one[1:]:
@@ -72,6 +76,17 @@ def recent(df: DataFrame, k: int, *order: str) -> DataFrame:
     return df.orderBy(*[F.desc(c) for c in order]).limit(k)
 
 
+def tally(df: DataFrame, column: str) -> DataFrame:
+    """Rows per value, null too."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def slice_figures(df: DataFrame, hours: float, threshold: float, ts: str = "ts") -> DataFrame:
+    """Mean, maximum, breaches and high breaches (twice the threshold) of the last hours, and the number of distinct sensors there."""
+    rows = window_slice(df, hours, threshold, ts)
+    return rows.agg(F.avg("value").alias("mean"), F.max("value").alias("most"), F.count_if("is_breach").alias("breaches"), F.count_if(F.col("value") >= 2 * F.col("threshold")).alias("high"), F.countDistinct("sensor_id").alias("sensors"))
+
+
 def window_slice(df: DataFrame, hours: float, threshold: float, ts: str = "ts") -> DataFrame:
     """Rows of the last hours before the newest one, each marked as a breach or not."""
     top = df.agg(F.max(S.micros(F.col(ts))).alias("_top"))

@@ -100,8 +100,10 @@ def scores(spark, sf):
 
 
 def zscore(spark, sf):
-    rows = scores(spark, sf).where("rolling_std > 1e-6")
-    return rows.transform(r6("rolling_mean", "rolling_std", "z_score"))
+    """Windows of one row or of equal ones have hardly more than epsilon for a deviation; there a score's sign is shown, as its size is noise."""
+    rows = scores(spark, sf)
+    flat = F.col("rolling_std") <= 1e-6
+    return rows.withColumn("z_score", F.when(flat, F.signum(F.round(F.col("value") - F.col("rolling_mean"), 6))).otherwise(F.col("z_score"))).transform(r6("rolling_mean", "rolling_std", "z_score"))
 
 
 def persistence(spark, sf):
@@ -216,9 +218,10 @@ DARK = _anchored(FACTORY) + """ SELECT 'BLACKOUT_TAMPER' AS tamper_type, factory
 
 
 def kpis(spark, sf):
-    rows = risk.risk_index(groups(spark, sf), CFG)
-    raised = risk.alerts(rows, CFG)
-    out = report.kpis(events(spark, sf), rows.where("is_group_anomaly"), rows, raised).transform(r6("avg_eri_last_5min"))
+    """The index and the alerts are written once, so that each step of the chain is worked once."""
+    rows = _written(risk.risk_index(groups(spark, sf), CFG))
+    raised = _written(risk.alerts(rows, CFG))
+    out = report.kpis(events(spark, sf), rows.where("is_group_anomaly"), rows, raised, cooldown_s=CFG.alert_cooldown_seconds).transform(r6("avg_eri_last_5min"))
     return out.drop("pipeline_uptime_seconds")
 
 
@@ -270,14 +273,30 @@ def distinct_sensors(spark, sf):
     return events(spark, sf).select(F.col("event_type").alias("sensor_id")).distinct()
 
 
-def _folder() -> str:
-    return f"{tempfile.gettempdir()}/brinelog-{uuid.uuid4().hex}"
-
-
 def _scratch(spark: SparkSession) -> str:
     """A new folder under the cluster's shared one, or a temporary one in local runs without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root}/brinelog-{uuid.uuid4().hex}" if root else _folder()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root or tempfile.gettempdir()}/brinelog-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = _scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def slice_figures(spark, sf):
+    return report.slice_figures(readings(spark, sf), 24, 150.0).transform(r6("mean"))
+
+
+def alert_levels(spark, sf):
+    return report.tally(tripwire(spark, sf), "alert_level")
+
+
+def tamper_types(spark, sf):
+    return report.tally(forensics.all_tampering(*_tamper(spark, sf)), "tamper_type")
 
 
 def csv_roundtrip(spark, sf):
@@ -307,7 +326,7 @@ def queries() -> dict:
     own = [
         validate_valid, validate_quarantine, tripwire, rolling_mean, windowed_stats, zscore, persistence, persistence_strict, group_anomalies, attribution, eri, alerts, cooldown, backtrack,
         tamper_zero_variance, tamper_dilution, tamper_blackout, tamper_all, kpis, latency_percentiles, latency_recent, alerts_per_minute, stage_unpivot, factory_summary, factory_extremes,
-        top_attributed, recent_k, window_slice, breach_count, distinct_sensors, csv_roundtrip, jsonl_scan, stream_windowed_stats,
+        top_attributed, recent_k, window_slice, breach_count, distinct_sensors, csv_roundtrip, jsonl_scan, stream_windowed_stats, slice_figures, alert_levels, tamper_types,
     ]
     return {f.__name__: f for f in own}
 
@@ -333,7 +352,7 @@ def oracle_sql() -> dict[str, str]:
         "rolling_mean": f"WITH {_ends('')} SELECT max(ts) AS ts, round(avg(value), 6) AS rolling_mean FROM w GROUP BY window_end",
         "windowed_stats": f"WITH {STATS} SELECT sensor_id, window_start, window_end, round(mean, 6) AS mean, round(std, 6) AS std, min, max, sample_count FROM s",
         "stream_windowed_stats": f"WITH {STATS} SELECT sensor_id, window_start, window_end, round(mean, 6) AS mean, round(std, 6) AS std, min, max, sample_count FROM s",
-        "zscore": f"WITH {SCORES} SELECT sensor_id, ts, value, event_id, round(rolling_mean, 6) AS rolling_mean, round(rolling_std, 6) AS rolling_std, round(z_score, 6) AS z_score, is_anomaly FROM z WHERE rolling_std > 1e-6",
+        "zscore": f"WITH {SCORES} SELECT sensor_id, ts, value, event_id, round(rolling_mean, 6) AS rolling_mean, round(rolling_std, 6) AS rolling_std, round(CASE WHEN rolling_std <= 1e-6 THEN sign(round(value - rolling_mean, 6)) ELSE z_score END, 6) AS z_score, is_anomaly FROM z",
         "persistence": f"WITH {ISLANDS} SELECT sensor_id, ts, event_id, consecutive_count FROM p WHERE is_anomaly AND consecutive_count >= 2",
         "persistence_strict": f"WITH {ISLANDS} SELECT sensor_id, ts, event_id, consecutive_count FROM p WHERE is_anomaly AND consecutive_count >= 3",
         "group_anomalies": f"WITH {GROUPS} SELECT group_name, bucket, ts, n, round(composite_score, 6) AS composite_score, contributing_sensors, missing_sensors, is_group_anomaly, top_contributor, alert_message FROM g",
@@ -348,9 +367,9 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT tamper_type, factory_id, window_end, NULL, NULL, blackout_ratio, CAST(floor(blackout_ratio * 100) AS BIGINT) || '% null readings  (' || blackout_rows || ' / ' || total_rows || ' rows)' FROM (WITH {DARK})""",
         "kpis": f"""WITH RECURSIVE {ALERTS}, top AS (SELECT max(ts) AS t FROM al), te AS (SELECT max(ts) AS t FROM b)
             SELECT (SELECT count(*) FROM events) AS events_processed_total, (SELECT max(ts) FROM events) AS last_event_timestamp, (SELECT count(*) FROM b WHERE is_group_anomaly) AS anomalies_detected_total,
-            (SELECT count(DISTINCT discharge_point_id) FROM al, top WHERE date_trunc('second', ts) = date_trunc('second', t)) AS active_alerts_count,
-            (SELECT round(avg(eri), 6) FROM b, te WHERE floor(epoch(ts) / 10) = floor(epoch(t) / 10)) AS avg_eri_last_5min,
-            (SELECT CASE max(band) WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END FROM al, top WHERE floor(epoch(ts) / 10) = floor(epoch(t) / 10)) AS highest_risk_band""",
+            (SELECT count(DISTINCT discharge_point_id) FROM al, top WHERE ts > t - INTERVAL 6 HOUR) AS active_alerts_count,
+            (SELECT round(avg(eri), 6) FROM b, te WHERE ts > t - INTERVAL 5 MINUTE) AS avg_eri_last_5min,
+            (SELECT CASE max(band) WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END FROM al, top WHERE ts > t - INTERVAL 6 HOUR) AS highest_risk_band""",
         "latency_percentiles": "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n FROM events",
         "latency_recent": "SELECT p50, p99, n, printf('Latency P50: %.1fms | P99: %.1fms | Alerts/min: %.1f', p50, p99, 2.0::DOUBLE) AS summary FROM (SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n FROM (SELECT value FROM events ORDER BY event_id DESC LIMIT 1000))",
         "alerts_per_minute": "SELECT count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 6 HOUR) * 60.0::DOUBLE / 21600 AS per_minute FROM events WHERE value >= 100",
@@ -365,6 +384,9 @@ def oracle_sql() -> dict[str, str]:
         "recent_k": f"SELECT event_id, ts, value, alert_level FROM ({trip}) ORDER BY ts DESC, event_id DESC LIMIT 12",
         "window_slice": "SELECT event_id, ts, value, value >= 150 AS is_breach, 150.0::DOUBLE AS threshold FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR",
         "breach_count": "SELECT arg_max(value, {'t': ts, 'e': event_id}) AS current, max(value) AS most, count(*) FILTER (WHERE value >= 150) AS breaches FROM events",
+        "slice_figures": "SELECT round(avg(value), 6) AS mean, max(value) AS most, count(*) FILTER (WHERE value >= 150) AS breaches, count(*) FILTER (WHERE value >= 300) AS high, count(DISTINCT event_type) AS sensors FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR",
+        "alert_levels": f"SELECT alert_level, count(*) AS n FROM ({trip}) GROUP BY alert_level",
+        "tamper_types": f"SELECT tamper_type, count(*) AS n FROM (SELECT tamper_type FROM (WITH {ZERO}) UNION ALL SELECT tamper_type FROM (WITH {DILUTION}) UNION ALL SELECT tamper_type FROM (WITH {DARK})) GROUP BY tamper_type",
         "distinct_sensors": "SELECT DISTINCT event_type AS sensor_id FROM events",
         "csv_roundtrip": "SELECT event_id AS s_no, strftime(ts, '%Y-%m-%d %H:%M') AS time, CAST(user_id AS VARCHAR) AS factory_id, CASE WHEN event_id % 7 > 0 THEN value END AS cod, 7.2::DOUBLE AS ph, CASE WHEN event_id % 7 > 0 THEN 'NORMAL' ELSE 'BLACKOUT' END AS status FROM events",
         "jsonl_scan": f"WITH {SHOCKS} SELECT shock_id, value, attributed_factory, factory_cod FROM bt",

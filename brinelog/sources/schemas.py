@@ -11,8 +11,10 @@ def schema(ddl: str) -> StructType:
     return StructType([StructField(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(","))])
 
 
-FOUR = ("cod", "bod", "ph", "tss")
-CETP = schema("s_no long, time string, " + ", ".join(f"cetp_{side}_{m} double" for side in ("inlet", "outlet") for m in FOUR))
+CETP = schema(
+    "s_no long, time string, cetp_inlet_cod double, cetp_inlet_bod double, cetp_inlet_ph double, cetp_inlet_tss double, "
+    "cetp_outlet_cod double, cetp_outlet_bod double, cetp_outlet_ph double, cetp_outlet_tss double"
+)
 FACTORY = schema("s_no long, time string, factory_id string, cod double, bod double, ph double, tss double")
 EVIDENCE = schema("logged_at string, cetp_event_time string, cetp_cod double, breach_mag double, alert_level string, backtrack_time string, attributed_factory string, factory_cod double, factory_bod double, factory_tss double")
 TAMPER = schema(
@@ -20,4 +22,15 @@ TAMPER = schema(
     "total_rows long, blackout_rows long, blackout_ratio double, logged_at string"
 )
 #: Raw plant headers and ours (fixed values).
-RAW_HEADERS = {"S. No": "s_no", "Time": "time"} | {f"CETP_{side}-{m} - ({unit}) Raw": f"cetp_{side.lower()}_{m.lower()}" for side in ("INLET", "OUTLET") for m, unit in (("COD", "mg/l"), ("BOD", "mg/l"), ("pH", "pH"), ("TSS", "mg/l"))}
+RAW_HEADERS = {
+    "S. No": "s_no",
+    "Time": "time",
+    "CETP_INLET-COD - (mg/l) Raw": "cetp_inlet_cod",
+    "CETP_INLET-BOD - (mg/l) Raw": "cetp_inlet_bod",
+    "CETP_INLET-pH - (pH) Raw": "cetp_inlet_ph",
+    "CETP_INLET-TSS - (mg/l) Raw": "cetp_inlet_tss",
+    "CETP_OUTLET-COD - (mg/l) Raw": "cetp_outlet_cod",
+    "CETP_OUTLET-BOD - (mg/l) Raw": "cetp_outlet_bod",
+    "CETP_OUTLET-pH - (pH) Raw": "cetp_outlet_ph",
+    "CETP_OUTLET-TSS - (mg/l) Raw": "cetp_outlet_tss",
+}

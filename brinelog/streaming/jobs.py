@@ -106,8 +106,8 @@ def evidence_sink(df: DataFrame, attribute: Callable[[DataFrame], DataFrame], pa
 
     def write(batch: DataFrame, batch_id: int) -> None:
         files.append_jsonl(attribute(batch), path, batch_id)
-        if webhook:
-            for r in attribute(batch).toLocalIterator():
+        if webhook:  # from what was written, so that a batch is attributed once
+            for r in df.sparkSession.read.json(f"{path}/batch={batch_id}").toLocalIterator():
                 files.post_webhook(r.asDict(), webhook)
 
     return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(processingTime="1 second")

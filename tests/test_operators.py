@@ -27,6 +27,11 @@ def test_config_rejects(field, value):
     assert Config.from_env({"PERSISTENCE_COUNT": "5", "ALERT_MIN_RISK_BAND": "high"}).checked().persistence_count == 5
 
 
+def test_config_environment():
+    cfg = Config.from_env({"CETP_DATA_DIR": "/a", "FACTORY_DATA_DIR": "/b", "INPUT_TIME_FORMAT": "%Y-%m-%dT%H:%M"})
+    assert (cfg.cetp_dir, cfg.factory_dir, cfg.input_time_format) == ("/a", "/b", "yyyy-MM-dd'T'HH:mm")
+
+
 def test_glob():
     for pattern in ("*ph*", "a?c", "[ab]*", "[!ab]*", "x.y", "*"):
         for s in ("FACTORY_PH_1", "my_ph_2", "abc", "bcd", "x.y", "xzy"):
