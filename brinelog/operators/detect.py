@@ -56,14 +56,24 @@ def scored(df: DataFrame, duration: str, hop: str, hop_unit: str | None, cfg: Co
     return joined.withColumn("z_score", z).withColumn("is_anomaly", F.abs("z_score") > cfg.zscore_threshold)
 
 
-def persisted(df: DataFrame, count: int, tie: str | None = None) -> DataFrame:
+def persisted(df: DataFrame, count: int, tie: str | None = None, chunk_s: int = 3600) -> DataFrame:
     """Rows whose run of successive anomalies in their sensor's order (ts, then tie) has reached count; every such row.
 
-    Runs are islands between non-anomalies: both windows are partitioned by sensor, so one exchange serves both.
+    A sensor's rows are cut into chunks of chunk_s seconds, so that a busy sensor spreads over tasks. Runs are islands between
+    non-anomalies within a chunk; what a chunk's last run hands on to the next chunks is summed from one row a chunk.
     """
     order = ["ts"] + ([tie] if tie else [])
     hit = F.col("is_anomaly").cast("int")
-    by = Window.partitionBy("sensor_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    island = Window.partitionBy("sensor_id", "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_island", F.sum(1 - hit).over(by)).withColumn("consecutive_count", F.sum(hit).over(island))
-    return rows.where(F.col("is_anomaly") & (F.col("consecutive_count") >= count)).drop("_island")
+    upto = (Window.unboundedPreceding, 0)
+    by = Window.partitionBy("sensor_id", "_chunk").orderBy(*order).rowsBetween(*upto)
+    island = Window.partitionBy("sensor_id", "_chunk", "_island").orderBy(*order).rowsBetween(*upto)
+    rows = df.withColumn("_chunk", F.floor(S.micros(F.col("ts")) / (chunk_s * 1_000_000)))
+    rows = rows.withColumn("_island", F.coalesce(F.sum(1 - hit).over(by), F.lit(0))).withColumn("_run", F.coalesce(F.sum(hit).over(island), F.lit(0)))
+    ends = rows.groupBy("sensor_id", "_chunk").agg(F.max("_island").alias("_breaks"), F.max(F.struct("_island", "_run"))["_run"].alias("_tail"))
+    chunks = Window.partitionBy("sensor_id").orderBy("_chunk")
+    ends = ends.withColumn("_since", F.sum((F.col("_breaks") > 0).cast("int")).over(chunks.rowsBetween(*upto)))
+    ends = ends.withColumn("_handed", F.sum("_tail").over(Window.partitionBy("sensor_id", "_since").orderBy("_chunk").rowsBetween(*upto)))
+    carry = ends.select(F.col("sensor_id").alias("_sensor"), F.col("_chunk").alias("_into"), F.lag("_handed").over(chunks).alias("_carry")).where("_carry > 0")
+    rows = rows.join(carry, F.col("sensor_id").eqNullSafe(F.col("_sensor")) & F.col("_chunk").eqNullSafe(F.col("_into")), "left")
+    before = F.when(F.col("_island") == 0, F.coalesce("_carry", F.lit(0))).otherwise(0)
+    return rows.withColumn("consecutive_count", F.col("_run") + before).where(F.col("is_anomaly") & (F.col("consecutive_count") >= count)).select(*df.columns, "consecutive_count")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,29 +61,35 @@ def risk_index(groups: DataFrame, cfg: Config) -> DataFrame:
 def cooled(df: DataFrame, key: str, cooldown: int, ts: str = "ts", tie: str | None = None) -> DataFrame:
     """Rows at least cooldown seconds after the last row kept of their key; rows without ts are always kept and count for nothing.
 
-    A row that comes cooldown or more after the row before it is kept whatever happened before, so the rows between
-    two such gaps are decided on their own: only such a stretch is folded as an array, never a whole key.
+    Rows are dealt by key, sorted, and walked as a stream that remembers one time: from a kept row a binary search finds the
+    next one, so a key of any length takes linear time and the memory of a batch. A key's walk is one task, as each decision
+    depends on the one before it. Rows without a key are a key of their own.
     """
     if cooldown <= 0:
         return df
-    dated = df.where(F.col(ts).isNotNull()).withColumn("_t", S.micros(F.col(ts)))
-    order = ["_t"] + ([tie] if tie else [])
-    w = Window.partitionBy(key).orderBy(*order)
     width = cooldown * 1_000_000
-    opens = F.coalesce((F.col("_t") - F.lag("_t").over(w) >= width).cast("int"), F.lit(1))
-    rows = dated.withColumn("_open", opens).withColumn("_stretch", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(key, "_stretch").orderBy(*order)))
-    times = F.transform(F.sort_array(F.collect_list(F.struct("_at", "_t"))), lambda x: x["_t"])
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<boolean>").alias("kept"))
-
-    def step(a, t):
-        keep = a["last"].isNull() | (t - a["last"] >= width)
-        return F.struct(F.when(keep, t).otherwise(a["last"]).alias("last"), F.concat(a["kept"], F.array(keep)).alias("kept"))
-
-    long = rows.groupBy(key, "_stretch").agg(F.aggregate(times, start, step, lambda a: a["kept"]).alias("_kept"))
-    flags = long.select(F.col(key).alias("_key"), F.col("_stretch").alias("_s"), F.posexplode("_kept").alias("_p", "_keep")).where("_keep")
-    cond = rows[key].eqNullSafe(F.col("_key")) & (F.col("_stretch") == F.col("_s")) & (F.col("_at") == F.col("_p") + 1)
-    return rows.join(flags, cond, "left_semi").select(*df.columns).unionByName(df.where(F.col(ts).isNull()))
+    dated = df.where(F.col(ts).isNotNull()).withColumn("_t", S.micros(F.col(ts)))
+    dated = dated.repartition(key).sortWithinPartitions(key, "_t", *([tie] if tie else []))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, last = None, None
+        for batch in batches:
+            keys, t = batch.column(key), batch.column("_t").to_numpy()
+            codes = keys.dictionary_encode("encode").indices.to_numpy()
+            bounds = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(t)] if len(t) else []
+            kept = []
+            for begin, end in itertools.pairwise(bounds):
+                this = keys[begin].as_py()
+                if begin or this != open_key:
+                    open_key, last = this, None
+                at = begin if last is None else begin + int(np.searchsorted(t[begin:end], last + width))
+                while at < end:
+                    kept.append(at)
+                    last = t[at]
+                    at += int(np.searchsorted(t[at:end], last + width))
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return dated.mapInArrow(walk, dated.schema).select(*df.columns).unionByName(df.where(F.col(ts).isNull()))
 
 
 def alerts(eri: DataFrame, cfg: Config) -> DataFrame:

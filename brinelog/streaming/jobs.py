@@ -88,14 +88,15 @@ def last_of_each(*keys: str) -> Callable[[DataFrame], DataFrame]:
     return run
 
 
-def replayed(spark: SparkSession, schema: StructType, path: str, build: Callable[[DataFrame], DataFrame], folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all files at path to its end and reads what it wrote, with each row's batch as _batch."""
+def replayed(spark: SparkSession, schema: StructType, path: str, build: Callable[[DataFrame], DataFrame], folder: str, mode: str = "append", files_a_batch: int = 1000) -> DataFrame:
+    """Runs a stream over all files at path to its end, oldest first, and reads what it wrote, with each row's batch as _batch."""
 
     def write(df: DataFrame, batch: int) -> None:
         df.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
 
     parent, name = path.rsplit("/", 1)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(parent) if name.endswith(".parquet") else spark.readStream.schema(schema).parquet(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch)
+    stream = reader.option("pathGlobFilter", name).parquet(parent) if name.endswith(".parquet") else reader.parquet(path)
     query = build(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/out")

@@ -62,14 +62,41 @@ def _runs(hits):
     return out
 
 
-def test_persistence_against_a_loop(spark):
+@pytest.mark.parametrize("chunk_s", [300, 3600, 10**9])
+@pytest.mark.parametrize("share", [0.6, 0.95])
+def test_persistence_against_a_loop(spark, chunk_s, share):
     rnd = random.Random(3)
-    rows = [(s, at(i), i, rnd.random() < 0.6) for s in "abc" for i in range(60)]
-    got = {(r["sensor_id"], r["event_id"]): r["consecutive_count"] for r in detect.persisted(spark.createDataFrame(rows, "sensor_id string, ts timestamp_ntz, event_id long, is_anomaly boolean"), 2, "event_id").collect()}
-    want = {(s, i): n for s in "abc" for i, n in enumerate(_runs([r[3] for r in rows if r[0] == s])) if n >= 2}
+    rows = [(s, at(i), i, rnd.random() < share) for s in ("a", "b", None) for i in sorted(rnd.sample(range(300), 60))]
+    df = spark.createDataFrame(rows, "sensor_id string, ts timestamp_ntz, event_id long, is_anomaly boolean")
+    got = {(r["sensor_id"], r["event_id"]): r["consecutive_count"] for r in detect.persisted(df, 2, "event_id", chunk_s).collect()}
+    want = {}
+    for s in ("a", "b", None):
+        mine = [r for r in rows if r[0] == s]
+        want |= {(s, r[2]): n for r, n in zip(mine, _runs([r[3] for r in mine]), strict=True) if n >= 2}
     assert got == want
 
 
+def test_streams_carry_state_over_batches(spark, tmp_path):
+    rnd = random.Random(11)
+    rows = [(rnd.choice("ab"), at(i), i, rnd.random() < 0.8) for i in range(90)]
+    df = spark.createDataFrame(rows, "sensor_id string, ts timestamp_ntz, event_id long, is_anomaly boolean")
+    for k in range(3):
+        df.where(F.col("event_id").between(30 * k, 30 * k + 29)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    runs = jobs.replayed(spark, df.schema, str(tmp_path / "in"), lambda s: jobs.persisted(s, 2), str(tmp_path / "p"), files_a_batch=1)
+    same = detect.persisted(df, 2, "event_id")
+    assert {(r["event_id"], r["consecutive_count"]) for r in runs.collect()} == {(r["event_id"], r["consecutive_count"]) for r in same.collect()}
+    kept = jobs.replayed(spark, df.schema, str(tmp_path / "in"), lambda s: jobs.cooled(s, "sensor_id", 600), str(tmp_path / "c"), files_a_batch=1)
+    assert kept.select("_batch").distinct().count() == 3
+    assert {r["event_id"] for r in kept.collect()} == {r["event_id"] for r in risk.cooled(df, "sensor_id", 600, tie="event_id").collect()}
+
+
+def test_cooldown_of_one_busy_key(spark):
+    ts = F.timestamp_seconds(F.col("id") + F.lit(1_700_000_000)).cast("timestamp_ntz").alias("ts")
+    df = spark.range(1_000_000).select(F.lit(None).cast("string").alias("k"), ts, F.col("id").alias("event_id"))
+    got = risk.cooled(df, "k", 600, tie="event_id").agg(F.count("*"), F.sum(F.col("event_id") % 600)).first()
+    assert tuple(got) == (1667, 0)
+
+
 def test_cooldown_against_a_loop_and_stream(spark, tmp_path):
     rnd = random.Random(5)
     rows = [(rnd.choice("ab"), at(m), m) for m in sorted(rnd.sample(range(600), 200))]
