@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -25,6 +26,7 @@ def _letters() -> str:
 _LETTERS = re.escape(_letters())
 #: Words whose cut and lower case need no tables of the tokenizer's: printable ASCII and the letters above.
 _KNOWN = re.compile(f"[!-~{_LETTERS}]+")
+_ALL_KNOWN = re.compile(f"[ -~{_LETTERS}]+")
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}]+")
 
 
@@ -97,26 +99,24 @@ class WordCoder:
         self.largest = max(self.tokenizer.get_vocab().values(), default=0)
 
     def _learn(self, words: list[bytes]) -> None:
-        pieces: list[str] = []
-        counts, plain = [], []
-        for w in words:
-            s = w.decode()
-            if self.ranked is None or "<|" in s or not _KNOWN.fullmatch(s):
-                self.cache[w] = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            s = s.lower()
-            cut = [s] if s.isalpha() else _PIECE.findall(s)
-            pieces += cut
-            counts.append(len(cut))
-            plain.append(w)
+        """Words are checked, lower-cased and merged all at once; only where one of them isn't known are they told apart."""
+        text, plain = b" ".join(words).decode(), words
+        if self.ranked is None or "<|" in text or not _ALL_KNOWN.fullmatch(text):
+            plain = []
+            for w in words:
+                s = w.decode()
+                if self.ranked is None or "<|" in s or not _KNOWN.fullmatch(s):
+                    self.cache[w] = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+                else:
+                    plain.append(w)
+            text = b" ".join(plain).decode()
         if plain:
-            ranks = np.asarray(self.ranked.encode_to_numpy("\0 ".join(pieces) + "\0"))
+            cut = [s if s.isalpha() else "\0 ".join(_PIECE.findall(s)) for s in text.lower().split(" ")]
+            ranks = np.asarray(self.ranked.encode_to_numpy("\0 ".join(cut) + "\0"))
             raw = self.ids[ranks].tobytes()
-            stops = (np.flatnonzero(self.ends[ranks]) + 1)[np.cumsum(counts) - 1] * 4
-            begin = 0
-            for w, stop in zip(plain, stops.tolist(), strict=True):
-                self.cache[w] = raw[begin:stop]
-                begin = stop
+            pieces = np.array([s.count("\0") for s in cut]) + 1
+            stops = (np.flatnonzero(self.ends[ranks]) + 1)[np.cumsum(pieces) - 1] * 4
+            self.cache.update(zip(plain, [raw[i:j] for i, j in itertools.pairwise([0, *stops.tolist()])], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A part of the texts at a time, so that the cache stays near its limit."""
