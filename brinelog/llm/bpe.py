@@ -180,13 +180,14 @@ def _over(df: DataFrame, source: str, name: str, kind: str, make) -> DataFrame:
     """df with a column name that make turns the source column's Arrow arrays, of at most TEXTS rows, into; one of that name is replaced."""
     kept = df.drop(name)
     given = source if source in kept.columns else common.spare("source", kept)
+    names = kept.columns
     rows = kept if given == source else df.select(*kept.columns, F.col(source).alias(given))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                yield pa.record_batch([*(part.column(c) for c in kept.columns), make(part.column(given))], names=[*kept.columns, name])
+                yield pa.record_batch([*(part.column(c) for c in names), make(part.column(given))], names=[*names, name])
 
     return rows.mapInArrow(common.tidy(run), kept.withColumn(name, F.lit(None).cast(kind)).schema)
 

@@ -31,7 +31,6 @@ BITS = 9
 CELL, GROUP, LEAST, PARTS = 65_536, 65_536, 2048, 64
 #: Rows and anchors that are multiplied together.
 ROWS, ANCHORS = 2048, 128
-#: Id of rows without one: they come last among equal scores.
 LAST = (1 << 63) - 1
 
 #: A window's state: rows are wanted from high down to low, need of them; those over high are taken. Below wide bits of
@@ -206,10 +205,10 @@ class Grid:
         low = F.greatest(high - step + 1, F.col("low"))
         whole = need == F.col("_at.n")
         bits = F.greatest(F.col("wide") - self.bits, F.lit(0))
-        size = F.expr(f"shiftleft(1L, greatest(wide - {self.bits}, 0))")
-        first_id = F.col("first_id") + bucket * size
+        first_id = F.call_function("shiftleft", F.call_function("shiftright", "first_id", bits) + bucket, bits)
+        last_id = first_id.bitwiseOR(F.when(bits > 0, F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - bits)).otherwise(F.lit(0).cast("long")))
         by_score = F.struct(high.alias("high"), low.alias("low"), need.alias("need"), (low == high).alias("tie"), F.col("first_id"), F.col("wide"), whole.alias("done"), F.lit(LAST).alias("last_id"))
-        by_id = F.struct(F.col("high"), F.col("low"), need.alias("need"), F.lit(True).alias("tie"), first_id.alias("first_id"), bits.alias("wide"), (whole | (bits == 0)).alias("done"), (first_id + (size - 1)).alias("last_id"))
+        by_id = F.struct(F.col("high"), F.col("low"), need.alias("need"), F.lit(True).alias("tie"), first_id.alias("first_id"), bits.alias("wide"), (whole | (bits == 0)).alias("done"), last_id.alias("last_id"))
         none = F.struct(F.col("high"), F.col("low"), F.col("need"), F.col("tie"), F.col("first_id"), F.col("wide"), F.lit(True).alias("done"), F.lit(LAST).alias("last_id"))
         new = both.withColumn("_new", F.when(~enough, none).when(F.col("tie"), by_id).otherwise(by_score))
         return new.select("anchor", "place", "top", *[F.col(f"_new.{c}").alias(c) for c in STATES if c != "top"])
@@ -231,22 +230,24 @@ def hard_negatives(df: DataFrame, every: int = 100, positives: int = 5, negative
     both included. First means by score down, then id up, rows without id last. For a positive score below 0 there are none.
 
     Rows with a null label, a null vector or a null or non-finite component take no part. Repeated rows are rows like any
-    other: a repeated anchor asks once a row, and a copy of the anchor may be its positive. Other columns are left out.
+    other: a repeated anchor asks once a row, and a copy of the anchor may be its positive. Other columns are left out. An id
+    of 2^63 - 1 can't be told from none.
     """
     most_size = df.agg(F.max(F.size(vector)).alias("n")).first().n or 0
     dims = max(most_size, 1)
     shown = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     named = df.select(F.col(id).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("given"))
-    rows = named.where(F.col("label").isNotNull() & vectors.finite("given")).select(F.monotonically_increasing_id().alias("row"), F.coalesce("id", F.lit(LAST)).alias("id"), F.col("id").isNotNull().alias("has_id"), "label", vectors.whole("given", dims).alias("vector"))
+    rows = named.where(F.col("label").isNotNull() & vectors.finite("given")).select(F.monotonically_increasing_id().alias("row"), "id", "label", vectors.whole("given", dims).alias("vector"))
     rows = common.stored(rows, "vectors")  # row numbers must stay as they are
-    asks = F.col("has_id") & (F.col("id") % every == 0)
+    asks = F.coalesce(F.col("id") % every == 0, F.lit(False))
     square = F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
     told = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(asks).alias("anchors"), F.max(square).alias("reach"), F.min("id").alias("first"), F.max("id").alias("last")).first()
     if not told.anchors:
         return df.sparkSession.createDataFrame([], shown)
-    rows = rows.select("row", "id", "label", "vector", asks.alias("asks"))
+    none = min(told.last + 1, LAST)  # the id of rows without one, behind all others
+    rows = rows.select("row", F.coalesce("id", F.lit(none)).alias("id"), "label", "vector", asks.alias("asks"))
     anchors = rows.where("asks").drop("asks")
-    grid = Grid(rows.drop("asks"), anchors, told.n, told.anchors, dims, (told.first, told.last), bits)
+    grid = Grid(rows.drop("asks"), anchors, told.n, told.anchors, dims, (told.first, none), bits)
     whole = anchors.select(F.col("row").alias("anchor"), F.lit(0).alias("place"), F.lit(-told.reach).cast("long").alias("low"), F.lit(told.reach).cast("long").alias("high"))
     found = _first(grid.select(whole, positives, True), positives).select("anchor", F.col("nth").alias("place"), F.col("score").alias("positive_score"), F.col("id").alias("positive_id"))
     found = common.stored(found, "positives")
@@ -255,7 +256,7 @@ def hard_negatives(df: DataFrame, every: int = 100, positives: int = 5, negative
     chosen = chosen.select("anchor", "place", F.col("nth").alias("rank"), F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     named = anchors.select(F.col("row").alias("anchor"), F.col("id").alias("anchor_id"))
     out = chosen.join(found, ["anchor", "place"]).join(named, "anchor")
-    shown_id = lambda c: F.when(F.col(c) < LAST, F.col(c)).alias(c)
+    shown_id = lambda c: F.when(F.col(c) != none, F.col(c)).alias(c)
     return out.select("anchor_id", shown_id("positive_id"), "rank", shown_id("negative_id"), "positive_score", "negative_score")
 
 
