@@ -37,7 +37,7 @@ def rejection(sensor: Column, timestamp: Column, value: Column, cfg: Config) ->
     iso = timestamp.rlike(r"^\d{4}-\d{2}-\d{2}") & timestamp.try_cast("timestamp").isNotNull()
     ranges = F.lit("")
     for pattern, (low, high) in reversed(cfg.sensor_value_range.items()):
-        out = F.concat(F.lit("value "), value.cast("string"), F.lit(f" out of range [{low}, {high}] for pattern {pattern!r}"))
+        out = F.concat(F.lit("value "), plain_number(value.cast("double")), F.lit(f" out of range [{low}, {high}] for pattern {pattern!r}"))
         ranges = F.when(sensor.rlike(glob_regex(pattern)), F.when((value < low) | (value > high), out).otherwise("")).otherwise(ranges)
     return (
         F.when(sensor.isNull(), "missing 'sensor_id'")
@@ -65,6 +65,47 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def floor_div(x: Column, by: int) -> Column:
+    """Whole numbers divided exactly, rounded down."""
+    return F.call_function("div", x - F.pmod(x, F.lit(by)), F.lit(by))
+
+
+def at_micros(x: Column) -> Column:
+    """The timestamp_ntz that is x microseconds after 1970."""
+    none = F.lit(0)
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(none, none, none, (x.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+
+
+#: Microseconds of each unit of time.
+UNITS = {"microsecond": 1, "millisecond": 1000, "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000, "week": 604_800_000_000}
+
+
+def interval_micros(text: str) -> int:
+    """Microseconds of a duration such as "6 hours" or "1 minute 30 seconds"."""
+    parts = [(int(n), u.rstrip("s")) for n, u in re.findall(r"(\d+)\s*([a-z]+)", text.lower())]
+    if not re.fullmatch(r"(\s*\d+\s*[a-z]+)+\s*", text.lower()) or any(u not in UNITS for _, u in parts):
+        raise ValueError(f"not a duration: {text!r}")
+    return sum(n * UNITS[u] for n, u in parts)
+
+
+def bound_text(ts: Column) -> Column:
+    """A window's bound as text, to the minute."""
+    return F.date_format(ts, "yyyy-MM-dd HH:mm")
+
+
+def text_bucket(time: Column, fmt: str, width_ms: int) -> Column:
+    """The bucket of a time given as text, as text of the same form; what can't be read as a time stays as it is."""
+    return F.coalesce(F.date_format(time_bucket(parsed(time, fmt), width_ms), fmt), time)
+
+
+def plain_number(x: Column) -> Column:
+    """A double as text with a point and no exponent from 1e-4 to under 1e16, as 2000000000.0; beyond that in Spark's form."""
+    size = F.abs(x)
+    digits = F.regexp_replace(x.cast("decimal(38,16)").cast("string"), r"(\.\d+?)0+$", "$1")
+    wide = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
+    return F.when(wide, digits).otherwise(x.cast("string"))
+
+
 def population_std(mean: Column, mean_square: Column, eps: float) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), mean_square - mean * mean)) + eps
 
@@ -118,6 +159,9 @@ def attribution_detail(shares: Column) -> Column:
     return F.coalesce(F.to_json(F.map_from_entries(F.transform(shares, lambda x: F.struct(x["sensor"], F.bround(x["fraction"], 3))))), F.lit("{}"))
 
 
+# the texts of the next three functions are fixed values
+
+
 def attribution_message(group: Column, shares: Column) -> Column:
     """Percentages round half to even."""
     top = F.get(shares, F.lit(0))

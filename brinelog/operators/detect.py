@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..config import Config
 from ..functions import scalars as S
 
@@ -28,16 +31,43 @@ def tripwire(df: DataFrame, cfg: Config, value: str = "cod_value") -> DataFrame:
     return df.where((v >= cfg.cod_threshold) & ~F.isnan(v)).withColumn("breach_mag", v - cfg.cod_baseline).withColumn("alert_level", F.when(v >= 2 * cfg.cod_baseline, "HIGH").otherwise("MEDIUM"))
 
 
+def _panes(duration: str, hop: str) -> tuple[int, int, int]:
+    """(pane, hop, duration) in microseconds: panes are the widest stretches of which every window has whole ones."""
+    d, h = S.interval_micros(duration), S.interval_micros(hop)
+    if not 0 < h <= d:
+        raise ValueError(f"a window's hop must be positive and at most its duration (got {hop}, {duration})")
+    return math.gcd(d, h), h, d
+
+
+def _windows(pane: Column, width: int, hop: int, duration: int) -> Column:
+    """Starts, in microseconds, of the windows that a pane (its number) is in."""
+    begin = pane * width
+    return F.transform(F.sequence(S.floor_div(begin + width - duration - 1, hop) + 1, S.floor_div(begin, hop)), lambda k: k * hop)
+
+
 def sliding_stats(df: DataFrame, duration: str, hop: str, eps: float = 1e-9) -> DataFrame:
-    """Statistics of (sensor_id, ts, value) per sensor and sliding window. Each row is in duration / hop windows."""
+    """Statistics of (sensor_id, ts, value) per sensor and sliding window [start, end) with values in it.
+
+    Rows are summed up once, into panes that no window cuts; a window is put together from its panes, so it costs duration / hop
+    rows a pane and not a reading. A stream keeps Spark's own windows, which its watermark evicts.
+    """
     v = F.col("value")
-    rows = df.groupBy("sensor_id", F.window("ts", duration, hop).alias("w")).agg(F.avg(v).alias("mean"), F.avg(v * v).alias("_square"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("sample_count"))
-    return rows.select("sensor_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "mean", S.population_std(F.col("mean"), F.col("_square"), eps).alias("std"), "min", "max", "sample_count")
+    if df.isStreaming:
+        rows = df.groupBy("sensor_id", F.window("ts", duration, hop).alias("w")).agg(F.avg(v).alias("mean"), F.avg(v * v).alias("_square"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("sample_count"))
+        return rows.select("sensor_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "mean", S.population_std(F.col("mean"), F.col("_square"), eps).alias("std"), "min", "max", "sample_count")
+    width, step, whole = _panes(duration, hop)
+    panes = df.where("ts IS NOT NULL").groupBy("sensor_id", S.floor_div(S.micros(F.col("ts")), width).alias("pane")).agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"))
+    rows = panes.withColumn("start", F.explode(_windows(F.col("pane"), width, step, whole))).groupBy("sensor_id", "start").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("n").alias("sample_count"))
+    mean, square = F.try_divide("s", "sample_count"), F.try_divide("q", "sample_count")
+    return rows.select("sensor_id", S.at_micros(F.col("start")).alias("window_start"), S.at_micros(F.col("start") + whole).alias("window_end"), mean.alias("mean"), S.population_std(mean, square, eps).alias("std"), "min", "max", "sample_count")
 
 
 def rolling_mean(df: DataFrame, duration: str, hop: str) -> DataFrame:
-    """Mean over all rows of each sliding window, at the last reading's time in it."""
-    return df.groupBy(F.window("ts", duration, hop)).agg(F.max("ts").alias("ts"), F.avg("value").alias("rolling_mean"))
+    """Mean over all rows of each sliding window, at the last reading's time in it; by panes, as sliding_stats."""
+    width, step, whole = _panes(duration, hop)
+    panes = df.where("ts IS NOT NULL").groupBy(S.floor_div(S.micros(F.col("ts")), width).alias("pane")).agg(F.sum("value").alias("s"), F.count("value").alias("n"), F.max("ts").alias("ts"))
+    rows = panes.withColumn("start", F.explode(_windows(F.col("pane"), width, step, whole))).groupBy("start").agg(F.max("ts").alias("ts"), F.try_divide(F.sum("s"), F.sum("n")).alias("rolling_mean"))
+    return rows.select("ts", "rolling_mean")
 
 
 def scored(df: DataFrame, duration: str, hop: str, hop_unit: str | None, cfg: Config) -> DataFrame:
@@ -57,23 +87,24 @@ def scored(df: DataFrame, duration: str, hop: str, hop_unit: str | None, cfg: Co
 
 
 def persisted(df: DataFrame, count: int, tie: str | None = None, chunk_s: int = 3600) -> DataFrame:
-    """Rows whose run of successive anomalies in their sensor's order (ts, then tie) has reached count; every such row.
+    """Rows whose run of successive anomalies in their sensor's order (ts, then tie) has reached count; every such row. A null flag ends a run.
 
     A sensor's rows are cut into chunks of chunk_s seconds, so that a busy sensor spreads over tasks. Runs are islands between
     non-anomalies within a chunk; what a chunk's last run hands on to the next chunks is summed from one row a chunk.
     """
     order = ["ts"] + ([tie] if tie else [])
-    hit = F.col("is_anomaly").cast("int")
+    at, run, island, own, into, carry = (scratch.spare(c, df) for c in ("_chunk", "_run", "_island", "_sensor", "_into", "_carry"))
+    hit = F.coalesce("is_anomaly", F.lit(False)).cast("int")
     upto = (Window.unboundedPreceding, 0)
-    by = Window.partitionBy("sensor_id", "_chunk").orderBy(*order).rowsBetween(*upto)
-    island = Window.partitionBy("sensor_id", "_chunk", "_island").orderBy(*order).rowsBetween(*upto)
-    rows = df.withColumn("_chunk", F.floor(S.micros(F.col("ts")) / (chunk_s * 1_000_000)))
-    rows = rows.withColumn("_island", F.coalesce(F.sum(1 - hit).over(by), F.lit(0))).withColumn("_run", F.coalesce(F.sum(hit).over(island), F.lit(0)))
-    ends = rows.groupBy("sensor_id", "_chunk").agg(F.max("_island").alias("_breaks"), F.max(F.struct("_island", "_run"))["_run"].alias("_tail"))
-    chunks = Window.partitionBy("sensor_id").orderBy("_chunk")
+    by = Window.partitionBy("sensor_id", at).orderBy(*order).rowsBetween(*upto)
+    of_island = Window.partitionBy("sensor_id", at, island).orderBy(*order).rowsBetween(*upto)
+    rows = df.withColumn(at, S.floor_div(S.micros(F.col("ts")), chunk_s * 1_000_000))
+    rows = rows.withColumn(island, F.sum(1 - hit).over(by)).withColumn(run, F.sum(hit).over(of_island))
+    ends = rows.groupBy("sensor_id", at).agg(F.max(island).alias("_breaks"), F.max(F.struct(island, run))[run].alias("_tail"))
+    chunks = Window.partitionBy("sensor_id").orderBy(at)
     ends = ends.withColumn("_since", F.sum((F.col("_breaks") > 0).cast("int")).over(chunks.rowsBetween(*upto)))
-    ends = ends.withColumn("_handed", F.sum("_tail").over(Window.partitionBy("sensor_id", "_since").orderBy("_chunk").rowsBetween(*upto)))
-    carry = ends.select(F.col("sensor_id").alias("_sensor"), F.col("_chunk").alias("_into"), F.lag("_handed").over(chunks).alias("_carry")).where("_carry > 0")
-    rows = rows.join(carry, F.col("sensor_id").eqNullSafe(F.col("_sensor")) & F.col("_chunk").eqNullSafe(F.col("_into")), "left")
-    before = F.when(F.col("_island") == 0, F.coalesce("_carry", F.lit(0))).otherwise(0)
-    return rows.withColumn("consecutive_count", F.col("_run") + before).where(F.col("is_anomaly") & (F.col("consecutive_count") >= count)).select(*df.columns, "consecutive_count")
+    ends = ends.withColumn("_handed", F.sum("_tail").over(Window.partitionBy("sensor_id", "_since").orderBy(at).rowsBetween(*upto)))
+    handed = ends.select(F.col("sensor_id").alias(own), F.col(at).alias(into), F.lag("_handed").over(chunks).alias(carry)).where(F.col(carry) > 0)
+    rows = rows.join(handed, F.col("sensor_id").eqNullSafe(F.col(own)) & F.col(at).eqNullSafe(F.col(into)), "left")
+    before = F.when(F.col(island) == 0, F.coalesce(carry, F.lit(0))).otherwise(0)
+    return rows.withColumn("consecutive_count", F.col(run) + before).where(F.col("is_anomaly") & (F.col("consecutive_count") >= count)).select(*[c for c in df.columns if c != "consecutive_count"], "consecutive_count")

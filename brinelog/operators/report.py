@@ -2,21 +2,66 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import scalars as S
 
 
-def percentile(x: str, p: float) -> Column:
-    """Exact, linear between ranks; 0 for no rows."""
-    return F.coalesce(F.percentile(x, F.lit(p)), F.lit(0.0))
+#: Rows, or different values, of which a stretch of ranks is small enough to be looked at on the driver; how finely a stretch is cut at a time.
+FEW, FINE = 100_000, 1000
+
+
+def _sketch_reach(rank: int, n: int) -> tuple[float, float]:
+    """Shares of n rows that surely lie around a rank, as approx_percentile may be off by n / (10 * FINE) rows."""
+    return max(0.0, rank / n - 1 / FINE), min(1.0, (rank + 1) / n + 1 / FINE)
+
+
+def at_ranks(df: DataFrame, x: str, ranks: list[int], n: int, few: int = FEW) -> dict[int, float]:
+    """The values of a column without nulls at ranks from 0 in ascending order, NaN last, of n rows.
+
+    A rank's stretch of values is narrowed to about a five-hundredth by a mergeable sketch, whose ends are then counted exactly, until few rows or a
+    single value are left. Nothing is sorted or shuffled but sketches and counts, and equal values never grow a task.
+    """
+    v, out = F.col(x), {}
+    stretches = {r: (None, None, 0, n) for r in set(ranks)}  # first and last value, rows before it, rows in it
+    within = lambda low, high: (F.lit(True) if low is None else v >= low) & (F.lit(True) if high is None else v <= high)
+    while stretches:
+        for r, (low, high, before, inside) in list(stretches.items()):
+            if low is not None and (low == high or (low != low and high != high)):
+                out[r] = stretches.pop(r)[0]
+            elif inside <= few or df.where(within(low, high)).agg(F.approx_count_distinct(v)).first()[0] <= few // 4:
+                counts = df.where(within(low, high)).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()
+                ends = np.cumsum([c.n for c in counts])
+                out[r] = counts[int(np.searchsorted(ends, r - before, side="right"))].v
+                del stretches[r]
+        if not stretches:
+            break
+        asked = [(r, F.percentile_approx(F.when(within(low, high), v), list(_sketch_reach(r - before, inside)), 10 * FINE).alias(f"r{r}")) for r, (low, high, before, inside) in stretches.items()]
+        ends = df.agg(*[a for _, a in asked]).first().asDict()
+        counts = df.agg(*[c.alias(f"{k}{r}") for r in stretches for low, high in [ends[f"r{r}"]] for k, c in (("b", F.count_if(v < low)), ("i", F.count_if((v >= low) & (v <= high))))]).first().asDict()
+        stretches = {r: (*ends[f"r{r}"], counts[f"b{r}"], counts[f"i{r}"]) for r in stretches}
+    return out
+
+
+def percentiles(df: DataFrame, x: str, shares: list[float], few: int = FEW) -> tuple[int, list[float]]:
+    """(number of values, the exact percentiles), linear between ranks; 0 for no values. Nulls don't count."""
+    rows = df.select(F.col(x).cast("double").alias(x)).where(F.col(x).isNotNull())
+    n = rows.count()
+    if not n:
+        return 0, [0.0] * len(shares)
+    at = [divmod(p * (n - 1), 1) for p in shares]
+    values = at_ranks(rows, x, [int(k) + d for k, f in at for d in ((0, 1) if f else (0,))], n, few)
+    return n, [values[int(k)] + (f * (values[int(k) + 1] - values[int(k)]) if f else 0.0) for k, f in at]
 
 
 def latency(df: DataFrame, last: int | None = 1000, order: str = "ts") -> DataFrame:
     """p50 and p99 of latency_ms over the last rows by order (all: None)."""
     rows = df if last is None else df.orderBy(F.desc(order)).limit(last)
-    return rows.agg(percentile("latency_ms", 0.5).alias("p50"), percentile("latency_ms", 0.99).alias("p99"), F.count("latency_ms").alias("n"))
+    n, (p50, p99) = percentiles(rows, "latency_ms", [0.5, 0.99])
+    return df.sparkSession.range(1).select(F.lit(p50).alias("p50"), F.lit(p99).alias("p99"), F.lit(n).cast("long").alias("n"))
 
 
 def per_minute(df: DataFrame, now: Column, window_s: float, ts: str = "ts") -> DataFrame:
@@ -67,9 +112,19 @@ def extremes(summary: DataFrame) -> DataFrame:
 
 
 def counted(df: DataFrame, column: str) -> DataFrame:
-    """Rows per value, most first, ties by value, with its place."""
+    """Rows per value, most first, ties by value, with its place.
+
+    Values are dealt by range of (count, value) and numbered within their task; what comes before a task is added from one count a task.
+    """
     g = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), column)))
+    order = [F.desc("n"), F.asc(column)]
+    dealt = g.repartitionByRange(*order).sortWithinPartitions(*order)
+    task, at = scratch.spare("task", g), scratch.spare("at", g)
+    rows = scratch.written(dealt.withColumns({task: F.spark_partition_id(), at: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = rows.groupBy(task).agg(F.count(F.lit(1)).alias("size"), F.min(at).alias("least"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy(task).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
+    sizes = sizes.select(F.col(task).alias("_of"), (before - F.col("least")).alias("_before"))
+    return rows.join(F.broadcast(sizes), F.col(task) == F.col("_of")).select(column, "n", (F.col(at) + F.col("_before") + 1).cast("int").alias("place"))
 
 
 def recent(df: DataFrame, k: int, *order: str) -> DataFrame:

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import BANDS, Config
 from ..functions import scalars as S
+from .cooldown import cooled
 
 
 def members(spark, groups: dict[str, list[str]]) -> DataFrame:
@@ -58,45 +54,9 @@ def risk_index(groups: DataFrame, cfg: Config) -> DataFrame:
     return joined.withColumn("eri", eri).withColumn("risk_band", S.risk_band(F.col("eri"), cfg)).drop("_point", "_factor")
 
 
-def cooled(df: DataFrame, key: str, cooldown: int, ts: str = "ts", tie: str | None = None) -> DataFrame:
-    """Rows at least cooldown seconds after the last row kept of their key; rows without ts are always kept and count for nothing.
-
-    Rows are dealt by key, sorted, and walked as a stream that remembers one time: from a kept row a binary search finds the
-    next one, so a key of any length takes linear time and the memory of a batch. A key's walk is one task, as each decision
-    depends on the one before it. Rows without a key are a key of their own.
-    """
-    if cooldown <= 0:
-        return df
-    width = cooldown * 1_000_000
-    dated = df.where(F.col(ts).isNotNull()).withColumn("_t", S.micros(F.col(ts)))
-    dated = dated.repartition(key).sortWithinPartitions(key, "_t", *([tie] if tie else []))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, last = None, None
-        for batch in batches:
-            keys, t = batch.column(key), batch.column("_t").to_numpy()
-            codes = keys.dictionary_encode("encode").indices.to_numpy()
-            bounds = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(t)] if len(t) else []
-            kept = []
-            for begin, end in itertools.pairwise(bounds):
-                this = keys[begin].as_py()
-                if begin or this != open_key:
-                    open_key, last = this, None
-                at = begin if last is None else begin + int(np.searchsorted(t[begin:end], last + width))
-                while at < end:
-                    kept.append(at)
-                    last = t[at]
-                    at += int(np.searchsorted(t[at:end], last + width))
-            yield batch.take(pa.array(kept, pa.int64()))
-
-    return dated.mapInArrow(walk, dated.schema).select(*df.columns).unionByName(df.where(F.col(ts).isNull()))
-
-
 def alerts(eri: DataFrame, cfg: Config) -> DataFrame:
     """Rows of at least the configured band, cooled down per point; details are masked below HIGH."""
     least = cfg.alert_min_risk_band
-    from ..config import BANDS
-
     rank = S.band_rank(F.col("risk_band"))
     rows = eri.where(rank >= (BANDS.index(least) if least in BANDS else 1))
     rows = cooled(rows, "discharge_point_id", cfg.alert_cooldown_seconds)

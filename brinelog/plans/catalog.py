@@ -6,13 +6,12 @@ props a second one. Doubles that come from sums or interpolation are rounded to
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..config import Config
 from ..functions import scalars as S
 from ..operators import detect, forensics, report, risk
@@ -69,7 +68,9 @@ def validate_valid(spark, sf):
 
 def validate_quarantine(spark, sf):
     bad = detect.validated(dirty(spark, sf), "sensor_id", "timestamp", "value", CFG)[1]
-    return bad.select(F.get_json_object("record", "$.event_id").cast("long").alias("event_id"), "rejection_reason")
+    told = F.from_json("record", "event_id long, sensor_id string, timestamp string, value string", {"allowNonNumericNumbers": "true"})
+    recent = F.col("received_at").between(F.unix_micros(F.current_timestamp()) / 1e6 - 86_400, F.unix_micros(F.current_timestamp()) / 1e6 + 86_400)
+    return bad.select(told.alias("r"), "rejection_reason", recent.alias("received")).select("r.event_id", "r.sensor_id", "r.timestamp", F.col("r.value").try_cast("double").alias("value"), "rejection_reason", "received")
 
 
 def tripwire(spark, sf):
@@ -103,7 +104,7 @@ def zscore(spark, sf):
     """Windows of one row or of equal ones have hardly more than epsilon for a deviation; there a score's sign is shown, as its size is noise."""
     rows = scores(spark, sf)
     flat = F.col("rolling_std") <= 1e-6
-    return rows.withColumn("z_score", F.when(flat, F.signum(F.round(F.col("value") - F.col("rolling_mean"), 6))).otherwise(F.col("z_score"))).transform(r6("rolling_mean", "rolling_std", "z_score"))
+    return rows.withColumn("z_score", F.when(flat, F.signum(F.round(F.col("value") - F.col("rolling_mean"), 6))).otherwise(F.col("z_score"))).withColumn("deviation", F.col("value") - F.col("rolling_mean")).transform(r6("rolling_mean", "rolling_std", "z_score", "deviation"))
 
 
 def persistence(spark, sf):
@@ -129,7 +130,7 @@ def groups(spark, sf):
 
 
 def group_anomalies(spark, sf):
-    rows = groups(spark, sf).select("group_name", "bucket", "ts", "n", "composite_score", "contributing_sensors", "missing_sensors", "is_group_anomaly", "top_contributor", "alert_message")
+    rows = groups(spark, sf).select("group_name", "bucket", "ts", "n", "composite_score", "contributing_sensors", "missing_sensors", "is_group_anomaly", "top_contributor", "alert_message", "attribution_detail")
     return rows.transform(r6("composite_score"))
 
 
@@ -137,11 +138,11 @@ GROUPS = """m(group_name, sensor_id, pos) AS (VALUES ('g_all', 'click', 0), ('g_
  j AS (SELECT group_name, sensor_id, pos, ts, value / 100 AS z, date_trunc('hour', ts) AS bucket FROM events JOIN m ON m.sensor_id = event_type),
  l AS (SELECT group_name, bucket, sensor_id, pos, arg_max(z, {'t': ts, 'z': z}) AS z FROM j GROUP BY ALL),
  f AS (SELECT group_name, bucket, sensor_id, pos, z * z / sum(z * z) OVER (PARTITION BY group_name, bucket) AS fraction FROM l),
- t AS (SELECT group_name, bucket, arg_min(sensor_id, {'f': -fraction, 'p': pos}) AS top_contributor, max(fraction) AS top_fraction, string_agg(sensor_id, ',' ORDER BY pos) AS contributing_sensors FROM f GROUP BY ALL),
+ t AS (SELECT group_name, bucket, arg_min(sensor_id, {'f': -fraction, 'p': pos}) AS top_contributor, max(fraction) AS top_fraction, string_agg(sensor_id, ',' ORDER BY pos) AS contributing_sensors, '{' || string_agg('"' || sensor_id || '":' || round_even(fraction, 3), ',' ORDER BY fraction DESC, pos) || '}' AS attribution_detail FROM f GROUP BY ALL),
  x AS (SELECT t.group_name, t.bucket, coalesce(string_agg(m.sensor_id, ',' ORDER BY m.pos), '') AS missing_sensors FROM t JOIN m ON m.group_name = t.group_name
    WHERE NOT list_contains(string_split(contributing_sensors, ','), m.sensor_id) GROUP BY ALL),
  c AS (SELECT group_name, bucket, max(ts) AS ts, count(*) AS n, sqrt(sum(z * z) / count(*)) AS composite_score FROM j GROUP BY ALL),
- g AS (SELECT c.*, contributing_sensors, coalesce(missing_sensors, '') AS missing_sensors, composite_score > 1.0 AS is_group_anomaly, top_contributor, top_fraction,
+ g AS (SELECT c.*, contributing_sensors, coalesce(missing_sensors, '') AS missing_sensors, composite_score > 1.0 AS is_group_anomaly, top_contributor, top_fraction, attribution_detail,
    'Anomaly in ' || c.group_name || ': primary driver ' || top_contributor || ' (' || CAST(round_even(top_fraction * 100, 0) AS INTEGER) || '% of score)' AS alert_message
    FROM c JOIN t USING (group_name, bucket) LEFT JOIN x USING (group_name, bucket)),
  r AS (SELECT *, CASE WHEN group_name = 'g_all' THEN 3.5 ELSE 2.0 END AS sensitivity_factor, group_name <> 'g_all' AS unknown_sensitivity FROM g),
@@ -175,7 +176,7 @@ def backtrack(spark, sf):
 
 
 def _tamper(spark, sf):
-    f = factories(spark, sf)
+    f = scratch.written(factories(spark, sf).select("factory_id", "ts", "cod", "tss", "event_id"))  # read by three detectors
     return (
         forensics.zero_variance(f.where("cod IS NOT NULL"), DAY, 1.0, tie="event_id"),
         forensics.dilution(f, DAY, 0.8, 0.2, tie="event_id"),
@@ -198,7 +199,8 @@ def tamper_blackout(spark, sf):
 def tamper_all(spark, sf):
     rows = forensics.all_tampering(*_tamper(spark, sf))
     rounded = rows.transform(r6("cod_range", "mean_cod", "mean_tss", "baseline_cod", "baseline_tss", "blackout_ratio"))
-    return rounded.select("tamper_type", "factory_id", "window_end", "cod_range", "mean_cod", "blackout_ratio", F.regexp_replace(S.tamper_detail({c: rounded[c] for c in rounded.columns}), r"\d+\.\d+", "#").alias("detail")).orderBy("window_end", "tamper_type", "factory_id")
+    shown = {c: rounded[c] for c in rounded.columns} | {c: F.format_string("%.6f", rounded[c]) for c in ("cod_max", "cod_range", "mean_cod", "baseline_cod", "mean_tss")}
+    return rounded.select("tamper_type", "factory_id", "window_end", "cod_range", "mean_cod", "blackout_ratio", S.tamper_detail(shown).alias("detail")).orderBy("window_end", "tamper_type", "factory_id")
 
 
 def _anchored(rows: str) -> str:
@@ -219,8 +221,8 @@ DARK = _anchored(FACTORY) + """ SELECT 'BLACKOUT_TAMPER' AS tamper_type, factory
 
 def kpis(spark, sf):
     """The index and the alerts are written once, so that each step of the chain is worked once."""
-    rows = _written(risk.risk_index(groups(spark, sf), CFG))
-    raised = _written(risk.alerts(rows, CFG))
+    rows = scratch.written(risk.risk_index(groups(spark, sf), CFG))
+    raised = scratch.written(risk.alerts(rows, CFG))
     out = report.kpis(events(spark, sf), rows.where("is_group_anomaly"), rows, raised, cooldown_s=CFG.alert_cooldown_seconds).transform(r6("avg_eri_last_5min"))
     return out.drop("pipeline_uptime_seconds")
 
@@ -273,20 +275,6 @@ def distinct_sensors(spark, sf):
     return events(spark, sf).select(F.col("event_type").alias("sensor_id")).distinct()
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared one, or a temporary one in local runs without it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root or tempfile.gettempdir()}/brinelog-{uuid.uuid4().hex}"
-
-
-def _written(df: DataFrame) -> DataFrame:
-    path = _scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slice_figures(spark, sf):
     return report.slice_figures(readings(spark, sf), 24, 150.0).transform(r6("mean"))
 
@@ -301,7 +289,7 @@ def tamper_types(spark, sf):
 
 def csv_roundtrip(spark, sf):
     """Readings through a CSV folder and the factory reader: blackouts tagged, nulls kept."""
-    path = _scratch(spark)
+    path = scratch.folder(spark)
     i = F.col("event_id")
     rows = events(spark, sf).select(i.alias("s_no"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("time"), F.col("user_id").cast("string").alias("factory_id"), F.when(i % 7 > 0, F.col("value")).alias("cod"), F.lit(45.5).alias("bod"), F.lit(7.2).alias("ph"), F.length("props").cast("double").alias("tss"))
     files.write_csv(rows, path)
@@ -309,7 +297,7 @@ def csv_roundtrip(spark, sf):
 
 
 def jsonl_scan(spark, sf):
-    path = _scratch(spark)
+    path = scratch.folder(spark)
     rows = backtrack(spark, sf).select("shock_id", "value", "attributed_factory", "factory_cod")
     rows.write.json(path)
     return files.jsonl(spark, path, rows.schema)
@@ -318,8 +306,105 @@ def jsonl_scan(spark, sf):
 def stream_windowed_stats(spark, sf):
     from ..streaming import jobs
 
-    return jobs.replayed(spark, events(spark, sf).schema, f"{sf}/events.parquet", lambda s: jobs.sliding_stats(s.select(F.col("event_type").alias("sensor_id"), "ts", "value"), "6 hours", "1 hour", "1 day"), _scratch(spark), "update").transform(jobs.last_of_each("sensor_id", "window_end")).transform(r6("mean", "std"))
+    return jobs.replayed(spark, events(spark, sf).schema, f"{sf}/events.parquet", lambda s: jobs.sliding_stats(s.select(F.col("event_type").alias("sensor_id"), "ts", "value"), "6 hours", "1 hour", "1 day"), scratch.folder(spark), "update").transform(jobs.last_of_each("sensor_id", "window_end")).transform(r6("mean", "std"))
+
+
+
+#: Days of a file of the fed streams; rows come a file late at most, within the watermark.
+BLOCK, LATE = 10, "12 days"
+
+
+def _feed(df: DataFrame, batch, files: int, closing: dict | None = None) -> str:
+    """Writes df as files of a stream: rows by their batch from 0, and if asked for a last row far ahead, which lets time pass for all keys."""
+    path = scratch.folder(df.sparkSession)
+    rows = scratch.written(df.withColumn("_file", batch))
+    for k in range(files):  # one after another, so that they are read in this order
+        rows.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    if closing is not None:
+        last = rows.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"))
+        end = last.select(*[F.col("ts") if f.name == "ts" else F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+        end.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _block(late_every: int = 3):
+    """A row's file: its stretch of days, or the next one's for each late_every-th event."""
+    days = F.floor(S.micros(F.col("ts")) / (BLOCK * DAY * 1_000_000)) - F.lit(int(19723 / BLOCK))  # from 2024-01-01 on
+    return F.least(F.greatest(days, F.lit(0)), F.lit(2)) + F.when(F.col("event_id") % late_every == 0, 1).otherwise(0)
+
+
+def stream_late_revisions(spark, sf):
+    """Windows that late rows revise: rows a file late are taken in, each 50th row comes at the very end, mostly too late and refused window by window.
+
+    Spark refuses what the watermark of the batch before had passed, so that is what the SQL takes for a file's mark."""
+    from ..streaming import jobs
+
+    rows = readings(spark, sf)
+    file = F.when(F.col("event_id") % 50 == 7, 4).otherwise(_block())
+    path = _feed(rows, file, 5)
+    build = lambda s: jobs.sliding_stats(s, "6 hours", "1 hour", LATE)
+    out = jobs.replayed(spark, rows.schema, path, build, scratch.folder(spark), "update", 1)
+    return out.transform(jobs.last_of_each("sensor_id", "window_end")).transform(r6("mean", "std"))
+
+
+def stream_persistence(spark, sf):
+    from ..streaming import jobs
+
+    rows = scores(spark, sf).select("sensor_id", "ts", "event_id", "is_anomaly")
+    path = _feed(rows, _block(), 4, {"sensor_id": "", "event_id": -1})
+    return jobs.replayed(spark, rows.schema, path, lambda s: jobs.persisted(s, 2, LATE), scratch.folder(spark), "append", 1).drop("_batch")
+
+
+def stream_cooldown(spark, sf):
+    from ..streaming import jobs
+
+    rows = events(spark, sf).where("value >= 100").select("user_id", "ts", "event_id", "value")
+    path = _feed(rows, _block(), 4, {"user_id": -1, "event_id": -1})
+    return jobs.replayed(spark, rows.schema, path, lambda s: jobs.cooled(s, "user_id", DAY, LATE), scratch.folder(spark), "append", 1).drop("_batch")
+
+
+def stream_tamper(spark, sf):
+    from ..streaming import jobs
+
+    rows = factories(spark, sf).select("factory_id", "ts", "cod", "tss", "event_id")
+    path = _feed(rows, _block(), 4, {"factory_id": -1, "event_id": -1})
+    build = lambda s: jobs.tampering(s, DAY, LATE, {"least": 1.0, "min_rows": 2}, {"drop": 0.8, "stable": 0.2, "min_rows": 3}, {"ratio": 0.8, "min_rows": 3})
+    out = jobs.replayed(spark, rows.schema, path, build, scratch.folder(spark), "append", 1)
+    return out.drop("_batch").transform(r6("cod_range", "mean_cod", "mean_tss", "baseline_cod", "baseline_tss", "blackout_ratio"))
+
+
+STAGES = {"ingestion": (0, -1.0), "scoring": (250, -1.0), "gate": (500, 50.0), "alert": (1000, 100.0)}
+
+
+def stream_stages(spark, sf):
+    """Four streams, an event's stages, joined within five seconds; stages that an event never reaches are told as missing."""
+    from ..streaming import jobs
+
+    rows = events(spark, sf).select("event_id", "ts", "value")
+    path = _feed(rows, _block(), 4, {"event_id": -1, "value": 1e9})
+    feed = lambda: jobs.source(spark, rows.schema, path, 1)
+    stages = {n: feed().where(F.col("value") >= least).select("event_id", (F.col("ts") + F.expr(f"INTERVAL {ms} MILLISECONDS")).alias("ts")) for n, (ms, least) in STAGES.items()}
+    out = jobs.drained(jobs.stage_rows(jobs.stage_timeline(stages, "5 SECONDS", LATE), list(STAGES)), scratch.folder(spark))[0]
+    return out.where("event_id >= 0").drop("_batch").transform(r6("latency_ms"))
+
+
+def stream_backtrack(spark, sf):
+    from ..streaming import jobs
+
+    rows = events(spark, sf).select("event_id", "ts", "value", F.col("user_id").alias("factory_id"), F.when(F.col("event_type") != "error", F.col("value")).alias("cod"), F.length("props").cast("double").alias("tss"))
+    path = _feed(rows, _block(), 4, {"event_id": -1, "value": 1e9, "factory_id": -1, "cod": 0.0})
+    feed = lambda: jobs.source(spark, rows.schema, path, 1)
+    shocks = feed().where("value >= 200").select(F.col("event_id").alias("shock_id"), "ts", "value")
+    matches = jobs.drained(jobs.backtrack_matches(shocks, feed(), 15 * 60, 120, LATE), scratch.folder(spark))[0]
+    return jobs.strongest(matches.where("shock_id >= 0"), 15 * 60)
+
+
+def stream_active_alerts(spark, sf):
+    from ..streaming import jobs
 
+    rows = alerts(spark, sf).select("discharge_point_id", "ts", "risk_band", F.xxhash64("ts").alias("event_id"))
+    path = _feed(rows, _block(), 4, {})
+    return jobs.replayed(spark, rows.schema, path, lambda s: jobs.active_alerts(s, "6 hours", "1 hour", LATE), scratch.folder(spark), "append", 1).drop("_batch")
 
 
 def queries() -> dict:
@@ -327,6 +412,7 @@ def queries() -> dict:
         validate_valid, validate_quarantine, tripwire, rolling_mean, windowed_stats, zscore, persistence, persistence_strict, group_anomalies, attribution, eri, alerts, cooldown, backtrack,
         tamper_zero_variance, tamper_dilution, tamper_blackout, tamper_all, kpis, latency_percentiles, latency_recent, alerts_per_minute, stage_unpivot, factory_summary, factory_extremes,
         top_attributed, recent_k, window_slice, breach_count, distinct_sensors, csv_roundtrip, jsonl_scan, stream_windowed_stats, slice_figures, alert_levels, tamper_types,
+        stream_late_revisions, stream_persistence, stream_cooldown, stream_tamper, stream_stages, stream_backtrack, stream_active_alerts,
     ]
     return {f.__name__: f for f in own}
 
@@ -347,23 +433,23 @@ def oracle_sql() -> dict[str, str]:
     trip = "SELECT event_id, ts, value, round(value - 100, 6) AS breach_mag, CASE WHEN value >= 200 THEN 'HIGH' ELSE 'MEDIUM' END AS alert_level FROM events WHERE value >= 150"
     return {
         "validate_valid": f"WITH {DIRTY} SELECT event_id, sensor_id, timestamp, value FROM v WHERE reason = ''",
-        "validate_quarantine": f"WITH {DIRTY} SELECT event_id, reason AS rejection_reason FROM v WHERE reason <> ''",
+        "validate_quarantine": f"WITH {DIRTY} SELECT event_id, sensor_id, timestamp, value, reason AS rejection_reason, true AS received FROM v WHERE reason <> ''",
         "tripwire": f"SELECT * EXCLUDE (ts) FROM ({trip})",
         "rolling_mean": f"WITH {_ends('')} SELECT max(ts) AS ts, round(avg(value), 6) AS rolling_mean FROM w GROUP BY window_end",
         "windowed_stats": f"WITH {STATS} SELECT sensor_id, window_start, window_end, round(mean, 6) AS mean, round(std, 6) AS std, min, max, sample_count FROM s",
         "stream_windowed_stats": f"WITH {STATS} SELECT sensor_id, window_start, window_end, round(mean, 6) AS mean, round(std, 6) AS std, min, max, sample_count FROM s",
-        "zscore": f"WITH {SCORES} SELECT sensor_id, ts, value, event_id, round(rolling_mean, 6) AS rolling_mean, round(rolling_std, 6) AS rolling_std, round(CASE WHEN rolling_std <= 1e-6 THEN sign(round(value - rolling_mean, 6)) ELSE z_score END, 6) AS z_score, is_anomaly FROM z",
+        "zscore": f"WITH {SCORES} SELECT sensor_id, ts, value, event_id, round(rolling_mean, 6) AS rolling_mean, round(rolling_std, 6) AS rolling_std, round(CASE WHEN rolling_std <= 1e-6 THEN sign(round(value - rolling_mean, 6)) ELSE z_score END, 6) AS z_score, is_anomaly, round(value - rolling_mean, 6) AS deviation FROM z",
         "persistence": f"WITH {ISLANDS} SELECT sensor_id, ts, event_id, consecutive_count FROM p WHERE is_anomaly AND consecutive_count >= 2",
         "persistence_strict": f"WITH {ISLANDS} SELECT sensor_id, ts, event_id, consecutive_count FROM p WHERE is_anomaly AND consecutive_count >= 3",
-        "group_anomalies": f"WITH {GROUPS} SELECT group_name, bucket, ts, n, round(composite_score, 6) AS composite_score, contributing_sensors, missing_sensors, is_group_anomaly, top_contributor, alert_message FROM g",
+        "group_anomalies": f"WITH {GROUPS} SELECT group_name, bucket, ts, n, round(composite_score, 6) AS composite_score, contributing_sensors, missing_sensors, is_group_anomaly, top_contributor, alert_message, attribution_detail FROM g",
         "attribution": f"WITH {GROUPS} SELECT group_name, bucket, CAST(row_number() OVER (PARTITION BY group_name, bucket ORDER BY fraction DESC, pos) - 1 AS INTEGER) AS place, sensor_id, round(fraction, 6) AS fraction FROM f",
         "eri": f"WITH {GROUPS} SELECT group_name AS discharge_point_id, bucket, CAST(sensitivity_factor AS DOUBLE) AS sensitivity_factor, round(eri, 6) AS eri, risk_band, unknown_sensitivity FROM b",
         "alerts": f"WITH RECURSIVE {ALERTS} SELECT discharge_point_id, ts, round(eri, 6) AS eri, risk_band, alert_level, CAST(sensitivity_factor AS DOUBLE) AS sensitivity_factor, top_contributor, alert_message FROM al",
         "cooldown": f"WITH RECURSIVE src AS (SELECT user_id AS key, ts, event_id AS tie, value FROM events WHERE value >= 100), {KEPT.replace('GAP', 'INTERVAL 1 DAY')} SELECT n.key AS user_id, n.ts, tie AS event_id, value FROM n JOIN walk USING (key, k) WHERE kept",
         "backtrack": f"WITH {SHOCKS} SELECT * FROM bt",
         "tamper_zero_variance": f"WITH {ZERO}", "tamper_dilution": f"WITH {DILUTION}", "tamper_blackout": f"WITH {DARK}",
-        "tamper_all": f"""SELECT tamper_type, factory_id, window_end, cod_range, NULL::DOUBLE AS mean_cod, NULL::DOUBLE AS blackout_ratio, 'COD locked @ # mg/L  (range = #)' AS detail FROM (WITH {ZERO})
-            UNION ALL SELECT tamper_type, factory_id, window_end, NULL, mean_cod, NULL, 'COD dropped to # mg/L (baseline #) | TSS #' FROM (WITH {DILUTION})
+        "tamper_all": f"""SELECT tamper_type, factory_id, window_end, cod_range, NULL::DOUBLE AS mean_cod, NULL::DOUBLE AS blackout_ratio, printf('COD locked @ %.6f mg/L  (range = %.6f)', cod_max, cod_range) AS detail FROM (WITH {ZERO})
+            UNION ALL SELECT tamper_type, factory_id, window_end, NULL, mean_cod, NULL, printf('COD dropped to %.6f mg/L (baseline %.6f) | TSS %.6f', mean_cod, baseline_cod, mean_tss) FROM (WITH {DILUTION})
             UNION ALL SELECT tamper_type, factory_id, window_end, NULL, NULL, blackout_ratio, CAST(floor(blackout_ratio * 100) AS BIGINT) || '% null readings  (' || blackout_rows || ' / ' || total_rows || ' rows)' FROM (WITH {DARK})""",
         "kpis": f"""WITH RECURSIVE {ALERTS}, top AS (SELECT max(ts) AS t FROM al), te AS (SELECT max(ts) AS t FROM b)
             SELECT (SELECT count(*) FROM events) AS events_processed_total, (SELECT max(ts) FROM events) AS last_event_timestamp, (SELECT count(*) FROM b WHERE is_group_anomaly) AS anomalies_detected_total,
@@ -387,6 +473,18 @@ def oracle_sql() -> dict[str, str]:
         "slice_figures": "SELECT round(avg(value), 6) AS mean, max(value) AS most, count(*) FILTER (WHERE value >= 150) AS breaches, count(*) FILTER (WHERE value >= 300) AS high, count(DISTINCT event_type) AS sensors FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR",
         "alert_levels": f"SELECT alert_level, count(*) AS n FROM ({trip}) GROUP BY alert_level",
         "tamper_types": f"SELECT tamper_type, count(*) AS n FROM (SELECT tamper_type FROM (WITH {ZERO}) UNION ALL SELECT tamper_type FROM (WITH {DILUTION}) UNION ALL SELECT tamper_type FROM (WITH {DARK})) GROUP BY tamper_type",
+        "stream_persistence": f"WITH {ISLANDS} SELECT sensor_id, ts, event_id, consecutive_count FROM p WHERE is_anomaly AND consecutive_count >= 2",
+        "stream_cooldown": f"WITH RECURSIVE src AS (SELECT user_id AS key, ts, event_id AS tie, value FROM events WHERE value >= 100), {KEPT.replace('GAP', 'INTERVAL 1 DAY')} SELECT n.key AS user_id, n.ts, tie AS event_id, value FROM n JOIN walk USING (key, k) WHERE kept",
+        "stream_tamper": f"SELECT * FROM (WITH {ZERO}) UNION ALL BY NAME SELECT * FROM (WITH {DILUTION}) UNION ALL BY NAME SELECT * FROM (WITH {DARK})",
+        "stream_backtrack": f"WITH {SHOCKS} SELECT * FROM bt",
+        "stream_late_revisions": f"""WITH b AS (SELECT *, CASE WHEN event_id % 50 = 7 THEN 4 ELSE least(greatest(CAST(floor(epoch(ts) / {BLOCK * DAY}) AS BIGINT) - {int(19723 / BLOCK)}, 0), 2) + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END END AS file FROM events),
+            t AS (SELECT k AS file, (SELECT date_trunc('millisecond', max(ts)) - INTERVAL {LATE} FROM b WHERE file < k - 1) AS mark FROM generate_series(0, 4) AS g(k)),
+            w AS (SELECT event_type AS sensor_id, date_trunc('hour', ts) + to_hours(k) AS window_end, value FROM b JOIN t USING (file), generate_series(1, 6) AS g(k) WHERE mark IS NULL OR date_trunc('hour', ts) + to_hours(k) > mark)
+            SELECT sensor_id, window_end - INTERVAL 6 HOUR AS window_start, window_end, round(avg(value), 6) AS mean, round(sqrt(greatest(0.0, avg(value * value) - avg(value) * avg(value))) + 1e-9, 6) AS std, min(value) AS min, max(value) AS max, count(*) AS sample_count FROM w GROUP BY sensor_id, window_end""",
+        "stream_stages": f"""WITH s AS ({" UNION ALL ".join(f"SELECT event_id, '{n}' AS pipeline_stage, epoch_us(ts) / 1e6 AS t, CASE WHEN value >= {least} THEN epoch_us(ts + to_milliseconds({ms})) / 1e6 END AS stage_timestamp FROM events" for n, (ms, least) in STAGES.items())})
+            SELECT event_id, pipeline_stage, stage_timestamp, round(coalesce((stage_timestamp - t) * 1000, -1.0), 6) AS latency_ms FROM s""",
+        "stream_active_alerts": f"""WITH RECURSIVE {ALERTS}, w AS (SELECT discharge_point_id, band, date_trunc('hour', ts) + to_hours(k) AS window_end FROM al, generate_series(1, 6) AS g(k))
+            SELECT window_end - INTERVAL 6 HOUR AS window_start, window_end, count(DISTINCT discharge_point_id) AS active_alerts_count, CASE max(band) WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END AS highest_risk_band FROM w GROUP BY window_end""",
         "distinct_sensors": "SELECT DISTINCT event_type AS sensor_id FROM events",
         "csv_roundtrip": "SELECT event_id AS s_no, strftime(ts, '%Y-%m-%d %H:%M') AS time, CAST(user_id AS VARCHAR) AS factory_id, CASE WHEN event_id % 7 > 0 THEN value END AS cod, 7.2::DOUBLE AS ph, CASE WHEN event_id % 7 > 0 THEN 'NORMAL' ELSE 'BLACKOUT' END AS status FROM events",
         "jsonl_scan": f"WITH {SHOCKS} SELECT shock_id, value, attributed_factory, factory_cod FROM bt",

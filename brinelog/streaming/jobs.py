@@ -1,16 +1,17 @@
-"""Streaming twins of batch operators: windowed aggregation, persistence and cooldown with state, and sinks."""
+"""Streaming twins of batch operators: windowed aggregation, joins of streams, replays and sinks. State by key is in ordered.py."""
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from ..operators import detect
+from ..functions import scalars as S
+from ..operators import detect, report
+from .ordered import cooled, persisted, tampering  # noqa: F401
 from ..sources import files
 
 
@@ -21,61 +22,66 @@ def sliding_stats(df: DataFrame, duration: str, hop: str, late: str, eps: float
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
-class Persistence(StatefulProcessor):
-    """A run length per sensor; rows are ordered by ts within a micro-batch, and batches must come in order."""
+def active_alerts(df: DataFrame, window: str, hop: str, late: str) -> DataFrame:
+    """(window_start, window_end, active_alerts_count, highest_risk_band) of each closed sliding window of (discharge_point_id, ts, risk_band).
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "n long")
+    Distinct points of a stream: one aggregate per window and point, whose rows are then counted per window; both keep state
+    by the same watermark, so a window's state is gone once it is told.
+    """
+    rows = df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    points = rows.groupBy(F.window("ts", window, hop).alias("w"), "discharge_point_id").agg(F.max(S.band_rank(F.col("risk_band")) + 1).alias("rank"))
+    out = points.groupBy("w").agg(F.count("discharge_point_id").alias("active_alerts_count"), S.rank_band(F.max("rank")).alias("highest_risk_band"))
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"), "active_alerts_count", "highest_risk_band")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        n = self.run.get()[0] if self.run.exists() else 0
-        counts = []
-        for hit in frame["is_anomaly"].tolist():
-            n = n + 1 if hit else 0
-            counts.append(n)
-        self.run.update((n,))
-        yield pd.DataFrame({"sensor_id": frame["sensor_id"], "ts": frame["ts"], "event_id": frame["event_id"], "consecutive_count": counts})
 
-    def close(self) -> None:
-        pass
+def stage_timeline(stages: dict[str, DataFrame], within: str, late: str) -> DataFrame:
+    """Streams of (event_id, ts), one a stage, the first of which has every event, joined to a row an event with each stage's seconds since 1970.
 
+    Every later stage is looked for within that time of the first. An event's row comes once its stages are found or can't come any more.
+    """
 
-class Cooldown(StatefulProcessor):
-    """Time of the last row kept per key; rows without ts pass and leave no trace."""
+    (first, out), *rest = stages.items()
+    out = out.select("event_id", F.col("ts").cast("timestamp").alias("_at")).withWatermark("_at", late)
+    told = [(F.unix_micros("_at") / 1e6).alias(first)]
+    for name, df in rest:
+        there = df.select(F.col("event_id").alias("_id"), F.col("ts").cast("timestamp").alias("_seen")).withWatermark("_seen", late)
+        cond = (F.col("event_id") == F.col("_id")) & F.col("_seen").between(F.col("_at"), F.col("_at") + F.expr(f"INTERVAL {within}"))
+        out = out.join(there, cond, "left_outer").withColumn(name, F.unix_micros("_seen") / 1e6).drop("_id", "_seen")  # one event time stays
+        told.append(F.col(name))
+    return out.select("event_id", *told)
 
-    def __init__(self, seconds: int):
-        self.width = pd.Timedelta(seconds=seconds)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "micros long")
+def stage_rows(timeline: DataFrame, stages: list[str]) -> DataFrame:
+    """A row an event and stage, latency -1 for a missing one; the batch operator works on streams as it is."""
+    return report.stage_rows(timeline, stages)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        last = pd.Timestamp(self.last.get()[0], unit="us") if self.last.exists() else None
-        keep = []
-        for t in frame["ts"]:
-            ok = pd.isna(t) or last is None or t - last >= self.width
-            keep.append(ok)
-            if ok and not pd.isna(t):
-                last = t
-        if last is not None:
-            self.last.update((int(last.value // 1000),))
-        yield frame[keep]
 
-    def close(self) -> None:
-        pass
+def backtrack_matches(shocks: DataFrame, sources: DataFrame, travel_s: int, tolerance_s: int, late: str) -> DataFrame:
+    """Stream of shocks (shock_id, ts, value) with each source reading (factory_id, ts, cod, tss) that may have caused it, or nulls.
 
+    Both streams are cut into time buckets that a shock's band touches at most two of, so the join is by equality and its state
+    of both sides is given up as soon as no match can come. A shock may come out several times: strongest() takes its best row.
+    """
+    width = max(2 * tolerance_s, 1)
+    s = shocks.select("shock_id", F.col("ts").cast("timestamp").alias("shock_ts"), F.col("value")).withWatermark("shock_ts", late)
+    center = F.unix_micros("shock_ts") - travel_s * 1_000_000
+    low, high = (S.floor_div(center + d * tolerance_s * 1_000_000, width * 1_000_000) for d in (-1, 1))
+    s = s.withColumn("bucket", F.explode(F.sequence(low, high)))
+    f = sources.where("cod IS NOT NULL").select("factory_id", F.col("ts").cast("timestamp").alias("source_ts"), "cod", "tss").withWatermark("source_ts", late)
+    f = f.withColumn("source_bucket", S.floor_div(F.unix_micros("source_ts"), width * 1_000_000))
+    after, before = (F.expr(f"INTERVAL {n} SECOND") for n in (travel_s - tolerance_s, travel_s + tolerance_s))
+    cond = (F.col("bucket") == F.col("source_bucket")) & F.col("source_ts").between(F.col("shock_ts") - before, F.col("shock_ts") - after)
+    return s.join(f, cond, "left_outer").drop("bucket", "source_bucket")
 
-def persisted(df: DataFrame, count: int) -> DataFrame:
-    """Stream of (sensor_id, ts, event_id, is_anomaly) to rows whose run has reached count."""
-    out = df.select("sensor_id", "ts", "event_id", "is_anomaly").groupBy("sensor_id").transformWithStateInPandas(Persistence(), "sensor_id string, ts timestamp_ntz, event_id long, consecutive_count long", "append", "None")
-    return out.where(F.col("consecutive_count") >= count)
 
-
-def cooled(df: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Stream with ts and event_id, gated per key."""
-    return df if seconds <= 0 else df.groupBy(key).transformWithStateInPandas(Cooldown(seconds), df.schema, "append", "None")
+def strongest(matches: DataFrame, travel_s: int) -> DataFrame:
+    """One row a shock of what backtrack_matches has told so far: the highest COD, ties by earlier time, then factory."""
+    rank = F.struct(F.col("cod").alias("c"), (-F.unix_micros("source_ts")).alias("t"), (-F.col("factory_id")).alias("f"))
+    best = F.max_by(F.struct("factory_id", "source_ts", "cod", "tss"), F.when(F.col("cod").isNotNull(), rank))
+    rows = matches.groupBy("shock_id").agg(F.first("shock_ts").alias("ts"), F.first("value").alias("value"), best.alias("b"))
+    ntz = lambda c: c.cast("timestamp_ntz")
+    back = F.col("ts") - F.expr(f"INTERVAL {travel_s} SECOND")
+    return rows.select("shock_id", ntz(F.col("ts")).alias("ts"), "value", ntz(back).alias("backtrack_time"), F.col("b.factory_id").alias("attributed_factory"), ntz(F.col("b.source_ts")).alias("source_ts"), F.col("b.cod").alias("factory_cod"), F.col("b.tss").alias("factory_tss"))
 
 
 def last_of_each(*keys: str) -> Callable[[DataFrame], DataFrame]:
@@ -88,18 +94,56 @@ def last_of_each(*keys: str) -> Callable[[DataFrame], DataFrame]:
     return run
 
 
-def replayed(spark: SparkSession, schema: StructType, path: str, build: Callable[[DataFrame], DataFrame], folder: str, mode: str = "append", files_a_batch: int = 1000) -> DataFrame:
-    """Runs a stream over all files at path to its end, oldest first, and reads what it wrote, with each row's batch as _batch."""
+def source(spark: SparkSession, schema: StructType, path: str, files_a_batch: int = 1000) -> DataFrame:
+    """A stream of the parquet files at path, oldest first."""
+    parent, name = path.rsplit("/", 1)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch)
+    return reader.option("pathGlobFilter", name).parquet(parent) if name.endswith(".parquet") else reader.parquet(path)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession) -> Iterator[None]:
+    """What a query with state is started with: RocksDB, and no more parts of state than cores. A query keeps it; the session gets its own back."""
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    new = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(partitions)}
+    old = {k: spark.conf.get(k, None) for k in new}
+    try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def by_batch(folder: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each micro-batch in a folder of its own, with its number as _batch, so that a repeated batch replaces itself."""
 
     def write(df: DataFrame, batch: int) -> None:
-        df.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+        df.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
-    parent, name = path.rsplit("/", 1)
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch)
-    stream = reader.option("pathGlobFilter", name).parquet(parent) if name.endswith(".parquet") else reader.parquet(path)
-    query = build(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start()
+    return write
+
+
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> tuple[DataFrame, int]:
+    """Runs a stream to the end of its sources; (what it wrote, with each row's batch as _batch, how many rows its state refused as too late).
+
+    A windowed aggregate refuses rows after partial aggregation: one a task, key and window.
+    """
+    with settings(stream.sparkSession):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(by_batch(f"{folder}/out")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/out")
+    late = sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+    schema = StructType(stream.schema.fields).add("_batch", "integer")
+    return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/out"), late
+
+
+def replayed(spark: SparkSession, schema: StructType, path: str, build: Callable[[DataFrame], DataFrame], folder: str, mode: str = "append", files_a_batch: int = 1000) -> DataFrame:
+    """Runs a stream over all files at path to its end, oldest first, and reads what it wrote, with each row's batch as _batch."""
+    return drained(build(source(spark, schema, path, files_a_batch)), folder, mode)[0]
 
 
 def evidence_sink(df: DataFrame, attribute: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, webhook: str = ""):

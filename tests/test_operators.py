@@ -82,11 +82,12 @@ def test_streams_carry_state_over_batches(spark, tmp_path):
     df = spark.createDataFrame(rows, "sensor_id string, ts timestamp_ntz, event_id long, is_anomaly boolean")
     for k in range(3):
         df.where(F.col("event_id").between(30 * k, 30 * k + 29)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("", at(10_000), -1, False)], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # lets time pass
     runs = jobs.replayed(spark, df.schema, str(tmp_path / "in"), lambda s: jobs.persisted(s, 2), str(tmp_path / "p"), files_a_batch=1)
     same = detect.persisted(df, 2, "event_id")
     assert {(r["event_id"], r["consecutive_count"]) for r in runs.collect()} == {(r["event_id"], r["consecutive_count"]) for r in same.collect()}
     kept = jobs.replayed(spark, df.schema, str(tmp_path / "in"), lambda s: jobs.cooled(s, "sensor_id", 600), str(tmp_path / "c"), files_a_batch=1)
-    assert kept.select("_batch").distinct().count() == 3
+    assert kept.select("_batch").distinct().count() >= 3
     assert {r["event_id"] for r in kept.collect()} == {r["event_id"] for r in risk.cooled(df, "sensor_id", 600, tie="event_id").collect()}
 
 
@@ -109,6 +110,7 @@ def test_cooldown_against_a_loop_and_stream(spark, tmp_path):
     assert {r["event_id"] for r in risk.cooled(df, "k", 600).collect()} == want
     assert risk.cooled(df, "k", 0).count() == len(rows)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("", at(10_000), -1)], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # lets time pass
     out = jobs.replayed(spark, df.schema, str(tmp_path / "in"), lambda s: jobs.cooled(s, "k", 600), str(tmp_path / "s"))
     assert {r["event_id"] for r in out.collect()} == want
 
