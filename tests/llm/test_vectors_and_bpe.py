@@ -104,8 +104,8 @@ def plain_negatives(rows, every, positives, k):
 @pytest.mark.parametrize("seed", range(1))
 def test_negatives_by_brute_force(spark, monkeypatch, seed, bits):
     """Small whole vectors, so that many scores tie; few buckets, so that windows are cut many times."""
-    monkeypatch.setattr(negatives, "LEAST", 40)
-    monkeypatch.setattr(negatives, "GROUP", 3)
+    monkeypatch.setattr(negatives, "LEAST", 80)
+    monkeypatch.setattr(negatives, "GROUP", 30)
     rng = random.Random(seed)
     rows = [(rng.choice([i, i, i - 100, None]), [rng.randint(-2, 3) / 4 for _ in range(3)], rng.choice([0, 1, 2])) for i in range(160)]
     rows += [(500 + i % 3, [0.5, 0.5, 0.25], 1) for i in range(40)] + [r for r in ODD_VECTORS if r[0] != 7]
