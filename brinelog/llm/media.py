@@ -34,7 +34,7 @@ class _Reader(HTMLParser):
         self.items: list[list] = []
         self.text: list[str] = []
         self.skip = 0
-        self.figure: list[int] | None = None
+        self.figures: list[tuple[list[int], list[str]]] = []  # of each open figure: its media, and its caption
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -49,29 +49,51 @@ class _Reader(HTMLParser):
         if tag in _BREAK:
             self.flush()
         if tag == "figure":
-            self.figure = []
-        if tag == "figcaption" and self.figure is not None:
+            self.told()
+            self.figures.append(([], []))
+        if tag == "figcaption" and self.figures:
+            self.told()
             self.caption = []
         if tag in _MEDIA and not self.skip:
             found = dict(attrs)
             if found.get("src"):
                 self.flush()
-                if self.figure is not None:
-                    self.figure.append(len(self.items))
+                if self.figures:
+                    self.figures[-1][0].append(len(self.items))
                 self.items.append(["media", None, found["src"], found.get("alt") or None])
 
     def handle_endtag(self, tag):
         if tag in _SKIP and self.skip:
             self.skip -= 1
         if tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for i in (self.figure or []) if said else []:
-                self.items[i][3] = said
-            self.caption = None
+            self.told()
         elif tag in _BREAK:
             self.flush()
-        if tag == "figure":
-            self.figure = None
+        if tag == "figure" and self.figures:
+            self.told()
+            self.closed()
+
+    def told(self) -> None:
+        """Ends an open caption."""
+        if self.caption is not None:
+            self.figures[-1][1].append("".join(self.caption))
+            self.caption = None
+
+    def closed(self) -> None:
+        """Ends a figure: its caption goes to its media, those of figures within it without one too; without a caption they are left to the figure around it."""
+        media, said = self.figures.pop()
+        caption = " ".join(" ".join(said).split())
+        for i in media if caption else []:
+            self.items[i][3] = caption
+        if self.figures and not caption:
+            self.figures[-1][0].extend(media)
+
+    def parse_html_declaration(self, i):
+        """Comments and the document type as they are; any other "<!", well formed or not, is left out up to the next ">"."""
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        end = self.rawdata.find(">", i + 2)
+        return end + 1 if end >= 0 else -1
 
     def handle_data(self, data):
         if not self.skip:
@@ -83,8 +105,10 @@ def parse(html: str | None) -> list[tuple]:
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    if reader.caption:
+    if reader.caption:  # never closed
         reader.text.extend(reader.caption)
+    while reader.figures:
+        reader.closed()
     reader.flush()
     return [(i, *item) for i, item in enumerate(reader.items)]
 

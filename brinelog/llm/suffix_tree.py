@@ -1,10 +1,8 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 Symbols are words (lower-cased A-Z) and one end per text. The tree's root has every training word; deeper states are
-contexts of one to DEPTH words or the begin of a text. Contexts, their entries and the words in them need evidence: LEAST
-occurrences, and in large corpora the square root of all training tokens over ROOTS. So the share that a context needs falls
-as the corpus grows, and the tree grows with it, while what is counted stays near proportion. It is a table and
-never gathered in one place. A context is
+contexts of one to DEPTH words or the begin of a text. Contexts, their entries and the words in them need evidence, LEAST
+occurrences at every size, so the tree grows with the corpus. It is a table and never gathered in one place. A context is
 retained if its next-symbol distribution diverges from its parent's by more than the entries' worth (n * KL over half
 of ln n per entry). A word is scored by its longest suffix state; each state takes a discount from its counts and gives
 the freed mass to its parent. Words with fewer occurrences share one symbol in deeper states. Words never seen in training
@@ -13,7 +11,6 @@ are one symbol, as in the smoothed unigram beside which the score stands; it has
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +23,6 @@ from .words import Block, blocks, mix
 
 #: Least count in training texts of a context, of an entry, and of a word that deeper states tell from others.
 LEAST = 50
-ROOTS = 8
 #: Words of the longest contexts.
 DEPTH = 4
 DISCOUNT = 0.75
@@ -102,11 +98,10 @@ class Root:
 def train_root(vocab: DataFrame) -> Root:
     seen = vocab.where("c > 0")
     n = seen.agg(F.sum("c")).first()[0] or 0
-    least = max(LEAST, math.isqrt(n) // ROOTS)
-    often = F.col("c") >= least
+    often = F.col("c") >= LEAST
     s = seen.agg(F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("a"), F.count_if(F.col("c") == 2).alias("b"), F.sum(F.when(often, F.col("c"))).alias("often"), F.count_if(often).alias("k")).first()
     discount = min(0.95, max(0.1, s["a"] / max(s["a"] + 2 * s["b"], 1)))
-    return Root(n, least, s["v"], discount, max(1 - ((s["often"] or 0) - discount * s["k"]) / max(n, 1), 1e-9))
+    return Root(n, LEAST, s["v"], discount, max(1 - ((s["often"] or 0) - discount * s["k"]) / max(n, 1), 1e-9))
 
 
 def codes(symbol: np.ndarray, c: np.ndarray, least: int) -> np.ndarray:

@@ -370,6 +370,20 @@ def test_media(spark, odd, none):
     assert len(rows) == 5 and media.figures(media.store_media(none)).count() == 0
 
 
+def test_any_html_is_read():
+    """Broken declarations, nested figures, captions before and after; then random marks, none of which may fail."""
+    assert [x[1:] for x in media.parse("<p>x <![ y</p> z")] == [("text", "x z", None, None)]  # up to the next >
+    shown = lambda html: [(x[3], x[4]) for x in media.parse(html) if x[1] == "media"]
+    assert shown("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>") == [("a", "out"), ("b", "in")]
+    assert shown("<figure><figure><img src=b></figure><figcaption>out</figcaption></figure>") == [("b", "out")]
+    assert shown("<figure><figcaption>first</figcaption><img src=c>") == [("c", "first")]
+    assert shown("<figure><img src=d alt=x><figcaption>never closed") == [("d", "x")]
+    rng = random.Random(1)
+    marks = ["<", "<!", "<![", "<!-", "<!--", "-->", "]]>", ">", "&", "&#", "&#x", "&lt", "<p>", "</p>", "<figure>", "</figure>", "<figcaption>", "</figcaption>", "<img src=a>", "<img src='", "<script>", "</script>", "<?", "</", '<a b="', '"', "'", " x", "é", "\0", "<![CDATA[", "<!DOCTYPE", "=", "/", "<title>", "<textarea>", "<plaintext>"]
+    for _ in range(60_000):
+        media.parse("".join(rng.choice(marks) for _ in range(rng.randint(0, 14))))
+
+
 def test_media_query(spark, texts):
     got = {r["doc_id"]: r for r in media.op7_media_columns(spark, SF).collect()}
     assert got.keys() == texts.keys()
