@@ -12,12 +12,14 @@ from ..config import Config
 from ..functions import scalars as S
 
 
-def validated(df: DataFrame, sensor: str, time: str, value: str, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """(valid rows as they are, quarantine (record, rejection_reason, received_at))."""
+def validated(df: DataFrame, sensor: str, time: str, value: str, cfg: Config, nulls: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(valid rows as they are, quarantine (record, rejection_reason, received_at)). nulls: a missing value is a blackout, which is valid."""
     S.require(df.columns, [sensor, time, value])
-    marked = df.withColumn("_why", S.rejection(F.col(sensor), F.col(time), F.col(value), cfg))
-    bad = marked.where("_why <> ''").select(F.to_json(F.struct(*df.columns)).alias("record"), F.col("_why").alias("rejection_reason"), (F.unix_micros(F.current_timestamp()) / 1e6).alias("received_at"))
-    return marked.where("_why = ''").select(*df.columns), bad
+    why = scratch.spare("_why", df)
+    shown = F.coalesce(F.col(value), F.lit(0.0)) if nulls else F.col(value)
+    marked = df.withColumn(why, S.rejection(F.col(sensor), F.col(time), shown, cfg))
+    bad = marked.where(F.col(why) != "").select(F.to_json(F.struct(*df.columns)).alias("record"), F.col(why).alias("rejection_reason"), (F.unix_micros(F.current_timestamp()) / 1e6).alias("received_at"))
+    return marked.where(F.col(why) == "").select(*df.columns), bad
 
 
 def status(cod: Column) -> Column:
@@ -76,7 +78,12 @@ def scored(df: DataFrame, duration: str, hop: str, hop_unit: str | None, cfg: Co
     The window is half open, so a reading is never in its own baseline, and each meets one window at most. hop_unit: the
     date_trunc unit that equals the hop; None: windows that end in the reading's minute, as many as there are.
     """
-    stats = sliding_stats(df, duration, hop, cfg.epsilon).select(F.col("sensor_id").alias("_sensor"), F.col("window_end").alias("_end"), F.col("mean").alias("rolling_mean"), F.col("std").alias("rolling_std"))
+    return with_scores(df, sliding_stats(df, duration, hop, cfg.epsilon), hop_unit, cfg)
+
+
+def with_scores(df: DataFrame, stats: DataFrame, hop_unit: str | None, cfg: Config) -> DataFrame:
+    """scored() against statistics that are there already."""
+    stats = stats.select(F.col("sensor_id").alias("_sensor"), F.col("window_end").alias("_end"), F.col("mean").alias("rolling_mean"), F.col("std").alias("rolling_std"))
     if hop_unit is None:
         left, right = F.date_trunc("minute", "ts").cast("timestamp_ntz"), F.date_trunc("minute", "_end").cast("timestamp_ntz")
     else:
@@ -108,3 +115,15 @@ def persisted(df: DataFrame, count: int, tie: str | None = None, chunk_s: int =
     rows = rows.join(handed, F.col("sensor_id").eqNullSafe(F.col(own)) & F.col(at).eqNullSafe(F.col(into)), "left")
     before = F.when(F.col(island) == 0, F.coalesce(carry, F.lit(0))).otherwise(0)
     return rows.withColumn("consecutive_count", F.col(run) + before).where(F.col("is_anomaly") & (F.col("consecutive_count") >= count)).select(*[c for c in df.columns if c != "consecutive_count"], "consecutive_count")
+
+
+def resets(df: DataFrame, tie: str | None = None, chunk_s: int = 3600) -> DataFrame:
+    """(sensor_id, resets): how often a run of anomalies ended in a row that is none (or has no flag). Chunked as persisted() is."""
+    order = ["ts"] + ([tie] if tie else [])
+    rows = df.select("sensor_id", S.floor_div(S.micros(F.col("ts")), chunk_s * 1_000_000).alias("chunk"), F.struct(*order).alias("at"), F.coalesce("is_anomaly", F.lit(False)).alias("hit"))
+    before = F.lag("hit").over(Window.partitionBy("sensor_id", "chunk").orderBy("at"))
+    rows = rows.withColumn("ended", (before & ~F.col("hit")).cast("long"))
+    chunks = rows.groupBy("sensor_id", "chunk").agg(F.coalesce(F.sum("ended"), F.lit(0)).alias("inside"), F.min_by("hit", "at").alias("first"), F.max_by("hit", "at").alias("last"))
+    handed = F.lag("last").over(Window.partitionBy("sensor_id").orderBy("chunk"))  # a row a chunk
+    chunks = chunks.withColumn("border", F.coalesce((handed & ~F.col("first")).cast("long"), F.lit(0)))
+    return chunks.groupBy("sensor_id").agg(F.sum(F.col("inside") + F.col("border")).alias("resets"))

@@ -54,11 +54,13 @@ def risk_index(groups: DataFrame, cfg: Config) -> DataFrame:
     return joined.withColumn("eri", eri).withColumn("risk_band", S.risk_band(F.col("eri"), cfg)).drop("_point", "_factor")
 
 
-def alerts(eri: DataFrame, cfg: Config) -> DataFrame:
-    """Rows of at least the configured band, cooled down per point; details are masked below HIGH."""
+def alerts(eri: DataFrame, cfg: Config, kept: DataFrame | None = None) -> DataFrame:
+    """Rows of at least the configured band, cooled down per point; details are masked below HIGH. kept: (discharge_point_id, ts) of alerts told before, which count for the cooldown."""
     least = cfg.alert_min_risk_band
     rank = S.band_rank(F.col("risk_band"))
-    rows = eri.where(rank >= (BANDS.index(least) if least in BANDS else 1))
-    rows = cooled(rows, "discharge_point_id", cfg.alert_cooldown_seconds)
+    rows = eri.where(rank >= (BANDS.index(least) if least in BANDS else 1)).withColumn("_new", F.lit(True))
+    if kept is not None:
+        rows = rows.unionByName(kept.select("discharge_point_id", "ts"), allowMissingColumns=True)
+    rows = cooled(rows, "discharge_point_id", cfg.alert_cooldown_seconds).where("_new")
     shown = rank >= 2
     return rows.select("discharge_point_id", "ts", "eri", "risk_band", S.alert_level(F.col("risk_band")).alias("alert_level"), F.when(shown, F.col("sensitivity_factor")).otherwise(0.0).alias("sensitivity_factor"), F.when(shown, F.col("top_contributor")).otherwise("").alias("top_contributor"), F.when(shown, F.col("alert_message")).otherwise("").alias("alert_message"))

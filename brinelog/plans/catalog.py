@@ -11,11 +11,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import scratch
+from .. import facade, scratch
 from ..config import Config
 from ..functions import scalars as S
 from ..operators import detect, forensics, report, risk
-from ..sources import files
+from ..sources import files, schemas
 
 CFG = replace(
     Config(), zscore_threshold=1.5, cod_threshold=150.0, cod_baseline=100.0, alert_cooldown_seconds=6 * 3600, group_threshold=1.0, sync_tolerance_ms=3_600_000,
@@ -310,6 +310,59 @@ def stream_windowed_stats(spark, sf):
 
 
 
+def reset_counts(spark, sf):
+    return detect.resets(scores(spark, sf), "event_id")
+
+
+OWN = replace(CFG, input_schema_sensor_column="machine", input_schema_value_column="level", window_duration_ms=3_600_000, window_hop_ms=60_000, persistence_count=1, zscore_threshold=1.0)
+
+
+def facade_detect(spark, sf):
+    """A table with names of its own, times as text, through the facade: renamed, scored against the hour before, held to the run length."""
+    own = events(spark, sf).select(F.col("event_type").alias("machine"), F.col("value").cast("string").alias("level"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("time"), "event_id", "props")
+    return facade.detect(own, OWN, tie="event_id").select("sensor_id", "ts", "value", "event_id", "consecutive_count", F.round("rolling_mean", 6).alias("rolling_mean"))
+
+
+def _factory_csv(spark, sf, **values) -> str:
+    """Factory readings as a CSV folder; cod is empty for each 7th event and no number for each 11th if asked."""
+    path = scratch.folder(spark)
+    i = F.col("event_id")
+    cod = F.when(i % 7 == 0, F.lit(None)).when((i % 11 == 0) & F.lit(values.get("odd", False)), F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    files.write_csv(events(spark, sf).select(i.alias("s_no"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("time"), F.col("user_id").cast("string").alias("factory_id"), cod.alias("cod"), F.lit(45.5).alias("bod"), F.lit(7.2).alias("ph"), F.length("props").cast("double").alias("tss")), path)
+    return path
+
+
+def stream_clean_factories(spark, sf):
+    """CSV files as a stream, blackouts left out."""
+    from ..streaming import jobs
+
+    rows = files.factory_readings(spark, _factory_csv(spark, sf), glob="*.csv", stream=True, include_blackout=False, files_a_batch=3)
+    return jobs.drained(rows, scratch.folder(spark))[0].select("s_no", "time", "factory_id", "cod", "tss", "status")
+
+
+def factory_full_load(spark, sf):
+    """All readings, cells that are no numbers null."""
+    return files.factory_index(spark, _factory_csv(spark, sf, odd=True), "yyyy-MM-dd HH:mm", glob="*.csv", keep_null=True).select("factory_id", "ts", "cod", "tss")
+
+
+def dashboard_load(spark, sf):
+    path, i = scratch.folder(spark), F.col("event_id")
+    time = F.when(i % 13 == 0, "never").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm"))
+    cells = {f.name: F.lit(1.5) for f in schemas.CETP} | {"s_no": i, "time": time, "cetp_inlet_cod": F.when(i % 11 == 0, F.lit("NA")).when(i % 7 > 0, F.col("value").cast("string"))}
+    files.write_csv(events(spark, sf).select(*[c.alias(n) for n, c in cells.items()]), path)
+    return files.dashboard_readings(spark, path, "yyyy-MM-dd HH:mm", glob="*.csv").select("s_no", "ts", "cetp_inlet_cod", "cetp_outlet_ph")
+
+
+def tamper_log(spark, sf):
+    """Records of all detectors, written over an older log and read back."""
+    path = scratch.folder(spark)
+    found = forensics.all_tampering(*_tamper(spark, sf)).withColumn("window_end", S.bound_text(F.col("window_end")))
+    files.overwrite_jsonl(found.limit(1), path)
+    files.overwrite_jsonl(found, path)
+    rows = files.tamper_log(spark, path)
+    return rows.withColumn("logged", F.col("logged_at").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$")).drop("logged_at").transform(r6("cod_range", "mean_cod", "mean_tss", "baseline_cod", "baseline_tss", "blackout_ratio"))
+
+
 #: Days of a file of the fed streams; rows come a file late at most, within the watermark.
 BLOCK, LATE = 10, "12 days"
 
@@ -368,7 +421,7 @@ def stream_tamper(spark, sf):
 
     rows = factories(spark, sf).select("factory_id", "ts", "cod", "tss", "event_id")
     path = _feed(rows, _block(), 4, {"factory_id": -1, "event_id": -1})
-    build = lambda s: jobs.tampering(s, DAY, LATE, {"least": 1.0, "min_rows": 2}, {"drop": 0.8, "stable": 0.2, "min_rows": 3}, {"ratio": 0.8, "min_rows": 3})
+    build = lambda s: jobs.tampering(s, LATE, {"width_s": DAY, "least": 1.0, "min_rows": 2}, {"width_s": DAY, "drop": 0.8, "stable": 0.2, "min_rows": 3}, {"width_s": DAY, "ratio": 0.8, "min_rows": 3})
     out = jobs.replayed(spark, rows.schema, path, build, scratch.folder(spark), "append", 1)
     return out.drop("_batch").transform(r6("cod_range", "mean_cod", "mean_tss", "baseline_cod", "baseline_tss", "blackout_ratio"))
 
@@ -412,6 +465,7 @@ def queries() -> dict:
         validate_valid, validate_quarantine, tripwire, rolling_mean, windowed_stats, zscore, persistence, persistence_strict, group_anomalies, attribution, eri, alerts, cooldown, backtrack,
         tamper_zero_variance, tamper_dilution, tamper_blackout, tamper_all, kpis, latency_percentiles, latency_recent, alerts_per_minute, stage_unpivot, factory_summary, factory_extremes,
         top_attributed, recent_k, window_slice, breach_count, distinct_sensors, csv_roundtrip, jsonl_scan, stream_windowed_stats, slice_figures, alert_levels, tamper_types,
+        reset_counts, facade_detect, stream_clean_factories, factory_full_load, dashboard_load, tamper_log,
         stream_late_revisions, stream_persistence, stream_cooldown, stream_tamper, stream_stages, stream_backtrack, stream_active_alerts,
     ]
     return {f.__name__: f for f in own}
@@ -473,6 +527,17 @@ def oracle_sql() -> dict[str, str]:
         "slice_figures": "SELECT round(avg(value), 6) AS mean, max(value) AS most, count(*) FILTER (WHERE value >= 150) AS breaches, count(*) FILTER (WHERE value >= 300) AS high, count(DISTINCT event_type) AS sensors FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR",
         "alert_levels": f"SELECT alert_level, count(*) AS n FROM ({trip}) GROUP BY alert_level",
         "tamper_types": f"SELECT tamper_type, count(*) AS n FROM (SELECT tamper_type FROM (WITH {ZERO}) UNION ALL SELECT tamper_type FROM (WITH {DILUTION}) UNION ALL SELECT tamper_type FROM (WITH {DARK})) GROUP BY tamper_type",
+        "reset_counts": f"WITH {SCORES}, l AS (SELECT sensor_id, is_anomaly, lag(is_anomaly) OVER (PARTITION BY sensor_id ORDER BY ts, event_id) AS before FROM z) SELECT sensor_id, count(*) FILTER (WHERE before AND NOT is_anomaly) AS resets FROM l GROUP BY sensor_id",
+        "facade_detect": """WITH e AS (SELECT event_type AS sensor_id, date_trunc('minute', ts) AS ts, value, event_id FROM events),
+            s AS (SELECT e.event_id, avg(w.value) AS mean, sqrt(greatest(0.0, avg(w.value * w.value) - avg(w.value) * avg(w.value))) + 1e-9 AS std FROM e JOIN e w ON w.sensor_id = e.sensor_id AND w.ts >= e.ts - INTERVAL 1 HOUR AND w.ts < e.ts GROUP BY e.event_id),
+            z AS (SELECT e.*, mean, abs((value - mean) / std) > 1.0 AS hit FROM e JOIN s USING (event_id)),
+            i AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY sensor_id ORDER BY ts, event_id) AS island FROM z),
+            c AS (SELECT *, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY sensor_id, island ORDER BY ts, event_id) AS BIGINT) AS consecutive_count FROM i)
+            SELECT sensor_id, ts, value, event_id, consecutive_count, round(mean, 6) AS rolling_mean FROM c WHERE hit""",
+        "stream_clean_factories": "SELECT event_id AS s_no, strftime(ts, '%Y-%m-%d %H:%M') AS time, CAST(user_id AS VARCHAR) AS factory_id, value AS cod, CAST(length(props) AS DOUBLE) AS tss, 'NORMAL' AS status FROM events WHERE event_id % 7 > 0",
+        "factory_full_load": "SELECT CAST(user_id AS VARCHAR) AS factory_id, date_trunc('minute', ts) AS ts, CASE WHEN event_id % 7 > 0 AND event_id % 11 > 0 THEN value END AS cod, CAST(length(props) AS DOUBLE) AS tss FROM events",
+        "dashboard_load": "SELECT event_id AS s_no, date_trunc('minute', ts) AS ts, value AS cetp_inlet_cod, 1.5::DOUBLE AS cetp_outlet_ph FROM events WHERE event_id % 7 > 0 AND event_id % 11 > 0 AND event_id % 13 > 0",
+        "tamper_log": f"SELECT * REPLACE (CAST(factory_id AS VARCHAR) AS factory_id, strftime(window_end, '%Y-%m-%d %H:%M') AS window_end), true AS logged FROM (SELECT * FROM (WITH {ZERO}) UNION ALL BY NAME SELECT * FROM (WITH {DILUTION}) UNION ALL BY NAME SELECT * FROM (WITH {DARK}))",
         "stream_persistence": f"WITH {ISLANDS} SELECT sensor_id, ts, event_id, consecutive_count FROM p WHERE is_anomaly AND consecutive_count >= 2",
         "stream_cooldown": f"WITH RECURSIVE src AS (SELECT user_id AS key, ts, event_id AS tie, value FROM events WHERE value >= 100), {KEPT.replace('GAP', 'INTERVAL 1 DAY')} SELECT n.key AS user_id, n.ts, tie AS event_id, value FROM n JOIN walk USING (key, k) WHERE kept",
         "stream_tamper": f"SELECT * FROM (WITH {ZERO}) UNION ALL BY NAME SELECT * FROM (WITH {DILUTION}) UNION ALL BY NAME SELECT * FROM (WITH {DARK})",

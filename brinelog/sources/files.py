@@ -14,11 +14,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import scalars as S
 from ..operators import detect
-from .schemas import CETP, FACTORY, RAW_HEADERS
+from .schemas import CETP, FACTORY, RAW_HEADERS, TAMPER
 
 
-def _csv(spark: SparkSession, path: str, schema: StructType, glob: str, stream: bool) -> DataFrame:
-    reader = spark.readStream if stream else spark.read
+def _csv(spark: SparkSession, path: str, schema: StructType, glob: str, stream: bool, files_a_batch: int = 1000) -> DataFrame:
+    reader = spark.readStream.option("maxFilesPerTrigger", files_a_batch) if stream else spark.read
     try:
         return reader.schema(schema).option("header", True).option("nullValue", "").option("pathGlobFilter", glob).csv(path)
     except AnalysisException as e:
@@ -27,14 +27,14 @@ def _csv(spark: SparkSession, path: str, schema: StructType, glob: str, stream:
         raise
 
 
-def plant_readings(spark: SparkSession, path: str, glob: str = "cetp_clean.csv", stream: bool = False) -> DataFrame:
+def plant_readings(spark: SparkSession, path: str, glob: str = "cetp_clean.csv", stream: bool = False, files_a_batch: int = 1000) -> DataFrame:
     """Plant readings with their constant sensor id."""
-    return _csv(spark, path, CETP, glob, stream).withColumn("sensor_id", F.lit("CETP_INLET"))
+    return _csv(spark, path, CETP, glob, stream, files_a_batch).withColumn("sensor_id", F.lit("CETP_INLET"))
 
 
-def factory_readings(spark: SparkSession, path: str, glob: str = "factory_*.csv", stream: bool = False, include_blackout: bool = True) -> DataFrame:
+def factory_readings(spark: SparkSession, path: str, glob: str = "factory_*.csv", stream: bool = False, include_blackout: bool = True, files_a_batch: int = 1000) -> DataFrame:
     """All factories' readings, one scan over the matching files, tagged NORMAL or BLACKOUT."""
-    rows = _csv(spark, path, FACTORY, glob, stream)
+    rows = _csv(spark, path, FACTORY, glob, stream, files_a_batch)
     rows = rows.withColumn("status", detect.status(F.col("cod")))
     return rows if include_blackout else rows.where("cod IS NOT NULL")
 
@@ -62,7 +62,7 @@ def timeline(df: DataFrame, value: str = "cetp_inlet_cod") -> DataFrame:
 def jsonl(spark: SparkSession, path: str, schema: StructType, newest_first: str | None = None) -> DataFrame:
     """JSON lines; malformed lines are left out, a missing path gives no rows."""
     try:
-        rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+        rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -70,6 +70,19 @@ def jsonl(spark: SparkSession, path: str, schema: StructType, newest_first: str
     return rows.orderBy(F.desc(newest_first)) if newest_first else rows
 
 
+def dashboard_readings(spark: SparkSession, path: str, fmt: str, glob: str = "cetp_clean.csv") -> DataFrame:
+    """Plant readings in order of time, unparseable numbers and times null, those without inlet COD or time left out."""
+    text = StructType([StructField(f.name, StringType()) for f in CETP])
+    rows = _csv(spark, path, text, glob, False).withColumn("ts", S.parsed(F.col("time"), fmt))
+    numbers = {c: F.col(c).try_cast("double") for c in text.names if c not in ("s_no", "time")}
+    return rows.withColumns(numbers).withColumn("s_no", F.col("s_no").try_cast("long")).where("cetp_inlet_cod IS NOT NULL AND ts IS NOT NULL").orderBy("ts", "s_no")
+
+
+def tamper_log(spark: SparkSession, path: str) -> DataFrame:
+    """Tamper records of all kinds, columns that a kind lacks null; malformed lines are left out, a missing log gives no rows."""
+    return jsonl(spark, path, TAMPER)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 

@@ -11,6 +11,7 @@ def schema(ddl: str) -> StructType:
     return StructType([StructField(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(","))])
 
 
+# the column names of the five schemas are fixed values
 CETP = schema(
     "s_no long, time string, cetp_inlet_cod double, cetp_inlet_bod double, cetp_inlet_ph double, cetp_inlet_tss double, "
     "cetp_outlet_cod double, cetp_outlet_bod double, cetp_outlet_ph double, cetp_outlet_tss double"

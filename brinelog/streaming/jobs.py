@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from ..functions import scalars as S
 from ..operators import detect, report
 from .ordered import cooled, persisted, tampering  # noqa: F401
 from ..sources import files
+from ..sources.schemas import EVIDENCE
 
 
 def sliding_stats(df: DataFrame, duration: str, hop: str, late: str, eps: float = 1e-9) -> DataFrame:
@@ -146,26 +148,35 @@ def replayed(spark: SparkSession, schema: StructType, path: str, build: Callable
     return drained(build(source(spark, schema, path, files_a_batch)), folder, mode)[0]
 
 
-def evidence_sink(df: DataFrame, attribute: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, webhook: str = ""):
-    """Shock events to JSON lines: each micro-batch is attributed as a whole, then written to its own folder."""
+def evidence_batch(attribute: Callable[[DataFrame], DataFrame], path: str, webhook: str = "", seconds: float = 30.0) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: shock events to JSON lines, each micro-batch attributed as a whole and written to its own folder.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        files.append_jsonl(attribute(batch), path, batch_id)
-        if webhook:  # from what was written, so that a batch is attributed once
-            for r in df.sparkSession.read.json(f"{path}/batch={batch_id}").toLocalIterator():
+    Webhooks are best effort: they are sent from what was written, so that a batch is attributed once, and for so many seconds a batch at most.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        files.append_jsonl(attribute(batch), path, number)
+        if webhook:
+            end = time.monotonic() + seconds
+            for r in batch.sparkSession.read.schema(EVIDENCE).json(f"{path}/batch={number}").toLocalIterator():
+                if time.monotonic() > end:
+                    break
                 files.post_webhook(r.asDict(), webhook)
 
-    return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(processingTime="1 second")
+    return write
 
 
-def split_sink(df: DataFrame, sensor: str, time: str, value: str, cfg, good: str, bad: str, checkpoint: str):
-    """Valid rows and quarantine of each micro-batch, from one read of it."""
+def tamper_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: tamper records, each kind with its own columns to its own log, each micro-batch to its own folder there."""
+    own = {
+        "ZERO_VARIANCE": ["cod_max", "cod_min", "cod_range", "row_count"], "DILUTION_TAMPER": ["mean_cod", "mean_tss", "baseline_cod", "baseline_tss"],
+        "BLACKOUT_TAMPER": ["total_rows", "blackout_rows", "blackout_ratio"],
+    }
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        ok, rejected = detect.validated(batch, sensor, time, value, cfg)
-        ok.write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
-        rejected.write.mode("overwrite").json(f"{bad}/batch={batch_id}")
-        batch.unpersist()
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("window_end", S.bound_text(F.col("window_end"))).persist()
+        for kind, columns in own.items():
+            files.append_jsonl(rows.where(F.col("tamper_type") == kind).select("tamper_type", "factory_id", "window_end", *columns), f"{path}/{kind}", number)
+        rows.unpersist()
 
-    return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True)
+    return write

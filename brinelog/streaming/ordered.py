@@ -2,8 +2,8 @@
 
 A key's rows wait in a list state until the watermark has passed them; an event-time timer then releases them, sorted by time. What
 comes later than the watermark is refused by Spark before it gets here. So each operator sees a key's rows in order of
-event time, whatever files and batches they came in, and gives what its batch twin gives. A key's state is given up
-after idle_s seconds of event time without rows, if that is set.
+event time, whatever files and batches they came in, and gives what its batch twin gives. A key's state is forgotten
+in a pause of more than idle_s seconds of event time, if that is set, and given up once the watermark has passed that.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ class Ordered(StatefulProcessor):
         out = []
         if ready.any():
             now = rows[ready].sort_values([AT, "event_id"], kind="stable").reset_index(drop=True)
-            out.append(self.release(key, now))
+            out += [self.release(key, part) for part in self._parts(now)]
             self.newest.update((int(now[AT].iloc[-1]),))
         kept = rows[~ready]
         if len(kept):
@@ -66,6 +66,20 @@ class Ordered(StatefulProcessor):
         self._wake(kept[AT].min() if len(kept) else None, mark)
         yield from (o for o in out if o is not None and len(o))
 
+    def _parts(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """rows cut at pauses longer than the time to live, after each of which the state is forgotten."""
+        if self.idle_us is None:
+            yield rows
+            return
+        at = rows[AT].to_numpy(np.int64)
+        before = self.newest.get()[0] if self.newest.exists() else at[0]
+        cuts = np.flatnonzero(np.diff(at, prepend=before) > self.idle_us)
+        for a, e in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            if a in cuts:
+                self.forget()
+            if a < e:
+                yield rows.iloc[a:e].reset_index(drop=True)
+
     def _wake(self, first, mark: int) -> None:
         """One timer at the earliest time at which there is something to do."""
         times = [int(first)] if first is not None else []
@@ -182,19 +196,20 @@ class Tampering(Ordered):
     Rows come in order, so one window a detector is open at a time, and dilution keeps the last window that had enough rows.
     """
 
-    def __init__(self, schema: StructType, width_s: int, zero: dict, dilution: dict, blackout: dict, idle_s: int | None = None):
+    def __init__(self, schema: StructType, zero: dict, dilution: dict, blackout: dict, idle_s: int | None = None):
         super().__init__(schema, idle_s)
-        self.width, self.zero, self.dilution, self.blackout = width_s, zero, dilution, blackout
+        self.zero, self.dilution, self.blackout = zero, dilution, blackout
+        self.width = {"ZERO_VARIANCE": zero["width_s"], "DILUTION_TAMPER": dilution["width_s"], "BLACKOUT_TAMPER": blackout["width_s"]}
 
     def prepare(self, handle) -> None:
-        self.open = {kind: handle.getValueState(kind, OPEN) for kind in ("ZERO_VARIANCE", "DILUTION_TAMPER", "BLACKOUT_TAMPER")}
+        self.open = {kind: handle.getValueState(kind, OPEN) for kind in self.width}
 
     def forget(self) -> None:
         for state in self.open.values():
             state.clear()
 
     def due(self) -> list[int]:
-        return [(s[0] + (s[1] + 1) * self.width) * 1_000_000 for state in self.open.values() if state.exists() for s in [state.get()] if s[2]]
+        return [(s[0] + (s[1] + 1) * self.width[kind]) * 1_000_000 for kind, state in self.open.items() if state.exists() for s in [state.get()] if s[2]]
 
     def release(self, key, rows):
         found = []
@@ -206,7 +221,7 @@ class Tampering(Ordered):
                 continue
             sec = part["us"] // 1_000_000
             state = self.open[kind].get() if self.open[kind].exists() else (int(sec.iloc[0]), 0, *EMPTY, None, None)
-            number = (sec - state[0]) // self.width
+            number = (sec - state[0]) // self.width[kind]
             for at, w in part.groupby(number.to_numpy(), sort=True):
                 if state[2] and at != state[1]:
                     state = self._closed(key, kind, state, found)
@@ -222,7 +237,7 @@ class Tampering(Ordered):
         for kind, own in self.open.items():
             if own.exists():
                 state = own.get()
-                if state[2] and (state[0] + (state[1] + 1) * self.width) * 1_000_000 <= watermark_us:
+                if state[2] and (state[0] + (state[1] + 1) * self.width[kind]) * 1_000_000 <= watermark_us:
                     own.update(self._closed(key, kind, state, found))
         return self._frame(found, key)
 
@@ -256,10 +271,10 @@ def _real(x) -> float | None:
     return None if x is None or x != x else float(x)
 
 
-def tampering(df: DataFrame, width_s: int, late: str, zero: dict, dilution: dict, blackout: dict, idle_s: int | None = None) -> DataFrame:
+def tampering(df: DataFrame, late: str, zero: dict, dilution: dict, blackout: dict, idle_s: int | None = None) -> DataFrame:
     """Stream of (factory_id, ts, cod, tss, event_id) to tamper records of all three kinds, each once its window is over.
 
-    zero: least, min_rows; dilution: drop, stable, min_rows; blackout: ratio, min_rows; as in operators.forensics.
+    zero: width_s, least, min_rows; dilution: width_s, drop, stable, min_rows; blackout: width_s, ratio, min_rows; as in operators.forensics.
     """
     out = TAMPER.format(key=dict(df.dtypes)["factory_id"])
-    return _run(df.where("ts IS NOT NULL"), "factory_id", "ts", late, lambda held: Tampering(held, width_s, zero, dilution, blackout, idle_s), ["event_id", "cod", "tss"], out)
+    return _run(df.where("ts IS NOT NULL"), "factory_id", "ts", late, lambda held: Tampering(held, zero, dilution, blackout, idle_s), ["event_id", "cod", "tss"], out)
