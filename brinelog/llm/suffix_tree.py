@@ -215,11 +215,75 @@ def _often(rows: DataFrame, least: int) -> DataFrame:
     return found.withColumn("chunks", F.array_distinct("chunks"))
 
 
+def filled_slots(docs: DataFrame, least: int, tokens: int) -> DataFrame:
+    """(chunk, slot) of the 32-bit slots, into which pairs of a word and the next one are hashed, that training texts fill least times or more.
+
+    A pair with so many occurrences is in such a slot, and each chunk that holds it, if only in texts that don't train, is told the
+    slot, so no frequent pair is lost; of the others, most are seen here only, as four bytes and a count each. Slots are summed by range, of
+    a few million tokens each.
+    """
+    bits = min(max(6, (tokens >> 22).bit_length()), 16)
+    kind = np.uint8 if least < 256 else np.uint32
+
+    def packed(held, chunk):
+        slot, n = _total(*map(list, zip(*held, strict=True)))
+        cuts = np.searchsorted(slot, np.arange(1 << bits, dtype=np.int64) << (32 - bits))
+        for r, (a, e) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(slot)], strict=True)):
+            if a < e:
+                yield r, chunk, slot[a:e].astype("<u4").tobytes(), np.minimum(n[a:e], least).astype(kind).tobytes()
+
+    def gather(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, now = 0, None
+
+        def done():
+            rows = list(packed(held, now)) if held else []
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "chunk", "slots", "counts"])
+
+        for batch in batches:
+            texts, train, chunks = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], chunks[1:] != chunks[:-1], [True]]))
+            for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if chunks[a] != now:
+                    if held:
+                        yield done()
+                    now, size = int(chunks[a]), 0
+                for lo, hi, b in blocks(texts[a:e], 1 << 20):
+                    symbol, doc = sequence(b, hi - lo)
+                    at, state, _ = next(iter(contexts(symbol, doc)))
+                    held.append(_total([_slot(state, symbol[at])], [train[a + lo : a + hi][doc[at]]]))
+                    size += len(held[-1][0])
+                    if size > _MERGE:
+                        held[:] = [_total(*map(list, zip(*held, strict=True)))]
+                        size = len(held[0][0]) // 2
+                        if len(held[0][0]) > 2 * _MERGE:
+                            yield done()
+                            size = 0
+        if held:
+            yield done()
+
+    def reach(table: pa.Table) -> pa.Table:
+        sizes = [len(x) // 4 for x in table["slots"].to_pylist()]
+        slot = np.frombuffer(b"".join(table["slots"].to_pylist()), "<u4")
+        n = np.frombuffer(b"".join(table["counts"].to_pylist()), kind)
+        _, at = np.unique(slot, return_inverse=True)
+        ok = np.bincount(at, weights=n)[at] >= least
+        return pa.table({"chunk": pa.array(np.repeat(table["chunk"].to_numpy(), sizes)[ok]), "slot": pa.array(slot[ok].astype(np.int64))})
+
+    rows = docs.select("text", "train", "chunk").mapInArrow(tidy(gather), "range int, chunk long, slots binary, counts binary")
+    return rows.groupBy("range").applyInArrow(reach, "chunk long, slot long")
+
+
+def _slot(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return (pair(state, symbol) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def grams(rows: DataFrame, parts: list[DataFrame], longer: bool, least: int) -> DataFrame:
     """(depth, state, symbol, c, chunks) of contexts and next symbols that occur least times or more in training texts.
 
-    Contexts have one word, or if longer two to DEPTH; then parts have the pairs of words that were found, and what has
-    a pair in it that wasn't need not be counted. c: count in training texts; chunks: all that hold it. Depth is negative for a
+    Contexts have one word, and parts the slots that frequent pairs are in; or if longer two to DEPTH, and parts have the pairs of
+    words that were found, and what has a pair in it that wasn't need not be counted. c: count in training texts; chunks: all that hold it. Depth is negative for a
     context itself, whose symbol is its parent.
     """
 
@@ -237,7 +301,7 @@ def grams(rows: DataFrame, parts: list[DataFrame], longer: bool, least: int) ->
 
     def run(batches):
         held, size, now = [], 0, None
-        for chunk, (lexicon, _, pairs), batch in with_lookups(batches):
+        for chunk, (lexicon, filled, pairs), batch in with_lookups(batches):
             if held and chunk != now:
                 yield from emit(held, now)
                 held, size = [], 0
@@ -249,7 +313,8 @@ def grams(rows: DataFrame, parts: list[DataFrame], longer: bool, least: int) ->
                 for depth, (at, state, parent) in enumerate(contexts(code, doc), 1):
                     if depth == 1:
                         found[at] = pairs(pair(state, code[at]))[0]
-                        ok, here, follows = np.ones(len(code), bool), not longer, np.ones(len(code), bool)
+                        ok, here, follows = np.ones(len(code), bool), not longer, code == RARE
+                        follows[at] |= filled(_slot(state, code[at]).astype(np.uint64))[0]
                     else:
                         ok[at] &= found[at - depth + 1]
                         here, follows = True, found
@@ -320,7 +385,8 @@ def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5, chunk: Colum
     root = train_root(vocab)
     words = vocab.select(F.explode("chunks").alias("chunk"), F.lit(WORD).alias("kind"), "h", F.lit(0).cast("long").alias("g"), F.col("c").cast("double").alias("v"))
     often = words.where(F.col("v") >= root.least)
-    pairs = freed(stored(grams(rows, [often], False, root.least), "pairs"))
+    slots = stored(filled_slots(rows, root.least, root.tokens), "slots").select("chunk", F.lit(STATE).alias("kind"), F.col("slot").alias("h"), F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("v"))
+    pairs = freed(stored(grams(rows, [often, slots], False, root.least), "pairs"))
     known = pairs.where("depth > 0").select(F.explode("chunks").alias("chunk"), F.lit(ENTRY).alias("kind"), F.col("state").alias("h"), F.col("symbol").alias("g"), F.lit(0.0).alias("v"))
     found = freed(pairs.unionByName(stored(grams(rows, [often, known], True, root.least), "grams")))
     parts = [words, *states(found, vocab, root)]
