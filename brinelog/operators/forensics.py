@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import scalars as S
 
 
@@ -16,25 +17,27 @@ def backtracked(shocks: DataFrame, sources: DataFrame, travel_s: int, tolerance_
     """
     width = max(2 * tolerance_s, 1) * 1_000_000
     center = S.micros(F.col("ts")) - travel_s * 1_000_000
-    s = shocks.withColumn("_c", center)
+    probes = shocks.select("shock_id", center.alias("_c"))
     low = F.floor((F.col("_c") - tolerance_s * 1_000_000) / width)
     high = F.floor((F.col("_c") + tolerance_s * 1_000_000) / width)
-    probes = s.select("shock_id", "_c", F.explode(F.sequence(low, high)).alias("_b"))
+    probes = probes.select("shock_id", "_c", F.explode(F.sequence(low, high)).alias("_b"))
     t = S.micros(F.col("ts"))
     build = sources.select(F.col("factory_id"), t.alias("_t"), F.floor(t / width).alias("_b"), "cod", F.struct(*sources.columns).alias("_row")).where("cod IS NOT NULL")
     best = F.max_by("_row", F.struct("cod", (-F.col("_t")).alias("t"), F.lit(0).alias("z")))
     matched = probes.join(build, "_b").where(F.abs(F.col("_t") - F.col("_c")) <= tolerance_s * 1_000_000)
     w = matched.groupBy("shock_id", "factory_id").agg(best.alias("_row"), F.max(F.struct("cod", (-F.col("_t")).alias("t"))).alias("_k"))
     top = w.groupBy("shock_id").agg(F.max("_k").alias("_k")).join(w.withColumnRenamed("_k", "_own"), "shock_id").where("_own = _k").groupBy("shock_id").agg(F.min_by("_row", "factory_id").alias("_row"))
-    out = s.join(top, "shock_id", "left").drop("_c")
-    return out.withColumn("backtrack_time", F.timestamp_add("SECOND", F.lit(-travel_s), F.col("ts"))).select(*shocks.columns, "backtrack_time", F.col("_row.factory_id").alias("attributed_factory"), F.col("_row.ts").alias("source_ts"), F.col("_row.cod").alias("factory_cod"), *[F.col(f"_row.{c}").alias(f"factory_{c}") for c in sources.columns if c in ("bod", "tss")])
+    row = scratch.spare("_row", shocks)
+    out = shocks.join(top.withColumnRenamed("_row", row), "shock_id", "left")
+    back = F.timestamp_add("SECOND", F.lit(-travel_s), F.col("ts")).alias("backtrack_time")
+    return out.select(*shocks.columns, back, F.col(f"{row}.factory_id").alias("attributed_factory"), F.col(f"{row}.ts").alias("source_ts"), F.col(f"{row}.cod").alias("factory_cod"), *[F.col(f"{row}.{c}").alias(f"factory_{c}") for c in sources.columns if c in ("bod", "tss")])
 
 
 def _anchored(df: DataFrame, width_s: int) -> DataFrame:
     """df with _b, the tumbling window's number since the factory's own first row. First times are aggregated and joined, so no task gets all of a factory's rows."""
-    t = S.seconds(F.col("ts"))
-    first = df.groupBy(F.col("factory_id").alias("_factory")).agg(F.min(t).alias("_first"))
-    return df.join(first, F.col("factory_id").eqNullSafe(F.col("_factory"))).withColumn("_b", F.floor((t - F.col("_first")) / width_s)).drop("_factory", "_first")
+    t, own, start = S.seconds(F.col("ts")), scratch.spare("_factory", df), scratch.spare("_first", df)
+    first = df.groupBy(F.col("factory_id").alias(own)).agg(F.min(t).alias(start))
+    return df.join(first, F.col("factory_id").eqNullSafe(F.col(own))).withColumn("_b", F.floor((t - F.col(start)) / width_s)).drop(own, start)
 
 
 def zero_variance(df: DataFrame, width_s: int, least: float = 1e-4, min_rows: int = 2, tie: str = "ts") -> DataFrame:
@@ -48,8 +51,9 @@ def zero_variance(df: DataFrame, width_s: int, least: float = 1e-4, min_rows: in
 def dilution(df: DataFrame, width_s: int, drop: float, stable: float, min_rows: int = 3, min_total: int = 6, tie: str = "ts") -> DataFrame:
     """Windows of (factory_id, ts, cod, tss) in which cod falls by drop against the last qualifying window while tss holds."""
     rows = df.where("cod IS NOT NULL AND tss IS NOT NULL AND ts IS NOT NULL")
-    enough = rows.groupBy(F.col("factory_id").alias("_factory")).agg(F.count(F.lit(1)).alias("_total")).where(F.col("_total") >= min_total)
-    rows = rows.join(enough, F.col("factory_id").eqNullSafe(F.col("_factory")), "left_semi")
+    own = scratch.spare("_factory", df)
+    enough = rows.groupBy(F.col("factory_id").alias(own)).agg(F.count(F.lit(1)).alias("_total")).where(F.col("_total") >= min_total)
+    rows = rows.join(enough, F.col("factory_id").eqNullSafe(F.col(own)), "left_semi")
     g = _anchored(rows, width_s).groupBy("factory_id", "_b").agg(F.avg("cod").alias("mean_cod"), F.avg("tss").alias("mean_tss"), F.count(F.lit(1)).alias("_n"), F.max_by("ts", F.struct("ts", tie)).alias("window_end")).where(F.col("_n") >= min_rows)
     w = Window.partitionBy("factory_id").orderBy("_b")
     g = g.withColumn("baseline_cod", F.lag("mean_cod").over(w)).withColumn("baseline_tss", F.lag("mean_tss").over(w))
