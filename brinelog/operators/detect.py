@@ -97,7 +97,8 @@ def persisted(df: DataFrame, count: int, tie: str | None = None, chunk_s: int =
     """Rows whose run of successive anomalies in their sensor's order (ts, then tie) has reached count; every such row. A null flag ends a run.
 
     A sensor's rows are cut into chunks of chunk_s seconds, so that a busy sensor spreads over tasks. Runs are islands between
-    non-anomalies within a chunk; what a chunk's last run hands on to the next chunks is summed from one row a chunk.
+    non-anomalies within a chunk; what a chunk's last run hands on to the next chunks is summed from one row a chunk. df is
+    written once, as it is read for both.
     """
     order = ["ts"] + ([tie] if tie else [])
     at, run, island, own, into, carry = (scratch.spare(c, df) for c in ("_chunk", "_run", "_island", "_sensor", "_into", "_carry"))
@@ -105,7 +106,7 @@ def persisted(df: DataFrame, count: int, tie: str | None = None, chunk_s: int =
     upto = (Window.unboundedPreceding, 0)
     by = Window.partitionBy("sensor_id", at).orderBy(*order).rowsBetween(*upto)
     of_island = Window.partitionBy("sensor_id", at, island).orderBy(*order).rowsBetween(*upto)
-    rows = df.withColumn(at, S.floor_div(S.micros(F.col("ts")), chunk_s * 1_000_000))
+    rows = scratch.written(df).withColumn(at, S.floor_div(S.micros(F.col("ts")), chunk_s * 1_000_000))
     rows = rows.withColumn(island, F.sum(1 - hit).over(by)).withColumn(run, F.sum(hit).over(of_island))
     ends = rows.groupBy("sensor_id", at).agg(F.max(island).alias("_breaks"), F.max(F.struct(island, run))[run].alias("_tail"))
     chunks = Window.partitionBy("sensor_id").orderBy(at)

@@ -460,6 +460,61 @@ def stream_active_alerts(spark, sf):
     return jobs.replayed(spark, rows.schema, path, lambda s: jobs.active_alerts(s, "6 hours", "1 hour", LATE), scratch.folder(spark), "append", 1).drop("_batch")
 
 
+def stream_split(spark, sf):
+    """A stream of flawed records to two file sinks, valid rows and quarantine, read back together."""
+    from ..streaming import jobs
+
+    rows, out = dirty(spark, sf), scratch.folder(spark)
+    feed = jobs.source(spark, rows.schema, _feed(rows, F.col("event_id") % 3, 3), 1)
+    good, bad = detect.validated(feed, "sensor_id", "timestamp", "value", CFG)
+    jobs.filed(good, f"{out}/valid", f"{out}/state/valid")
+    jobs.filed(bad, f"{out}/quarantine", f"{out}/state/quarantine", "json")
+    kept = spark.read.parquet(f"{out}/valid").select("event_id", F.lit("").alias("reason"))
+    told = spark.read.schema("record string, rejection_reason string, received_at double").json(f"{out}/quarantine")
+    return kept.unionByName(told.select(F.get_json_object("record", "$.event_id").cast("long").alias("event_id"), F.col("rejection_reason").alias("reason")))
+
+
+def stream_evidence(spark, sf):
+    """Shocks of a stream to the evidence log, each micro-batch attributed as a whole, and the log read back."""
+    from ..streaming import jobs
+
+    rows, out = events(spark, sf).select("event_id", "ts", "value"), scratch.folder(spark)
+    feed = jobs.source(spark, rows.schema, _feed(rows, F.col("event_id") % 3, 3), 1)
+    shocks = detect.tripwire(feed, CFG, "value").where("value >= 200").select(F.col("event_id").alias("shock_id"), "ts", F.col("value").alias("cetp_cod"), "breach_mag", "alert_level")
+    sources = factories(spark, sf).select("factory_id", "ts", "cod", "tss")
+
+    def attributed(batch: DataFrame) -> DataFrame:
+        found = forensics.backtracked(batch, sources, 15 * 60, 120)
+        return found.select(S.bound_text(F.col("ts")).alias("cetp_event_time"), "cetp_cod", "breach_mag", "alert_level", S.bound_text(F.col("backtrack_time")).alias("backtrack_time"), F.col("attributed_factory").cast("string").alias("attributed_factory"), "factory_cod", "factory_tss")
+
+    jobs.sunk(shocks, jobs.evidence_batch(attributed, f"{out}/log"), f"{out}/state")
+    return files.jsonl(spark, f"{out}/log", schemas.EVIDENCE).drop("logged_at", "factory_bod").transform(r6("breach_mag"))
+
+
+def stream_tamper_log(spark, sf):
+    """Tampering on a stream to a log for each kind of record, read back as one."""
+    from ..streaming import jobs
+
+    rows, out = factories(spark, sf).select("factory_id", "ts", "cod", "tss", "event_id"), scratch.folder(spark)
+    feed = jobs.source(spark, rows.schema, _feed(rows, _block(), 4, {"factory_id": -1, "event_id": -1}), 1)
+    found = jobs.tampering(feed, LATE, {"width_s": DAY, "least": 1.0, "min_rows": 2}, {"width_s": DAY, "drop": 0.8, "stable": 0.2, "min_rows": 3}, {"width_s": DAY, "ratio": 0.8, "min_rows": 3})
+    jobs.sunk(found, jobs.tamper_batch(f"{out}/log"), f"{out}/state")
+    return files.tamper_log(spark, f"{out}/log").drop("logged_at").transform(r6("cod_range", "mean_cod", "mean_tss", "baseline_cod", "baseline_tss", "blackout_ratio"))
+
+
+def pipeline_alerts(spark, sf):
+    """The whole pipeline from CSV folders to alerts: readings split, scored against the hour before, grouped, indexed and gated."""
+    from .. import run
+
+    out, i = scratch.folder(spark), F.col("event_id")
+    time = F.date_format("ts", "yyyy-MM-dd HH:mm").alias("time")
+    files.write_csv(events(spark, sf).select(i.alias("s_no"), time, F.col("event_type").alias("factory_id"), F.when(i % 7 > 0, F.col("value")).alias("cod"), F.lit(45.5).alias("bod"), F.lit(7.2).alias("ph"), F.lit(80.0).alias("tss")), f"{out}/factories")
+    files.write_csv(events(spark, sf).select(*[{"s_no": i, "time": time, "cetp_inlet_cod": F.col("value")}.get(f.name, F.lit(1.0)).alias(f.name) for f in schemas.CETP]), f"{out}/plant")
+    cfg = replace(CFG, sensor_value_range={"*": [-1e9, 1e9]}, window_duration_ms=3_600_000, window_hop_ms=60_000, metrics_output_path=f"{out}/kpis", alert_log_path=f"{out}/evidence")
+    rows = run.run_pipeline(spark, f"{out}/plant", f"{out}/factories", f"{out}/run", cfg, globs=("*.csv", "*.csv"), kpis=False)
+    return rows.select("discharge_point_id", "ts", F.round(F.log10("eri"), 6).alias("log_eri"), "risk_band", "alert_level", "sensitivity_factor", "top_contributor", "alert_message")
+
+
 def queries() -> dict:
     own = [
         validate_valid, validate_quarantine, tripwire, rolling_mean, windowed_stats, zscore, persistence, persistence_strict, group_anomalies, attribution, eri, alerts, cooldown, backtrack,
@@ -467,6 +522,7 @@ def queries() -> dict:
         top_attributed, recent_k, window_slice, breach_count, distinct_sensors, csv_roundtrip, jsonl_scan, stream_windowed_stats, slice_figures, alert_levels, tamper_types,
         reset_counts, facade_detect, stream_clean_factories, factory_full_load, dashboard_load, tamper_log,
         stream_late_revisions, stream_persistence, stream_cooldown, stream_tamper, stream_stages, stream_backtrack, stream_active_alerts,
+        stream_split, stream_evidence, stream_tamper_log, pipeline_alerts,
     ]
     return {f.__name__: f for f in own}
 
@@ -483,6 +539,14 @@ ALERTS = f"""{GROUPS}, src AS (SELECT group_name AS key, ts, 0 AS tie, * EXCLUDE
    CASE WHEN band >= 2 THEN top_contributor ELSE '' END AS top_contributor, CASE WHEN band >= 2 THEN alert_message ELSE '' END AS alert_message FROM n JOIN walk USING (key, k) WHERE kept)"""
 
 
+#: Scores of readings against the hour before their minute, and how the groups' SQL reads them instead of the events.
+MINUTES = """rd AS (SELECT event_type AS sensor_id, date_trunc('minute', ts) AS ts, value, event_id FROM events WHERE event_id % 7 > 0),
+ sd AS (SELECT rd.event_id, avg(w.value) AS mean, sqrt(greatest(0.0, avg(w.value * w.value) - avg(w.value) * avg(w.value))) + 1e-9 AS std FROM rd JOIN rd w ON w.sensor_id = rd.sensor_id AND w.ts >= rd.ts - INTERVAL 1 HOUR AND w.ts < rd.ts GROUP BY rd.event_id),
+ zd AS (SELECT sensor_id AS sensor, ts, (value - mean) / std AS z FROM rd JOIN sd USING (event_id))"""
+READ = "ts, value / 100 AS z, date_trunc('hour', ts) AS bucket FROM events JOIN m ON m.sensor_id = event_type"
+READ_SCORES = "ts, z, date_trunc('hour', ts) AS bucket FROM zd JOIN m ON m.sensor_id = sensor"
+
+
 def oracle_sql() -> dict[str, str]:
     trip = "SELECT event_id, ts, value, round(value - 100, 6) AS breach_mag, CASE WHEN value >= 200 THEN 'HIGH' ELSE 'MEDIUM' END AS alert_level FROM events WHERE value >= 150"
     return {
@@ -538,6 +602,10 @@ def oracle_sql() -> dict[str, str]:
         "factory_full_load": "SELECT CAST(user_id AS VARCHAR) AS factory_id, date_trunc('minute', ts) AS ts, CASE WHEN event_id % 7 > 0 AND event_id % 11 > 0 THEN value END AS cod, CAST(length(props) AS DOUBLE) AS tss FROM events",
         "dashboard_load": "SELECT event_id AS s_no, date_trunc('minute', ts) AS ts, value AS cetp_inlet_cod, 1.5::DOUBLE AS cetp_outlet_ph FROM events WHERE event_id % 7 > 0 AND event_id % 11 > 0 AND event_id % 13 > 0",
         "tamper_log": f"SELECT * REPLACE (CAST(factory_id AS VARCHAR) AS factory_id, strftime(window_end, '%Y-%m-%d %H:%M') AS window_end), true AS logged FROM (SELECT * FROM (WITH {ZERO}) UNION ALL BY NAME SELECT * FROM (WITH {DILUTION}) UNION ALL BY NAME SELECT * FROM (WITH {DARK}))",
+        "stream_split": f"WITH {DIRTY} SELECT event_id, reason FROM v",
+        "stream_evidence": f"WITH {SHOCKS} SELECT strftime(ts, '%Y-%m-%d %H:%M') AS cetp_event_time, value AS cetp_cod, round(value - 100, 6) AS breach_mag, 'HIGH' AS alert_level, strftime(backtrack_time, '%Y-%m-%d %H:%M') AS backtrack_time, CAST(attributed_factory AS VARCHAR) AS attributed_factory, factory_cod, factory_tss FROM bt",
+        "stream_tamper_log": f"SELECT * REPLACE (CAST(factory_id AS VARCHAR) AS factory_id, strftime(window_end, '%Y-%m-%d %H:%M') AS window_end) FROM (SELECT * FROM (WITH {ZERO}) UNION ALL BY NAME SELECT * FROM (WITH {DILUTION}) UNION ALL BY NAME SELECT * FROM (WITH {DARK}))",
+        "pipeline_alerts": f"WITH RECURSIVE {MINUTES}, {ALERTS.replace(READ, READ_SCORES)} SELECT discharge_point_id, ts, round(log10(eri), 6) AS log_eri, risk_band, alert_level, CAST(sensitivity_factor AS DOUBLE) AS sensitivity_factor, top_contributor, alert_message FROM al",
         "stream_persistence": f"WITH {ISLANDS} SELECT sensor_id, ts, event_id, consecutive_count FROM p WHERE is_anomaly AND consecutive_count >= 2",
         "stream_cooldown": f"WITH RECURSIVE src AS (SELECT user_id AS key, ts, event_id AS tie, value FROM events WHERE value >= 100), {KEPT.replace('GAP', 'INTERVAL 1 DAY')} SELECT n.key AS user_id, n.ts, tie AS event_id, value FROM n JOIN walk USING (key, k) WHERE kept",
         "stream_tamper": f"SELECT * FROM (WITH {ZERO}) UNION ALL BY NAME SELECT * FROM (WITH {DILUTION}) UNION ALL BY NAME SELECT * FROM (WITH {DARK})",

@@ -55,7 +55,7 @@ def names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def alert_batch(spark: SparkSession, batch: DataFrame, number: int, out: str, cfg: Config, began: float) -> None:
+def alert_batch(spark: SparkSession, batch: DataFrame, number: int, out: str, cfg: Config, began: float, kpis: bool = True) -> None:
     """Scores, indices, alerts and KPIs of a micro-batch of valid rows.
 
     A reading is scored against its window's valid rows so far. A bucket's group row is made of all its scores so far; that of a later
@@ -77,28 +77,30 @@ def alert_batch(spark: SparkSession, batch: DataFrame, number: int, out: str, cf
     put(index.select(*names(INDEX)), f"{out}/eri", number)
     kept = stored(spark, f"{out}/alerts", ALERT, number).groupBy("discharge_point_id").agg(F.max("ts").alias("ts"))
     put(risk.alerts(spark.read.schema(INDEX).parquet(f"{out}/eri/batch={number}"), cfg, kept).select(*names(ALERT)), f"{out}/alerts", number)
+    if not kpis:
+        return
     told = stored(spark, f"{out}/eri", INDEX, number + 1).withColumnRenamed("batch", "_batch").transform(jobs.last_of_each("group_name", "bucket"))
     readings = valid.withColumn("ts", S.parsed(F.col("time"), cfg.input_time_format))
     figures = report.kpis(readings, told.where("is_group_anomaly"), told, stored(spark, f"{out}/alerts", ALERT, number + 1), time.monotonic() - began, cfg.alert_cooldown_seconds)
     files.write_kpis(figures, cfg.metrics_output_path)
 
 
-def start_pipeline(spark: SparkSession, plant_dir: str, factory_dir: str, out: str, cfg: Config, once: bool = True, files_a_batch: int = 1000) -> list[StreamingQuery]:
-    """Starts the streams; with once, each runs to the end of what is there, the alerts after the readings."""
+def start_pipeline(spark: SparkSession, plant_dir: str, factory_dir: str, out: str, cfg: Config, once: bool = True, files_a_batch: int = 1000, globs: tuple[str, str] = ("cetp_clean.csv", "factory_*.csv"), kpis: bool = True) -> list[StreamingQuery]:
+    """Starts the streams; with once, each runs to the end of what is there, the alerts after the readings. globs: of plant and factory files. kpis: a file on the driver, see files.write_kpis."""
     began, ts = time.monotonic(), S.parsed(F.col("time"), cfg.input_time_format)
     trigger = {"availableNow": True} if once else {"processingTime": "1 second"}
 
     def writer(df: DataFrame, name: str):
         return df.writeStream.queryName(name).option("checkpointLocation", f"{out}/checkpoints/{name}").trigger(**trigger)
 
-    readings = files.factory_readings(spark, factory_dir, stream=True, files_a_batch=files_a_batch)
+    readings = files.factory_readings(spark, factory_dir, globs[1], stream=True, files_a_batch=files_a_batch)
     good, bad = D.validated(readings, "factory_id", "time", "cod", cfg, nulls=True)
     running = [writer(good, "valid").format("parquet").start(f"{out}/valid"), writer(bad, "quarantine").format("json").start(f"{out}/quarantine")]
-    plant = D.tripwire(files.plant_readings(spark, plant_dir, stream=True, files_a_batch=files_a_batch), cfg, "cetp_inlet_cod")
+    plant = D.tripwire(files.plant_readings(spark, plant_dir, globs[0], stream=True, files_a_batch=files_a_batch), cfg, "cetp_inlet_cod")
     shocks = plant.select(S.event_id(F.col("sensor_id"), F.col("time")).alias("shock_id"), ts.alias("ts"), F.col("time").alias("cetp_event_time"), F.col("cetp_inlet_cod").alias("cetp_cod"), "breach_mag", "alert_level")
 
     def attributed(batch: DataFrame) -> DataFrame:
-        index = files.factory_index(spark, factory_dir, cfg.input_time_format).drop("time")
+        index = files.factory_index(spark, factory_dir, cfg.input_time_format, globs[1]).drop("time")
         rows = forensics.backtracked(batch, index, cfg.pipe_travel_minutes * 60, cfg.asof_tolerance_seconds)
         return rows.select("cetp_event_time", "cetp_cod", "breach_mag", "alert_level", S.bound_text(F.col("backtrack_time")).alias("backtrack_time"), "attributed_factory", "factory_cod", "factory_bod", "factory_tss")
 
@@ -107,15 +109,15 @@ def start_pipeline(spark: SparkSession, plant_dir: str, factory_dir: str, out: s
         for q in running:
             q.awaitTermination()
     valid = spark.readStream.schema(VALID).option("maxFilesPerTrigger", files_a_batch).parquet(f"{out}/valid")
-    running.append(writer(valid, "alerts").foreachBatch(lambda batch, n: alert_batch(spark, batch, n, out, cfg, began)).start())
+    running.append(writer(valid, "alerts").foreachBatch(lambda batch, n: alert_batch(spark, batch, n, out, cfg, began, kpis)).start())
     if once:
         running[-1].awaitTermination()
     return running
 
 
-def run_pipeline(spark: SparkSession, plant_dir: str, factory_dir: str, out: str, cfg: Config, once: bool = True) -> DataFrame:
-    """Runs the pipeline; the alerts that there are when it ends. Without once it runs until one of its streams fails."""
-    queries = start_pipeline(spark, plant_dir, factory_dir, out, cfg.checked(), once)
+def run_pipeline(spark: SparkSession, plant_dir: str, factory_dir: str, out: str, cfg: Config, once: bool = True, **options) -> DataFrame:
+    """Runs the pipeline; the alerts that there are when it ends. Without once it runs until one of its streams fails. options: see start_pipeline."""
+    queries = start_pipeline(spark, plant_dir, factory_dir, out, cfg.checked(), once, **options)
     if not once:
         try:
             spark.streams.awaitAnyTermination()

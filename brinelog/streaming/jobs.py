@@ -143,6 +143,18 @@ def drained(stream: DataFrame, folder: str, mode: str = "append") -> tuple[DataF
     return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/out"), late
 
 
+def filed(stream: DataFrame, path: str, checkpoint: str, kind: str = "parquet") -> None:
+    """Runs a stream to the end of its sources into Spark's own file sink, which has every row once."""
+    stream.writeStream.format(kind).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+
+
+def sunk(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Runs a stream to the end of its sources into a sink by batch."""
+    with settings(stream.sparkSession):
+        query = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def replayed(spark: SparkSession, schema: StructType, path: str, build: Callable[[DataFrame], DataFrame], folder: str, mode: str = "append", files_a_batch: int = 1000) -> DataFrame:
     """Runs a stream over all files at path to its end, oldest first, and reads what it wrote, with each row's batch as _batch."""
     return drained(build(source(spark, schema, path, files_a_batch)), folder, mode)[0]
