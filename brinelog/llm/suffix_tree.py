@@ -179,6 +179,8 @@ def with_lookups(batches):
 def _often(rows: DataFrame, least: int) -> DataFrame:
     """(depth, state, symbol, c, chunks) of the grams with least occurrences or more in all of rows, which are sorted by gram.
 
+    Rows of depth 0 are slots, their range as state; those filled least times come out with the slot as state.
+
     Hardly any two rows of a task are of one gram, so there is nothing to gain by summing before the rows are dealt.
     """
     names = ["depth", "state", "symbol", "c", "chunks"]
@@ -195,8 +197,29 @@ def _often(rows: DataFrame, least: int) -> DataFrame:
             some = start[ok]
             return pa.RecordBatch.from_arrays([pa.array(depth[some]), pa.array(state[some]), pa.array(symbol[some]), pa.array(total[ok]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(chunk[np.repeat(ok, sizes)]))], names=names)
 
+        open_range: list[tuple] = []
+
+        def slots(told):
+            slot, chunk = reached([r[1] for r in told], [r[2] for r in told], [r[3] for r in told], least)
+            order = np.argsort(slot, kind="stable")
+            slot, chunk = slot[order], chunk[order]
+            start = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
+            none = np.zeros(len(start), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(none.astype(np.int32)), pa.array(slot[start]), pa.array(none), pa.array(none), pa.ListArray.from_arrays(pa.array(np.append(start, len(slot)).astype(np.int32)), pa.array(chunk))], names=names)
+
         for batch in batches:
             now = tuple(batch.column(k).to_numpy() for k in range(5))
+            slotted = np.flatnonzero(now[0] == 0)
+            if len(slotted):
+                filled, counts = batch.column(5), batch.column(6)
+                for i in slotted.tolist():
+                    if open_range and open_range[0][0] != now[1][i]:
+                        yield slots(open_range)
+                        open_range = []
+                    open_range.append((now[1][i], filled[i].as_py(), counts[i].as_py(), int(now[4][i])))
+                now = tuple(x[now[0] != 0] for x in now)
+                if not len(now[0]):
+                    continue
             last = now[1][-1], now[2][-1], now[0][-1]
             if held and (held[0][1][0], held[0][2][0], held[0][0][0]) == last:
                 held.append(now)  # one gram's rows go on
@@ -210,66 +233,93 @@ def _often(rows: DataFrame, least: int) -> DataFrame:
                 yield closed(*done)
         if held:
             yield closed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        if open_range:
+            yield slots(open_range)
 
     found = rows.mapInArrow(tidy(run), "depth int, state long, symbol long, c long, chunks array<long>")
     return found.withColumn("chunks", F.array_distinct("chunks"))
 
 
+def range_bits(tokens: int) -> int:
+    """Slots are summed by range, a range of a few million tokens."""
+    return min(max(6, (tokens >> 22).bit_length()), 16)
+
+
+def packed(held: list[tuple[np.ndarray, np.ndarray]], bits: int, least: int):
+    """(range, slots, counts) of sorted 32-bit slots as bytes; counts stop at least."""
+    slot, n = _total(*map(list, zip(*held, strict=True)))
+    cuts = np.searchsorted(slot, np.arange(1 << bits, dtype=np.int64) << (32 - bits)).tolist()
+    kind = np.uint8 if least < 256 else np.uint32
+    for r, (a, e) in enumerate(zip(cuts, [*cuts[1:], len(slot)], strict=True)):
+        if a < e:
+            yield r, slot[a:e].astype("<u4").tobytes(), np.minimum(n[a:e], least).astype(kind).tobytes()
+
+
+def reached(slots: list[bytes], counts: list[bytes], chunks: list[int], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, chunk) of the slots of a range that reach least in all, for each chunk that holds them."""
+    slot = np.frombuffer(b"".join(slots), "<u4").astype(np.int64)
+    n = np.frombuffer(b"".join(counts), np.uint8 if least < 256 else np.uint32)
+    _, at = np.unique(slot, return_inverse=True)
+    ok = np.bincount(at, weights=n)[at] >= least
+    return slot[ok], np.repeat(np.array(chunks, np.int64), [len(x) // 4 for x in slots])[ok]
+
+
+class Slots:
+    """What a chunk fills slots with; sums up now and then."""
+
+    def __init__(self):
+        self.held, self.size = [], 0
+
+    def add(self, slot: np.ndarray, weight: np.ndarray) -> bool:
+        """True if it has grown so large that it should be given away."""
+        self.held.append(_total([slot], [weight]))
+        self.size += len(self.held[-1][0])
+        if self.size > _MERGE:
+            self.held = [_total(*map(list, zip(*self.held, strict=True)))]
+            self.size = len(self.held[0][0]) // 2
+        return len(self.held[0][0]) > 2 * _MERGE
+
+    def given(self, bits: int, least: int):
+        out = list(packed(self.held, bits, least)) if self.held else []
+        self.held, self.size = [], 0
+        return out
+
+
 def filled_slots(docs: DataFrame, least: int, tokens: int) -> DataFrame:
     """(chunk, slot) of the 32-bit slots, into which pairs of a word and the next one are hashed, that training texts fill least times or more.
 
     A pair with so many occurrences is in such a slot, and each chunk that holds it, if only in texts that don't train, is told the
-    slot, so no frequent pair is lost; of the others, most are seen here only, as four bytes and a count each. Slots are summed by range, of
-    a few million tokens each.
+    slot, so no frequent pair is lost; of the others, most are seen here only, as four bytes and a count each.
     """
-    bits = min(max(6, (tokens >> 22).bit_length()), 16)
-    kind = np.uint8 if least < 256 else np.uint32
-
-    def packed(held, chunk):
-        slot, n = _total(*map(list, zip(*held, strict=True)))
-        cuts = np.searchsorted(slot, np.arange(1 << bits, dtype=np.int64) << (32 - bits))
-        for r, (a, e) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(slot)], strict=True)):
-            if a < e:
-                yield r, chunk, slot[a:e].astype("<u4").tobytes(), np.minimum(n[a:e], least).astype(kind).tobytes()
+    bits = range_bits(tokens)
 
     def gather(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, now = 0, None
+        own, now = Slots(), None
 
         def done():
-            rows = list(packed(held, now)) if held else []
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "chunk", "slots", "counts"])
+            rows = own.given(bits, least)
+            columns = [[r[0] for r in rows], [now] * len(rows), [r[1] for r in rows], [r[2] for r in rows]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["range", "chunk", "slots", "counts"])
 
         for batch in batches:
             texts, train, chunks = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
             edges = np.flatnonzero(np.concatenate([[True], chunks[1:] != chunks[:-1], [True]]))
             for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if chunks[a] != now:
-                    if held:
+                    if own.held:
                         yield done()
-                    now, size = int(chunks[a]), 0
+                    now = int(chunks[a])
                 for lo, hi, b in blocks(texts[a:e], 1 << 20):
                     symbol, doc = sequence(b, hi - lo)
                     at, state, _ = next(iter(contexts(symbol, doc)))
-                    held.append(_total([_slot(state, symbol[at])], [train[a + lo : a + hi][doc[at]]]))
-                    size += len(held[-1][0])
-                    if size > _MERGE:
-                        held[:] = [_total(*map(list, zip(*held, strict=True)))]
-                        size = len(held[0][0]) // 2
-                        if len(held[0][0]) > 2 * _MERGE:
-                            yield done()
-                            size = 0
-        if held:
+                    if own.add(_slot(state, symbol[at]), train[a + lo : a + hi][doc[at]]):
+                        yield done()
+        if own.held:
             yield done()
 
     def reach(table: pa.Table) -> pa.Table:
-        sizes = [len(x) // 4 for x in table["slots"].to_pylist()]
-        slot = np.frombuffer(b"".join(table["slots"].to_pylist()), "<u4")
-        n = np.frombuffer(b"".join(table["counts"].to_pylist()), kind)
-        _, at = np.unique(slot, return_inverse=True)
-        ok = np.bincount(at, weights=n)[at] >= least
-        return pa.table({"chunk": pa.array(np.repeat(table["chunk"].to_numpy(), sizes)[ok]), "slot": pa.array(slot[ok].astype(np.int64))})
+        slot, chunk = reached(table["slots"].to_pylist(), table["counts"].to_pylist(), table["chunk"].to_pylist(), least)
+        return pa.table({"chunk": pa.array(chunk), "slot": pa.array(slot)})
 
     rows = docs.select("text", "train", "chunk").mapInArrow(tidy(gather), "range int, chunk long, slots binary, counts binary")
     return rows.groupBy("range").applyInArrow(reach, "chunk long, slot long")
@@ -279,14 +329,19 @@ def _slot(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return (pair(state, symbol) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def grams(rows: DataFrame, parts: list[DataFrame], longer: bool, least: int) -> DataFrame:
+def grams(rows: DataFrame, parts: list[DataFrame], longer: bool, root: Root) -> DataFrame:
     """(depth, state, symbol, c, chunks) of contexts and next symbols that occur least times or more in training texts.
 
-    Contexts have one word, and parts the slots that frequent pairs are in; or if longer two to DEPTH, and parts have the pairs of
-    words that were found, and what has a pair in it that wasn't need not be counted. c: count in training texts; chunks: all that hold it. Depth is negative for a
+    Contexts have one word, and parts the slots that frequent pairs are in; then the slots that frequent longer contexts are in
+    come out too, with depth 0. Or if longer they have two to DEPTH words, and parts have the pairs of words that were found, and these slots; what has a pair
+    in it that wasn't found, or isn't in such a slot, need not be counted. c: count in training texts; chunks: all that hold it. Depth is negative for a
     context itself, whose symbol is its parent.
     """
 
+    least, bits = root.least, range_bits(root.tokens)
+    own_kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    own_names = ["depth", "state", "symbol", "c", "chunk", "slots", "counts"]
+
     def summed(held):
         """The distinct grams of held with their counts, as a list of one."""
         depth, state, symbol, on = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -297,14 +352,22 @@ def grams(rows: DataFrame, parts: list[DataFrame], longer: bool, least: int) ->
         depth, state, symbol, c = summed(held)[0]
         for lo in range(0, len(c), 1 << 16):
             k = slice(lo, lo + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(depth[k]), pa.array(state[k].view(np.int64)), pa.array(symbol[k].view(np.int64)), pa.array(c[k].astype(np.int64)), pa.array(np.full(len(c[k]), chunk))], names=["depth", "state", "symbol", "c", "chunk"])
+            empty = pa.nulls(len(c[k]), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(depth[k]), pa.array(state[k].view(np.int64)), pa.array(symbol[k].view(np.int64)), pa.array(c[k].astype(np.int64)), pa.array(np.full(len(c[k]), chunk)), empty, empty], names=own_names)
+
+    def slots(deep, chunk):
+        told = deep.given(bits, least)
+        columns = [[0] * len(told), [r[0] for r in told], [0] * len(told), [0] * len(told), [chunk] * len(told), [r[1] for r in told], [r[2] for r in told]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, own_kinds, strict=True)], names=own_names)
 
     def run(batches):
-        held, size, now = [], 0, None
+        held, size, now, deep = [], 0, None, Slots()
         for chunk, (lexicon, filled, pairs), batch in with_lookups(batches):
             if held and chunk != now:
                 yield from emit(held, now)
                 held, size = [], 0
+            if deep.held and chunk != now:
+                yield slots(deep, now)
             now, train = chunk, batch.column(7).to_numpy(zero_copy_only=False)
             for lo, hi, b in blocks(batch.column(6).to_pylist()):
                 symbol, doc = sequence(b, hi - lo)
@@ -316,7 +379,13 @@ def grams(rows: DataFrame, parts: list[DataFrame], longer: bool, least: int) ->
                         ok, here, follows = np.ones(len(code), bool), not longer, code == RARE
                         follows[at] |= filled(_slot(state, code[at]).astype(np.uint64))[0]
                     else:
-                        ok[at] &= found[at - depth + 1]
+                        ok[at] &= (found if longer else follows)[at - depth + 1]
+                        slot = (state & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                        if not longer:
+                            if deep.add(slot[ok[at]], on[at[ok[at]]]):
+                                yield slots(deep, now)
+                            continue
+                        ok[at] &= filled(slot.astype(np.uint64))[0]
                         here, follows = True, found
                     if here:
                         k = ok[at]
@@ -324,8 +393,6 @@ def grams(rows: DataFrame, parts: list[DataFrame], longer: bool, least: int) ->
                         k = k & follows[at]
                         held.append((np.full(k.sum(), depth, np.int32), state[k], code[at[k]], on[at[k]]))
                         size += len(held[-1][0]) + len(held[-2][0])
-                    if not longer:
-                        break
                 if size > _MERGE:
                     held = summed(held)
                     size = len(held[0][0]) // 2  # what is summed already is worked on again as new rows come in
@@ -334,8 +401,10 @@ def grams(rows: DataFrame, parts: list[DataFrame], longer: bool, least: int) ->
                         held, size = [], 0
         if held:
             yield from emit(held, now)
+        if deep.held:
+            yield slots(deep, now)
 
-    counted = dealt(parts, rows).mapInArrow(tidy(run), "depth int, state long, symbol long, c long, chunk long")
+    counted = dealt(parts, rows).mapInArrow(tidy(run), "depth int, state long, symbol long, c long, chunk long, slots binary, counts binary")
     return _often(counted.repartition("state", "symbol").sortWithinPartitions("state", "symbol", "depth"), least)
 
 
@@ -385,10 +454,12 @@ def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5, chunk: Colum
     root = train_root(vocab)
     words = vocab.select(F.explode("chunks").alias("chunk"), F.lit(WORD).alias("kind"), "h", F.lit(0).cast("long").alias("g"), F.col("c").cast("double").alias("v"))
     often = words.where(F.col("v") >= root.least)
-    slots = stored(filled_slots(rows, root.least, root.tokens), "slots").select("chunk", F.lit(STATE).alias("kind"), F.col("slot").alias("h"), F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("v"))
-    pairs = freed(stored(grams(rows, [often, slots], False, root.least), "pairs"))
+    slot = lambda df, chunk: df.select(chunk.alias("chunk"), F.lit(STATE).alias("kind"), F.col("slot").alias("h"), F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("v"))
+    filled = slot(stored(filled_slots(rows, root.least, root.tokens), "slots"), F.col("chunk"))
+    first = freed(stored(grams(rows, [often, filled], False, root), "pairs"))
+    pairs, deep = first.where("depth <> 0"), slot(first.where("depth = 0").withColumnRenamed("state", "slot"), F.explode("chunks"))
     known = pairs.where("depth > 0").select(F.explode("chunks").alias("chunk"), F.lit(ENTRY).alias("kind"), F.col("state").alias("h"), F.col("symbol").alias("g"), F.lit(0.0).alias("v"))
-    found = freed(pairs.unionByName(stored(grams(rows, [often, known], True, root.least), "grams")))
+    found = freed(pairs.unionByName(stored(grams(rows, [often, known, deep], True, root), "grams")))
     parts = [words, *states(found, vocab, root)]
 
     def run(batches):
