@@ -42,7 +42,13 @@ def at_ranks(df: DataFrame, x: str, ranks: list[int], n: int, few: int = FEW) ->
         asked = [(r, F.percentile_approx(F.when(within(low, high), v), list(_sketch_reach(r - before, inside)), 10 * FINE).alias(f"r{r}")) for r, (low, high, before, inside) in stretches.items()]
         ends = df.agg(*[a for _, a in asked]).first().asDict()
         counts = df.agg(*[c.alias(f"{k}{r}") for r in stretches for low, high in [ends[f"r{r}"]] for k, c in (("b", F.count_if(v < low)), ("i", F.count_if((v >= low) & (v <= high))))]).first().asDict()
-        stretches = {r: (*ends[f"r{r}"], counts[f"b{r}"], counts[f"i{r}"]) for r in stretches}
+        for r, old in list(stretches.items()):
+            stretches[r] = (*ends[f"r{r}"], counts[f"b{r}"], counts[f"i{r}"])
+            if stretches[r] == old:  # many equal values at both ends: the rank is one of theirs, or lies between
+                low, high, before, inside = old
+                e = df.agg(F.count_if(v == low).alias("a"), F.count_if(v == high).alias("z"), F.min(F.when((v > low) & (v < high), v)).alias("first"), F.max(F.when((v > low) & (v < high), v)).alias("last")).first()
+                at = r - before
+                stretches[r] = (low, low, before, e.a) if at < e.a else (high, high, before + inside - e.z, e.z) if at >= inside - e.z else (e.first, e.last, before + e.a, inside - e.a - e.z)
     return out
 
 

@@ -100,7 +100,7 @@ def plain_negatives(rows, every, positives, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bits", [4, 9])
+@pytest.mark.parametrize("bits", [5, 9])
 @pytest.mark.parametrize("seed", range(1))
 def test_negatives_by_brute_force(spark, monkeypatch, seed, bits):
     """Small whole vectors, so that many scores tie; few buckets, so that windows are cut many times."""

@@ -68,6 +68,14 @@ def test_percentiles_by_narrowing(spark, few):
     assert report.percentiles(spark.createDataFrame([(42.0,)], "x double"), "x", [0.99]) == (1, [42.0])
 
 
+def test_percentiles_between_many_equal_values(spark):
+    """The sketch's ends are the two frequent values at every cut; what lies between is still told apart."""
+    values = [0.0] * 5000 + [1 + i / 100 for i in range(40)] + [9.0] * 5000
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    at = report.at_ranks(df, "x", [0, 4999, 5000, 5020, 5039, 5040, 10_039], len(values), few=8)
+    assert len(at) == 7 and at == {r: sorted(values)[r] for r in at}
+
+
 def test_places(spark):
     rows = [(v,) for v, n in (("a", 3), ("b", 5), ("c", 3), ("d", 1)) for _ in range(n)] + [(None,)]
     got = report.counted(spark.createDataFrame(rows, "v string"), "v").collect()
