@@ -271,8 +271,13 @@ class Slots:
         self.held, self.size = [], 0
 
     def add(self, slot: np.ndarray, weight: np.ndarray) -> bool:
-        """True if it has grown so large that it should be given away."""
-        self.held.append(_total([slot], [weight]))
+        """Slots with a weight of 0 or 1 each. True if there are so many by now that they should be given away."""
+        key = np.sort(slot << 1 | weight)
+        start = np.flatnonzero(np.diff(key >> 1, prepend=-1))
+        if len(start):
+            self.held.append((key[start] >> 1, np.add.reduceat(key & 1, start)))
+        if not self.held:
+            return False
         self.size += len(self.held[-1][0])
         if self.size > _MERGE:
             self.held = [_total(*map(list, zip(*self.held, strict=True)))]
