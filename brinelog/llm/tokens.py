@@ -11,6 +11,7 @@ import unicodedata
 import numpy as np
 
 from .common import trim
+from .words import Block, blocks
 
 #: How the tokenizer cuts words (fixed value); files that cut otherwise are followed too, word by word.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -27,7 +28,9 @@ _LETTERS = re.escape(_letters())
 #: Words whose cut and lower case need no tables of the tokenizer's: printable ASCII and the letters above.
 _KNOWN = re.compile(f"[!-~{_LETTERS}]+")
 _ALL_KNOWN = re.compile(f"[ -~{_LETTERS}]+")
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}]+")
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^ a-z0-9{_LETTERS}]+| ")
+#: Words that are coded at a time.
+PART = 1 << 16
 
 
 def _byte_letters() -> dict[str, int]:
@@ -75,15 +78,17 @@ class WordCoder:
     This kind of tokenizer drops white space and never makes a token across it, so a text's ids are its words' ids one after
     another. Words of known letters are cut here and merged by rank in bulk; all others, and all words of a file
     that merges_by_rank can't follow, are left to the tokenizer itself. A cache that outgrows ``limit`` words
-    starts anew; results don't depend on it.
+    starts anew; results don't depend on it. It knows words by their 64-bit hashes, so ids are exact but for chances of 2**-64 a
+    pair of words, and only words that are new to it become Python objects.
     """
 
-    def __init__(self, path: str, limit: int = 60_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.cache = limit, {}
+        self.limit = limit
+        self._anew()
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         model, cuts = told["model"], json.dumps(told["pre_tokenizer"])
@@ -94,47 +99,60 @@ class WordCoder:
         if by_rank:
             ranks, self.ids = by_rank
             self.ranked = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
-            self.ends = np.zeros(len(self.ids), bool)
-            self.ends[[r for b, r in ranks.items() if b.endswith(b"\0")]] = True
+            self.gap = ranks[b"\0"]
         self.largest = max(self.tokenizer.get_vocab().values(), default=0)
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Words are checked, lower-cased and merged all at once; only where one of them isn't known are they told apart."""
-        text, plain = b" ".join(words).decode(), words
-        if self.ranked is None or "<|" in text or not _ALL_KNOWN.fullmatch(text):
-            plain = []
-            for w in words:
-                s = w.decode()
-                if self.ranked is None or "<|" in s or not _KNOWN.fullmatch(s):
-                    self.cache[w] = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-                else:
-                    plain.append(w)
-            text = b" ".join(plain).decode()
-        if plain:
-            cut = [s if s.isalpha() else "\0 ".join(_PIECE.findall(s)) for s in text.lower().split(" ")]
-            ranks = np.asarray(self.ranked.encode_to_numpy("\0 ".join(cut) + "\0"))
-            raw = self.ids[ranks].tobytes()
-            pieces = np.array([s.count("\0") for s in cut]) + 1
-            stops = (np.flatnonzero(self.ends[ranks]) + 1)[np.cumsum(pieces) - 1] * 4
-            self.cache.update(zip(plain, [raw[i:j] for i, j in itertools.pairwise([0, *stops.tolist()])], strict=True))
+    def _anew(self) -> None:
+        """An empty cache: hashes of words in order, and where each one's ids begin in the pool, and how many there are."""
+        self.keys = np.zeros(0, np.uint64)
+        self.start = self.length = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, "<u4")
+
+    def _told(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, end of each word's): words are checked, lower-cased, cut and merged all at once; only where one of them isn't known are they told apart."""
+        text = b" ".join(words).decode()
+        if self.ranked is not None and "<|" not in text and _ALL_KNOWN.fullmatch(text):
+            # A gap between words is a piece of its own, of which only its end is left: a rank that nothing else comes to.
+            ranks = np.asarray(self.ranked.encode_to_numpy("\0 ".join(_PIECE.findall(text.lower())) + "\0"))
+            stop = np.append(np.flatnonzero(ranks == self.gap), len(ranks))
+            return self.ids[ranks], np.append(0, stop[:-1] + 1), stop
+        known = np.array([self.ranked is not None and "<|" not in s and bool(_KNOWN.fullmatch(s)) for s in text.split(" ")])
+        own = [np.array(self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids, "<u4") for i in np.flatnonzero(~known)]
+        ids, start, stop = self._told([words[i] for i in np.flatnonzero(known)]) if known.any() else (self.pool[:0], self.start[:0], self.start[:0])
+        starts, stops = np.zeros((2, len(words)), np.int64)
+        starts[known], stops[known] = start, stop
+        stops[~known] = len(ids) + np.cumsum([len(x) for x in own])
+        starts[~known] = np.append(len(ids), stops[~known][:-1])
+        return np.concatenate([ids, *own]), starts, stops
+
+    def _coded(self, block: Block, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the block's words from lo to hi, how many each has)."""
+        once, first, at = np.unique(block.hash[lo:hi], return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, once)
+        new = place == len(self.keys)
+        new[~new] = self.keys[place[~new]] != once[~new]
+        if new.any():
+            if len(self.keys) > self.limit:
+                self._anew()
+                new[:], place[:] = True, 0
+            ids, start, stop = self._told([block.word(lo + i) for i in first[new].tolist()])
+            for name, x in (("keys", once[new]), ("start", start + len(self.pool)), ("length", stop - start)):
+                setattr(self, name, np.insert(getattr(self, name), place[new], x))
+            self.pool = np.concatenate([self.pool, ids])
+            place += np.cumsum(new) - new
+        place = place[at]
+        n = self.length[place]
+        before = np.cumsum(n) - n
+        return self.pool[np.repeat(self.start[place] - before, n) + np.arange(n.sum())], n
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """A part of the texts at a time, so that the cache stays near its limit."""
+        """PART words at a time, so that the cache stays near its limit."""
         out: list[bytes] = []
-        for t in texts:
-            words = (t or "").encode().split()
-            parts = []
-            for at in range(0, len(words), 1 << 16):
-                part = words[at : at + (1 << 16)]
-                found = list(map(self.cache.get, part))
-                if None in found:
-                    if len(self.cache) > self.limit:
-                        self.cache.clear()
-                        found = [None] * len(part)
-                    self._learn(list(dict.fromkeys(w for w, g in zip(part, found, strict=True) if g is None)))
-                    found = map(self.cache.__getitem__, part)
-                parts.append(b"".join(found))
-            out.append(parts[0] if len(parts) == 1 else b"".join(parts))
+        for _, _, block in blocks(((t or "").encode() for t in texts), lower=False):
+            parts = [self._coded(block, lo, min(lo + PART, len(block.hash))) for lo in range(0, len(block.hash), PART)]
+            raw = b"".join(ids.tobytes() for ids, _ in parts)
+            ends = 4 * np.cumsum(np.concatenate([[0], *(n for _, n in parts)]))[block.first]
+            out += [raw[i:j] for i, j in itertools.pairwise(ends.tolist())]
         return out
 
 

@@ -85,12 +85,13 @@ def _part(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
 
 
-def cut(texts: list[bytes]) -> Block:
-    """texts: UTF-8; A-Z are lower-cased here. Texts are kept apart by a space that belongs to none.
+def cut(texts: list[bytes], lower: bool = True) -> Block:
+    """texts: UTF-8; A-Z are lower-cased here, if asked. Texts are kept apart by a space that belongs to none.
 
     Beside the bytes and the words' rows, memory is bounded by BLOCK, or by the longest word.
     """
-    data = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
+    joined = b" ".join([*texts, b""]) if texts else b" "
+    data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
     parts, at = [], 0
     for stop in _ends(data):
         start, end, hashes = _part(data[at:stop])
@@ -102,16 +103,16 @@ def cut(texts: list[bytes]) -> Block:
     return Block(data, start, end, hashes, np.repeat(np.arange(len(texts)), np.diff(first)), first)
 
 
-def blocks(texts: Iterable[bytes | None], limit: int = BLOCK) -> Iterator[tuple[int, int, Block]]:
+def blocks(texts: Iterable[bytes | None], limit: int = BLOCK, lower: bool = True) -> Iterator[tuple[int, int, Block]]:
     """(from, to, words) of successive runs of texts of about limit bytes; a longer text makes a block of its own."""
     held: list[bytes] = []
     at = size = 0
     for t in texts:
         t = t or b""
         if held and size + len(t) > limit:
-            yield at, at + len(held), cut(held)
+            yield at, at + len(held), cut(held, lower)
             at, held, size = at + len(held), [], 0
         held.append(t)
         size += len(t)
     if held:
-        yield at, at + len(held), cut(held)
+        yield at, at + len(held), cut(held, lower)

@@ -97,6 +97,19 @@ def test_tokens_of_any_letters():
         assert np.frombuffer(code.encode([s])[0], "<u4").tolist() == code.tokenizer.encode(s, add_special_tokens=False).ids, s
 
 
+def test_tokens_with_a_full_cache(texts):
+    """A cache that is dropped all the time, texts over several parts, and words that few letters of are known, beside others."""
+    from tokenizers import Tokenizer
+
+    path = __import__("public_tokenizers").path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    some = [*list(texts.values())[:60], None, "", " \n", LONG * 30, "Zoë’s <|endoftext|> naïve 東京 don't <| |> \u0130x", "x" * 3000]
+    want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+    for limit in (0, 500, 400_000):
+        code = tokens.WordCoder(path, limit)
+        assert code.encode(some) == want and code.encode(some[::-1]) == want[::-1]
+
+
 def test_merges_by_rank_are_refused_where_they_differ():
     letters = sorted(tokens._byte_letters(), key=tokens._byte_letters().get)
     base = [*letters, *(c + tokens.END for c in letters)]
