@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import freed, lean, small, stored, tidy
@@ -254,12 +254,13 @@ def _hubs(runs: DataFrame, sets_: DataFrame) -> DataFrame:
     """(a, b): each set a and the hub b with which it shares most keys.
 
     A key's hub is its set that shares most keys with any others: of edited copies, the one nearest to what they all come
-    from, so most of them link with it.
+    from, so most of them link with it. Hubs are aggregates that fetch their keys' rows by a join, which adaptive execution
+    can split, so a key that very many sets share is no task's alone.
     """
     degree = runs.groupBy("c").agg(F.count(F.lit(1)).alias("degree")).join(sets_.select("c", "n"), "c").withColumnRenamed("c", "_c")
     known = runs.join(degree, F.col("c") == F.col("_c")).select("key", F.struct("degree", "c", "n").alias("_mine"))
-    hub = F.max("_mine").over(Window.partitionBy("key"))
-    edges = known.withColumn("_hub", hub).select(F.col("_mine.c").alias("c"), F.col("_mine.n").alias("n"), F.col("_hub.c").alias("b"), F.col("_hub.n").alias("m"))
+    hub = known.groupBy("key").agg(F.max("_mine").alias("_hub"))
+    edges = known.join(hub, "key").select(F.col("_mine.c").alias("c"), F.col("_mine.n").alias("n"), F.col("_hub.c").alias("b"), F.col("_hub.n").alias("m"))
     edges = edges.where("c <> b AND 4 * least(n, m) >= 3 * greatest(n, m)").groupBy("c", "b").agg(F.count(F.lit(1)).alias("k"))
     return edges.groupBy("c").agg(F.max_by("b", F.struct("k", "b")).alias("b")).withColumnRenamed("c", "a")
 
@@ -318,11 +319,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
 def _apart(runs: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, c, component, _g, _same) of keys, shared by _g sets, whose sets are not in one component yet; _same names the set of sets."""
     labels = labels.select(F.col("node").alias("c"), "component")
-    known = runs.join(small(labels, MOST_NAMED), "c", "left").repartition("key")
-    known = known.withColumn("component", F.coalesce("component", "c"))  # after the shuffle, where most are still null
-    w = Window.partitionBy("key")
-    known = known.withColumn("_low", F.min("component").over(w)).withColumn("_high", F.max("component").over(w)).withColumn("_g", F.count(F.lit(1)).over(w))
-    return known.withColumn("_same", F.bit_xor(F.xxhash64("c")).over(w)).where("_low <> _high").drop("_low", "_high")
+    known = runs.join(small(labels, MOST_NAMED), "c", "left").select("key", "c", F.coalesce("component", "c").alias("component"))
+    keys = known.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_g"), F.bit_xor(F.xxhash64("c")).alias("_same"))
+    return known.join(keys.where("_low <> _high").drop("_low", "_high"), "key")
 
 
 def _counted(known: DataFrame, sets_: DataFrame) -> DataFrame:
