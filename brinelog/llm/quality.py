@@ -109,7 +109,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Logi
 
 
 def evidence(model: Logistic):
-    """A column function: the probability that a text (as binary) is good, from the text alone."""
+    """A column function: the probability that a text (as binary) is good, from the text alone.
+
+    It is called nondeterministic so that Spark works it out once: a filter on it would else be given a second one, of nulls, with
+    Python workers of its own in each task, which live on and keep what later stages load.
+    """
 
     @F.arrow_udf("double")
     def run(text: pa.Array) -> pa.Array:
@@ -117,7 +121,7 @@ def evidence(model: Logistic):
         trim()
         return pa.array(p)
 
-    return run
+    return run.asNondeterministic()
 
 
 def _logit(p: Column) -> Column:

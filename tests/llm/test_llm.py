@@ -547,3 +547,10 @@ def test_pipeline_stages_on_odd_tables(spark, odd, none):
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, [(1, a), (2, c), (9, ""), (9, ""), (None, "alone")]))
     mixed = p.mix(spark, got, SF)
     assert {r["doc_id"] for r in mixed.collect()} <= {1, 2, 9, None} and mixed.columns == p.COLUMNS
+
+
+def test_quality_stage_reads_texts_in_one_python_step(spark):
+    """A second step in a task is a second Python worker in it, and workers live on to the end of the pipeline."""
+    import corpus_pipeline
+    plan = corpus_pipeline.quality_filter(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
