@@ -32,6 +32,8 @@ RARE, BEGIN = 0x72617265, 0x626567696E
 _STEP = np.uint64(0xD1342543DE82EF95)
 #: Rows that a task gathers before it sums them up.
 _MERGE = 1 << 20
+#: Arrays of a range of grams.
+KINDS = {"depth": np.int8, "state": np.uint64, "symbol": np.uint64, "c": np.uint32}
 
 
 def sequence(b: Block, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,10 +47,17 @@ def sequence(b: Block, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     return out, doc
 
 
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
 def _total(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, v = np.concatenate(keys), np.concatenate(values)
-    u, at = np.unique(k, return_inverse=True)
-    return u, np.bincount(at, weights=v, minlength=len(u)).astype(np.int64)
+    k, v = np.concatenate(keys), np.concatenate(values).astype(np.int64)
+    order = np.argsort(k)
+    k = k[order]
+    start = _starts(k)
+    return k[start], np.add.reduceat(v[order], start) if len(start) else v
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -63,9 +72,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
             for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 for lo, hi, b in blocks(texts[a:e], 1 << 20):
                     symbol, doc = sequence(b, hi - lo)
-                    u, at = np.unique(symbol, return_inverse=True)
-                    held.setdefault(int(chunks[a]), []).append((u, np.bincount(at, weights=train[a + lo : a + hi][doc], minlength=len(u)).astype(np.int64)))
-                    size += len(u)
+                    held.setdefault(int(chunks[a]), []).append(_total([symbol], [train[a + lo : a + hi][doc]]))
+                    size += len(held[int(chunks[a])][-1][0])
             if size > _MERGE:
                 held = {k: [_total(*map(list, zip(*x, strict=True)))] if len(x) > 1 else x for k, x in held.items()}
                 size = 0
@@ -129,46 +137,90 @@ def pair(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
 
 
 class Lookup:
-    """Values by 64-bit keys; the last dictionary of a chunk."""
+    """Values by 64-bit keys; the last dictionary of a chunk. Keys are in order; a table of their high bits tells where to begin to look."""
 
     def __init__(self, keys: list[np.ndarray], values: list[np.ndarray]):
         k, v = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (values, np.float64)))
+        k = k * _STEP  # odd, so keys stay apart; spreads low bits to the high ones
         order = np.argsort(k)
-        self.keys, self.values = k[order], v[order]
+        self.size, self.shift = len(k), np.uint64(64 - max(len(k).bit_length(), 1))
+        self.first = np.searchsorted(k[order], np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift).astype(np.int32)
+        self.keys, self.values = np.append(k[order], np.uint64(2**64 - 1)), np.append(v[order], 0.0)
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, value or 0)"""
-        if not len(self.keys):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        found = self.keys[at] == keys
+        k = keys * _STEP
+        at = self.first[(k >> self.shift).astype(np.int64)]
+        on = np.flatnonzero(self.keys[at] < k)
+        while len(on):
+            at[on] += 1
+            on = on[self.keys[at[on]] < k[on]]
+        found = (self.keys[at] == k) & (at < self.size)
         return found, np.where(found, self.values[at], 0.0)
 
 
-#: Kinds of rows that are dealt to chunks, in this order.
+#: Kinds of rows that are dealt to chunks, in this order; texts are the last.
 WORD, STATE, ENTRY, TEXT = range(4)
 
 
+def parcels(told: DataFrame) -> DataFrame:
+    """(chunk, kind, keys, values) of told (kind, h, g, v, chunks): what each chunk is to know, as arrays in few rows."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def given():
+            chunk, kind, key, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            names, at = np.unique(chunk, return_inverse=True)
+            group = at * TEXT + kind
+            order = np.argsort(group)
+            group, key, v = group[order], key[order], v[order]
+            start = _starts(group)
+            cuts = list(zip(start.tolist(), [*start[1:].tolist(), len(group)], strict=True))
+            columns = [pa.array(names[group[start] // TEXT]), pa.array((group[start] % TEXT).astype(np.int32)), pa.array([key[a:e].tobytes() for a, e in cuts], pa.binary()), pa.array([v[a:e].tobytes() for a, e in cuts], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "kind", "keys", "values"])
+
+        for batch in batches:
+            kind, h, g, v = (batch.column(k).to_numpy() for k in range(4))
+            h, chunks = h.view(np.uint64), batch.column(4)
+            key = np.where(kind == ENTRY, pair(h, g.view(np.uint64)), h)
+            sizes = chunks.value_lengths().to_numpy(zero_copy_only=False)
+            for lo in range(0, len(key), 1000):  # a frequent one is told to every chunk
+                part = slice(lo, lo + 1000)
+                held.append((chunks.slice(lo, 1000).flatten().to_numpy(), *(np.repeat(x[part], sizes[part]) for x in (kind, key, v))))
+                size += len(held[-1][0])
+                if size > _MERGE:
+                    yield given()
+                    held, size = [], 0
+        if size:
+            yield given()
+
+    return told.select("kind", "h", "g", "v", "chunks").mapInArrow(tidy(run), "chunk long, kind int, keys binary, values binary")
+
+
 def dealt(parts: list[DataFrame], rows: DataFrame) -> DataFrame:
-    """Texts of rows and what parts (chunk, kind, h, g, v) know of them, a chunk together, its texts last."""
-    texts = rows.select("chunk", F.lit(TEXT).alias("kind"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("v"), "doc_id", "text", "train")
-    for part in parts:
-        texts = part.select("chunk", "kind", "h", "g", "v", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text"), F.lit(False).alias("train")).unionByName(texts)
-    return texts.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    """Texts of rows and what parts (kind, h, g, v, chunks) know of them, a chunk together, its texts last."""
+    told = parts[0]
+    for part in parts[1:]:
+        told = told.unionByName(part)
+    none = F.lit(None).cast("binary")
+    texts = rows.select("chunk", F.lit(TEXT).alias("kind"), none.alias("keys"), none.alias("values"), "doc_id", "text", "train")
+    told = parcels(told).select("*", F.lit(None).cast("long").alias("doc_id"), none.alias("text"), F.lit(False).alias("train"))
+    return told.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "kind")
 
 
 def with_lookups(batches):
     """(chunk, lookups by kind, rows with texts) of dealt rows."""
     now, parts, tables = None, {}, None
     for batch in batches:
-        chunk, kind, h, g, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        chunk, kind = (batch.column(k).to_numpy() for k in range(2))
         edges = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1]), [True]]))
         for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if chunk[a] != now:
                 now, parts, tables = chunk[a], {}, None
             if kind[a] != TEXT:
-                key = h[a:e].view(np.uint64)
-                parts.setdefault(int(kind[a]), []).append((pair(key, g[a:e].view(np.uint64)) if kind[a] == ENTRY else key.copy(), v[a:e].copy()))
+                keys, values = (batch.column(k).slice(a, e - a).to_pylist() for k in (2, 3))
+                parts.setdefault(int(kind[a]), []).extend((np.frombuffer(k, np.uint64), np.frombuffer(v, np.float64)) for k, v in zip(keys, values, strict=True))
                 continue
             if tables is None:
                 tables = [Lookup(*map(list, zip(*parts.get(k, []), strict=True))) if k in parts else Lookup([], []) for k in (WORD, STATE, ENTRY)]
@@ -176,67 +228,45 @@ def with_lookups(batches):
             yield int(chunk[a]), tables, batch.slice(a, e - a)
 
 
-def _often(rows: DataFrame, least: int) -> DataFrame:
-    """(depth, state, symbol, c, chunks) of the grams with least occurrences or more in all of rows, which are sorted by gram.
+def _gram(depth: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return pair(state, symbol) ^ depth.astype(np.uint64)
 
-    Rows of depth 0 are slots, their range as state; those filled least times come out with the slot as state.
 
-    Hardly any two rows of a task are of one gram, so there is nothing to gain by summing before the rows are dealt.
-    """
-    names = ["depth", "state", "symbol", "c", "chunks"]
+def _often(counted: DataFrame, least: int) -> DataFrame:
+    """(depth, state, symbol, c, chunks) of the grams with least occurrences or more in all of counted.
 
-    def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def closed(depth, state, symbol, c, chunk):
-            start = np.flatnonzero(np.concatenate([[True], (state[1:] != state[:-1]) | (symbol[1:] != symbol[:-1]) | (depth[1:] != depth[:-1])]))
-            total = np.add.reduceat(c, start)
-            ok = total >= least
-            sizes = np.diff(np.append(start, len(c)))
-            offsets = np.concatenate([[0], np.cumsum(sizes[ok])]).astype(np.int32)
-            some = start[ok]
-            return pa.RecordBatch.from_arrays([pa.array(depth[some]), pa.array(state[some]), pa.array(symbol[some]), pa.array(total[ok]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(chunk[np.repeat(ok, sizes)]))], names=names)
-
-        open_range: list[tuple] = []
-
-        def slots(told):
-            slot, chunk = reached([r[1] for r in told], [r[2] for r in told], [r[3] for r in told], least)
-            order = np.argsort(slot, kind="stable")
-            slot, chunk = slot[order], chunk[order]
-            start = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
-            none = np.zeros(len(start), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(none.astype(np.int32)), pa.array(slot[start]), pa.array(none), pa.array(none), pa.ListArray.from_arrays(pa.array(np.append(start, len(slot)).astype(np.int32)), pa.array(chunk))], names=names)
+    counted has (range, chunk, depth, state, symbol, c) with arrays of a chunk's grams whose hash is in a range, or (range, chunk, slots,
+    counts); slots that are filled least times come out with depth 0 and the slot as state.
 
-        for batch in batches:
-            now = tuple(batch.column(k).to_numpy() for k in range(5))
-            slotted = np.flatnonzero(now[0] == 0)
-            if len(slotted):
-                filled, counts = batch.column(5), batch.column(6)
-                for i in slotted.tolist():
-                    if open_range and open_range[0][0] != now[1][i]:
-                        yield slots(open_range)
-                        open_range = []
-                    open_range.append((now[1][i], filled[i].as_py(), counts[i].as_py(), int(now[4][i])))
-                now = tuple(x[now[0] != 0] for x in now)
-                if not len(now[0]):
-                    continue
-            last = now[1][-1], now[2][-1], now[0][-1]
-            if held and (held[0][1][0], held[0][2][0], held[0][0][0]) == last:
-                held.append(now)  # one gram's rows go on
-                continue
-            other = np.flatnonzero((now[1] != last[0]) | (now[2] != last[1]) | (now[0] != last[2]))
-            begin = int(other[-1]) + 1 if len(other) else 0
-            done = [*held, tuple(x[:begin] for x in now)]
-            held = [tuple(x[begin:] for x in now)]
-            done = [np.concatenate(x) for x in zip(*done, strict=True)]
-            if len(done[0]):
-                yield closed(*done)
-        if held:
-            yield closed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        if open_range:
-            yield slots(open_range)
+    Hardly any two grams of a task are one, so there is nothing to gain by summing before they are dealt.
+    """
 
-    found = rows.mapInArrow(tidy(run), "depth int, state long, symbol long, c long, chunks array<long>")
+    def reach(table: pa.Table) -> pa.Table:
+        chunks = table["chunk"].to_numpy()
+        none = table["slots"].is_null().to_numpy()
+        columns = table.filter(pa.array(none))
+        depth, state, symbol, c = (np.frombuffer(b"".join(columns[name].to_pylist()), t) for name, t in KINDS.items())
+        chunk = np.repeat(chunks[none], [len(x) for x in columns["depth"].to_pylist()])
+        key = _gram(depth, state, symbol)
+        order = np.argsort(key)
+        start = _starts(key[order])
+        total = np.add.reduceat(c[order].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+        ok = total >= least
+        sizes = np.diff(np.append(start, len(order)))
+        first, holders = order[start[ok]], chunk[order][np.repeat(ok, sizes)]
+
+        columns = table.filter(pa.array(~none))
+        slot, own = reached(columns["slots"].to_pylist(), columns["counts"].to_pylist(), chunks[~none].tolist(), least)
+        order = np.argsort(slot)
+        slot, own = slot[order], own[order]
+        begin = _starts(slot)
+        zero = np.zeros(len(begin), np.int64)
+        sizes = np.concatenate([sizes[ok], np.diff(np.append(begin, len(slot)))])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([holders, own])))
+        columns = [np.concatenate(x) for x in ((depth[first].astype(np.int32), zero.astype(np.int32)), (state[first].view(np.int64), slot[begin]), (symbol[first].view(np.int64), zero), (total[ok], zero))]
+        return pa.table([*map(pa.array, columns), lists], names=["depth", "state", "symbol", "c", "chunks"])
+
+    found = counted.groupBy("range").applyInArrow(reach, "depth int, state long, symbol long, c long, chunks array<long>")
     return found.withColumn("chunks", F.array_distinct("chunks"))
 
 
@@ -344,25 +374,32 @@ def grams(rows: DataFrame, parts: list[DataFrame], longer: bool, root: Root) ->
     """
 
     least, bits = root.least, range_bits(root.tokens)
-    own_kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    own_names = ["depth", "state", "symbol", "c", "chunk", "slots", "counts"]
+    own_kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
+    own_names = ["range", "chunk", *KINDS, "slots", "counts"]
 
     def summed(held):
-        """The distinct grams of held with their counts, as a list of one."""
+        """The distinct grams of held with their counts, in order of their hashes, as a list of one."""
         depth, state, symbol, on = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, first, at = np.unique(pair(state, symbol) ^ depth.astype(np.uint64), return_index=True, return_inverse=True)
-        return [(depth[first], state[first], symbol[first], np.bincount(at, weights=on, minlength=len(first)))]
+        key = _gram(depth, state, symbol)
+        order = np.argsort(key)
+        start = _starts(key[order])
+        first = order[start]
+        return [(depth[first], state[first], symbol[first], np.add.reduceat(on[order].astype(np.int64), start) if len(start) else on.astype(np.int64))]
 
     def emit(held, chunk):
-        depth, state, symbol, c = summed(held)[0]
-        for lo in range(0, len(c), 1 << 16):
-            k = slice(lo, lo + (1 << 16))
-            empty = pa.nulls(len(c[k]), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(depth[k]), pa.array(state[k].view(np.int64)), pa.array(symbol[k].view(np.int64)), pa.array(c[k].astype(np.int64)), pa.array(np.full(len(c[k]), chunk)), empty, empty], names=own_names)
+        found = summed(held)[0]
+        cuts = np.searchsorted(_gram(*found[:3]) >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
+        ranges = [(r, slice(a, e)) for r, (a, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < e]
+        for lo in range(0, len(ranges), 32):
+            some = ranges[lo : lo + 32]
+            arrays = [[x[k].astype(t).tobytes() for _, k in some] for x, t in zip(found, KINDS.values(), strict=True)]
+            none = [None] * len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[r for r, _ in some], [chunk] * len(some), *arrays, none, none], own_kinds, strict=True)], names=own_names)
 
     def slots(deep, chunk):
         told = deep.given(bits, least)
-        columns = [[0] * len(told), [r[0] for r in told], [0] * len(told), [0] * len(told), [chunk] * len(told), [r[1] for r in told], [r[2] for r in told]]
+        none = [None] * len(told)
+        columns = [[r[0] for r in told], [chunk] * len(told), none, none, none, none, [r[1] for r in told], [r[2] for r in told]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, own_kinds, strict=True)], names=own_names)
 
     def run(batches):
@@ -373,8 +410,8 @@ def grams(rows: DataFrame, parts: list[DataFrame], longer: bool, root: Root) ->
                 held, size = [], 0
             if deep.held and chunk != now:
                 yield slots(deep, now)
-            now, train = chunk, batch.column(7).to_numpy(zero_copy_only=False)
-            for lo, hi, b in blocks(batch.column(6).to_pylist()):
+            now, train = chunk, batch.column(6).to_numpy(zero_copy_only=False)
+            for lo, hi, b in blocks(batch.column(5).to_pylist()):
                 symbol, doc = sequence(b, hi - lo)
                 code, on = codes(symbol, lexicon(symbol)[1], least), train[lo:hi][doc]
                 found = ok = np.zeros(len(code), bool)
@@ -409,8 +446,8 @@ def grams(rows: DataFrame, parts: list[DataFrame], longer: bool, root: Root) ->
         if deep.held:
             yield slots(deep, now)
 
-    counted = dealt(parts, rows).mapInArrow(tidy(run), "depth int, state long, symbol long, c long, chunk long, slots binary, counts binary")
-    return _often(counted.repartition("state", "symbol").sortWithinPartitions("state", "symbol", "depth"), least)
+    counted = dealt(parts, rows).mapInArrow(tidy(run), "range int, chunk long, depth binary, state binary, symbol binary, c binary, slots binary, counts binary")
+    return _often(counted, least)
 
 
 def states(found: DataFrame, vocab: DataFrame, root: Root) -> list[DataFrame]:
@@ -435,8 +472,8 @@ def states(found: DataFrame, vocab: DataFrame, root: Root) -> list[DataFrame]:
         p = F.when(F.col("left").isNull(), F.col("q")).otherwise((F.col("c") - DISCOUNT) / F.col("n") + F.col("left") * F.col("q"))
         e = stored(e.join(s, "state", "left").select("state", "symbol", p.alias("p"), F.col("left").isNotNull().alias("kept"), "chunks"), "level")
         above = e.select(F.col("state").alias("parent"), "symbol", F.col("p").alias("q"))
-        out.append(known.join(s, "state").select(F.explode("holders").alias("chunk"), F.lit(STATE).alias("kind"), F.col("state").alias("h"), F.lit(0).cast("long").alias("g"), F.col("left").alias("v")))
-        out.append(e.where("kept").select(F.explode("chunks").alias("chunk"), F.lit(ENTRY).alias("kind"), F.col("state").alias("h"), F.col("symbol").alias("g"), F.col("p").alias("v")))
+        out.append(known.join(s, "state").select(F.col("holders").alias("chunks"), F.lit(STATE).alias("kind"), F.col("state").alias("h"), F.lit(0).cast("long").alias("g"), F.col("left").alias("v")))
+        out.append(e.where("kept").select("chunks", F.lit(ENTRY).alias("kind"), F.col("state").alias("h"), F.col("symbol").alias("g"), F.col("p").alias("v")))
     return out
 
 
@@ -457,13 +494,13 @@ def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5, chunk: Colum
     rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), (crc_mod("doc_id", folds) != fold).alias("train"), chunk.cast("long").alias("chunk"))
     vocab = freed(stored(vocabulary(rows), "vocabulary"))
     root = train_root(vocab)
-    words = vocab.select(F.explode("chunks").alias("chunk"), F.lit(WORD).alias("kind"), "h", F.lit(0).cast("long").alias("g"), F.col("c").cast("double").alias("v"))
+    words = vocab.select("chunks", F.lit(WORD).alias("kind"), "h", F.lit(0).cast("long").alias("g"), F.col("c").cast("double").alias("v"))
     often = words.where(F.col("v") >= root.least)
-    slot = lambda df, chunk: df.select(chunk.alias("chunk"), F.lit(STATE).alias("kind"), F.col("slot").alias("h"), F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("v"))
-    filled = slot(stored(filled_slots(rows, root.least, root.tokens), "slots"), F.col("chunk"))
+    slot = lambda df, chunks: df.select(chunks.alias("chunks"), F.lit(STATE).alias("kind"), F.col("slot").alias("h"), F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("v"))
+    filled = slot(stored(filled_slots(rows, root.least, root.tokens), "slots"), F.array("chunk"))
     first = freed(stored(grams(rows, [often, filled], False, root), "pairs"))
-    pairs, deep = first.where("depth <> 0"), slot(first.where("depth = 0").withColumnRenamed("state", "slot"), F.explode("chunks"))
-    known = pairs.where("depth > 0").select(F.explode("chunks").alias("chunk"), F.lit(ENTRY).alias("kind"), F.col("state").alias("h"), F.col("symbol").alias("g"), F.lit(0.0).alias("v"))
+    pairs, deep = first.where("depth <> 0"), slot(first.where("depth = 0").withColumnRenamed("state", "slot"), F.col("chunks"))
+    known = pairs.where("depth > 0").select("chunks", F.lit(ENTRY).alias("kind"), F.col("state").alias("h"), F.col("symbol").alias("g"), F.lit(0.0).alias("v"))
     found = freed(pairs.unionByName(stored(grams(rows, [often, known, deep], True, root), "grams")))
     parts = [words, *states(found, vocab, root)]
 
@@ -474,7 +511,7 @@ def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5, chunk: Colum
     def score(tables, batch):
         lexicon, left, entry = tables
         out = [[], [], [], []]
-        for lo, hi, b in blocks(batch.column(6).to_pylist()):
+        for lo, hi, b in blocks(batch.column(5).to_pylist()):
             symbol, doc = sequence(b, hi - lo)
             c = lexicon(symbol)[1]
             base = np.log10((c + 0.5) / (root.tokens + 0.5 * (root.distinct + 1)))
@@ -490,8 +527,8 @@ def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5, chunk: Colum
             for column, x in zip(out, (np.bincount(doc, minlength=n), np.bincount(doc, weights=c > 0, minlength=n).astype(np.int64), np.bincount(doc, weights=base, minlength=n), np.bincount(doc, weights=p, minlength=n)), strict=True):
                 column.append(x)
         n_tokens, n_known, base, own = (np.concatenate(x) for x in out)
-        held = ~batch.column(7).to_numpy(zero_copy_only=False)
-        columns = [batch.column(5), pa.array(held), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(held), root.tokens)), pa.array(base), pa.array(own)]
+        held = ~batch.column(6).to_numpy(zero_copy_only=False)
+        columns = [batch.column(4), pa.array(held), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(held), root.tokens)), pa.array(base), pa.array(own)]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return dealt(parts, rows).mapInArrow(tidy(run), SCHEMA)

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,23 @@ def test_slots_lose_no_frequent_pair(spark):
     assert {c for c, _ in counts} == {0, 1, 2} and len(slots) == 3
     assert suffix_tree.filled_slots(df, 1000, 10).count() == 0
     assert suffix_tree.filled_slots(df.where("false"), 5, 0).count() == 0
+
+
+def test_chunks_are_told_in_few_rows(spark):
+    """What n chunks are told of many states is n rows a task and kind, whatever the number of states; none is lost or doubled."""
+    told = spark.range(0, 3000, 1, 2).select(F.when(F.col("id") % 2 == 0, suffix_tree.STATE).otherwise(suffix_tree.ENTRY).alias("kind"), F.col("id").alias("h"), (F.col("id") + 7).alias("g"), F.col("id").cast("double").alias("v"), F.array(F.lit(4).cast("long"), F.col("id") % 3 + 9).alias("chunks"))
+    rows = suffix_tree.parcels(told).collect()
+    assert len(rows) <= 2 * 2 * 4
+    got = Counter((r["chunk"], r["kind"], int(k), v) for r in rows for k, v in zip(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["values"]), strict=True))
+    i = np.arange(3000, dtype=np.uint64)
+    key = np.where(i % 2 == 0, i, suffix_tree.pair(i, i + np.uint64(7)))
+    assert got == Counter((c, suffix_tree.ENTRY if k % 2 else suffix_tree.STATE, int(key[k]), float(k)) for k in range(3000) for c in (4, k % 3 + 9))
+
+
+def test_lookup():
+    rng = np.random.default_rng(3)
+    for keys in (np.zeros(0, np.uint64), np.arange(50, dtype=np.uint64), rng.integers(0, 2**64, 3000, np.uint64), np.array([2**64 - 1, 0, 1 << 63], np.uint64)):
+        look, known = suffix_tree.Lookup([keys], [np.arange(len(keys)) + 0.5]), {int(k): i + 0.5 for i, k in enumerate(keys)}
+        asked = np.concatenate([keys, rng.integers(0, 2**64, 500, np.uint64), np.array([0, 5, 2**64 - 1], np.uint64), np.array([-pow(int(suffix_tree._STEP), -1, 2**64) % 2**64], np.uint64)])
+        found, value = look(asked)
+        assert found.tolist() == [int(k) in known for k in asked] and value.tolist() == [known.get(int(k), 0.0) for k in asked]
