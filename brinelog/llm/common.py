@@ -85,10 +85,15 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def freed(df: DataFrame) -> DataFrame:
-    """df, a stored table; shuffle files that led to it and that nothing refers to any longer are given back, as Spark does on a collection only."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+def freed(df: DataFrame, settled: bool = False) -> DataFrame:
+    """df, a stored table; shuffle files that led to it and that nothing refers to any longer are given back, as Spark does on a collection only.
+
+    settled: wait until Spark's listeners, which hold a query for a moment after its end, have let go of it; else its files may stay until the next call.
+    """
+    for pause in (0.5, 0.5) if settled else (0,):
+        time.sleep(pause)
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df
 
 

@@ -30,10 +30,13 @@ END = 0x656E64
 #: In deeper states: words without enough evidence, and the begin of a text.
 RARE, BEGIN = 0x72617265, 0x626567696E
 _STEP = np.uint64(0xD1342543DE82EF95)
+_INVERSE = np.uint64(pow(int(_STEP), -1, 2**64))
+_POWERS = np.array([pow(int(_STEP), k, 2**64) for k in range(DEPTH + 1)], np.uint64)
 #: Rows that a task gathers before it sums them up.
 _MERGE = 1 << 20
-#: Arrays of a range of grams.
-KINDS = {"depth": np.int8, "state": np.uint64, "symbol": np.uint64, "c": np.uint32}
+#: What a chunk sends of a range: grams as arrays, or slots.
+SENT = "range int, chunk long, n int, keys binary, symbols binary, words binary, counts binary, depths binary, slots binary, fills binary"
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def sequence(b: Block, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,23 +120,33 @@ def codes(symbol: np.ndarray, c: np.ndarray, least: int) -> np.ndarray:
 
 
 def contexts(code: np.ndarray, doc: np.ndarray):
-    """(tokens, state, parent) by depth: the tokens that have a context of so many words, its hash and that of the words but its first."""
+    """(tokens, state, word) by depth: the tokens that have a context of so many words, its hash, and its word that is farthest from the token."""
     begin = np.ones(len(doc), bool)
     begin[1:] = doc[1:] != doc[:-1]
     place = np.arange(len(doc)) - np.maximum.accumulate(np.where(begin, np.arange(len(doc)), 0))
-    at, state = np.arange(len(doc)), np.zeros(len(doc), np.uint64)
+    mixed, first = mix(code) * _STEP, mix(np.array([BEGIN], np.uint64)) * _STEP
+    at, state, factor = np.arange(len(doc)), np.zeros(len(doc), np.uint64), np.uint64(1)
     for depth in range(1, DEPTH + 1):
         on = place[at] >= depth - 1
         at, state = at[on], state[on]
-        word = np.where(place[at] >= depth, code[at - depth], np.uint64(BEGIN))
+        inner = place[at] >= depth
+        word = np.where(inner, code[at - depth], np.uint64(BEGIN))
         on = word != RARE
-        at, parent = at[on], state[on]
-        state = mix((parent + np.uint64(depth)) * _STEP + word[on])
-        yield at, state, parent
+        own = np.where(inner, mixed[at - depth], first)
+        at, word, state = at[on], word[on], state[on] + factor * own[on]
+        factor = factor * _STEP
+        yield at, state, word
 
 
 def pair(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return mix(state * _STEP ^ mix(symbol))
+    """Hash of a context and the symbol behind it, which is the state of both as a context: a polynomial over the words' hashes."""
+    return (state + mix(symbol)) * _STEP
+
+
+def unpaired(depth: np.ndarray, key: np.ndarray, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(state, parent) of a pair's hash: that of its context, and that of the context but for its farthest word."""
+    state = key * _INVERSE - mix(symbol)
+    return state, state - mix(word) * _POWERS[depth]
 
 
 class Lookup:
@@ -198,17 +211,28 @@ def parcels(told: DataFrame) -> DataFrame:
     return told.select("kind", "h", "g", "v", "chunks").mapInArrow(tidy(run), "chunk long, kind int, keys binary, values binary")
 
 
-def dealt(parts: list[DataFrame], rows: DataFrame) -> DataFrame:
-    """Texts of rows and what parts (kind, h, g, v, chunks) know of them, a chunk together, its texts last."""
+def dealt(parts: list[DataFrame], rows: DataFrame, slots: DataFrame | None = None) -> DataFrame:
+    """Texts of rows and what parts (kind, h, g, v, chunks) and slots (chunk, slots) know of them, a chunk together, its texts last."""
     told = parts[0]
     for part in parts[1:]:
         told = told.unionByName(part)
     none = F.lit(None).cast("binary")
     texts = rows.select("chunk", F.lit(TEXT).alias("kind"), none.alias("keys"), none.alias("values"), "doc_id", "text", "train")
-    told = parcels(told).select("*", F.lit(None).cast("long").alias("doc_id"), none.alias("text"), F.lit(False).alias("train"))
+    told = parcels(told)
+    if slots is not None:
+        told = told.unionByName(slots.select("chunk", F.lit(STATE).alias("kind"), F.col("slots").alias("keys"), none.alias("values")))
+    told = told.select("*", F.lit(None).cast("long").alias("doc_id"), none.alias("text"), F.lit(False).alias("train"))
     return told.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "kind")
 
 
+def _known(keys: bytes, values: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a row; keys without values are slots."""
+    if values is None:
+        k = np.frombuffer(keys, "<u4").astype(np.uint64)
+        return k, np.zeros(len(k))
+    return np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float64)
+
+
 def with_lookups(batches):
     """(chunk, lookups by kind, rows with texts) of dealt rows."""
     now, parts, tables = None, {}, None
@@ -220,7 +244,7 @@ def with_lookups(batches):
                 now, parts, tables = chunk[a], {}, None
             if kind[a] != TEXT:
                 keys, values = (batch.column(k).slice(a, e - a).to_pylist() for k in (2, 3))
-                parts.setdefault(int(kind[a]), []).extend((np.frombuffer(k, np.uint64), np.frombuffer(v, np.float64)) for k, v in zip(keys, values, strict=True))
+                parts.setdefault(int(kind[a]), []).extend(_known(k, v) for k, v in zip(keys, values, strict=True))
                 continue
             if tables is None:
                 tables = [Lookup(*map(list, zip(*parts.get(k, []), strict=True))) if k in parts else Lookup([], []) for k in (WORD, STATE, ENTRY)]
@@ -228,46 +252,80 @@ def with_lookups(batches):
             yield int(chunk[a]), tables, batch.slice(a, e - a)
 
 
-def _gram(depth: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return pair(state, symbol) ^ depth.astype(np.uint64)
+def squeezed(x: np.ndarray) -> bytes:
+    return _ZSTD.compress(np.ascontiguousarray(x).tobytes(), asbytes=True)
 
 
-def _often(counted: DataFrame, least: int) -> DataFrame:
-    """(depth, state, symbol, c, chunks) of the grams with least occurrences or more in all of counted.
+def spread(x: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(_ZSTD.decompress(x, n * np.dtype(kind).itemsize, asbytes=True), kind)
 
-    counted has (range, chunk, depth, state, symbol, c) with arrays of a chunk's grams whose hash is in a range, or (range, chunk, slots,
-    counts); slots that are filled least times come out with depth 0 and the slot as state.
 
-    Hardly any two grams of a task are one, so there is nothing to gain by summing before they are dealt.
-    """
+def planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of x, all first ones before all second ones, so that those which are alike stand together."""
+    return x.view(np.uint8).reshape(len(x), -1).T
+
+
+def unplanes(x: bytes, n: int, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(spread(x, n * np.dtype(kind).itemsize, np.uint8).reshape(-1, n).T).view(kind).ravel()
+
+
+def _reach(least: int):
+    """What becomes of all that chunks sent of a range: the grams with least occurrences or more, and for each chunk its slots that are filled so often."""
 
     def reach(table: pa.Table) -> pa.Table:
         chunks = table["chunk"].to_numpy()
         none = table["slots"].is_null().to_numpy()
         columns = table.filter(pa.array(none))
-        depth, state, symbol, c = (np.frombuffer(b"".join(columns[name].to_pylist()), t) for name, t in KINDS.items())
-        chunk = np.repeat(chunks[none], [len(x) for x in columns["depth"].to_pylist()])
-        key = _gram(depth, state, symbol)
+        sizes = columns["n"].to_pylist()
+        several = lambda name, f: np.concatenate([np.zeros(0, np.uint64), *(f(x, n) for x, n in zip(columns[name].to_pylist(), sizes, strict=True))])
+        key = several("keys", lambda x, n: np.cumsum(unplanes(x, n, np.uint64), dtype=np.uint64))
+        symbol, word = (several(name, lambda x, n: spread(x, n, np.uint64)) for name in ("symbols", "words"))
+        c = several("counts", lambda x, n: unplanes(x, n, np.uint32).astype(np.uint64)).astype(np.int64)
+        depth = several("depths", lambda x, n: spread(x, n, np.uint8).astype(np.uint64)).astype(np.int64)
+        chunk = np.repeat(chunks[none], sizes)
         order = np.argsort(key)
         start = _starts(key[order])
-        total = np.add.reduceat(c[order].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+        total = np.add.reduceat(c[order], start) if len(start) else np.zeros(0, np.int64)
         ok = total >= least
         sizes = np.diff(np.append(start, len(order)))
         first, holders = order[start[ok]], chunk[order][np.repeat(ok, sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes[ok])])
+        state, parent = unpaired(depth[first], key[first], symbol[first], word[first])
 
         columns = table.filter(pa.array(~none))
-        slot, own = reached(columns["slots"].to_pylist(), columns["counts"].to_pylist(), chunks[~none].tolist(), least)
-        order = np.argsort(slot)
+        slot, own = reached(columns["slots"].to_pylist(), columns["fills"].to_pylist(), chunks[~none].tolist(), least)
+        order = np.argsort(own, kind="stable")
         slot, own = slot[order], own[order]
-        begin = _starts(slot)
-        zero = np.zeros(len(begin), np.int64)
-        sizes = np.concatenate([sizes[ok], np.diff(np.append(begin, len(slot)))])
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([holders, own])))
-        columns = [np.concatenate(x) for x in ((depth[first].astype(np.int32), zero.astype(np.int32)), (state[first].view(np.int64), slot[begin]), (symbol[first].view(np.int64), zero), (total[ok], zero))]
-        return pa.table([*map(pa.array, columns), lists], names=["depth", "state", "symbol", "c", "chunks"])
+        cuts = [*_starts(own).tolist(), len(own)]
+        told = [np.unique(slot[a:e]).astype("<u4").tobytes() for a, e in zip(cuts[:-1], cuts[1:], strict=True)]
+
+        k, m = len(first), len(told)
+        numbers = [np.concatenate([x, np.zeros(m, np.int64)]) for x in (depth[first], key[first].view(np.int64), state.view(np.int64), symbol[first].view(np.int64), parent.view(np.int64), total[ok])]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([ends, np.full(m, ends[-1])]).astype(np.int32)), pa.array(holders))
+        chunk = pa.array(np.concatenate([np.zeros(k, np.int64), own[cuts[:-1]]]))
+        return pa.table([*map(pa.array, numbers), lists, chunk, pa.array([None] * k + told, pa.binary())], names=FOUND_NAMES)
+
+    return reach
+
+
+FOUND = "depth long, key long, state long, symbol long, parent long, c long, chunks array<long>, chunk long, slots binary"
+FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+
+
+def _often(counted: DataFrame, least: int) -> DataFrame:
+    """(depth, key, state, symbol, parent, c, chunks) of the grams with least occurrences or more in all of counted (SENT), and with depth 0 (chunk, slots):
+    a chunk's slots of a range, as four bytes each, that are filled least times.
+
+    Hardly any two grams of a task are one, so there is nothing to gain by summing before they are dealt.
+    """
+    return counted.groupBy("range").applyInArrow(_reach(least), FOUND).withColumn("chunks", F.array_distinct("chunks"))
+
+
+def _sent(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, _SENT)
+
 
-    found = counted.groupBy("range").applyInArrow(reach, "depth int, state long, symbol long, c long, chunks array<long>")
-    return found.withColumn("chunks", F.array_distinct("chunks"))
+_SENT = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in SENT.split(", "))])
 
 
 def range_bits(tokens: int) -> int:
@@ -320,11 +378,12 @@ class Slots:
         return out
 
 
-def filled_slots(docs: DataFrame, least: int, tokens: int) -> DataFrame:
-    """(chunk, slot) of the 32-bit slots, into which pairs of a word and the next one are hashed, that training texts fill least times or more.
+def slots_of_pairs(docs: DataFrame, least: int, tokens: int) -> DataFrame:
+    """(chunk, slots) of the 32-bit slots, into which pairs of a word and the next one are hashed, that training texts fill least times or more.
 
     A pair with so many occurrences is in such a slot, and each chunk that holds it, if only in texts that don't train, is told the
-    slot, so no frequent pair is lost; of the others, most are seen here only, as four bytes and a count each.
+    slot, so no frequent pair is lost; of the others, most are seen here only, as four bytes and a count each. A chunk is told of a range's
+    slots in one row of four bytes a slot, so it is never told more than it has sent.
     """
     bits = range_bits(tokens)
 
@@ -332,9 +391,7 @@ def filled_slots(docs: DataFrame, least: int, tokens: int) -> DataFrame:
         own, now = Slots(), None
 
         def done():
-            rows = own.given(bits, least)
-            columns = [[r[0] for r in rows], [now] * len(rows), [r[1] for r in rows], [r[2] for r in rows]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["range", "chunk", "slots", "counts"])
+            return _sent([{"range": r, "chunk": now, "slots": x, "fills": n} for r, x, n in own.given(bits, least)])
 
         for batch in batches:
             texts, train, chunks = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
@@ -347,60 +404,61 @@ def filled_slots(docs: DataFrame, least: int, tokens: int) -> DataFrame:
                 for lo, hi, b in blocks(texts[a:e], 1 << 20):
                     symbol, doc = sequence(b, hi - lo)
                     at, state, _ = next(iter(contexts(symbol, doc)))
-                    if own.add(_slot(state, symbol[at]), train[a + lo : a + hi][doc[at]]):
+                    if own.add(_slot(pair(state, symbol[at])), train[a + lo : a + hi][doc[at]]):
                         yield done()
         if own.held:
             yield done()
 
-    def reach(table: pa.Table) -> pa.Table:
-        slot, chunk = reached(table["slots"].to_pylist(), table["counts"].to_pylist(), table["chunk"].to_pylist(), least)
-        return pa.table({"chunk": pa.array(chunk), "slot": pa.array(slot)})
+    rows = docs.select("text", "train", "chunk").mapInArrow(tidy(gather), SENT)
+    return rows.groupBy("range").applyInArrow(_reach(least), FOUND).select("chunk", "slots")
 
-    rows = docs.select("text", "train", "chunk").mapInArrow(tidy(gather), "range int, chunk long, slots binary, counts binary")
-    return rows.groupBy("range").applyInArrow(reach, "chunk long, slot long")
 
+def filled_slots(docs: DataFrame, least: int, tokens: int) -> DataFrame:
+    """(chunk, slot) of slots_of_pairs, a row for each, to look at."""
 
-def _slot(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return (pair(state, symbol) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    def run(batches):
+        for batch in batches:
+            slots = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in slots])), pa.array(np.concatenate([np.zeros(0, np.int64), *slots]))], names=["chunk", "slot"])
 
+    return slots_of_pairs(docs, least, tokens).mapInArrow(run, "chunk long, slot long")
 
-def grams(rows: DataFrame, parts: list[DataFrame], longer: bool, root: Root) -> DataFrame:
-    """(depth, state, symbol, c, chunks) of contexts and next symbols that occur least times or more in training texts.
 
-    Contexts have one word, and parts the slots that frequent pairs are in; then the slots that frequent longer contexts are in
-    come out too, with depth 0. Or if longer they have two to DEPTH words, and parts have the pairs of words that were found, and these slots; what has a pair
-    in it that wasn't found, or isn't in such a slot, need not be counted. c: count in training texts; chunks: all that hold it. Depth is negative for a
-    context itself, whose symbol is its parent.
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def grams(rows: DataFrame, parts: list[DataFrame], slots: DataFrame, longer: bool, root: Root) -> DataFrame:
+    """(depth, key, state, symbol, parent, c, chunks) of contexts of depth words with a symbol behind them that occur least times or more in training texts.
+
+    Contexts have one word, and slots are those that frequent pairs are in; then the slots (chunk, slots) that frequent longer grams are in
+    come out too, with depth 0. Or if longer they have two to DEPTH words, parts have the pairs of words that were found, and slots are
+    these; what has a pair in it that wasn't found, or isn't in such a slot, need not be counted. c: count in training texts; chunks:
+    all that hold it. A context is a gram itself, of its words but the nearest and that one as symbol, so contexts aren't counted apart.
     """
 
     least, bits = root.least, range_bits(root.tokens)
-    own_kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
-    own_names = ["range", "chunk", *KINDS, "slots", "counts"]
 
     def summed(held):
         """The distinct grams of held with their counts, in order of their hashes, as a list of one."""
-        depth, state, symbol, on = (np.concatenate(x) for x in zip(*held, strict=True))
-        key = _gram(depth, state, symbol)
+        depth, key, symbol, word, on = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(key)
         start = _starts(key[order])
         first = order[start]
-        return [(depth[first], state[first], symbol[first], np.add.reduceat(on[order].astype(np.int64), start) if len(start) else on.astype(np.int64))]
+        return [(depth[first], key[first], symbol[first], word[first], np.add.reduceat(on[order].astype(np.int64), start) if len(start) else on.astype(np.int64))]
 
     def emit(held, chunk):
-        found = summed(held)[0]
-        cuts = np.searchsorted(_gram(*found[:3]) >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
-        ranges = [(r, slice(a, e)) for r, (a, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < e]
-        for lo in range(0, len(ranges), 32):
-            some = ranges[lo : lo + 32]
-            arrays = [[x[k].astype(t).tobytes() for _, k in some] for x, t in zip(found, KINDS.values(), strict=True)]
-            none = [None] * len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[r for r, _ in some], [chunk] * len(some), *arrays, none, none], own_kinds, strict=True)], names=own_names)
-
-    def slots(deep, chunk):
-        told = deep.given(bits, least)
-        none = [None] * len(told)
-        columns = [[r[0] for r in told], [chunk] * len(told), none, none, none, none, [r[1] for r in told], [r[2] for r in told]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, own_kinds, strict=True)], names=own_names)
+        depth, key, symbol, word, c = summed(held)[0]
+        cuts = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
+        out = []
+        for r, (a, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a < e:
+                out.append({"range": r, "chunk": chunk, "n": e - a, "keys": squeezed(planes(np.diff(key[a:e], prepend=np.uint64(0)))), "symbols": squeezed(symbol[a:e]), "words": squeezed(word[a:e]), "counts": squeezed(planes(c[a:e].astype(np.uint32))), "depths": squeezed(depth[a:e])})
+        for lo in range(0, len(out), 32):
+            yield _sent(out[lo : lo + 32])
+
+    def filling(deep, chunk):
+        return _sent([{"range": r, "chunk": chunk, "slots": x, "fills": n} for r, x, n in deep.given(bits, least)])
 
     def run(batches):
         held, size, now, deep = [], 0, None, Slots()
@@ -409,32 +467,27 @@ def grams(rows: DataFrame, parts: list[DataFrame], longer: bool, root: Root) ->
                 yield from emit(held, now)
                 held, size = [], 0
             if deep.held and chunk != now:
-                yield slots(deep, now)
+                yield filling(deep, now)
             now, train = chunk, batch.column(6).to_numpy(zero_copy_only=False)
             for lo, hi, b in blocks(batch.column(5).to_pylist()):
                 symbol, doc = sequence(b, hi - lo)
                 code, on = codes(symbol, lexicon(symbol)[1], least), train[lo:hi][doc]
-                found = ok = np.zeros(len(code), bool)
-                for depth, (at, state, parent) in enumerate(contexts(code, doc), 1):
+                follows, ok = np.zeros(len(code), bool), np.ones(len(code), bool)
+                for depth, (at, state, word) in enumerate(contexts(code, doc), 1):
+                    key = pair(state, code[at])
                     if depth == 1:
-                        found[at] = pairs(pair(state, code[at]))[0]
-                        ok, here, follows = np.ones(len(code), bool), not longer, code == RARE
-                        follows[at] |= filled(_slot(state, code[at]).astype(np.uint64))[0]
+                        follows[at] = pairs(key)[0] if longer else (code[at] == RARE) | filled(_slot(key).astype(np.uint64))[0]
+                        k = follows[at]
                     else:
-                        ok[at] &= (found if longer else follows)[at - depth + 1]
-                        slot = (state & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                        if not longer:
-                            if deep.add(slot[ok[at]], on[at[ok[at]]]):
-                                yield slots(deep, now)
-                            continue
-                        ok[at] &= filled(slot.astype(np.uint64))[0]
-                        here, follows = True, found
-                    if here:
-                        k = ok[at]
-                        held.append((np.full(k.sum(), -depth, np.int32), state[k], parent[k], on[at[k]]))
-                        k = k & follows[at]
-                        held.append((np.full(k.sum(), depth, np.int32), state[k], code[at[k]], on[at[k]]))
-                        size += len(held[-1][0]) + len(held[-2][0])
+                        ok[at] &= follows[at - depth + 1]
+                        k = ok[at] & follows[at]
+                        if longer:
+                            k[k] = filled(_slot(key[k]).astype(np.uint64))[0]
+                        elif deep.add(_slot(key[k]), on[at[k]]):
+                            yield filling(deep, now)
+                    if longer == (depth > 1):
+                        held.append((np.full(k.sum(), depth, np.uint8), key[k], code[at[k]], word[k], on[at[k]]))
+                        size += len(held[-1][0])
                 if size > _MERGE:
                     held = summed(held)
                     size = len(held[0][0]) // 2  # what is summed already is worked on again as new rows come in
@@ -444,10 +497,21 @@ def grams(rows: DataFrame, parts: list[DataFrame], longer: bool, root: Root) ->
         if held:
             yield from emit(held, now)
         if deep.held:
-            yield slots(deep, now)
+            yield filling(deep, now)
+
+    return _often(dealt(parts, rows, slots).mapInArrow(tidy(run), SENT), least)
+
+
+def words_as_contexts(vocab: DataFrame, least: int) -> DataFrame:
+    """(state, n, holders) of contexts of one word, or of a text's begin, which is as often as its end."""
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            state = mix(np.where(h == END, np.uint64(BEGIN), h)) * _STEP
+            yield pa.RecordBatch.from_arrays([pa.array(state.view(np.int64)), batch.column(1), batch.column(2)], names=["state", "n", "holders"])
 
-    counted = dealt(parts, rows).mapInArrow(tidy(run), "range int, chunk long, depth binary, state binary, symbol binary, c binary, slots binary, counts binary")
-    return _often(counted, least)
+    return vocab.where(F.col("c") >= least).select("h", "c", "chunks").mapInArrow(run, "state long, n long, holders array<long>")
 
 
 def states(found: DataFrame, vocab: DataFrame, root: Root) -> list[DataFrame]:
@@ -461,8 +525,8 @@ def states(found: DataFrame, vocab: DataFrame, root: Root) -> list[DataFrame]:
     above = vocab.where(F.col("c") >= root.least).select(F.lit(0).cast("long").alias("parent"), F.col("h").alias("symbol"), ((F.col("c") - root.discount) / n).alias("q")).unionByName(rare)
     out = []
     for depth in range(1, DEPTH + 1):
-        known = found.where(F.col("depth") == -depth).select("state", F.col("symbol").alias("parent"), F.col("c").alias("n"), F.col("chunks").alias("holders"))
-        entries = found.where(F.col("depth") == depth).select("state", "symbol", "c", "chunks")
+        known = words_as_contexts(vocab, root.least) if depth == 1 else found.where(F.col("depth") == depth - 1).select(F.col("key").alias("state"), F.col("c").alias("n"), F.col("chunks").alias("holders"))
+        entries = found.where(F.col("depth") == depth).select("state", "symbol", "parent", "c", "chunks")
         e = stored(entries.join(known.drop("holders"), "state").join(above, ["parent", "symbol"]), "entries")
         s = e.groupBy("state").agg(F.first("n").alias("m"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("sc"), F.sum("q").alias("sq"), F.sum(F.col("c") * F.log(F.col("c") / F.col("n") / F.col("q"))).alias("g"))
         rest, rest_q = F.greatest(1 - F.col("sc") / F.col("m"), F.lit(0.0)), F.greatest(1 - F.col("sq"), F.lit(1e-9))
@@ -492,16 +556,15 @@ def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5, chunk: Colum
     if chunk is None:
         chunk = F.pmod(F.xxhash64("doc_id"), F.lit(docs.count() // 16_000 + 1))
     rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), (crc_mod("doc_id", folds) != fold).alias("train"), chunk.cast("long").alias("chunk"))
-    vocab = freed(stored(vocabulary(rows), "vocabulary"))
+    vocab = freed(stored(vocabulary(rows), "vocabulary"), settled=True)
     root = train_root(vocab)
     words = vocab.select("chunks", F.lit(WORD).alias("kind"), "h", F.lit(0).cast("long").alias("g"), F.col("c").cast("double").alias("v"))
     often = words.where(F.col("v") >= root.least)
-    slot = lambda df, chunks: df.select(chunks.alias("chunks"), F.lit(STATE).alias("kind"), F.col("slot").alias("h"), F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("v"))
-    filled = slot(stored(filled_slots(rows, root.least, root.tokens), "slots"), F.array("chunk"))
-    first = freed(stored(grams(rows, [often, filled], False, root), "pairs"))
-    pairs, deep = first.where("depth <> 0"), slot(first.where("depth = 0").withColumnRenamed("state", "slot"), F.col("chunks"))
-    known = pairs.where("depth > 0").select("chunks", F.lit(ENTRY).alias("kind"), F.col("state").alias("h"), F.col("symbol").alias("g"), F.lit(0.0).alias("v"))
-    found = freed(pairs.unionByName(stored(grams(rows, [often, known, deep], True, root), "grams")))
+    filled = freed(stored(slots_of_pairs(rows, root.least, root.tokens), "slots"), settled=True)
+    first = freed(stored(grams(rows, [often], filled, False, root), "pairs"), settled=True)
+    pairs, deep = first.where("depth > 0"), first.where("depth = 0").select("chunk", "slots")
+    known = pairs.select("chunks", F.lit(ENTRY).alias("kind"), F.col("state").alias("h"), F.col("symbol").alias("g"), F.lit(0.0).alias("v"))
+    found = freed(pairs.unionByName(stored(grams(rows, [often, known], deep, True, root), "grams")), settled=True)
     parts = [words, *states(found, vocab, root)]
 
     def run(batches):

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brinelog.llm import suffix_tree
+from brinelog.llm.common import freed, stored
 
 SF = "/root/testdata/sf0.001"
 END, RARE, BEGIN = object(), object(), object()
@@ -136,3 +138,66 @@ def test_lookup():
         asked = np.concatenate([keys, rng.integers(0, 2**64, 500, np.uint64), np.array([0, 5, 2**64 - 1], np.uint64), np.array([-pow(int(suffix_tree._STEP), -1, 2**64) % 2**64], np.uint64)])
         found, value = look(asked)
         assert found.tolist() == [int(k) in known for k in asked] and value.tolist() == [known.get(int(k), 0.0) for k in asked]
+
+
+def test_slots_are_told_in_few_rows(spark):
+    """A chunk is told of a range's slots in one row, however many reach the least count; every frequent pair's slot is among them."""
+    texts = [" ".join(f"w{k * 7 % 900 + j}" for j in range(40)) for k in range(300)]
+    rows = [(" ".join([t] * 3).encode(), True, i % 4) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "text binary, train boolean, chunk long").repartition(3, "chunk")
+    told = suffix_tree.slots_of_pairs(df, 5, 10_000).collect()
+    assert len(told) <= 4 << suffix_tree.range_bits(10_000)
+    got = {(r["chunk"], int(x)) for r in told for x in np.frombuffer(r["slots"], "<u4")}
+    assert sum(len(r["slots"]) for r in told) == 4 * len(got) and len(got) > 10 * len(told)
+    held, total = defaultdict(set), Counter()
+    for text, _, chunk in rows:
+        symbol, doc = suffix_tree.sequence(next(suffix_tree.blocks([text]))[2], 1)
+        at, state, _ = next(suffix_tree.contexts(symbol, doc))
+        for s in suffix_tree._slot(suffix_tree.pair(state, symbol[at])).tolist():
+            held[s].add(chunk)
+            total[s] += 1
+    assert got == {(c, s) for s, n in total.items() if n >= 5 for c in held[s]}
+
+
+def test_what_chunks_send_can_be_read_back(spark, monkeypatch):
+    """Each gram is sent once, for its symbol's entry and for the longer context that it is; its context and that one's parent are told from its hash."""
+    monkeypatch.setattr(suffix_tree, "LEAST", 4)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdef", [9, 5, 3, 2, 1, 1], k=rng.randint(0, 9))) for _ in range(120)]
+    rows = spark.createDataFrame([(i, t.encode(), True, i % 3) for i, t in enumerate(texts)], "doc_id long, text binary, train boolean, chunk long")
+    vocab = suffix_tree.vocabulary(rows).cache()
+    root = suffix_tree.train_root(vocab)
+    often = vocab.where(F.col("c") >= 4).select("chunks", F.lit(suffix_tree.WORD).alias("kind"), "h", F.lit(0).cast("long").alias("g"), F.col("c").cast("double").alias("v"))
+    first = suffix_tree.grams(rows, [often], suffix_tree.slots_of_pairs(rows, 4, root.tokens), False, root).cache()
+    pairs = first.where("depth > 0")
+    known = pairs.select("chunks", F.lit(suffix_tree.ENTRY).alias("kind"), F.col("state").alias("h"), F.col("symbol").alias("g"), F.lit(0.0).alias("v"))
+    got = pairs.unionByName(suffix_tree.grams(rows, [often, known], first.where("depth = 0").select("chunk", "slots"), True, root)).collect()
+    plain, total, holders = Plain(texts, 4, suffix_tree.DEPTH, suffix_tree.DISCOUNT), Counter(), defaultdict(set)
+    for i, t in enumerate(texts):
+        s = [*t.split(), END]
+        for k, w in enumerate(s):
+            for ctx in plain.contexts(s, k):
+                total[ctx, plain.code(w)] += 1
+                holders[ctx, plain.code(w)].add(i % 3)
+    assert Counter((r["depth"], r["c"], tuple(sorted(r["chunks"]))) for r in got) == Counter((len(ctx), n, tuple(sorted(holders[ctx, w]))) for (ctx, w), n in total.items() if n >= 4)
+    u = lambda x: np.array(x, np.int64).view(np.uint64)
+    state, symbol, key = (u([r[n] for r in got]) for n in ("state", "symbol", "key"))
+    assert (suffix_tree.pair(state, symbol) == key).all()
+    contexts = set(u([r["state"] for r in suffix_tree.words_as_contexts(vocab, 4).collect()]).tolist()) | set(key.tolist())
+    assert set(state.tolist()) <= contexts and set(u([r["parent"] for r in got]).tolist()) <= contexts | {0}
+    assert {r["parent"] for r in got if r["depth"] == 1} == {0}
+
+
+def test_files_of_ended_queries_are_given_back(spark):
+    """Shuffle files of a stored table are gone shortly after it was freed, without a later collection."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    count = lambda: sum("shuffle_" in x for x in manager.getAllFiles().mkString("\n").split("\n"))
+    freed(spark.range(1), settled=True)
+    time.sleep(1)
+    before = count()
+    for _ in range(3):
+        freed(stored(spark.range(0, 20_000, 1, 4).withColumn("k", F.col("id") % 7).repartition(5, "k"), "few"), settled=True)
+    end = time.monotonic() + 8
+    while count() > before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert count() <= before
