@@ -32,6 +32,7 @@ RARE, BEGIN = 0x72617265, 0x626567696E
 _STEP = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_STEP), -1, 2**64))
 _POWERS = np.array([pow(int(_STEP), k, 2**64) for k in range(DEPTH + 1)], np.uint64)
+_HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 #: Rows that a task gathers before it sums them up.
 _MERGE = 1 << 20
 #: What a chunk sends of a range: grams as arrays, or slots.
@@ -333,14 +334,22 @@ def range_bits(tokens: int) -> int:
     return min(max(6, (tokens >> 22).bit_length()), 16)
 
 
-def packed(held: list[tuple[np.ndarray, np.ndarray]], bits: int, least: int):
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    """parts, of slots in the high 32 bits and counts in the low ones, as one in order of slots, with each slot once."""
+    x = np.concatenate(parts)
+    x.sort()
+    start = _starts(x >> _HALF)
+    return x[start] & ~_LOW | np.add.reduceat(x & _LOW, start) if len(start) else x
+
+
+def packed(held: list[np.ndarray], bits: int, least: int):
     """(range, slots, counts) of sorted 32-bit slots as bytes; counts stop at least."""
-    slot, n = _total(*map(list, zip(*held, strict=True)))
-    cuts = np.searchsorted(slot, np.arange(1 << bits, dtype=np.int64) << (32 - bits)).tolist()
+    x = _merged(held)
+    cuts = np.searchsorted(x, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist()
     kind = np.uint8 if least < 256 else np.uint32
-    for r, (a, e) in enumerate(zip(cuts, [*cuts[1:], len(slot)], strict=True)):
+    for r, (a, e) in enumerate(zip(cuts, [*cuts[1:], len(x)], strict=True)):
         if a < e:
-            yield r, slot[a:e].astype("<u4").tobytes(), np.minimum(n[a:e], least).astype(kind).tobytes()
+            yield r, (x[a:e] >> _HALF).astype("<u4").tobytes(), np.minimum(x[a:e] & _LOW, np.uint64(least)).astype(kind).tobytes()
 
 
 def reached(slots: list[bytes], counts: list[bytes], chunks: list[int], least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -360,17 +369,16 @@ class Slots:
 
     def add(self, slot: np.ndarray, weight: np.ndarray) -> bool:
         """Slots with a weight of 0 or 1 each. True if there are so many by now that they should be given away."""
-        key = np.sort(slot << 1 | weight)
-        start = np.flatnonzero(np.diff(key >> 1, prepend=-1))
-        if len(start):
-            self.held.append((key[start] >> 1, np.add.reduceat(key & 1, start)))
+        x = slot.astype(np.uint64) << _HALF | weight.astype(np.uint64)
+        if len(x):
+            self.held.append(_merged([x]))
+            self.size += len(self.held[-1])
         if not self.held:
             return False
-        self.size += len(self.held[-1][0])
         if self.size > _MERGE:
-            self.held = [_total(*map(list, zip(*self.held, strict=True)))]
-            self.size = len(self.held[0][0]) // 2
-        return len(self.held[0][0]) > 2 * _MERGE
+            self.held = [_merged(self.held)]
+            self.size = len(self.held[0]) // 2
+        return len(self.held[0]) > 2 * _MERGE
 
     def given(self, bits: int, least: int):
         out = list(packed(self.held, bits, least)) if self.held else []
@@ -521,7 +529,7 @@ def states(found: DataFrame, vocab: DataFrame, root: Root) -> list[DataFrame]:
     no less often, so levels are joined one after the other.
     """
     spark, n = vocab.sparkSession, max(root.tokens, 1)
-    rare = spark.createDataFrame([(0, RARE, root.rare)], "parent long, symbol long, q double")
+    rare = spark.range(1).select(F.lit(0).cast("long").alias("parent"), F.lit(RARE).cast("long").alias("symbol"), F.lit(root.rare).alias("q"))  # not from a Python list, which starts more workers
     above = vocab.where(F.col("c") >= root.least).select(F.lit(0).cast("long").alias("parent"), F.col("h").alias("symbol"), ((F.col("c") - root.discount) / n).alias("q")).unionByName(rare)
     out = []
     for depth in range(1, DEPTH + 1):
