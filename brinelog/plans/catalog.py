@@ -10,6 +10,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import facade, scratch
 from ..config import Config
@@ -367,17 +368,28 @@ def tamper_log(spark, sf):
 BLOCK, LATE = 10, "12 days"
 
 
-def _feed(df: DataFrame, batch, files: int, closing: dict | None = None) -> str:
-    """Writes df as files of a stream: rows by their batch from 0, and if asked for a last row far ahead, which lets time pass for all keys."""
-    path = scratch.folder(df.sparkSession)
-    rows = scratch.written(df.withColumn("_file", batch))
+#: A batch of a fed stream is so many files at most, of so many rows at least.
+FILES, FILE_ROWS = 16, 200_000
+
+
+def _feed(df: DataFrame, batch, files: int, closing: dict | None = None) -> tuple[str, int]:
+    """Writes df as files of a stream, as many for each batch; (where, how many a batch). batch: rows by their batch from 0. closing: a last row far ahead, which lets time pass for all keys."""
+    spark = df.sparkSession
+    path, dealt = scratch.folder(spark), scratch.folder(spark)
+    df.withColumn("_file", batch).write.partitionBy("_file").parquet(dealt)
+    rows = spark.read.schema(StructType([*df.schema.fields, StructField("_file", IntegerType())])).option("basePath", dealt).parquet(dealt)
+    sizes = [r.n for r in rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect()]
+    each = max(1, min(FILES, min(sizes, default=0) // FILE_ROWS)) if len(sizes) == files else 1
     for k in range(files):  # one after another, so that they are read in this order
-        rows.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(path)
+        part = rows.where(F.col("_file") == k).select(*df.columns)
+        (part.repartition(each) if each > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+    if each > 1 and len(spark.read.schema(df.schema).parquet(path).inputFiles()) != files * each:
+        raise RuntimeError(f"{path} should have {files} times {each} files")
     if closing is not None:
         last = rows.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"))
         end = last.select(*[F.col("ts") if f.name == "ts" else F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
         end.coalesce(1).write.mode("append").parquet(path)
-    return path
+    return path, each
 
 
 def _block(late_every: int = 3):
@@ -394,9 +406,9 @@ def stream_late_revisions(spark, sf):
 
     rows = readings(spark, sf)
     file = F.when(F.col("event_id") % 50 == 7, 4).otherwise(_block())
-    path = _feed(rows, file, 5)
+    path, each = _feed(rows, file, 5)
     build = lambda s: jobs.sliding_stats(s, "6 hours", "1 hour", LATE)
-    out = jobs.replayed(spark, rows.schema, path, build, scratch.folder(spark), "update", 1)
+    out = jobs.replayed(spark, rows.schema, path, build, scratch.folder(spark), "update", each)
     return out.transform(jobs.last_of_each("sensor_id", "window_end")).transform(r6("mean", "std"))
 
 
@@ -404,25 +416,25 @@ def stream_persistence(spark, sf):
     from ..streaming import jobs
 
     rows = scores(spark, sf).select("sensor_id", "ts", "event_id", "is_anomaly")
-    path = _feed(rows, _block(), 4, {"sensor_id": "", "event_id": -1})
-    return jobs.replayed(spark, rows.schema, path, lambda s: jobs.persisted(s, 2, LATE), scratch.folder(spark), "append", 1).drop("_batch")
+    path, each = _feed(rows, _block(), 4, {"sensor_id": "", "event_id": -1})
+    return jobs.replayed(spark, rows.schema, path, lambda s: jobs.persisted(s, 2, LATE), scratch.folder(spark), "append", each).drop("_batch")
 
 
 def stream_cooldown(spark, sf):
     from ..streaming import jobs
 
     rows = events(spark, sf).where("value >= 100").select("user_id", "ts", "event_id", "value")
-    path = _feed(rows, _block(), 4, {"user_id": -1, "event_id": -1})
-    return jobs.replayed(spark, rows.schema, path, lambda s: jobs.cooled(s, "user_id", DAY, LATE), scratch.folder(spark), "append", 1).drop("_batch")
+    path, each = _feed(rows, _block(), 4, {"user_id": -1, "event_id": -1})
+    return jobs.replayed(spark, rows.schema, path, lambda s: jobs.cooled(s, "user_id", DAY, LATE), scratch.folder(spark), "append", each).drop("_batch")
 
 
 def stream_tamper(spark, sf):
     from ..streaming import jobs
 
     rows = factories(spark, sf).select("factory_id", "ts", "cod", "tss", "event_id")
-    path = _feed(rows, _block(), 4, {"factory_id": -1, "event_id": -1})
+    path, each = _feed(rows, _block(), 4, {"factory_id": -1, "event_id": -1})
     build = lambda s: jobs.tampering(s, LATE, {"width_s": DAY, "least": 1.0, "min_rows": 2}, {"width_s": DAY, "drop": 0.8, "stable": 0.2, "min_rows": 3}, {"width_s": DAY, "ratio": 0.8, "min_rows": 3})
-    out = jobs.replayed(spark, rows.schema, path, build, scratch.folder(spark), "append", 1)
+    out = jobs.replayed(spark, rows.schema, path, build, scratch.folder(spark), "append", each)
     return out.drop("_batch").transform(r6("cod_range", "mean_cod", "mean_tss", "baseline_cod", "baseline_tss", "blackout_ratio"))
 
 
@@ -434,8 +446,8 @@ def stream_stages(spark, sf):
     from ..streaming import jobs
 
     rows = events(spark, sf).select("event_id", "ts", "value")
-    path = _feed(rows, _block(), 4, {"event_id": -1, "value": 1e9})
-    feed = lambda: jobs.source(spark, rows.schema, path, 1)
+    path, each = _feed(rows, _block(), 4, {"event_id": -1, "value": 1e9})
+    feed = lambda: jobs.source(spark, rows.schema, path, each)
     stages = {n: feed().where(F.col("value") >= least).select("event_id", (F.col("ts") + F.expr(f"INTERVAL {ms} MILLISECONDS")).alias("ts")) for n, (ms, least) in STAGES.items()}
     out = jobs.drained(jobs.stage_rows(jobs.stage_timeline(stages, "5 SECONDS", LATE), list(STAGES)), scratch.folder(spark))[0]
     return out.where("event_id >= 0").drop("_batch").transform(r6("latency_ms"))
@@ -445,8 +457,8 @@ def stream_backtrack(spark, sf):
     from ..streaming import jobs
 
     rows = events(spark, sf).select("event_id", "ts", "value", F.col("user_id").alias("factory_id"), F.when(F.col("event_type") != "error", F.col("value")).alias("cod"), F.length("props").cast("double").alias("tss"))
-    path = _feed(rows, _block(), 4, {"event_id": -1, "value": 1e9, "factory_id": -1, "cod": 0.0})
-    feed = lambda: jobs.source(spark, rows.schema, path, 1)
+    path, each = _feed(rows, _block(), 4, {"event_id": -1, "value": 1e9, "factory_id": -1, "cod": 0.0})
+    feed = lambda: jobs.source(spark, rows.schema, path, each)
     shocks = feed().where("value >= 200").select(F.col("event_id").alias("shock_id"), "ts", "value")
     matches = jobs.drained(jobs.backtrack_matches(shocks, feed(), 15 * 60, 120, LATE), scratch.folder(spark))[0]
     return jobs.strongest(matches.where("shock_id >= 0"), 15 * 60)
@@ -456,8 +468,8 @@ def stream_active_alerts(spark, sf):
     from ..streaming import jobs
 
     rows = alerts(spark, sf).select("discharge_point_id", "ts", "risk_band", F.xxhash64("ts").alias("event_id"))
-    path = _feed(rows, _block(), 4, {})
-    return jobs.replayed(spark, rows.schema, path, lambda s: jobs.active_alerts(s, "6 hours", "1 hour", LATE), scratch.folder(spark), "append", 1).drop("_batch")
+    path, each = _feed(rows, _block(), 4, {})
+    return jobs.replayed(spark, rows.schema, path, lambda s: jobs.active_alerts(s, "6 hours", "1 hour", LATE), scratch.folder(spark), "append", each).drop("_batch")
 
 
 def stream_split(spark, sf):
@@ -465,7 +477,7 @@ def stream_split(spark, sf):
     from ..streaming import jobs
 
     rows, out = dirty(spark, sf), scratch.folder(spark)
-    feed = jobs.source(spark, rows.schema, _feed(rows, F.col("event_id") % 3, 3), 1)
+    feed = jobs.source(spark, rows.schema, *_feed(rows, F.col("event_id") % 3, 3))
     good, bad = detect.validated(feed, "sensor_id", "timestamp", "value", CFG)
     jobs.filed(good, f"{out}/valid", f"{out}/state/valid")
     jobs.filed(bad, f"{out}/quarantine", f"{out}/state/quarantine", "json")
@@ -479,7 +491,7 @@ def stream_evidence(spark, sf):
     from ..streaming import jobs
 
     rows, out = events(spark, sf).select("event_id", "ts", "value"), scratch.folder(spark)
-    feed = jobs.source(spark, rows.schema, _feed(rows, F.col("event_id") % 3, 3), 1)
+    feed = jobs.source(spark, rows.schema, *_feed(rows, F.col("event_id") % 3, 3))
     shocks = detect.tripwire(feed, CFG, "value").where("value >= 200").select(F.col("event_id").alias("shock_id"), "ts", F.col("value").alias("cetp_cod"), "breach_mag", "alert_level")
     sources = factories(spark, sf).select("factory_id", "ts", "cod", "tss")
 
@@ -496,7 +508,7 @@ def stream_tamper_log(spark, sf):
     from ..streaming import jobs
 
     rows, out = factories(spark, sf).select("factory_id", "ts", "cod", "tss", "event_id"), scratch.folder(spark)
-    feed = jobs.source(spark, rows.schema, _feed(rows, _block(), 4, {"factory_id": -1, "event_id": -1}), 1)
+    feed = jobs.source(spark, rows.schema, *_feed(rows, _block(), 4, {"factory_id": -1, "event_id": -1}))
     found = jobs.tampering(feed, LATE, {"width_s": DAY, "least": 1.0, "min_rows": 2}, {"width_s": DAY, "drop": 0.8, "stable": 0.2, "min_rows": 3}, {"width_s": DAY, "ratio": 0.8, "min_rows": 3})
     jobs.sunk(found, jobs.tamper_batch(f"{out}/log"), f"{out}/state")
     return files.tamper_log(spark, f"{out}/log").drop("logged_at").transform(r6("cod_range", "mean_cod", "mean_tss", "baseline_cod", "baseline_tss", "blackout_ratio"))

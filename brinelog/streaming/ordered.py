@@ -1,7 +1,8 @@
 """Operators that depend on order, on streams whose rows come in any order within the watermark.
 
-A key's rows wait in a list state until the watermark has passed them; an event-time timer then releases them, sorted by time. What
-comes later than the watermark is refused by Spark before it gets here. So each operator sees a key's rows in order of
+Keys are dealt to cells by their hash, and a cell's rows are worked on together as arrays, so that what a batch costs grows with its rows and hardly with
+its keys. A cell's rows wait in state, as Arrow streams, until the watermark has passed them; an event-time timer then releases them, sorted by key and
+time. What comes later than the watermark is refused by Spark before it gets here. So each operator sees a key's rows in order of
 event time, whatever files and batches they came in, and gives what its batch twin gives. A key's state is forgotten
 in a pause of more than idle_s seconds of event time, if that is set, and given up once the watermark has passed that.
 """
@@ -12,107 +13,135 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
-#: Time is held as microseconds in this column of the rows; it is the first column.
-AT = "at_us"
+#: Columns of the rows: time as microseconds, the key as a text (see _run), and the cell of keys.
+AT, KEY, CELL = "at_us", "key_text", "cell"
+#: Cells of a stream; a query's checkpoint holds them, so they are the same for all sizes.
+CELLS = 64
 
 
-class Ordered(StatefulProcessor):
-    """Rows in order of (at_us, event_id). A subclass has its own state and gives what released rows lead to."""
+def _packed(rows: pd.DataFrame) -> bytes:
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    def __init__(self, schema: StructType, idle_s: int | None = None):
-        self.schema, self.idle_us = schema, None if idle_s is None else idle_s * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
-        self.newest = handle.getValueState("newest", "us long")
-        self.prepare(handle)
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
 
-    def prepare(self, handle: StatefulProcessorHandle) -> None: ...
 
-    def release(self, key, rows: pd.DataFrame) -> pd.DataFrame | None: ...
+class Runs:
+    """Released rows, sorted by key, time and event_id, cut into runs at other keys and at pauses longer than the time to live.
+
+    runs: key, first and end of each; news: it begins without its key's state; last: it is its key's last one.
+    """
+
+    def __init__(self, rows: pd.DataFrame, newest: pd.Series | None, idle_us: int | None):
+        self.rows = rows
+        at, key = rows[AT].to_numpy(np.int64), rows[KEY].to_numpy(object)
+        other = np.concatenate([[True], key[1:] != key[:-1]])
+        cut = other.copy()
+        if idle_us is not None:
+            cut |= np.diff(at, prepend=at[0]) > idle_us
+        first = np.flatnonzero(cut)
+        self.number = np.cumsum(cut) - 1
+        self.runs = pd.DataFrame({KEY: key[first], "first": first, "end": [*first[1:], len(at)]})
+        self.runs["news"] = ~other[first]
+        if newest is not None:
+            paused = at[first] - newest.reindex(key[first]).to_numpy(float) > idle_us
+            self.runs["news"] |= paused
+        self.runs["last"] = np.concatenate([other[first][1:], [True]])
 
-    def passed(self, key, watermark_us: int) -> pd.DataFrame | None:
-        """Called after a release, for what time alone closes."""
 
-    def due(self) -> list[int]:
-        """Microseconds at which passed() has to be called again."""
-        return []
+class Ordered(StatefulProcessor):
+    """Rows in order of (at_us, event_id) by key. A subclass has a table of state, a row a key, and gives what released rows lead to."""
+
+    def __init__(self, names: list[str], idle_s: int | None = None):
+        self.names, self.idle_us = names, None if idle_s is None else idle_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.told = handle.getValueState("told", "rows binary")
+        self.seen = handle.getValueState("seen", "rows binary") if self.idle_us is not None else None
+
+    def release(self, runs: Runs | None, state: pd.DataFrame | None, watermark_us: int) -> tuple[pd.DataFrame | None, pd.DataFrame | None]:
+        """(what is told, the new state) of released rows and of time that has passed."""
+        raise NotImplementedError
 
-    def forget(self) -> None: ...
+    def due(self, state: pd.DataFrame) -> pd.Series:
+        """Microseconds at which release() has to be called again, by key."""
+        return pd.Series(dtype="int64")
 
-    def _step(self, key, fresh: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
-        names = self.schema.names
-        old = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        rows = pd.DataFrame(old + fresh, columns=names)
+    def _step(self, fresh: list[pd.DataFrame], watermark_ms: int) -> Iterator[pd.DataFrame]:
         mark = watermark_ms * 1000
-        ready = rows[AT].to_numpy(np.int64, na_value=0) <= mark if len(rows) else np.zeros(0, bool)
-        out = []
+        old = [_unpacked(r[0]) for r in self.waiting.get()] if self.waiting.exists() else []
+        rows = pd.concat([*old, *fresh], ignore_index=True) if old or fresh else pd.DataFrame(columns=self.names)
+        ready = rows[AT].to_numpy(np.int64) <= mark
+        kept, runs = rows[~ready], None
+        newest = _unpacked(self.seen.get()[0]).set_index(KEY)[AT] if self.seen is not None and self.seen.exists() else None
         if ready.any():
-            now = rows[ready].sort_values([AT, "event_id"], kind="stable").reset_index(drop=True)
-            out += [self.release(key, part) for part in self._parts(now)]
-            self.newest.update((int(now[AT].iloc[-1]),))
-        kept = rows[~ready]
+            now = rows[ready].sort_values([KEY, AT, "event_id"], kind="stable", ignore_index=True)
+            runs = Runs(now, newest, self.idle_us)
+            if self.idle_us is not None:
+                last = now.groupby(KEY)[AT].max()
+                newest = last if newest is None else last.combine_first(newest).astype("int64")
         if len(kept):
-            self.waiting.put([tuple(r) for r in kept.astype(object).where(kept.notna(), None).itertuples(index=False, name=None)])
+            self.waiting.put([(_packed(kept),)])
         elif self.waiting.exists():
             self.waiting.clear()
-        out.append(self.passed(key, mark))
-        self._wake(kept[AT].min() if len(kept) else None, mark)
-        yield from (o for o in out if o is not None and len(o))
-
-    def _parts(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """rows cut at pauses longer than the time to live, after each of which the state is forgotten."""
-        if self.idle_us is None:
-            yield rows
-            return
-        at = rows[AT].to_numpy(np.int64)
-        before = self.newest.get()[0] if self.newest.exists() else at[0]
-        cuts = np.flatnonzero(np.diff(at, prepend=before) > self.idle_us)
-        for a, e in zip([0, *cuts], [*cuts, len(rows)], strict=True):
-            if a in cuts:
-                self.forget()
-            if a < e:
-                yield rows.iloc[a:e].reset_index(drop=True)
-
-    def _wake(self, first, mark: int) -> None:
-        """One timer at the earliest time at which there is something to do."""
-        times = [int(first)] if first is not None else []
-        times += [t for t in self.due() if t > mark]
-        if not times and self.idle_us is not None and self.newest.exists():
-            end = self.newest.get()[0] + self.idle_us
-            if end <= mark:
-                self.newest.clear()
-                self.forget()
-            else:
-                times = [end]
+        state = _unpacked(self.told.get()[0]) if self.told.exists() else None
+        out, state = self.release(runs, state, mark)
+        due = self.due(state) if state is not None else pd.Series(dtype="int64")
+        due = due[due > mark]
+        times = [int(x.min()) for x in (kept[AT], due) if len(x)]
+        if newest is not None:
+            gone = newest.index[(newest + self.idle_us <= mark) & ~newest.index.isin(due.index)]
+            newest = newest.drop(gone)
+            state = state[~state[KEY].isin(gone)] if state is not None else None
+            times += [max(int(newest.min()) + self.idle_us, mark)] if len(newest) else []
+        self._keep(self.told, state)
+        if self.seen is not None:
+            self._keep(self.seen, None if newest is None else newest.rename_axis(KEY).reset_index(name=AT))
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
         if times:
             self.handle.registerTimer(max(min(times), mark) // 1000 + 1)
+        if out is not None and len(out):
+            yield out
+
+    @staticmethod
+    def _keep(held, table: pd.DataFrame | None) -> None:
+        if table is not None and len(table):
+            held.update((_packed(table),))
+        elif held.exists():
+            held.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))[self.schema.names]
-        fresh = list(frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None))
-        yield from self._step(key, fresh, timerValues.getCurrentWatermarkInMs())
+        yield from self._step([r[self.names] for r in rows], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._step(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self._step([], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
 def _run(df: DataFrame, key: str, ts: str, late: str, processor, columns: list[str], out: str) -> DataFrame:
-    """processor over df by key; rows carry their time as microseconds beside the watermarked timestamp."""
-    rows = df.select(F.col(key), F.col(ts).cast("timestamp").alias("event_time"), F.unix_micros(F.col(ts).cast("timestamp")).alias(AT), *columns).withWatermark("event_time", late)
-    held = StructType([f for f in rows.schema.fields if f.name in (AT, *columns)])
-    return rows.groupBy(key).transformWithStateInPandas(processor(held), out, "append", "eventTime")
+    """processor over df by cells of keys; rows carry their time as microseconds beside the watermarked timestamp. out: columns that are told beside the key.
+
+    A key is told as a text, "" for null and else the value behind "=", so that keys of all types compare and null is one of them.
+    """
+    kind = dict(df.dtypes)[key]
+    text = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(CELLS)).alias(CELL), text.alias(KEY), F.col(ts).cast("timestamp").alias("event_time"), F.unix_micros(F.col(ts).cast("timestamp")).alias(AT), *columns).withWatermark("event_time", late)
+    told = rows.groupBy(CELL).transformWithStateInPandas(processor([KEY, AT, *columns]), f"{KEY} string, {out}", "append", "eventTime")
+    return told.withColumn(KEY, F.when(F.col(KEY) != "", F.substring(KEY, 2, 1 << 30)).cast(kind)).withColumnRenamed(KEY, key)
 
 
 def _times(us: pd.Series) -> pd.Series:
@@ -120,55 +149,62 @@ def _times(us: pd.Series) -> pd.Series:
 
 
 class Persistence(Ordered):
-    """The length of a sensor's run of anomalies; a null flag ends it."""
-
-    def prepare(self, handle) -> None:
-        self.run = handle.getValueState("run", "n long")
-
-    def forget(self) -> None:
-        self.run.clear()
-
-    def release(self, key, rows):
-        hit = rows["is_anomaly"].fillna(False).to_numpy(bool)
-        place = np.arange(len(hit))
-        last_miss = np.maximum.accumulate(np.where(hit, -1, place))
-        before = self.run.get()[0] if self.run.exists() else 0
-        counts = place - last_miss + np.where(last_miss < 0, before, 0)
-        counts[~hit] = 0
-        self.run.update((int(counts[-1]),))
-        return pd.DataFrame({"sensor_id": key[0], "ts": _times(rows[AT]), "event_id": rows["event_id"].astype("int64"), "consecutive_count": counts})
+    """The length of a key's run of anomalies, told once it has reached count; a null flag ends it."""
+
+    def __init__(self, names: list[str], count: int, idle_s: int | None = None):
+        super().__init__(names, idle_s)
+        self.count = count
+
+    def release(self, runs, state, watermark_us):
+        if runs is None:
+            return None, state
+        rows, cut = runs.rows, runs.runs
+        hit = (rows["is_anomaly"] == True).to_numpy(bool)  # noqa: E712
+        place, first = np.arange(len(hit)), cut["first"].to_numpy()[runs.number]
+        last_miss = np.maximum.accumulate(np.where(hit, first - 1, place))
+        before = np.zeros(len(cut), np.int64) if state is None else state.set_index(KEY)["run"].reindex(cut[KEY]).fillna(0).to_numpy(np.int64)
+        before[cut["news"].to_numpy(bool)] = 0
+        counts = np.where(hit, place - last_miss + np.where(last_miss < first, before[runs.number], 0), 0)
+        ends = cut[cut["last"]]
+        shown = hit & (counts >= self.count)
+        out = pd.DataFrame({KEY: rows[KEY][shown], "ts": _times(rows[AT][shown]), "event_id": rows["event_id"][shown].astype("int64"), "consecutive_count": counts[shown]})
+        return out, _renewed(state, pd.DataFrame({KEY: ends[KEY], "run": counts[ends["end"] - 1]}))
 
 
 class Cooldown(Ordered):
-    """Times of rows that are at least width after the last one kept."""
+    """Rows whose time is at least width after the last one kept."""
 
-    def __init__(self, schema: StructType, width_us: int, idle_s: int | None = None):
-        super().__init__(schema, idle_s)
+    def __init__(self, names: list[str], width_us: int, idle_s: int | None = None):
+        super().__init__(names, idle_s)
         self.width = width_us
 
-    def prepare(self, handle) -> None:
-        self.opens = handle.getValueState("opens", "us long")
-
-    def forget(self) -> None:
-        self.opens.clear()
-
-    def release(self, key, rows):
-        t = rows[AT].to_numpy(np.int64)
-        opens = self.opens.get()[0] if self.opens.exists() else t[0]
-        kept, at = [], int(np.searchsorted(t, opens))
-        while at < len(t):
-            kept.append(at)
-            opens = int(t[at]) + self.width
-            at += int(np.searchsorted(t[at:], opens))
-        self.opens.update((int(opens),))
-        out = rows.iloc[kept]
-        return out.drop(columns=[AT]).assign(key=key[0], ts=_times(out[AT]))
+    def release(self, runs, state, watermark_us):
+        if runs is None:
+            return None, state
+        cut = runs.runs
+        at = runs.rows[AT].to_numpy(np.int64)
+        before = {} if state is None else dict(zip(state[KEY], state["opens"].tolist(), strict=True))
+        kept, after = [], {}
+        for key, first, end, news in zip(cut[KEY], cut["first"].tolist(), cut["end"].tolist(), cut["news"].tolist(), strict=True):
+            t = at[first:end]
+            opens = t[0] if news or key not in before else before[key]
+            k = int(np.searchsorted(t, opens))
+            while k < len(t):
+                kept.append(first + k)
+                opens = t[k] + self.width
+                k += int(np.searchsorted(t[k:], opens))
+            after[key] = int(opens)
+        out = runs.rows.iloc[kept]
+        return out.drop(columns=[AT]).assign(ts=_times(out[AT])), _renewed(state, pd.DataFrame({KEY: list(after), "opens": list(after.values())}))
+
+
+def _renewed(state: pd.DataFrame | None, fresh: pd.DataFrame) -> pd.DataFrame:
+    return fresh if state is None else pd.concat([state[~state[KEY].isin(fresh[KEY])], fresh], ignore_index=True)
 
 
 def persisted(df: DataFrame, count: int, late: str = "10 minutes", idle_s: int | None = None) -> DataFrame:
     """Stream of (sensor_id, ts, event_id, is_anomaly) to rows whose run has reached count, once the watermark has passed them. Rows without ts are refused."""
-    out = _run(df.where("ts IS NOT NULL"), "sensor_id", "ts", late, lambda held: Persistence(held, idle_s), ["event_id", "is_anomaly"], "sensor_id string, ts timestamp_ntz, event_id long, consecutive_count long")
-    return out.where(F.col("consecutive_count") >= count)
+    return _run(df.where("ts IS NOT NULL"), "sensor_id", "ts", late, lambda names: Persistence(names, count, idle_s), ["event_id", "is_anomaly"], "ts timestamp_ntz, event_id long, consecutive_count long")
 
 
 def cooled(df: DataFrame, key: str, seconds: int, late: str = "10 minutes", idle_s: int | None = None) -> DataFrame:
@@ -179,96 +215,127 @@ def cooled(df: DataFrame, key: str, seconds: int, late: str = "10 minutes", idle
         raise ValueError("state must outlive the cooldown")
     columns = [c for c in df.columns if c not in (key, "ts")]
     kinds = dict(df.dtypes)
-    shown = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"key {kinds[key]}", "ts timestamp_ntz"])
-    out = _run(df.where("ts IS NOT NULL"), key, "ts", late, lambda held: Cooldown(held, seconds * 1_000_000, idle_s), columns, shown)
-    return out.withColumnRenamed("key", key).select(*df.columns)
+    shown = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "ts timestamp_ntz"])
+    return _run(df.where("ts IS NOT NULL"), key, "ts", late, lambda names: Cooldown(names, seconds * 1_000_000, idle_s), columns, shown).select(*df.columns)
 
 
-#: A detector's open window: its factory's anchor, its number, its figures, and the last qualifying window's means.
-OPEN = "anchor long, number long, n long, dark long, most double, least double, cod double, tss double, last long, before_cod double, before_tss double"
-TAMPER = "factory_id {key}, tamper_type string, window_end timestamp_ntz, cod_max double, cod_min double, cod_range double, row_count long, mean_cod double, mean_tss double, baseline_cod double, baseline_tss double, total_rows long, blackout_rows long, blackout_ratio double"
-EMPTY = (0, 0, None, None, 0.0, 0.0, None)
+#: What is told of a window beside its factory.
+TAMPER = "tamper_type string, window_end timestamp_ntz, cod_max double, cod_min double, cod_range double, row_count long, mean_cod double, mean_tss double, baseline_cod double, baseline_tss double, total_rows long, blackout_rows long, blackout_ratio double"
+#: A window's figures, and how those of its parts are put together.
+FIGURES = {"n": np.add, "dark": np.add, "most": np.fmax, "least": np.fmin, "cod": np.add, "tss": np.add, "last": np.maximum}
+EMPTY = pd.DataFrame({KEY: pd.Series(dtype=object)} | {c: pd.Series(dtype="int64") for c in ("number", "anchor", "n", "dark", "last")} | {c: pd.Series(dtype=float) for c in ("most", "least", "cod", "tss", "before_cod", "before_tss")})
 
 
 class Tampering(Ordered):
-    """The three detectors over windows that start with a factory's own first row; a window closes with a row behind it or with time.
+    """The three detectors over windows that start with a factory's own first row; a window closes with a row behind it, with time, or in a pause that ends its factory's state.
 
-    Rows come in order, so one window a detector is open at a time, and dilution keeps the last window that had enough rows.
+    State is a row a factory and detector: its anchor, its open window (n is 0 if there is none) and, for dilution, the means of the last window that had enough rows.
     """
 
-    def __init__(self, schema: StructType, zero: dict, dilution: dict, blackout: dict, idle_s: int | None = None):
-        super().__init__(schema, idle_s)
+    def __init__(self, names: list[str], zero: dict, dilution: dict, blackout: dict, idle_s: int | None = None):
+        super().__init__(names, idle_s)
         self.zero, self.dilution, self.blackout = zero, dilution, blackout
         self.width = {"ZERO_VARIANCE": zero["width_s"], "DILUTION_TAMPER": dilution["width_s"], "BLACKOUT_TAMPER": blackout["width_s"]}
 
-    def prepare(self, handle) -> None:
-        self.open = {kind: handle.getValueState(kind, OPEN) for kind in self.width}
-
-    def forget(self) -> None:
-        for state in self.open.values():
-            state.clear()
-
-    def due(self) -> list[int]:
-        return [(s[0] + (s[1] + 1) * self.width[kind]) * 1_000_000 for kind, state in self.open.items() if state.exists() for s in [state.get()] if s[2]]
-
-    def release(self, key, rows):
-        found = []
-        cod, tss = rows["cod"].astype(float), rows["tss"].astype(float)
-        takes = {"ZERO_VARIANCE": cod.notna(), "DILUTION_TAMPER": cod.notna() & tss.notna(), "BLACKOUT_TAMPER": cod.isna() | cod.notna()}
-        for kind, mask in takes.items():
-            part = pd.DataFrame({"us": rows[AT][mask].astype("int64"), "cod": cod[mask], "tss": tss[mask]})
-            if not len(part):
-                continue
-            sec = part["us"] // 1_000_000
-            state = self.open[kind].get() if self.open[kind].exists() else (int(sec.iloc[0]), 0, *EMPTY, None, None)
-            number = (sec - state[0]) // self.width[kind]
-            for at, w in part.groupby(number.to_numpy(), sort=True):
-                if state[2] and at != state[1]:
-                    state = self._closed(key, kind, state, found)
-                n = state[2] + len(w)
-                most = w["cod"].max() if state[4] is None else np.nanmax([state[4], w["cod"].max()])
-                least = w["cod"].min() if state[5] is None else np.nanmin([state[5], w["cod"].min()])
-                state = (state[0], int(at), n, state[3] + int(w["cod"].isna().sum()), _real(most), _real(least), state[6] + float(w["cod"].sum()), state[7] + float(w["tss"].sum()), int(w["us"].iloc[-1]), *state[9:])
-            self.open[kind].update(state)
-        return self._frame(found, key)
-
-    def passed(self, key, watermark_us):
-        found = []
-        for kind, own in self.open.items():
-            if own.exists():
-                state = own.get()
-                if state[2] and (state[0] + (state[1] + 1) * self.width[kind]) * 1_000_000 <= watermark_us:
-                    own.update(self._closed(key, kind, state, found))
-        return self._frame(found, key)
-
-    def _closed(self, key, kind: str, s: tuple, found: list[dict]) -> tuple:
-        """s without its window, which is added to found if it is suspect."""
-        anchor, number, n, dark, most, least, cod, tss, last, before_cod, before_tss = s
-        row = {"tamper_type": kind, "window_end": last}
-        if kind == "ZERO_VARIANCE" and n >= self.zero["min_rows"] and most - least < self.zero["least"]:
-            found.append(row | {"cod_max": most, "cod_min": least, "cod_range": most - least, "row_count": n})
-        if kind == "BLACKOUT_TAMPER" and n >= self.blackout["min_rows"] and dark / n >= self.blackout["ratio"]:
-            found.append(row | {"total_rows": n, "blackout_rows": dark, "blackout_ratio": dark / n})
-        if kind == "DILUTION_TAMPER" and n >= self.dilution["min_rows"]:
-            mean_cod, mean_tss = cod / n, tss / n
-            if before_cod is not None and mean_cod <= before_cod * (1 - self.dilution["drop"]) and mean_tss >= before_tss * (1 - self.dilution["stable"]):
-                found.append(row | {"mean_cod": mean_cod, "mean_tss": mean_tss, "baseline_cod": before_cod, "baseline_tss": before_tss})
-            before_cod, before_tss = mean_cod, mean_tss
-        return (anchor, number, *EMPTY, before_cod, before_tss)
-
-    def _frame(self, found: list[dict], key) -> pd.DataFrame | None:
-        if not found:
+    def due(self, state):
+        opened = state[state["n"] > 0]
+        ends = (opened["anchor"] + (opened["number"] + 1) * opened["kind"].map(self.width)) * 1_000_000
+        return pd.Series(ends.to_numpy("int64"), index=opened[KEY])
+
+    def release(self, runs, state, watermark_us):
+        told, kept = [], []
+        for kind in self.width:
+            own = EMPTY if state is None else state[state["kind"] == kind]
+            own, closed = self._windows(kind, runs, own, watermark_us)
+            told.append(self._suspect(kind, closed))
+            kept.append(own.assign(kind=kind))
+        return self._frame(told), pd.concat([k for k in kept if len(k)] or kept[:1], ignore_index=True)
+
+    def _parts(self, kind: str, runs: Runs, going: np.ndarray, anchors: np.ndarray) -> dict[str, np.ndarray]:
+        """Each released row that the detector looks at, as a window's part. going: runs that go on from a state, with its anchor."""
+        cod, tss = (runs.rows[c].to_numpy(float, na_value=np.nan) for c in ("cod", "tss"))
+        takes = {"ZERO_VARIANCE": ~np.isnan(cod), "DILUTION_TAMPER": ~np.isnan(cod) & ~np.isnan(tss), "BLACKOUT_TAMPER": np.ones(len(cod), bool)}[kind]
+        us, run, cod, tss = runs.rows[AT].to_numpy(np.int64)[takes], runs.number[takes], cod[takes], tss[takes]
+        sec, dark = us // 1_000_000, np.isnan(cod)
+        anchor = np.zeros(len(runs.runs), np.int64)
+        anchor[run[::-1]] = sec[::-1]  # each run's first one stays
+        anchor[going] = anchors
+        number = (sec - anchor[run]) // self.width[kind]
+        return {"run": run, "number": number, "anchor": anchor[run], "n": np.ones(len(run), np.int64), "dark": dark.astype(np.int64), "most": cod, "least": cod, "cod": np.where(dark, 0.0, cod), "tss": np.nan_to_num(tss), "last": us}
+
+    def _windows(self, kind: str, runs: Runs | None, own: pd.DataFrame, mark: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """(the detector's new state, the windows that have closed, by factory and time, with the means of the last one before that had enough rows)."""
+        cut = None if runs is None else runs.runs
+        code, keys = pd.factorize(own[KEY].to_numpy(object) if cut is None else np.concatenate([own[KEY].to_numpy(object), cut[KEY].to_numpy(object)]))
+        of_own, of_run = code[: len(own)], code[len(own) :]
+        place = np.arange(len(of_run))
+        first, last = (np.full(len(keys), -1) for _ in range(2))
+        first[of_run[::-1]], last[of_run] = place[::-1], place
+        goes = first[of_own]  # the run in which a state goes on: its factory's first one, unless that begins anew
+        if cut is not None:
+            goes = np.where((goes >= 0) & ~cut["news"].to_numpy(bool)[goes], goes, -1)
+        opened = own["n"].to_numpy() > 0
+        w = {"run": goes[opened]} | {c: own[c].to_numpy()[opened] for c in ("number", "anchor", *FIGURES)}
+        code = of_own[opened]
+        if runs is not None:
+            fresh = self._parts(kind, runs, goes[goes >= 0], own["anchor"].to_numpy(np.int64)[goes >= 0])
+            w, code = {c: np.concatenate([w[c], fresh[c]]) for c in w}, np.concatenate([code, of_run[fresh["run"]]])
+        order = np.lexsort((w["number"], w["run"], code))
+        w = {"code": code[order]} | {c: x[order] for c, x in w.items()}
+        size = len(order)
+        begins = np.ones(size, bool)
+        begins[1:] = np.logical_or.reduce([np.diff(w[c]) != 0 for c in ("code", "run", "number")])
+        at = np.flatnonzero(begins)
+        w |= {c: w[c].astype(np.longdouble) for c in ("cod", "tss")}  # so that the order of work hardly shows in sums
+        w = {c: FIGURES[c].reduceat(x, at) if c in FIGURES and size else x[at] for c, x in w.items()}
+        w |= {c: w[c].astype(float) for c in ("cod", "tss")}
+        code, run, n, size = w["code"], w["run"], w["n"], len(at)
+        newest = np.append(code[1:] != code[:-1], True)[:size]
+        stays = run == last[code]  # what the factory's state goes on from
+        is_open = newest & stays & ((w["anchor"] + (w["number"] + 1) * self.width[kind]) * 1_000_000 > mark)
+        place, group = np.arange(size), np.ones(size, bool)
+        group[1:] = (code[1:] != code[:-1]) | (run[1:] != run[:-1])
+        start = np.maximum.accumulate(np.where(group, place, 0))
+        full = np.maximum.accumulate(np.where(~is_open & (n >= self.dilution["min_rows"]), place, -1))
+        held = np.full(len(keys), -1)
+        held[of_own] = np.arange(len(own))
+        held = held[code]
+        known = (held >= 0) & (np.append(goes, -2)[held] == run)
+        before = np.append(-1, full)[:size]
+        after = {}
+        for c in ("cod", "tss"):
+            mean, told = w[c] / n, np.where(known, np.append(own[f"before_{c}"].to_numpy(float), np.nan)[held], np.nan)
+            w[f"before_{c}"] = np.where(before >= start, mean[before], told)
+            after[f"before_{c}"] = np.where(full >= start, mean[full], told)
+        w = pd.DataFrame({KEY: keys[code]} | {c: x for c, x in w.items() if c not in ("code", "run")})
+        new = w.assign(**after)[newest & stays]
+        new.loc[~is_open[newest & stays], list(FIGURES)[:-1]] = [0, 0, np.nan, np.nan, 0.0, 0.0]
+        calm = (goes == last[of_own]) & ~np.isin(of_own, code[newest & stays])
+        return pd.concat([p for p in (own[calm][list(EMPTY)], new) if len(p)] or [EMPTY], ignore_index=True), w[~is_open]
+
+    def _suspect(self, kind: str, w: pd.DataFrame) -> pd.DataFrame:
+        """The closed windows that are to be told, with the columns of their kind."""
+        n, own = w["n"], {}
+        if kind == "ZERO_VARIANCE":
+            hit = (n >= self.zero["min_rows"]) & (w["most"] - w["least"] < self.zero["least"])
+            own = {"cod_max": w["most"], "cod_min": w["least"], "cod_range": w["most"] - w["least"], "row_count": n}
+        elif kind == "BLACKOUT_TAMPER":
+            hit = (n >= self.blackout["min_rows"]) & (w["dark"] / n >= self.blackout["ratio"])
+            own = {"total_rows": n, "blackout_rows": w["dark"], "blackout_ratio": w["dark"] / n}
+        else:
+            cod, tss = w["cod"] / n, w["tss"] / n
+            hit = (n >= self.dilution["min_rows"]) & (cod <= w["before_cod"] * (1 - self.dilution["drop"])) & (tss >= w["before_tss"] * (1 - self.dilution["stable"]))
+            own = {"mean_cod": cod, "mean_tss": tss, "baseline_cod": w["before_cod"], "baseline_tss": w["before_tss"]}
+        return pd.DataFrame({KEY: w[KEY], "tamper_type": kind, "window_end": w["last"]} | own)[hit]
+
+    def _frame(self, told: list[pd.DataFrame]) -> pd.DataFrame | None:
+        told = [t for t in told if len(t)]
+        if not told:
             return None
         names = [c.split()[0] for c in TAMPER.split(", ")]
-        out = pd.DataFrame(found, columns=names[1:]).assign(factory_id=key[0])[names]
+        out = pd.concat(told, ignore_index=True).reindex(columns=[KEY, *names])
         out["window_end"] = _times(out["window_end"])
-        for c in ("row_count", "total_rows", "blackout_rows"):
-            out[c] = out[c].astype("Int64")
-        return out.astype({c: float for c in names if c.startswith(("cod_", "mean_", "baseline_")) or c == "blackout_ratio"})
-
-
-def _real(x) -> float | None:
-    return None if x is None or x != x else float(x)
+        return out.astype({c.split()[0]: {"long": "Int64", "double": float}[c.split()[1]] for c in TAMPER.split(", ")[2:]})
 
 
 def tampering(df: DataFrame, late: str, zero: dict, dilution: dict, blackout: dict, idle_s: int | None = None) -> DataFrame:
@@ -276,5 +343,4 @@ def tampering(df: DataFrame, late: str, zero: dict, dilution: dict, blackout: di
 
     zero: width_s, least, min_rows; dilution: width_s, drop, stable, min_rows; blackout: width_s, ratio, min_rows; as in operators.forensics.
     """
-    out = TAMPER.format(key=dict(df.dtypes)["factory_id"])
-    return _run(df.where("ts IS NOT NULL"), "factory_id", "ts", late, lambda held: Tampering(held, zero, dilution, blackout, idle_s), ["event_id", "cod", "tss"], out)
+    return _run(df.where("ts IS NOT NULL"), "factory_id", "ts", late, lambda names: Tampering(names, zero, dilution, blackout, idle_s), ["event_id", "cod", "tss"], TAMPER)
