@@ -12,25 +12,28 @@ from ..functions import scalars as S
 def backtracked(shocks: DataFrame, sources: DataFrame, travel_s: int, tolerance_s: int) -> DataFrame:
     """shocks (shock_id, ts, ...) with the highest-COD source row (factory_id, ts, cod, ...) in ts - travel +- tolerance.
 
-    Both ends count; ties by earlier ts, then factory_id; no match leaves nulls. A band of 2 * tolerance touches two
-    buckets of that width, so shocks are doubled and joined by bucket: an equality join, whatever the sizes.
+    Both ends count; ties by earlier ts, then factory_id; no match leaves nulls. Time is cut into buckets as long as a band, so a band is the
+    end of one bucket and the start of the next. The best row up to each time of a bucket, and from each time on, is kept while its times
+    are passed in order, so no shock is paired with its sources and the work grows with the rows, however many a band holds.
     """
-    width = max(2 * tolerance_s, 1) * 1_000_000
+    reach = tolerance_s * 1_000_000
+    width = max(2 * reach, 1)
+    bucket = lambda t: S.floor_div(t, width)
     center = S.micros(F.col("ts")) - travel_s * 1_000_000
-    probes = shocks.select("shock_id", center.alias("_c"))
-    low = F.floor((F.col("_c") - tolerance_s * 1_000_000) / width)
-    high = F.floor((F.col("_c") + tolerance_s * 1_000_000) / width)
-    probes = probes.select("shock_id", "_c", F.explode(F.sequence(low, high)).alias("_b"))
-    t = S.micros(F.col("ts"))
-    build = sources.select(F.col("factory_id"), t.alias("_t"), F.floor(t / width).alias("_b"), "cod", F.struct(*sources.columns).alias("_row")).where("cod IS NOT NULL")
-    best = F.max_by("_row", F.struct("cod", (-F.col("_t")).alias("t"), F.lit(0).alias("z")))
-    matched = probes.join(build, "_b").where(F.abs(F.col("_t") - F.col("_c")) <= tolerance_s * 1_000_000)
-    w = matched.groupBy("shock_id", "factory_id").agg(best.alias("_row"), F.max(F.struct("cod", (-F.col("_t")).alias("t"))).alias("_k"))
-    top = w.groupBy("shock_id").agg(F.max("_k").alias("_k")).join(w.withColumnRenamed("_k", "_own"), "shock_id").where("_own = _k").groupBy("shock_id").agg(F.min_by("_row", "factory_id").alias("_row"))
+    ends = F.array(*[F.struct((center + d * reach).alias("_t"), F.lit(d).alias("_end")) for d in (-1, 1)])
+    asked = shocks.where("ts IS NOT NULL").select("shock_id", F.explode(ends).alias("_e")).select("shock_id", "_e._t", "_e._end")
+    told = [c for c in ("bod", "tss") if c in sources.columns]
+    # the smallest is the best: NaN is the highest COD, and rows without a factory come last
+    rank = F.struct(~F.isnan(F.col("cod").cast("double")), (-F.col("cod")).alias("down"), S.micros(F.col("ts")).alias("t"), F.col("factory_id").isNull().alias("none"), "factory_id", "ts", "cod", *told)
+    offered = sources.where("cod IS NOT NULL AND ts IS NOT NULL").groupBy(S.micros(F.col("ts")).alias("_t")).agg(F.min(rank).alias("_best"))
+    rows = offered.unionByName(asked, allowMissingColumns=True).withColumn("_b", bucket(F.col("_t")))
+    upto, since = (F.min("_best").over(Window.partitionBy("_b").orderBy(o)) for o in (F.asc("_t"), F.desc("_t")))  # rows of the same time count
+    found = rows.select("shock_id", "_end", upto.alias("_upto"), since.alias("_since")).where("_end IS NOT NULL")
     row = scratch.spare("_row", shocks)
-    out = shocks.join(top.withColumnRenamed("_row", row), "shock_id", "left")
+    top = found.groupBy("shock_id").agg(F.min(F.when(F.col("_end") < 0, F.col("_since")).otherwise(F.col("_upto"))).alias(row))
+    out = shocks.join(top, "shock_id", "left")
     back = F.timestamp_add("SECOND", F.lit(-travel_s), F.col("ts")).alias("backtrack_time")
-    return out.select(*shocks.columns, back, F.col(f"{row}.factory_id").alias("attributed_factory"), F.col(f"{row}.ts").alias("source_ts"), F.col(f"{row}.cod").alias("factory_cod"), *[F.col(f"{row}.{c}").alias(f"factory_{c}") for c in sources.columns if c in ("bod", "tss")])
+    return out.select(*shocks.columns, back, F.col(f"{row}.factory_id").alias("attributed_factory"), F.col(f"{row}.ts").alias("source_ts"), F.col(f"{row}.cod").alias("factory_cod"), *[F.col(f"{row}.{c}").alias(f"factory_{c}") for c in told])
 
 
 def _anchored(df: DataFrame, width_s: int) -> DataFrame:

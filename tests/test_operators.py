@@ -132,6 +132,37 @@ def test_backtrack_takes_the_highest_in_an_inclusive_band(spark):
     assert got == {1: "b", 2: None}
 
 
+@pytest.mark.parametrize(("travel", "tolerance"), [(900, 120), (60, 60), (0, 0), (30, 1)])
+def test_backtrack_against_a_loop(spark, travel, tolerance):
+    """Shocks that share an id, equal times and readings, NaN, rows without a factory or a reading, times before 1970."""
+    rng = random.Random(travel)
+    t0 = dt.datetime(1969, 12, 31, 23, 40)
+    when = lambda: t0 + dt.timedelta(seconds=rng.randrange(0, 2400, 5), microseconds=rng.choice([0, 0, 1, 999_999]))
+    src = [(rng.choice(["a", "b", "c", None]), when(), rng.choice([None, 1.0, 5.0, 5.0, 9.0, float("nan") if rng.random() < 0.1 else 2.0]), float(i)) for i in range(200)]
+    shocks = [(i, when()) for i in range(100)] + [(7, when()), (200, None)]
+    df = spark.createDataFrame(shocks, "shock_id long, ts timestamp_ntz")
+    got = forensics.backtracked(df, spark.createDataFrame(src, "factory_id string, ts timestamp_ntz, cod double, tss double"), travel, tolerance)
+    best = {}
+    for i, t in shocks:
+        for f, s, cod, _ in src:
+            if t is not None and cod is not None and abs(t - dt.timedelta(seconds=travel) - s) <= dt.timedelta(seconds=tolerance):
+                best.setdefault(i, []).append((cod == cod, -cod if cod == cod else 0.0, s, f is None, f))
+    shown = lambda f, s, cod: repr((f, s, cod))
+    want = [(i, shown(b[4], b[2], (-b[1] if b[0] else float("nan")))) if (b := min(best.get(i, []), default=None, key=lambda x: x[:4] + (x[4] or "",))) else (i, shown(None, None, None)) for i, _ in shocks]
+    assert sorted((r["shock_id"], shown(r["attributed_factory"], r["source_ts"], r["factory_cod"])) for r in got.collect()) == sorted(want)
+
+
+def test_backtrack_pairs_no_rows(spark):
+    """What is shuffled grows with shocks and sources, not with their pairs: 2,000 shocks and 2,000 sources of the same minute."""
+    ts = F.timestamp_seconds(F.col("id") * 0.03).cast("timestamp_ntz").alias("ts")
+    shocks = spark.range(2000).select(F.col("id").alias("shock_id"), ts)
+    src = spark.range(2000).select(F.col("id").alias("factory_id"), ts, F.col("id").cast("double").alias("cod"))
+    out = forensics.backtracked(shocks, src, 0, 120)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Join LeftOuter, (shock_id" in plan
+    assert out.where("attributed_factory = 1999").count() == 2000
+
+
 def test_tampering(spark):
     rows = [("f", at(m), 115.0 if m < 5 else None, 80.0) for m in range(15)] + [("g", at(m + 3), 100.0 if m < 60 else 10.0, 50.0) for m in range(120)]
     df = spark.createDataFrame(rows, "factory_id string, ts timestamp_ntz, cod double, tss double")
