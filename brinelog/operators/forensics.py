@@ -24,8 +24,8 @@ def backtracked(shocks: DataFrame, sources: DataFrame, travel_s: int, tolerance_
     asked = shocks.where("ts IS NOT NULL").select("shock_id", F.explode(ends).alias("_e")).select("shock_id", "_e._t", "_e._end")
     told = [c for c in ("bod", "tss") if c in sources.columns]
     # the smallest is the best: NaN is the highest COD, and rows without a factory come last
-    rank = F.struct(~F.isnan(F.col("cod").cast("double")), (-F.col("cod")).alias("down"), S.micros(F.col("ts")).alias("t"), F.col("factory_id").isNull().alias("none"), "factory_id", "ts", "cod", *told)
-    offered = sources.where("cod IS NOT NULL AND ts IS NOT NULL").groupBy(S.micros(F.col("ts")).alias("_t")).agg(F.min(rank).alias("_best"))
+    rank = F.struct(~F.isnan(F.col("cod").cast("double")), (-F.col("cod")).alias("down"), "ts", F.col("factory_id").isNull().alias("none"), "factory_id", *told)
+    offered = sources.where("cod IS NOT NULL AND ts IS NOT NULL").select(S.micros(F.col("ts")).alias("_t"), rank.alias("_best"))
     rows = offered.unionByName(asked, allowMissingColumns=True).withColumn("_b", bucket(F.col("_t")))
     upto, since = (F.min("_best").over(Window.partitionBy("_b").orderBy(o)) for o in (F.asc("_t"), F.desc("_t")))  # rows of the same time count
     found = rows.select("shock_id", "_end", upto.alias("_upto"), since.alias("_since")).where("_end IS NOT NULL")
@@ -33,7 +33,7 @@ def backtracked(shocks: DataFrame, sources: DataFrame, travel_s: int, tolerance_
     top = found.groupBy("shock_id").agg(F.min(F.when(F.col("_end") < 0, F.col("_since")).otherwise(F.col("_upto"))).alias(row))
     out = shocks.join(top, "shock_id", "left")
     back = F.timestamp_add("SECOND", F.lit(-travel_s), F.col("ts")).alias("backtrack_time")
-    return out.select(*shocks.columns, back, F.col(f"{row}.factory_id").alias("attributed_factory"), F.col(f"{row}.ts").alias("source_ts"), F.col(f"{row}.cod").alias("factory_cod"), *[F.col(f"{row}.{c}").alias(f"factory_{c}") for c in told])
+    return out.select(*shocks.columns, back, F.col(f"{row}.factory_id").alias("attributed_factory"), F.col(f"{row}.ts").alias("source_ts"), (-F.col(f"{row}.down")).alias("factory_cod"), *[F.col(f"{row}.{c}").alias(f"factory_{c}") for c in told])
 
 
 def _anchored(df: DataFrame, width_s: int) -> DataFrame:
