@@ -10,7 +10,6 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import facade, scratch
 from ..config import Config
@@ -373,20 +372,20 @@ FILES, FILE_ROWS = 16, 200_000
 
 
 def _feed(df: DataFrame, batch, files: int, closing: dict | None = None) -> tuple[str, int]:
-    """Writes df as files of a stream, as many for each batch; (where, how many a batch). batch: rows by their batch from 0. closing: a last row far ahead, which lets time pass for all keys."""
-    spark = df.sparkSession
-    path, dealt = scratch.folder(spark), scratch.folder(spark)
-    df.withColumn("_file", batch).write.partitionBy("_file").parquet(dealt)
-    rows = spark.read.schema(StructType([*df.schema.fields, StructField("_file", IntegerType())])).option("basePath", dealt).parquet(dealt)
+    """Writes df as files of a stream, as many for each batch; (where, how many a batch). batch: rows by their batch from 0. closing: a last row far ahead, which lets time pass for all keys.
+
+    df is read once for each batch, so what is not simply read from a table should be written before.
+    """
+    path, rows = scratch.folder(df.sparkSession), df.withColumn("_file", batch)
     sizes = [r.n for r in rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect()]
     each = max(1, min(FILES, min(sizes, default=0) // FILE_ROWS)) if len(sizes) == files else 1
     for k in range(files):  # one after another, so that they are read in this order
         part = rows.where(F.col("_file") == k).select(*df.columns)
         (part.repartition(each) if each > 1 else part.coalesce(1)).write.mode("append").parquet(path)
-    if each > 1 and len(spark.read.schema(df.schema).parquet(path).inputFiles()) != files * each:
+    if each > 1 and len(df.sparkSession.read.schema(df.schema).parquet(path).inputFiles()) != files * each:
         raise RuntimeError(f"{path} should have {files} times {each} files")
     if closing is not None:
-        last = rows.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"))
+        last = df.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"))
         end = last.select(*[F.col("ts") if f.name == "ts" else F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
         end.coalesce(1).write.mode("append").parquet(path)
     return path, each
@@ -415,7 +414,7 @@ def stream_late_revisions(spark, sf):
 def stream_persistence(spark, sf):
     from ..streaming import jobs
 
-    rows = scores(spark, sf).select("sensor_id", "ts", "event_id", "is_anomaly")
+    rows = scratch.written(scores(spark, sf).select("sensor_id", "ts", "event_id", "is_anomaly"))
     path, each = _feed(rows, _block(), 4, {"sensor_id": "", "event_id": -1})
     return jobs.replayed(spark, rows.schema, path, lambda s: jobs.persisted(s, 2, LATE), scratch.folder(spark), "append", each).drop("_batch")
 
@@ -467,7 +466,7 @@ def stream_backtrack(spark, sf):
 def stream_active_alerts(spark, sf):
     from ..streaming import jobs
 
-    rows = alerts(spark, sf).select("discharge_point_id", "ts", "risk_band", F.xxhash64("ts").alias("event_id"))
+    rows = scratch.written(alerts(spark, sf).select("discharge_point_id", "ts", "risk_band", F.xxhash64("ts").alias("event_id")))
     path, each = _feed(rows, _block(), 4, {})
     return jobs.replayed(spark, rows.schema, path, lambda s: jobs.active_alerts(s, "6 hours", "1 hour", LATE), scratch.folder(spark), "append", each).drop("_batch")
 
