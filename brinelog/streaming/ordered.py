@@ -344,3 +344,60 @@ def tampering(df: DataFrame, late: str, zero: dict, dilution: dict, blackout: di
     zero: width_s, least, min_rows; dilution: width_s, drop, stable, min_rows; blackout: width_s, ratio, min_rows; as in operators.forensics.
     """
     return _run(df.where("ts IS NOT NULL"), "factory_id", "ts", late, lambda names: Tampering(names, zero, dilution, blackout, idle_s), ["event_id", "cod", "tss"], TAMPER)
+
+
+class Strongest(StatefulProcessor):
+    """The best reading of a time bucket for each shock whose band touches it, told once the watermark has passed the last shock that can ask.
+
+    A row with a shock_id asks; the others are readings. They wait as Arrow streams, one a micro-batch.
+    """
+
+    def __init__(self, names: list[str], travel_us: int, reach_us: int, width_us: int):
+        self.names, self.travel, self.reach, self.width = names, travel_us, reach_us, width_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if not self.waiting.exists():
+            self.handle.registerTimer(((key[0] + 1) * self.width + self.travel + self.reach) // 1000 + 1)
+        self.waiting.appendList([(_packed(r[self.names]),) for r in rows])
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([_unpacked(r[0]) for r in self.waiting.get()], ignore_index=True)
+        self.waiting.clear()
+        asks = rows["shock_id"].notna()
+        if asks.any():
+            yield self.best(rows[asks], rows[~asks])
+
+    def best(self, shocks: pd.DataFrame, readings: pd.DataFrame) -> pd.DataFrame:
+        """shocks with the reading of the highest COD in their band, ties by earlier time, then factory; else nulls."""
+        readings = readings.assign(nan=readings["cod"].isna(), none=readings["factory_id"].isna()).sort_values(["cod", AT, "none", "factory_id"], ascending=[False, True, True, True], na_position="first", kind="stable", ignore_index=True)
+        by_time = np.argsort(readings[AT].to_numpy(np.int64), kind="stable")
+        at, least = readings[AT].to_numpy(np.int64)[by_time], [by_time]  # least[k]: the best place of the 2^k rows from each on
+        while 2 << (len(least) - 1) <= len(at):
+            half = 1 << (len(least) - 1)
+            least.append(np.minimum(least[-1][:-half], least[-1][half:]))
+        center = shocks[AT].to_numpy(np.int64) - self.travel
+        low, high = np.searchsorted(at, center - self.reach, "left"), np.searchsorted(at, center + self.reach, "right")
+        place = np.full(len(shocks), -1)
+        step = np.frexp(np.maximum(high - low, 1))[1] - 1  # of the largest power of two in the band
+        for k in np.unique(step[high > low]):
+            mine = (high > low) & (step == k)
+            place[mine] = np.minimum(least[k][low[mine]], least[k][high[mine] - (1 << k)])
+        found = readings.reindex(place).reset_index(drop=True)
+        told = {"shock_id": shocks["shock_id"].to_numpy(), "shock_ts": _times(shocks[AT]).to_numpy(), "value": shocks["value"].to_numpy()}
+        return pd.DataFrame(told | {"factory_id": found["factory_id"], "source_ts": pd.to_datetime(found[AT].astype("Int64"), unit="us"), "cod": found["cod"], "tss": found["tss"], "nan": found["nan"] == True})  # noqa: E712
+
+
+def strongest_of_buckets(df: DataFrame, travel_us: int, reach_us: int, width_us: int, late: str) -> DataFrame:
+    """Stream of (bucket, ts, shock_id, value, factory_id, cod, tss), shocks and readings by time bucket, to shocks with their bucket's best reading."""
+    kinds = dict(df.dtypes)
+    columns = ["shock_id", "value", "factory_id", "cod", "tss"]
+    rows = df.where("ts IS NOT NULL").select("bucket", F.col("ts").cast("timestamp").alias("event_time"), F.unix_micros(F.col("ts").cast("timestamp")).alias(AT), *columns).withWatermark("event_time", late)
+    out = f"shock_id {kinds['shock_id']}, shock_ts timestamp_ntz, value {kinds['value']}, factory_id {kinds['factory_id']}, source_ts timestamp_ntz, cod {kinds['cod']}, tss {kinds['tss']}, nan boolean"
+    told = rows.groupBy("bucket").transformWithStateInPandas(Strongest([AT, *columns], travel_us, reach_us, width_us), out, "append", "eventTime")
+    cod = F.when(F.col("nan"), F.lit(float("nan"))).otherwise(F.col("cod"))  # pandas has nulls and NaN as one
+    return told.withColumns({"cod": cod} | {c: F.col(c).cast("timestamp") for c in ("shock_ts", "source_ts")}).drop("nan")

@@ -120,3 +120,27 @@ def test_runs_against_a_loop():
                 want[r.event_id] = n
     got = told(MAKERS["persisted"](None), batches)[0]
     assert dict(zip(got["event_id"], got["consecutive_count"], strict=True)) == want
+
+
+def test_strongest_against_a_loop():
+    """Bands without readings, of one and of many, equal readings, NaN, a factory that is null."""
+    rng = random.Random(2)
+    read = [(rng.randrange(0, 500), rng.choice([1, 2, 3, None]), rng.choice([1.0, 2.0, 2.0, 3.0]), float(i)) for i in range(150)]
+    ask = [(rng.randrange(-100, 700) + 60, i) for i in range(200)]
+    columns = [ordered.AT, "shock_id", "value", "factory_id", "cod", "tss"]
+    rows = pd.DataFrame([(t, None, None, f, c, s) for t, f, c, s in read] + [(t, i, 9.0, None, None, None) for t, i in ask], columns=columns)
+    made = ordered.Strongest(columns, 60, 12, 1000)
+    handle = Handle()
+    made.init(handle)
+    made.waiting.appendList = lambda values, held=made.waiting: held.put([*(held.value or []), *values])
+    for part in (rows[:100], rows[100:]):
+        assert not list(made.handleInputRows((0,), iter([part]), handle))
+    assert len(handle.timers) == 1
+    got = pd.concat(list(made.handleExpiredTimer((0,), handle, None)))
+    want = {}
+    for t, i in ask:
+        near = [(-c, s, f is None, f or 0) for s, f, c, _ in read if abs(t - 60 - s) <= 12]
+        want[i] = min(near)[:2] if near else None
+    told = {r.shock_id: None if pd.isna(r.cod) else (-r.cod, r.source_ts.value // 1000) for r in got.itertuples()}
+    assert told == want and made.waiting.value is None
+    assert {w is None for w in want.values()} == {True, False}
