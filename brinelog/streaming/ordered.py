@@ -401,3 +401,56 @@ def strongest_of_buckets(df: DataFrame, travel_us: int, reach_us: int, width_us:
     told = rows.groupBy("bucket").transformWithStateInPandas(Strongest([AT, *columns], travel_us, reach_us, width_us), out, "append", "eventTime")
     cod = F.when(F.col("nan"), F.lit(float("nan"))).otherwise(F.col("cod"))  # pandas has nulls and NaN as one
     return told.withColumns({"cod": cod} | {c: F.col(c).cast("timestamp") for c in ("shock_ts", "source_ts")}).drop("nan")
+
+
+class Timeline(StatefulProcessor):
+    """Rows of the first stage (0, or -1 for one that meets nothing) with those of the others that have its event_id and come within a time of it.
+
+    A row of the first stage is told once the watermark has passed that time, and a row of another stage is given up then.
+    """
+
+    def __init__(self, stages: int, within_us: int):
+        self.stages, self.within = stages, within_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows binary")
+
+    def _step(self, fresh: list[pd.DataFrame], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        mark = watermark_ms * 1000
+        rows = pd.concat([*([_unpacked(r[0]) for r in self.waiting.get()] if self.waiting.exists() else []), *fresh], ignore_index=True)
+        over = rows[AT].to_numpy(np.int64) + self.within <= mark
+        first = rows["stage"].to_numpy() <= 0
+        if (over & first).any():
+            yield self.joined(rows[over & first], rows[~first])
+        kept = rows[~over]
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        if len(kept):
+            self.waiting.put([(_packed(kept),)])
+            self.handle.registerTimer((int(kept[AT].min()) + self.within) // 1000 + 1)
+        elif self.waiting.exists():
+            self.waiting.clear()
+
+    def joined(self, first: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = first.rename(columns={AT: "stage_0"})
+        for k in range(1, self.stages):
+            out = out.assign(row=np.arange(len(out)))
+            there = others.loc[others["stage"] == k, ["event_id", AT]].rename(columns={AT: f"stage_{k}"})
+            pairs = out.loc[out["stage"] == 0, ["row", "event_id", "stage_0"]].merge(there, on="event_id")
+            pairs = pairs[(pairs[f"stage_{k}"] - pairs["stage_0"]).between(0, self.within)]
+            out = out.merge(pairs[["row", f"stage_{k}"]], how="left", on="row").drop(columns="row")
+        return out.astype({f"stage_{k}": "Int64" for k in range(self.stages)})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield from self._step([r[["event_id", "stage", AT]] for r in rows], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._step([], timerValues.getCurrentWatermarkInMs())
+
+
+def timeline(df: DataFrame, stages: int, within_us: int, late: str) -> DataFrame:
+    """Stream of (event_id, ts, stage) to (event_id, stage, stage_0, stage_1, ...), a row of the first stage with each stage's microseconds."""
+    rows = df.select(F.pmod(F.xxhash64("event_id"), F.lit(CELLS)).alias(CELL), F.col("ts").alias("event_time"), F.unix_micros("ts").alias(AT), "event_id", "stage").withWatermark("event_time", late)
+    out = ", ".join([f"event_id {dict(df.dtypes)['event_id']}", "stage int", *(f"stage_{k} long" for k in range(stages))])
+    return rows.groupBy(CELL).transformWithStateInPandas(Timeline(stages, within_us), out, "append", "eventTime")

@@ -144,3 +144,22 @@ def test_strongest_against_a_loop():
     told = {r.shock_id: None if pd.isna(r.cod) else (-r.cod, r.source_ts.value // 1000) for r in got.itertuples()}
     assert told == want and made.waiting.value is None
     assert {w is None for w in want.values()} == {True, False}
+
+
+def test_timeline_against_a_loop():
+    """Stages too early, too late, at both ends, several of one event, several rows of an event, and rows that meet nothing."""
+    rng, columns = random.Random(4), ["event_id", "stage", ordered.AT]
+    rows = [(rng.randrange(40), rng.choice([-1, 0, 0, 1, 1, 2]), rng.randrange(0, 400) * 1000) for _ in range(300)]
+    frame, handle, out = pd.DataFrame(rows, columns=columns), Handle(), []
+    made = ordered.Timeline(3, 50_000)
+    made.init(handle)
+    for part, handle.mark in ((frame[frame[ordered.AT] < 200_000], 0), (frame[frame[ordered.AT] >= 200_000], 199), (frame[:0], 10_000)):
+        out += list(made.handleInputRows((0,), iter([part]), handle)) if len(part) else list(made.handleExpiredTimer((0,), handle, None))
+    want = []
+    for i, s, t in rows:
+        if s <= 0:
+            near = [[u for j, r, u in rows if s == 0 and j == i and r == k and 0 <= u - t <= 50_000] or [None] for k in (1, 2)]
+            want += [(i, s, t, a, b) for a in near[0] for b in near[1]]
+    got = pd.concat(out).astype(object).where(lambda d: d.notna(), None)
+    assert Counter(got[["event_id", "stage", "stage_0", "stage_1", "stage_2"]].itertuples(index=False, name=None)) == Counter(want)
+    assert made.waiting.value is None and not handle.timers and len(out) == 2
