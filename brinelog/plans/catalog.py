@@ -519,10 +519,10 @@ def pipeline_alerts(spark, sf):
 
     out, i = scratch.folder(spark), F.col("event_id")
     time = F.date_format("ts", "yyyy-MM-dd HH:mm").alias("time")
-    files.write_csv(events(spark, sf).select(i.alias("s_no"), time, F.col("event_type").alias("factory_id"), F.when(i % 7 > 0, F.col("value")).alias("cod"), F.lit(45.5).alias("bod"), F.lit(7.2).alias("ph"), F.lit(80.0).alias("tss")), f"{out}/factories")
-    files.write_csv(events(spark, sf).select(*[{"s_no": i, "time": time, "cetp_inlet_cod": F.col("value")}.get(f.name, F.lit(1.0)).alias(f.name) for f in schemas.CETP]), f"{out}/plant")
+    files.write_csv(events(spark, sf).select(i.alias("s_no"), time, F.col("event_type").alias("factory_id"), F.when(i % 7 > 0, F.col("value")).alias("cod"), F.lit(45.5).alias("bod"), F.lit(7.2).alias("ph"), F.lit(80.0).alias("tss")), f"{out}/factories", compression="gzip")
+    files.write_csv(events(spark, sf).select(*[{"s_no": i, "time": time, "cetp_inlet_cod": F.col("value")}.get(f.name, F.lit(1.0)).alias(f.name) for f in schemas.CETP]), f"{out}/plant", compression="gzip")
     cfg = replace(CFG, sensor_value_range={"*": [-1e9, 1e9]}, window_duration_ms=3_600_000, window_hop_ms=60_000, metrics_output_path=f"{out}/kpis", alert_log_path=f"{out}/evidence")
-    rows = run.run_pipeline(spark, f"{out}/plant", f"{out}/factories", f"{out}/run", cfg, globs=("*.csv", "*.csv"), kpis=False)
+    rows = run.run_pipeline(spark, f"{out}/plant", f"{out}/factories", f"{out}/run", cfg, globs=("*.csv.gz", "*.csv.gz"), kpis=False)
     return rows.select("discharge_point_id", "ts", F.round(F.log10("eri"), 6).alias("log_eri"), "risk_band", "alert_level", "sensitivity_factor", "top_contributor", "alert_message")
 
 

@@ -83,8 +83,8 @@ def tamper_log(spark: SparkSession, path: str) -> DataFrame:
     return jsonl(spark, path, TAMPER)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none") -> None:
+    df.write.mode(mode).option("header", True).option("compression", compression).csv(path)
 
 
 def append_jsonl(df: DataFrame, path: str, batch_id: int) -> None:

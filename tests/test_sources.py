@@ -47,3 +47,13 @@ def test_webhook():
     assert files.post_webhook({"a": 1}, f"http://127.0.0.1:{server.server_port}/") and got == [{"a": 1}]
     server.server_close()
     assert not files.post_webhook({}, "") and not files.post_webhook({}, f"http://127.0.0.1:{server.server_port}/", 0.5)
+
+
+def test_compressed_csv_is_read_back(spark, tmp_path):
+    rows = spark.range(5000).select(F.col("id").alias("s_no"), F.lit("2026-02-28 12:00").alias("time"), F.lit("A").alias("factory_id"), F.lit(100.0).alias("cod"), F.lit(1.0).alias("bod"), F.lit(7.0).alias("ph"), F.lit(2.0).alias("tss")).coalesce(1)
+    files.write_csv(rows, str(tmp_path / "plain"))
+    files.write_csv(rows, str(tmp_path / "packed"), compression="gzip")
+    size = {k: sum(p.stat().st_size for p in (tmp_path / k).glob(f"*.csv{end}")) for k, end in (("plain", ""), ("packed", ".gz"))}
+    assert 0 < 4 * size["packed"] < size["plain"]
+    got = files.factory_readings(spark, str(tmp_path / "packed"), glob="*.csv.gz")
+    assert got.drop("status").exceptAll(rows).count() == 0 and got.count() == 5000
